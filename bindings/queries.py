@@ -21,6 +21,7 @@ from reelgauge.operators import ngrams as N
 from reelgauge.operators import picks as P
 from reelgauge.operators import quality as Q
 from reelgauge.operators import upsert as U
+from reelgauge.operators.scaling import unnest
 from reelgauge.plans import export
 from reelgauge.sources import records as R
 
@@ -365,9 +366,8 @@ def stopword_table_filter(spark, sf):
 @query
 def stopword_union(spark, sf):
     """Spark's lists plus the corpus' own words of at most two letters."""
-    short = V.videos(spark, sf).select(
-        F.explode(X.tokenize(F.col("videoTranscript"))).alias("word")
-    ).filter(F.length("word") <= 2)
+    tokens = X.tokenize(F.col("videoTranscript"))
+    short = unnest(V.videos(spark, sf), tokens, "word").filter(F.length("word") <= 2)
     return S.union_tables(S.stopword_table(spark, V.LANGS), short)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelgauge.functions import clock
 from reelgauge.session import configure
+from reelgauge.sources.files import read_spread
 
 #: 2022-11-01 00:00:00 UTC
 BASE = 1667260800
@@ -33,7 +34,10 @@ ERRORS = (
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if name == "documents":
+        return read_spread(spark, path)
+    return spark.read.parquet(path)
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,8 @@ def collapse_space(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE + "+", "") == ""
+    # the search ends at the first character that is no space
+    return ~c.rlike(NOT_SPACE)
 
 
 def newlines_to_space(c: Column) -> Column:

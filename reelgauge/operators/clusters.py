@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelgauge.operators.engagement import zscores
-from reelgauge.operators.scaling import lookup_join, materialise
+from reelgauge.operators.scaling import (
+    fits,
+    lookup_join,
+    materialise,
+    sized_join,
+    unnest,
+)
 from reelgauge.schemas import METRICS
 
 _AXES = ("x", "y", "z")
@@ -33,7 +39,7 @@ def _distance(centre: Column) -> Column:
 
 
 def _nearest(centres: Column) -> Column:
-    """Struct (d, c, ...) of the centre closest to the row; the lowest number on ties."""
+    """Struct (d, c) of the centre closest to the row; the lowest number on ties."""
     return F.array_min(
         F.transform(
             centres, lambda m: F.struct(_distance(m).alias("d"), m["c"].alias("c"))
@@ -41,33 +47,24 @@ def _nearest(centres: Column) -> Column:
     )
 
 
-def _centre_table(centres: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per group and restart with its array of centres (at most k)."""
-    return centres.groupBy(*by, "restart").agg(
-        F.sort_array(F.collect_list(F.struct("c", *_AXES))).alias("centres")
+def _gather(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """One row per group with its centres of all restarts (restarts * k at most)."""
+    return rows.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("restart", "c", *_AXES))).alias(name)
     )
 
 
-def _per_group(table: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per group holding the centres of every restart (restarts * k entries)."""
-    return table.groupBy(*by).agg(
-        F.collect_list(F.struct("restart", "centres")).alias("runs")
-    )
+def _of_restart(centres: Column, restart: Column) -> Column:
+    return F.filter(centres, lambda m: m["restart"] == restart)
 
 
-def _spread(points: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Points with the centres of each restart of their group."""
-    joined = lookup_join(points, _per_group(table, by), by, "inner")
-    return joined.withColumn("_run", F.explode("runs")).select(
-        *by,
-        *_AXES,
-        "w",
-        F.col("_run.restart").alias("restart"),
-        F.col("_run.centres").alias("centres"),
-    )
+def _runs(restarts: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(restarts - 1))
 
 
-def _seed(points: DataFrame, by: Sequence[str], k: int, restarts: int, seed: int):
+def _seed(
+    points: DataFrame, by: Sequence[str], k: int, restarts: int, seed: int, small: bool
+) -> DataFrame:
     """k-means++ starts.
 
     Drawing a point with probability proportional to a weight is the same as
@@ -81,27 +78,43 @@ def _seed(points: DataFrame, by: Sequence[str], k: int, restarts: int, seed: int
         won = raced.groupBy(*by, "restart").agg(
             F.min_by(F.struct(*_AXES), "_race").alias("_p")
         )
-        return won.select(
-            *by,
-            "restart",
-            F.lit(step).alias("c"),
-            *[F.col(f"_p.{a}").alias(a) for a in _AXES],
+        placed = won.select(
+            *by, "restart", F.lit(step).alias("c"), *[f"_p.{a}" for a in _AXES]
         )
+        return _gather(placed, by, "_drawn")
 
-    runs = F.sequence(F.lit(0), F.lit(restarts - 1))
-    first = draw(points.withColumn("restart", F.explode(runs)), F.col("w"), 0)
-    centres = materialise(first)
+    rows = points.withColumn("restart", F.explode(_runs(restarts)))
+    state = materialise(draw(rows, F.col("w"), 0).withColumnRenamed("_drawn", "centres"))
     for step in range(1, k):
-        table = materialise(_centre_table(centres, by))
-        spread = _spread(points, table, by)
-        weight = F.col("w") * _nearest(F.col("centres"))["d"]
-        centres = materialise(centres.unionByName(draw(spread, weight, step)))
-    return centres
+        rows = sized_join(points, state, by, "inner", small).withColumn(
+            "restart", F.explode(_runs(restarts))
+        )
+        placed = _of_restart(F.col("centres"), F.col("restart"))
+        drawn = draw(rows, F.col("w") * _nearest(placed)["d"], step)
+        # a group without any point away from its centres gets no further one
+        added = F.concat(
+            "centres",
+            F.coalesce(F.col("_drawn"), F.filter("centres", lambda m: F.lit(False))),
+        )
+        state = materialise(
+            state.join(drawn, list(by), "left").withColumn("centres", added).drop("_drawn")
+        )
+    return state
 
 
-def _assign(points: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
-    nearest = _nearest(F.col("centres"))
-    return _spread(points, table, by).withColumn("_n", nearest)
+def _assign(
+    points: DataFrame, state: DataFrame, by: Sequence[str], restarts: int, small: bool
+) -> DataFrame:
+    """One row per point and restart with its nearest centre in ``_n``."""
+    centres = F.col("centres")
+    nearest = F.transform(
+        _runs(restarts),
+        lambda r: F.struct(r.alias("restart"), _nearest(_of_restart(centres, r)).alias("n")),
+    )
+    met = sized_join(points, state, by, "inner", small)
+    return unnest(met.select(*by, *_AXES, "w", nearest.alias("_runs")), F.col("_runs"), "_r").select(
+        *by, *_AXES, "w", "_r.restart", F.col("_r.n").alias("_n")
+    )
 
 
 def fit_centres(
@@ -120,52 +133,64 @@ def fit_centres(
     that many centres.
     """
     by = list(by)
-    table = materialise(_centre_table(_seed(points, by, k, restarts, seed), by))
+    # the state has one row per group; its number does not change between passes
+    small = fits(points.select(*by).distinct())
+    state = _seed(points, by, k, restarts, seed, small)
     for _ in range(max_iter):
         sums = (
-            _assign(points, table, by)
+            _assign(points, state, by, restarts, small)
             .groupBy(*by, "restart", F.col("_n.c").alias("c"))
             .agg(
                 F.sum("w").alias("_w"),
-                *[F.sum(F.col("w") * F.col(a)).alias(f"_{a}") for a in _AXES],
+                *[F.sum(F.col("w") * F.col(a)).alias(a) for a in _AXES],
             )
         )
-        moved = sums.select(
-            *by, "restart", "c", *[(F.col(f"_{a}") / F.col("_w")).alias(a) for a in _AXES]
-        )
-        old = table.select(*by, "restart", F.explode("centres").alias("_o")).select(
-            *by, "restart", F.col("_o.c").alias("c"), *[F.col(f"_o.{a}").alias(f"_o{a}") for a in _AXES]
+        means = sums.select(
+            *by, "restart", "c", *[(F.col(a) / F.col("_w")).alias(a) for a in _AXES]
         )
-        # a centre that lost all its points stays where it was
-        both = old.join(moved, [*by, "restart", "c"], "left").select(
-            *by,
-            "restart",
-            "c",
-            *[F.coalesce(a, f"_o{a}").alias(a) for a in _AXES],
-            sum(
-                (F.pow(F.coalesce(a, f"_o{a}") - F.col(f"_o{a}"), 2) for a in _AXES[1:]),
-                F.pow(F.coalesce("x", "_ox") - F.col("_ox"), 2),
-            ).alias("_shift"),
-        )
-        step = materialise(
-            both.groupBy(*by, "restart").agg(
-                F.sort_array(F.collect_list(F.struct("c", *_AXES))).alias("centres"),
-                F.sum("_shift").alias("_shift"),
+
+        def moved(m: Column) -> Column:
+            same = F.filter(
+                F.col("_means"),
+                lambda n: (n["restart"] == m["restart"]) & (n["c"] == m["c"]),
             )
+            # a centre that lost all its points stays where it was
+            return F.coalesce(F.try_element_at(same, F.lit(1)), m)
+
+        shift = F.aggregate(
+            F.zip_with(
+                "centres",
+                "_old",
+                lambda a, b: sum(
+                    ((a[x] - b[x]) * (a[x] - b[x]) for x in _AXES[1:]),
+                    (a["x"] - b["x"]) * (a["x"] - b["x"]),
+                ),
+            ),
+            F.lit(0.0),
+            lambda total, d: total + d,
+        )
+        state = materialise(
+            state.join(_gather(means, by, "_means"), by)
+            .withColumnRenamed("centres", "_old")
+            .withColumn("centres", F.transform("_old", moved))
+            .select(*by, "centres", shift.alias("_shift"))
         )
-        table = step.drop("_shift")
-        if step.filter(F.col("_shift") > tol).isEmpty():
+        settled = state.filter(F.col("_shift") > tol).isEmpty()
+        state = state.drop("_shift")
+        if settled:
             break
     inertia = (
-        _assign(points, table, by)
+        _assign(points, state, by, restarts, small)
         .groupBy(*by, "restart")
         .agg(F.sum(F.col("w") * F.col("_n.d")).alias("inertia"))
     )
-    # restarts differ in the last digits only when they found the same partition
+    # restarts that differ in the last digits found the same partition
     best = inertia.groupBy(*by).agg(
-        F.min_by("restart", F.struct(F.round("inertia", 9), "restart")).alias("restart")
+        F.min_by("restart", F.struct(F.round("inertia", 9), "restart")).alias("_best")
+    )
+    return state.join(best, by).select(
+        *by, _of_restart(F.col("centres"), F.col("_best")).alias("centres")
     )
-    return table.join(best, [*by, "restart"]).select(*by, "centres")
 
 
 def cluster_engagement(

@@ -79,10 +79,11 @@ def engagement_thresholds(in_period: DataFrame, metric: str = "viewCount") -> Da
     """``high`` and ``low`` limits per period and entity.
 
     More than three videos: the exact 75 % and 25 % quantiles.  Up to three: the
-    minimum and one less, which makes every video high and none low.
+    minimum and one less, which makes every video high and none low.  The counts
+    are stored first because the ranking reads them twice.
     """
     q = grouped_quantiles(
-        metric_counts(in_period, metric),
+        materialise(metric_counts(in_period, metric)),
         ["period", "entity"],
         metric,
         {"q75": 0.75, "q25": 0.25},
@@ -126,8 +127,8 @@ def with_tiers(
     """
     if thresholds is None:
         narrow = in_period.select("period", "channelId", metric)
-        thresholds = engagement_thresholds(narrow, metric)
-    lookup = materialise(_threshold_lookup(thresholds))
+        thresholds = materialise(engagement_thresholds(narrow, metric))
+    lookup = _threshold_lookup(thresholds)
     joined = lookup_join(in_period, lookup, ["period", "channelId"], "inner")
     views = F.col(metric)
 

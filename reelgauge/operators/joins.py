@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgauge.functions import text as X
-from reelgauge.operators.scaling import hot_key_join, lookup_join
+from reelgauge.operators.scaling import hot_key_join, lookup_join, unnest
 
 
 def channel_names(rows: DataFrame, channels: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def replace_by_lemmas(
     Only the keys and tokens travel; the array is put together per document.
     """
     key = list(key)
-    exploded = rows.select(*key, F.posexplode(column).alias("_pos", "term"))
+    exploded = unnest(rows.select(*key, column), F.col(column), "term", "_pos").drop(column)
     found = lookup_join(exploded, lemmas, ["term"], "left")
     rebuilt = found.groupBy(*key).agg(
         F.sort_array(
@@ -114,9 +114,10 @@ def explode_stop_filtered(videos: DataFrame, stopwords: DataFrame) -> DataFrame:
 
     ``stopwords`` has columns ``lang`` and ``word``.
     """
-    tokens = videos.select(
+    texts = videos.select(
         "videoId",
         F.col("transcriptLanguage").alias("lang"),
-        F.posexplode(X.tokenize(F.col("videoTranscript"))).alias("pos", "word"),
+        X.tokenize(F.col("videoTranscript")).alias("_tokens"),
     )
+    tokens = unnest(texts, F.col("_tokens"), "word", "pos").drop("_tokens")
     return lookup_join(tokens, stopwords, ["lang", "word"], "left_anti")

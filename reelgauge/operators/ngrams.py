@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from reelgauge.functions import text as X
 from reelgauge.operators.engagement import with_tiers
+from reelgauge.operators.scaling import unnest
 
 TOP_BIGRAMS = 15
 
@@ -27,7 +28,7 @@ def with_tokens(
 def doc_term_counts(tokenised: DataFrame, by: Sequence[str] = ("videoId",)) -> DataFrame:
     """Occurrences of every term per document."""
     return (
-        tokenised.select(*by, F.explode("tokens").alias("term"))
+        unnest(tokenised.select(*by, "tokens"), F.col("tokens"), "term")
         .groupBy(*by, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -36,7 +37,7 @@ def doc_term_counts(tokenised: DataFrame, by: Sequence[str] = ("videoId",)) -> D
 def bigram_counts(tokenised: DataFrame, by: Sequence[str]) -> DataFrame:
     """Bigram frequency per group; adjacency closes over removed words."""
     return (
-        tokenised.select(*by, F.explode(X.bigrams(F.col("tokens"))).alias("bigram"))
+        unnest(tokenised.select(*by, "tokens"), X.bigrams(F.col("tokens")), "bigram")
         .groupBy(*by, "bigram")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
@@ -55,9 +56,9 @@ def raw_bigram_counts(
     such groups it yields nothing, and as a frequency of its own it is useful.
     """
     pairs = X.bigrams_without_stopwords(F.col("_tokens"), stopwords)
+    tokenised = videos.select(*by, X.tokenize(F.col(column)).alias("_tokens"))
     return (
-        videos.select(*by, X.tokenize(F.col(column)).alias("_tokens"))
-        .select(*by, F.explode(pairs).alias("bigram"))
+        unnest(tokenised, pairs, "bigram")
         .groupBy(*by, "bigram")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
@@ -98,20 +99,13 @@ def top_bigrams(
     tiered = with_tiers(in_period, metric)
     first_seen = ties == "first_seen"
     carried = ["order_key"] if first_seen else []
-    # tokenise before a video is repeated for its tiers
-    pairs = (
-        with_tokens(
-            tiered.select("period", "tiers", "videoTranscript", *carried), stopwords
-        )
-        .withColumn("_pairs", X.bigrams(F.col("tokens")))
-        .select("period", *carried, "_pairs", F.explode("tiers").alias("_t"))
-        .select(
-            "period",
-            F.col("_t.entity").alias("entity"),
-            F.col("_t.tier").alias("tier"),
-            *carried,
-            F.posexplode("_pairs").alias("_pos", "bigram"),
-        )
+    # tokenise and pair before a video is repeated for its tiers
+    tokenised = with_tokens(
+        tiered.select("period", "tiers", "videoTranscript", *carried), stopwords
+    )
+    in_texts = unnest(tokenised, X.bigrams(F.col("tokens")), "bigram", "_pos")
+    pairs = unnest(in_texts, F.col("tiers"), "_t").select(
+        "period", "_t.entity", "_t.tier", *carried, "_pos", "bigram"
     )
     frequency = F.count(F.lit(1)).alias("frequency")
     if not first_seen:

@@ -45,18 +45,20 @@ def hot_key_join(
     on: Sequence[str],
     how: str = "inner",
     splits: int = HOT_SPLITS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join that splits the hot keys of ``rows`` and nothing else.
 
     Rows of a hot key are dealt over ``splits`` parts, and only the matching rows
     of ``table`` are repeated in each part.  The list of hot keys has fewer than
     ``HOT_SHARE`` entries by construction, which is what allows broadcasting it.
-    ``how`` is one of inner, left, left_semi and left_anti.
+    ``how`` is one of inner, left, left_semi and left_anti.  ``hot`` hands in the
+    keys where they are known from an earlier pass.
     """
     on = list(on)
-    hot = F.broadcast(
-        hot_keys(rows.select(*on).dropna(), on).withColumn("_hot", F.lit(True))
-    )
+    if hot is None:
+        hot = hot_keys(rows.select(*on).dropna(), on)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     dealt = (
         rows.join(hot, on, "left")
         .withColumn(
@@ -92,9 +94,35 @@ def lookup_join(
     The size check runs a bounded count, so a table that is costly to compute
     should be materialised first.
     """
-    if fits(table, max_rows):
+    return sized_join(rows, table, on, how, small=fits(table, max_rows))
+
+
+def sized_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str,
+    small: bool,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """``lookup_join`` for a table whose size was checked before, as in a loop."""
+    if small:
         return rows.join(F.broadcast(table), list(on), how)
-    return hot_key_join(rows, table, on, how)
+    return hot_key_join(rows, table, on, how, hot=hot)
+
+
+def unnest(df: DataFrame, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per element of an array that is costly to compute.
+
+    A plain ``explode`` lets Catalyst infer the filter ``size(array) > 0``, which
+    moves down to the scan and evaluates the array's whole expression there once
+    more per reference.  The outer form does not, so empty rows are dropped here.
+    """
+    if position is None:
+        out = df.withColumn(name, F.explode_outer(array))
+    else:
+        out = df.select("*", F.posexplode_outer(array).alias(position, name))
+    return out.filter(F.col(name).isNotNull())
 
 
 # --- exact quantiles ----------------------------------------------------------

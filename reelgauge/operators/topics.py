@@ -20,7 +20,7 @@ from reelgauge.functions import text as X
 from reelgauge.operators.engagement import group_sizes, topic_count, with_entities
 from reelgauge.operators.ngrams import doc_term_counts, top_per_group, with_tokens
 from reelgauge.operators.picks import argmax_per_group
-from reelgauge.operators.scaling import lookup_join, materialise
+from reelgauge.operators.scaling import fits, hot_keys, materialise, sized_join
 from reelgauge.schemas import METRICS
 
 GROUP = ["period", "entity"]
@@ -42,15 +42,15 @@ class TopicModel:
     terms: DataFrame
 
 
-def digamma(x: Column) -> Column:
-    """Digamma of a positive number: recurrence to x + 6, then the asymptotic series."""
-    y = x + 6
-    inv = 1 / (y * y)
-    series = F.log(y) - 0.5 / y - inv * (
-        F.lit(1 / 12) - inv * (F.lit(1 / 120) - inv * F.lit(1 / 252))
+def digamma(column: str) -> Column:
+    """Digamma of a positive column: recurrence to x + 6, then the asymptotic series."""
+    shift = " + ".join(f"1 / ({column} + {i})" for i in range(6))
+    y = f"({column} + 6)"
+    inv = f"(1 / ({y} * {y}))"
+    series = (
+        f"ln({y}) - 0.5D / {y} - {inv} * (1 / 12.0D - {inv} * (1 / 120.0D - {inv} / 252.0D))"
     )
-    shift = sum((1 / (x + i) for i in range(1, 6)), 1 / x)
-    return series - shift
+    return F.expr(f"{series} - ({shift})")
 
 
 def _active(i: int) -> Column:
@@ -67,64 +67,47 @@ def _start_shares(seed: int) -> list[Column]:
     ]
 
 
-def _normalised(weights: Sequence[Column]) -> list[Column]:
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
-
-
-def _weighted_terms(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """First term table: each document's counts dealt by its starting shares."""
-    joined = edges.join(docs.select(*GROUP, "videoId", "k", *_P), [*GROUP, "videoId"])
-    return joined.groupBy(*GROUP, "term", "k").agg(
-        *[F.sum(F.col("n") * F.col(p)).alias(p) for p in _P]
-    )
-
-
-def _term_expectations(sums: DataFrame) -> DataFrame:
+def _term_expectations(sums: DataFrame, small: bool) -> DataFrame:
     """exp(E[log weight]) of every term and topic, from the expected counts."""
     with_prior = sums.select(
-        *GROUP, "term", "k", *[(F.col(p) + 1 / F.col("k")).alias(p) for p in _P]
+        *GROUP, "term", *[(F.col(p) + 1 / F.col("k")).alias(p) for p in _P]
     )
     totals = with_prior.groupBy(*GROUP).agg(*[F.sum(p).alias(f"_t{p}") for p in _P])
-    # fewer rows than there are groups
-    joined = lookup_join(with_prior, materialise(totals), GROUP, "inner")
+    joined = sized_join(with_prior, totals, GROUP, "inner", small)
     return joined.select(
         *GROUP,
         "term",
-        *[
-            F.when(
-                F.col(p).isNotNull(),
-                F.exp(digamma(F.col(p)) - digamma(F.col(f"_t{p}"))),
-            ).alias(f"_b{p}")
-            for p in _P
-        ],
+        *[F.exp(digamma(p) - digamma(f"_t{p}")).alias(f"_b{p}") for p in _P],
     )
 
 
-def _pass(edges: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Edges with the topic shares of their term occurrences, times the counts."""
-    share = docs.select(
-        *GROUP,
-        "videoId",
-        "k",
-        *[
-            # the document's own normaliser cancels out
-            F.when(F.col(p).isNotNull(), F.exp(digamma(F.col(p)))).alias(f"_d{p}")
-            for p in _P
-        ],
-    )
-    at_doc = edges.join(share, [*GROUP, "videoId"])
-    at_term = lookup_join(at_doc, terms, [*GROUP, "term"], "inner")
+def _deal(at_term: DataFrame) -> DataFrame:
+    """Expected counts of every document and of every term after one pass.
+
+    An edge's occurrences are shared among the topics; both sums come from one
+    exchange, in which each edge goes to its document and to its term.
+    """
     raw = [F.coalesce(F.col(f"_d{p}") * F.col(f"_b{p}"), F.lit(0.0)) for p in _P]
-    phi = _normalised(raw)
-    return at_term.select(
+    shares = at_term.select(
+        *GROUP, "videoId", "term", "k", "n", *[r.alias(p) for r, p in zip(raw, _P)]
+    )
+    total = sum((F.col(p) for p in _P[1:]), F.col(_P[0]))
+    dealt = shares.select(
         *GROUP,
-        "videoId",
-        "term",
         "k",
         *[
-            F.when(_active(i), F.col("n") * phi[i]).alias(p) for i, p in enumerate(_P)
+            F.when(_active(i), F.col("n") * F.col(p) / total).alias(p)
+            for i, p in enumerate(_P)
         ],
+        F.explode(
+            F.array(
+                F.struct(F.lit(True).alias("is_term"), F.col("term").alias("key")),
+                F.struct(F.lit(False).alias("is_term"), F.col("videoId").alias("key")),
+            )
+        ).alias("_to"),
+    )
+    return dealt.groupBy(*GROUP, "k", "_to.is_term", "_to.key").agg(
+        *[F.sum(p).alias(p) for p in _P]
     )
 
 
@@ -133,63 +116,59 @@ def fit_topics(
     stopwords: Iterable[str],
     max_iter: int = 10,
     seed: int = 42,
-    tokenised: bool = False,
 ) -> TopicModel:
     """Topics of every (period, entity), priors 1/k, k from the group's size.
 
     A document without tokens keeps equal shares.  A group in which no document
     has a token has no vocabulary and is left out.
     """
-    narrow = in_period.select("period", "channelId", "videoId")
-    sizes = group_sizes(narrow)
-    groups = materialise(sizes.withColumn("k", topic_count(F.col("n"))))
-    text_rows = in_period if tokenised else with_tokens(in_period, stopwords)
-    counts = doc_term_counts(text_rows, ["period", "channelId", "videoId"])
+    key = ["period", "channelId", "videoId"]
+    narrow = in_period.select(*key)
+    counts = doc_term_counts(
+        with_tokens(in_period.select(*key, "videoTranscript"), stopwords), key
+    )
     edges = materialise(with_entities(counts).drop("channelId"))
-    members = with_entities(narrow).select(*GROUP, "videoId")
-    docs = lookup_join(members, groups.select(*GROUP, "k"), GROUP, "inner")
-    start = materialise(docs.select("*", *_start_shares(seed)))
-    members = start.select(*GROUP, "videoId", "k")
-
-    sums = materialise(_weighted_terms(edges, start))
-    # counts a document starts with: its length dealt by the starting shares
+    groups = materialise(
+        group_sizes(narrow).select(*GROUP, topic_count(F.col("n")).alias("k"))
+    )
+    # sizes that no pass changes are checked once: groups, terms, frequent terms
+    few_groups = fits(groups)
+    members = sized_join(
+        with_entities(narrow).select(*GROUP, "videoId"), groups, GROUP, "inner", few_groups
+    )
     lengths = edges.groupBy(*GROUP, "videoId").agg(F.sum("n").alias("_len"))
-    state = materialise(
-        start.join(lengths, [*GROUP, "videoId"], "left").select(
-            *GROUP,
-            "videoId",
-            "k",
-            *[
-                (F.col(p) * F.coalesce("_len", F.lit(0)) + 1 / F.col("k")).alias(p)
-                for p in _P
-            ],
+    start = materialise(
+        members.join(lengths, [*GROUP, "videoId"], "left").select(
+            *GROUP, "videoId", "k", "_len", *_start_shares(seed)
         )
     )
+    members = start.select(*GROUP, "videoId", "k")
+    sums = materialise(
+        edges.join(start.drop("_len"), [*GROUP, "videoId"])
+        .groupBy(*GROUP, "term", "k")
+        .agg(*[F.sum(F.col("n") * F.col(p)).alias(p) for p in _P])
+    )
+    few_terms = fits(sums)
+    term_key = [*GROUP, "term"]
+    hot = None if few_terms else materialise(hot_keys(edges.select(*term_key), term_key))
+
+    state = start.select(
+        *GROUP,
+        "videoId",
+        "k",
+        *[(F.col(p) * F.coalesce("_len", F.lit(0)) + 1 / F.col("k")).alias(p) for p in _P],
+    )
     for _ in range(max_iter):
-        terms = materialise(_term_expectations(sums))
-        shares = _pass(edges, state, terms)
-        # both sums of a pass from one set of rows: each edge is sent once to its
-        # document and once to its term, after partial sums
-        dealt = shares.select(
-            *GROUP,
-            "k",
-            *_P,
-            F.explode(
-                F.array(
-                    F.struct(F.lit("d").alias("kind"), F.col("videoId").alias("key")),
-                    F.struct(F.lit("t").alias("kind"), F.col("term").alias("key")),
-                )
-            ).alias("_to"),
-        )
-        both = materialise(
-            dealt.groupBy(*GROUP, "k", "_to.kind", "_to.key").agg(
-                *[F.sum(p).alias(p) for p in _P]
-            )
-        )
-        sums = both.filter(F.col("kind") == "t").select(
-            *GROUP, F.col("key").alias("term"), "k", *_P
+        # the document's own normaliser cancels out of the shares
+        documents = state.select(
+            *GROUP, "videoId", "k", *[F.exp(digamma(p)).alias(f"_d{p}") for p in _P]
         )
-        gained = both.filter(F.col("kind") == "d").select(
+        at_doc = edges.join(documents, [*GROUP, "videoId"])
+        terms = _term_expectations(sums, few_groups)
+        at_term = sized_join(at_doc, terms, term_key, "inner", few_terms, hot)
+        both = materialise(_deal(at_term))
+        sums = both.filter("is_term").select(*GROUP, F.col("key").alias("term"), "k", *_P)
+        gained = both.filter(~F.col("is_term")).select(
             *GROUP, F.col("key").alias("videoId"), *[F.col(p).alias(f"_n{p}") for p in _P]
         )
         state = members.join(gained, [*GROUP, "videoId"], "left").select(
@@ -203,18 +182,16 @@ def fit_topics(
                 for i, p in enumerate(_P)
             ],
         )
-    filled = materialise(sums.select(*GROUP).distinct())
     total = sum((F.coalesce(p, F.lit(0.0)) for p in _P[1:]), F.col(_P[0]))
-    documents = lookup_join(state, filled, GROUP, "left_semi").select(
+    filled = sums.select(*GROUP).distinct()
+    documents = sized_join(state, filled, GROUP, "left_semi", few_groups).select(
         *GROUP, "videoId", "k", *[(F.col(p) / total).alias(p) for p in _P]
     )
     weights = sums.select(
         *GROUP,
         "term",
-        F.posexplode(
-            F.slice(F.array(*_P), F.lit(1), F.col("k"))
-        ).alias("topic", "_sum"),
         "k",
+        F.posexplode(F.slice(F.array(*_P), F.lit(1), F.col("k"))).alias("topic", "_sum"),
     ).select(*GROUP, "term", "topic", (F.col("_sum") + 1 / F.col("k")).alias("weight"))
     return TopicModel(materialise(documents), materialise(weights))
 
