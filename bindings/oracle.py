@@ -300,6 +300,12 @@ _TIMED_COLUMNS = f""" "channelId", "videoTitle", {_stamp('v."publishedAt"')}, "t
   "viewCount", "likeCount", "commentCount" """
 
 
+def _stream(marked: str) -> str:
+    return f"""select "videoId", case when {marked} then '2 ' || "videoTitle" else "videoTitle" end as "videoTitle",
+      "viewCount", case when doc_id % 10 <> 0 then "commentCount" else 0 end as "commentCount",
+      {_stamp('"publishedAt"')} from v_videos"""
+
+
 def statements() -> dict[str, str]:
     text = '"videoTranscript"'
     bodies = {
@@ -519,5 +525,15 @@ def statements() -> dict[str, str]:
         "transcript_available": """select "videoId", not (contains(m, 'video is no longer available')
           or contains(m, 'video unavailable') or contains(m, 'age-restricted') or contains(m, 'age restricted')) as available
           from (select "videoId", lower(message) as m from v_errors)""",
+        "scan_channels_csv": """select name, url, nullif(id, '') as id, "numberOfVideos", "numberOfSubscribers", "dataCollected"
+          from v_channel_list""",
+        "scan_analysis_csv": f"""select "videoId", "channelId", "videoTitle", "videoTranscript", {_stamp('"publishedAt"')},
+          "transcriptLanguage", "viewCount", "likeCount", "commentCount" from v_timed""",
+        "sink_csv_roundtrip": f"""select "videoId", "channelId", "videoTitle", "videoTranscript", {_stamp('"publishedAt"')},
+          "transcriptLanguage", "viewCount", "likeCount", "commentCount" from v_videos""",
+        "sink_tsv_roundtrip": """select "viewCount", "likeCount", translate(period, ' /', '_-') as period,
+          translate(entity, ' /', '_-') as entity, tier from v_tiers""",
+        "stream_upsert_videos": _stream("doc_id % 3 = 0"),
+        "stream_new_videos": _stream("doc_id % 2 = 1"),
     }
     return {name: sql(body) for name, body in bodies.items()}

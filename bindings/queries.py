@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +21,15 @@ from reelgauge.operators import joins as J
 from reelgauge.operators import ngrams as N
 from reelgauge.operators import picks as P
 from reelgauge.operators import quality as Q
+from reelgauge.operators import topics as TO
 from reelgauge.operators import upsert as U
+from reelgauge.operators.clusters import cluster_engagement
 from reelgauge.operators.scaling import unnest
 from reelgauge.plans import export
+from reelgauge.session import shared_dir
+from reelgauge.sources import files, landed
 from reelgauge.sources import records as R
+from reelgauge.streaming import ingest
 
 QUERIES = {}
 
@@ -610,3 +616,131 @@ def transcript_available(spark, sf):
     return V.errors(spark, sf).select(
         "videoId", status.may_have_transcript(F.col("message")).alias("available")
     )
+
+
+# --- files ------------------------------------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def scan_channels_csv(spark, sf):
+    rows, path = V.channel_list(spark, sf), _folder(spark, "channels")
+    files.write_csv(rows, path)
+    return shown(files.read_channel_list(spark, path))
+
+
+@query
+def scan_analysis_csv(spark, sf):
+    path = _folder(spark, "analysis")
+    files.write_csv(FI.analysis_columns(V.timed_videos(spark, sf)), path)
+    return shown(FI.coerce_types(files.read_analysis_file(spark, path)))
+
+
+@query
+def sink_csv_roundtrip(spark, sf):
+    """Two appended parts are read back as one file."""
+    path = _folder(spark, "appended")
+    videos = FI.analysis_columns(V.videos(spark, sf))
+    early = F.col("publishedAt") < F.lit("2022-12-15").cast("timestamp")
+    files.write_csv(videos.filter(early), path)
+    files.write_csv(videos.filter(~early), path, mode="append")
+    return shown(FI.coerce_types(files.read_analysis_file(spark, path)))
+
+
+@query
+def sink_tsv_roundtrip(spark, sf):
+    path = _folder(spark, "results")
+    narrow = in_period(spark, sf).select("period", "channelId", "viewCount", "likeCount")
+    files.write_results(E.explode_tiers(E.with_tiers(narrow)).drop("channelId"), path)
+    schema = "viewCount long, likeCount long, period string, entity string, tier string"
+    return files.read_results(spark, path, T._parse_datatype_string(schema))
+
+
+# --- learning ---------------------------------------------------------------------
+
+_MODELS: dict[tuple[str, str], TO.TopicModel] = {}
+
+
+def topic_model(spark: SparkSession, sf: str) -> TO.TopicModel:
+    """The stored model of these tables, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = TO.fit_topics(in_period(spark, sf), stop())
+    return _MODELS[key]
+
+
+@query
+def lda_topic_terms(spark, sf):
+    return TO.topic_terms(topic_model(spark, sf))
+
+
+@query
+def lda_topic_labels(spark, sf):
+    return TO.topic_labels(topic_model(spark, sf))
+
+
+@query
+def lda_dominant_topic(spark, sf):
+    return TO.dominant_topics(topic_model(spark, sf))
+
+
+@query
+def lda_representative_doc(spark, sf):
+    return TO.representative_documents(topic_model(spark, sf), V.videos(spark, sf))
+
+
+@query
+def lda_topic_engagement(spark, sf):
+    return TO.topic_engagement(topic_model(spark, sf), V.videos(spark, sf), examples=True)
+
+
+@query
+def kmeans_engagement(spark, sf):
+    rows = in_period(spark, sf).select("period", "channelId", "videoId", *schemas.METRICS)
+    return cluster_engagement(rows)
+
+
+# --- streaming --------------------------------------------------------------------
+
+def _land(records: DataFrame, folder: str, offset: int, mark: str = "") -> None:
+    """Land API records; ``mark`` goes in front of every title."""
+    titled = F.replace(
+        F.col("payload"), F.lit('"title":"'), F.lit(f'"title":"{mark}')
+    )
+    rows = records.select((F.col("doc_id") + offset).alias("seq"), titled.alias("payload"))
+    rows.write.mode("append").json(folder)
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    return shown(
+        landed.read_table(spark, root, "videos").select(
+            "videoId", "videoTitle", "viewCount", "commentCount", "publishedAt"
+        )
+    )
+
+
+@query
+def stream_upsert_videos(spark, sf):
+    """All records arrive, then a third of them again with another title."""
+    root = _folder(spark, "stream")
+    records, folder = V.api_videos(spark, sf), f"{root}/landed"
+    _land(records, folder, 0)
+    ingest.upsert_stream(ingest.read_landed(spark, folder, 4), root, V.COLLECTED).awaitTermination()
+    _land(records.filter("doc_id % 3 = 0"), folder, 0, "2 ")
+    ingest.upsert_stream(ingest.read_landed(spark, folder, 4), root, V.COLLECTED).awaitTermination()
+    return _stored(spark, root)
+
+
+@query
+def stream_new_videos(spark, sf):
+    """Even records arrive first; then all do, and only the odd ones are new."""
+    root = _folder(spark, "stream")
+    records, folder = V.api_videos(spark, sf), f"{root}/landed"
+    _land(records.filter("doc_id % 2 = 0"), folder, 0)
+    ingest.new_video_stream(ingest.read_landed(spark, folder), root, V.COLLECTED).awaitTermination()
+    landed.compact(spark, root)
+    _land(records, folder, 0, "2 ")
+    ingest.new_video_stream(ingest.read_landed(spark, folder), root, V.COLLECTED).awaitTermination()
+    return _stored(spark, root)

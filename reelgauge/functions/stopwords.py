@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import zipfile
 from collections.abc import Iterable
 
+from pyspark.find_spark_home import _find_spark_home
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +36,21 @@ LANGUAGES = {
 }
 
 
+def _without_session(language: str) -> list[str]:
+    """The same list read from the installed Spark, for use before a session exists."""
+    jars = os.path.join(_find_spark_home(), "jars", "spark-mllib_*.jar")
+    with zipfile.ZipFile(sorted(glob.glob(jars))[-1]) as jar:
+        entry = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
+        return jar.read(entry).decode("utf-8").splitlines()
+
+
 def language_list(lang: str) -> list[str]:
     """Spark's default list of a language given by its two-letter code."""
-    return sorted(set(StopWordsRemover.loadDefaultStopWords(LANGUAGES[lang])))
+    if SparkSession.getActiveSession() is None:
+        words = _without_session(LANGUAGES[lang])
+    else:
+        words = StopWordsRemover.loadDefaultStopWords(LANGUAGES[lang])
+    return sorted(set(words))
 
 
 def stopword_set(

@@ -14,6 +14,8 @@ from reelgauge.functions.text import safe_name
 from reelgauge.operators.filters import analysis_columns, ensure_columns
 
 _QUOTED = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+# the writer trims cells unless told not to
+_AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -80,7 +82,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """
     times = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
     text = df.withColumns({c: clock.stamp(F.col(c)) for c in times}) if times else df
-    text.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
+    writer = text.write.mode(mode).options(**_AS_IS)
+    writer.options(header=True, quote='"', escape='"').csv(path)
 
 
 def write_results(
@@ -95,7 +98,7 @@ def write_results(
     """
     safe = df.withColumns({c: safe_name(F.col(c)) for c in by})
     writer = safe.write.mode(mode).partitionBy(*by)
-    writer.options(header=True, sep="\t").csv(path)
+    writer.options(header=True, sep="\t", **_AS_IS).csv(path)
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
