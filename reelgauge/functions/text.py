@@ -74,7 +74,7 @@ def clean_export(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Whitespace-separated words, without empty ones."""
-    return F.filter(F.split(collapse_space(c), " "), lambda w: w != "")
+    return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 
 
 def _in(c: Column, stopwords: Iterable[str]) -> Column:

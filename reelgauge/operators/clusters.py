@@ -33,16 +33,26 @@ def _uniform(*parts: Column) -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
-def _distance(centre: Column) -> Column:
-    d = [F.col(a) - centre[a] for a in _AXES]
+def _squared_distance(a: Column, b: Column) -> Column:
+    d = [a[x] - b[x] for x in _AXES]
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
+def _moved(m: Column) -> Column:
+    """Mean of the points of centre ``m``; a centre that lost all of them stays."""
+    same = F.filter(
+        F.col("_means"), lambda n: (n["restart"] == m["restart"]) & (n["c"] == m["c"])
+    )
+    return F.coalesce(F.try_element_at(same, F.lit(1)), m)
+
+
 def _nearest(centres: Column) -> Column:
     """Struct (d, c) of the centre closest to the row; the lowest number on ties."""
+    point = {a: F.col(a) for a in _AXES}
     return F.array_min(
         F.transform(
-            centres, lambda m: F.struct(_distance(m).alias("d"), m["c"].alias("c"))
+            centres,
+            lambda m: F.struct(_squared_distance(point, m).alias("d"), m["c"].alias("c")),
         )
     )
 
@@ -136,45 +146,23 @@ def fit_centres(
     # the state has one row per group; its number does not change between passes
     small = fits(points.select(*by).distinct())
     state = _seed(points, by, k, restarts, seed, small)
+    means = [(F.col(a) / F.col("_w")).alias(a) for a in _AXES]
+    weighted = [F.sum(F.col("w") * F.col(a)).alias(a) for a in _AXES]
+    centres = F.transform("_old", _moved).alias("centres")
+    shift = F.aggregate(
+        F.zip_with(F.transform("_old", _moved), "_old", _squared_distance),
+        F.lit(0.0),
+        lambda total, d: total + d,
+    ).alias("_shift")
     for _ in range(max_iter):
         sums = (
             _assign(points, state, by, restarts, small)
             .groupBy(*by, "restart", F.col("_n.c").alias("c"))
-            .agg(
-                F.sum("w").alias("_w"),
-                *[F.sum(F.col("w") * F.col(a)).alias(a) for a in _AXES],
-            )
-        )
-        means = sums.select(
-            *by, "restart", "c", *[(F.col(a) / F.col("_w")).alias(a) for a in _AXES]
-        )
-
-        def moved(m: Column) -> Column:
-            same = F.filter(
-                F.col("_means"),
-                lambda n: (n["restart"] == m["restart"]) & (n["c"] == m["c"]),
-            )
-            # a centre that lost all its points stays where it was
-            return F.coalesce(F.try_element_at(same, F.lit(1)), m)
-
-        shift = F.aggregate(
-            F.zip_with(
-                "centres",
-                "_old",
-                lambda a, b: sum(
-                    ((a[x] - b[x]) * (a[x] - b[x]) for x in _AXES[1:]),
-                    (a["x"] - b["x"]) * (a["x"] - b["x"]),
-                ),
-            ),
-            F.lit(0.0),
-            lambda total, d: total + d,
-        )
-        state = materialise(
-            state.join(_gather(means, by, "_means"), by)
-            .withColumnRenamed("centres", "_old")
-            .withColumn("centres", F.transform("_old", moved))
-            .select(*by, "centres", shift.alias("_shift"))
+            .agg(F.sum("w").alias("_w"), *weighted)
         )
+        gathered = _gather(sums.select(*by, "restart", "c", *means), by, "_means")
+        old = state.withColumnRenamed("centres", "_old")
+        state = materialise(old.join(gathered, by).select(*by, centres, shift))
         settled = state.filter(F.col("_shift") > tol).isEmpty()
         state = state.drop("_shift")
         if settled:

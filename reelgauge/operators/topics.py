@@ -43,14 +43,20 @@ class TopicModel:
 
 
 def digamma(column: str) -> Column:
-    """Digamma of a positive column: recurrence to x + 6, then the asymptotic series."""
-    shift = " + ".join(f"1 / ({column} + {i})" for i in range(6))
-    y = f"({column} + 6)"
-    inv = f"(1 / ({y} * {y}))"
-    series = (
-        f"ln({y}) - 0.5D / {y} - {inv} * (1 / 12.0D - {inv} * (1 / 120.0D - {inv} / 252.0D))"
+    """Digamma of a column of values from 0.2 up, good to seven digits.
+
+    The recurrence leads to x + 3, where the asymptotic series takes over.  The
+    three reciprocals of the recurrence share one division: a longer expression
+    makes the generated method too large for the JVM to compile.
+    """
+    x = column
+    shift = f"(3 * {x} * {x} + 6 * {x} + 2) / ({x} * ({x} + 1) * ({x} + 2))"
+    r = f"(1 / ({x} + 3))"
+    square = f"{r} * {r}"
+    tail = (
+        f"{1 / 12!r}D - {square} * ({1 / 120!r}D - {square} * ({1 / 252!r}D - {square} / 240))"
     )
-    return F.expr(f"{series} - ({shift})")
+    return F.expr(f"ln({x} + 3) - {r} * (0.5D + {r} * ({tail})) - {shift}")
 
 
 def _active(i: int) -> Column:
@@ -67,20 +73,6 @@ def _start_shares(seed: int) -> list[Column]:
     ]
 
 
-def _term_expectations(sums: DataFrame, small: bool) -> DataFrame:
-    """exp(E[log weight]) of every term and topic, from the expected counts."""
-    with_prior = sums.select(
-        *GROUP, "term", *[(F.col(p) + 1 / F.col("k")).alias(p) for p in _P]
-    )
-    totals = with_prior.groupBy(*GROUP).agg(*[F.sum(p).alias(f"_t{p}") for p in _P])
-    joined = sized_join(with_prior, totals, GROUP, "inner", small)
-    return joined.select(
-        *GROUP,
-        "term",
-        *[F.exp(digamma(p) - digamma(f"_t{p}")).alias(f"_b{p}") for p in _P],
-    )
-
-
 def _deal(at_term: DataFrame) -> DataFrame:
     """Expected counts of every document and of every term after one pass.
 
@@ -89,11 +81,11 @@ def _deal(at_term: DataFrame) -> DataFrame:
     """
     raw = [F.coalesce(F.col(f"_d{p}") * F.col(f"_b{p}"), F.lit(0.0)) for p in _P]
     shares = at_term.select(
-        *GROUP, "videoId", "term", "k", "n", *[r.alias(p) for r, p in zip(raw, _P)]
+        "g", "videoId", "term", "k", "n", *[r.alias(p) for r, p in zip(raw, _P)]
     )
     total = sum((F.col(p) for p in _P[1:]), F.col(_P[0]))
     dealt = shares.select(
-        *GROUP,
+        "g",
         "k",
         *[
             F.when(_active(i), F.col("n") * F.col(p) / total).alias(p)
@@ -106,7 +98,7 @@ def _deal(at_term: DataFrame) -> DataFrame:
             )
         ).alias("_to"),
     )
-    return dealt.groupBy(*GROUP, "k", "_to.is_term", "_to.key").agg(
+    return dealt.groupBy("g", "k", "_to.is_term", "_to.key").agg(
         *[F.sum(p).alias(p) for p in _P]
     )
 
@@ -124,75 +116,111 @@ def fit_topics(
     """
     key = ["period", "channelId", "videoId"]
     narrow = in_period.select(*key)
-    counts = doc_term_counts(
-        with_tokens(in_period.select(*key, "videoTranscript"), stopwords), key
-    )
-    edges = materialise(with_entities(counts).drop("channelId"))
+    # groups get a number, which is shorter to send and compare than their names
     groups = materialise(
-        group_sizes(narrow).select(*GROUP, topic_count(F.col("n")).alias("k"))
+        group_sizes(narrow).select(
+            *GROUP,
+            topic_count(F.col("n")).alias("k"),
+            F.monotonically_increasing_id().alias("g"),
+        )
     )
-    # sizes that no pass changes are checked once: groups, terms, frequent terms
+    # sizes that no pass changes are checked once: groups, documents, terms
     few_groups = fits(groups)
-    members = sized_join(
-        with_entities(narrow).select(*GROUP, "videoId"), groups, GROUP, "inner", few_groups
+    counts = doc_term_counts(
+        with_tokens(in_period.select(*key, "videoTranscript"), stopwords), key
     )
-    lengths = edges.groupBy(*GROUP, "videoId").agg(F.sum("n").alias("_len"))
+    edges = materialise(
+        sized_join(
+            with_entities(counts).drop("channelId"),
+            groups.select(*GROUP, "g"),
+            GROUP,
+            "inner",
+            few_groups,
+        ).drop(*GROUP)
+    )
+    lengths = edges.groupBy("g", "videoId").agg(F.sum("n").alias("_len"))
     start = materialise(
-        members.join(lengths, [*GROUP, "videoId"], "left").select(
-            *GROUP, "videoId", "k", "_len", *_start_shares(seed)
+        sized_join(
+            with_entities(narrow).select(*GROUP, "videoId"),
+            groups,
+            GROUP,
+            "inner",
+            few_groups,
         )
+        .join(lengths, ["g", "videoId"], "left")
+        .select("g", "videoId", "k", "_len", *_start_shares(seed))
     )
-    members = start.select(*GROUP, "videoId", "k")
+    members = start.select("g", "videoId", "k")
+    few_documents = fits(members)
+
+    def meet_documents(documents: DataFrame) -> DataFrame:
+        # a document's terms are few: no hot key beyond the checked size
+        if few_documents:
+            documents = F.broadcast(documents)
+        return edges.join(documents, ["g", "videoId"])
+
     sums = materialise(
-        edges.join(start.drop("_len"), [*GROUP, "videoId"])
-        .groupBy(*GROUP, "term", "k")
+        meet_documents(start.drop("_len"))
+        .groupBy("g", "term", "k")
         .agg(*[F.sum(F.col("n") * F.col(p)).alias(p) for p in _P])
     )
     few_terms = fits(sums)
-    term_key = [*GROUP, "term"]
-    hot = None if few_terms else materialise(hot_keys(edges.select(*term_key), term_key))
+    hot = None
+    if not few_terms:
+        hot = materialise(hot_keys(edges.select("g", "term"), ["g", "term"]))
 
     state = start.select(
-        *GROUP,
+        "g",
         "videoId",
         "k",
         *[(F.col(p) * F.coalesce("_len", F.lit(0)) + 1 / F.col("k")).alias(p) for p in _P],
     )
+    # the document's own normaliser cancels out of the shares
+    of_document = [F.exp(digamma(p)).alias(f"_d{p}") for p in _P]
+    prior = [(F.col(p) + 1 / F.col("k")).alias(p) for p in _P]
+    of_term = [F.exp(digamma(p) - F.col(f"_t{p}")).alias(f"_b{p}") for p in _P]
+    sum_up = [F.sum(p).alias(p) for p in _P]
+    totals = [digamma(p).alias(f"_t{p}") for p in _P]
+    gained = [F.col(p).alias(f"_n{p}") for p in _P]
+    renewed = [
+        F.when(_active(i), F.coalesce(f"_n{p}", F.lit(0.0)) + 1 / F.col("k")).alias(p)
+        for i, p in enumerate(_P)
+    ]
     for _ in range(max_iter):
-        # the document's own normaliser cancels out of the shares
-        documents = state.select(
-            *GROUP, "videoId", "k", *[F.exp(digamma(p)).alias(f"_d{p}") for p in _P]
-        )
-        at_doc = edges.join(documents, [*GROUP, "videoId"])
-        terms = _term_expectations(sums, few_groups)
-        at_term = sized_join(at_doc, terms, term_key, "inner", few_terms, hot)
+        at_doc = meet_documents(state.select("g", "videoId", "k", *of_document))
+        weights = sums.select("g", "term", *prior)
+        terms = sized_join(
+            weights,
+            weights.groupBy("g").agg(*sum_up).select("g", *totals),
+            ["g"],
+            "inner",
+            few_groups,
+        ).select("g", "term", *of_term)
+        at_term = sized_join(at_doc, terms, ["g", "term"], "inner", few_terms, hot)
         both = materialise(_deal(at_term))
-        sums = both.filter("is_term").select(*GROUP, F.col("key").alias("term"), "k", *_P)
-        gained = both.filter(~F.col("is_term")).select(
-            *GROUP, F.col("key").alias("videoId"), *[F.col(p).alias(f"_n{p}") for p in _P]
+        sums = both.filter("is_term").select("g", F.col("key").alias("term"), "k", *_P)
+        news = both.filter("not is_term").select(
+            "g", F.col("key").alias("videoId"), *gained
         )
-        state = members.join(gained, [*GROUP, "videoId"], "left").select(
-            *GROUP,
-            "videoId",
-            "k",
-            *[
-                F.when(
-                    _active(i), F.coalesce(f"_n{p}", F.lit(0.0)) + 1 / F.col("k")
-                ).alias(p)
-                for i, p in enumerate(_P)
-            ],
+        state = members.join(news, ["g", "videoId"], "left").select(
+            "g", "videoId", "k", *renewed
         )
     total = sum((F.coalesce(p, F.lit(0.0)) for p in _P[1:]), F.col(_P[0]))
-    filled = sums.select(*GROUP).distinct()
-    documents = sized_join(state, filled, GROUP, "left_semi", few_groups).select(
+    filled = sums.select("g").distinct()
+    names = groups.select("g", *GROUP)
+    kept = sized_join(state, filled, ["g"], "left_semi", few_groups)
+    documents = sized_join(kept, names, ["g"], "inner", few_groups).select(
         *GROUP, "videoId", "k", *[(F.col(p) / total).alias(p) for p in _P]
     )
-    weights = sums.select(
-        *GROUP,
+    by_topic = sums.select(
+        "g",
         "term",
         "k",
         F.posexplode(F.slice(F.array(*_P), F.lit(1), F.col("k"))).alias("topic", "_sum"),
-    ).select(*GROUP, "term", "topic", (F.col("_sum") + 1 / F.col("k")).alias("weight"))
+    )
+    weights = sized_join(by_topic, names, ["g"], "inner", few_groups).select(
+        *GROUP, "term", "topic", (F.col("_sum") + 1 / F.col("k")).alias("weight")
+    )
     return TopicModel(materialise(documents), materialise(weights))
 
 
