@@ -24,7 +24,7 @@ from reelgauge.operators import quality as Q
 from reelgauge.operators import topics as TO
 from reelgauge.operators import upsert as U
 from reelgauge.operators.clusters import cluster_engagement
-from reelgauge.operators.scaling import unnest
+from reelgauge.operators.scaling import materialise, unnest
 from reelgauge.plans import export
 from reelgauge.session import shared_dir
 from reelgauge.sources import files, landed
@@ -352,9 +352,8 @@ def videos_with_transcript(spark, sf):
 def lemma_lookup(spark, sf):
     """Plural-like words of the corpus map to their stem."""
     videos = V.videos(spark, sf)
-    counts = N.doc_term_counts(
-        videos.select("videoId", X.tokenize(F.col("videoTranscript")).alias("tokens"))
-    )
+    tokens = X.tokenize(F.col("videoTranscript")).alias("tokens")
+    counts = materialise(N.doc_term_counts(videos.select("videoId", tokens)))
     lemmas = (
         counts.filter(F.col("term").rlike("^[a-z]{4,}s$"))
         .select("term", F.expr("left(term, length(term) - 1)").alias("lemma"))

@@ -20,14 +20,14 @@ def channel_names(rows: DataFrame, channels: DataFrame) -> DataFrame:
 
 def new_videos(listed: DataFrame, stored: DataFrame) -> DataFrame:
     """Listed rows whose video is not stored; repeats in the list are kept."""
-    return hot_key_join(listed, stored.select("videoId"), ["videoId"], "left_anti")
+    known = stored.select("videoId").distinct()
+    return hot_key_join(listed, known, ["videoId"], "left_anti")
 
 
 def stored_videos(listed: DataFrame, stored: DataFrame) -> DataFrame:
     """Listed rows whose video is stored already."""
-    return hot_key_join(
-        listed, stored.select("videoId").distinct(), ["videoId"], "left_semi"
-    )
+    known = stored.select("videoId").distinct()
+    return hot_key_join(listed, known, ["videoId"], "left_semi")
 
 
 def known_ids(stored: DataFrame, added: DataFrame) -> DataFrame:

@@ -15,8 +15,6 @@ from reelgauge.session import shared_dir
 BROADCAST_ROWS = 200_000
 #: A key is hot when it holds more than this share of the rows (so < 200 keys are).
 HOT_SHARE = 200
-#: Number of parts a hot key is split into.
-HOT_SPLITS = 64
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -44,42 +42,27 @@ def hot_key_join(
     table: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    splits: int = HOT_SPLITS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join that splits the hot keys of ``rows`` and nothing else.
+    """Join to a large table with unique keys; rows of hot keys are not shuffled.
 
-    Rows of a hot key are dealt over ``splits`` parts, and only the matching rows
-    of ``table`` are repeated in each part.  The list of hot keys has fewer than
-    ``HOT_SHARE`` entries by construction, which is what allows broadcasting it.
+    There are fewer than ``HOT_SHARE`` hot keys by construction, so at most as
+    many rows of ``table`` belong to them: those are broadcast and meet their rows
+    in place.  All other rows take the ordinary shuffle join.  Nothing depends on
+    row order, so a task that is run again sends every row where it went before.
     ``how`` is one of inner, left, left_semi and left_anti.  ``hot`` hands in the
     keys where they are known from an earlier pass.
     """
     on = list(on)
     if hot is None:
-        hot = hot_keys(rows.select(*on).dropna(), on)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    dealt = (
-        rows.join(hot, on, "left")
-        .withColumn(
-            "_part",
-            F.when(
-                F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(splits))
-            )
-            .otherwise(0)
-            .cast("int"),
-        )
-        .drop("_hot")
-    )
-    all_parts = F.sequence(F.lit(0), F.lit(splits - 1))
-    repeated = (
-        table.join(hot, on, "left")
-        .withColumn(
-            "_part", F.explode(F.when(F.col("_hot"), all_parts).otherwise(F.array(F.lit(0))))
-        )
-        .drop("_hot")
-    )
-    return dealt.join(repeated, [*on, "_part"], how).drop("_part")
+        hot = materialise(hot_keys(rows.select(*on).dropna(), on))
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    keys = F.broadcast(hot)
+    theirs = F.broadcast(table.join(keys, on, "left_semi"))
+    stay = rows.join(keys, on, "left_semi").join(theirs, on, how)
+    move = rows.join(keys, on, "left_anti").join(table, on, how)
+    return stay.unionByName(move)
 
 
 def lookup_join(
@@ -91,6 +74,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join to a table expected to be small: broadcast if it is, hot-key join if not.
 
+    ``table`` has one row per key.
     The size check runs a bounded count, so a table that is costly to compute
     should be materialised first.
     """
