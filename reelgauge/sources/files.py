@@ -94,10 +94,12 @@ def write_results(
 ) -> None:
     """Tab-separated results, one folder per period, entity and so on.
 
-    Folder names use the file-safe form of the values.
+    Folder names use the file-safe form of the values.  Rows are gathered by folder
+    so that a folder gets few files, and adaptive execution splits a large folder
+    over several tasks.
     """
     safe = df.withColumns({c: safe_name(F.col(c)) for c in by})
-    writer = safe.write.mode(mode).partitionBy(*by)
+    writer = safe.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).partitionBy(*by)
     writer.options(header=True, sep="\t", **_AS_IS).csv(path)
 
 
