@@ -150,7 +150,8 @@ def fit(sample: list[tuple[str, str]], ridge: float = RIDGE) -> LanguageModel |
 
 def fit_documents(docs: DataFrame, label: str = "lang") -> LanguageModel | None:
     """Fit on a bounded sample of the documents that are not held out; None without any."""
-    return fit(labelled_sample(docs, label, PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS))
+    known = docs.select("doc_id", F.col(label).alias("label"))
+    return fit(labelled_sample(docs, known, PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: str = "doc_id") -> DataFrame:

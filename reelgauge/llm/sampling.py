@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reelgauge.llm.common import held_out
 
 
-def labelled_sample(docs: DataFrame, label: str, per_label: int, max_labels: int, max_chars: int) -> list[tuple[str, object]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_labels: int, max_chars: int) -> list[tuple[str, object]]:
     """(text, label) of at most ``per_label`` documents of each of the ``max_labels`` most frequent labels.
 
-    Held-out documents, null labels and texts that are empty or longer than ``max_chars``
-    take no part; the choice is by hash of the id, the same at every run.  All documents
-    are counted.  No label's rows meet in one task: each of 64 slices keeps its own first
-    ones, and only those are ranked together.  At most ``max_labels * per_label *
-    max_chars`` characters reach the driver.
+    ``labels`` has doc_id and label.  Held-out documents, null labels and texts that are
+    empty or longer than ``max_chars`` take no part.  All labels are counted; a hash of
+    the id below a label's share makes the choice, the same at every run, so that no
+    label's rows meet in one task.  At most ``2 * max_labels * per_label`` texts of that
+    length reach the driver.
     """
-    known = docs.filter(~held_out("doc_id") & F.col(label).isNotNull() & F.col("text").isNotNull())
-    known = known.select("doc_id", F.col(label).alias("label"), F.length("text").alias("n"))
-    known = known.filter(F.col("n").between(1, max_chars))
-    labels = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()]
-    if not labels:
+    known = labels.select("doc_id", "label").filter(~held_out("doc_id") & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
+    if not counts:
         return []
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    picked: list = []
-    for value in labels:
-        # the smallest hashes of one label: every task keeps its own, then they are merged
-        rows = known.filter(F.col("label") == F.lit(value)).select("doc_id").orderBy(order, "doc_id").limit(per_label).collect()
-        picked += [(r[0], value) for r in rows]
-    ids = docs.sparkSession.createDataFrame(sorted(set(picked), key=str), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label {docs.schema[label].dataType.simpleString()}")
-    texts = docs.filter(F.length("text").between(1, max_chars)).select("doc_id", "text", F.col(label).alias("own"))
-    found = texts.join(F.broadcast(ids), "doc_id").filter(F.col("own") == F.col("label"))
-    rows = found.orderBy(order, "doc_id", "label", "text").limit(max_labels * per_label).select("text", "label").collect()
-    return [(r[0], r[1]) for r in rows]
+    # twice as many as wanted, as some texts turn out too long
+    share = F.lit(None).cast("double")
+    for label, n in counts:
+        share = F.when(F.col("label") == F.lit(label), F.lit(2 * per_label / n)).otherwise(share)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
+    drawn = known.filter(draw < share * (1 << 30)).withColumn("draw", draw)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))
+    ids = drawn.withColumn("rank", rank).filter(F.col("rank") <= 2 * per_label).select("doc_id", "label", "draw")
+    kept = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
+    texts = docs.filter(F.length("text").between(1, max_chars)).select("doc_id", "text").join(F.broadcast(kept), "doc_id")
+    # an id that comes many times counts once
+    rows = texts.groupBy("label", "draw", "doc_id").agg(F.min("text").alias("text")).collect()
+    taken: Counter = Counter()
+    out = []
+    for row in sorted(rows, key=lambda r: (r["draw"], r["doc_id"], str(r["label"]))):
+        if taken[row["label"]] < per_label:
+            taken[row["label"]] += 1
+            out.append((row["text"], row["label"]))
+    return out
