@@ -12,10 +12,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgauge.llm.common import held_out, map_rows
+from reelgauge.llm.common import held_out, map_rows, small_batches
 from reelgauge.llm.sampling import labelled_sample
 
 #: Bounds of the fitted sample: languages, documents and landmarks of each, characters of a document.
@@ -154,6 +155,17 @@ def fit_documents(docs: DataFrame, label: str = "lang") -> LanguageModel | None:
     return fit(labelled_sample(docs, known, PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS))
 
 
+def predictions(scorer: _Scorer | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and share of each text."""
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    able = [i for i, t in enumerate(texts) if scorer and t and any(map(str.isalpha, t))]
+    if able:
+        shares = scorer.scores([texts[i] for i in able])
+        for i, best, share in zip(able, shares.argmax(1), shares.max(1), strict=True):
+            names[i], scores[i] = scorer.model.languages[best], float(share)
+    return names, scores
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: str = "doc_id") -> DataFrame:
     """``keep``, lang_pred, score of every whole text.
 
@@ -166,13 +178,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", k
         scorer = _Scorer(model) if model else None
 
         def run(batch):
-            texts = batch.column(1).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            able = [i for i, t in enumerate(texts) if scorer and t and any(map(str.isalpha, t))]
-            if able:
-                shares = scorer.scores([texts[i] for i in able])
-                for i, best, share in zip(able, shares.argmax(1), shares.max(1), strict=True):
-                    names[i], scores[i] = model.languages[best], float(share)
+            names, scores = predictions(scorer, batch.column(1).to_pylist())
             return {keep: batch.column(0), "lang_pred": names, "score": scores}
 
         return run
@@ -184,3 +190,17 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, by a model of the documents not held out."""
     found = identify(docs, fit_documents(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("score"))
+
+
+def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all their columns, in place."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        scorer = _Scorer(model) if model else None
+        for batch in batches:
+            names, _ = predictions(scorer, batch.column(place).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,9 +53,9 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
     first = np.flatnonzero(new)
     sizes = np.diff(np.append(first, len(at)))
     place = np.arange(len(at)) - np.repeat(first, sizes)
-    # beyond 256 bytes the place of each block of 256 is mixed in
+    # beyond 256 bytes the number of the block of 256 is mixed in
     letters = (data[at].astype(np.uint64) + _U(1)) * _POWERS[place & 255] ^ ((place >> 8).astype(np.uint64) << _U(40))
-    word = _mix(np.add.reduceat(_mix(letters) if place.max() > 255 else letters, first) + sizes.astype(np.uint64))
+    word = _mix(np.add.reduceat(letters, first) + sizes.astype(np.uint64))
     bounds = np.searchsorted(at[first], np.cumsum([0] + [len(p) for p in parts]))
     joined = np.zeros(max(len(word) - size + 1, 0), np.uint64)
     for k in range(size):
@@ -66,10 +66,10 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
         if end - begin >= size:
             out.append(np.unique(joined[begin : end - size + 1]))
         elif end > begin:
-            whole = _U(end - begin)
-            for w in word[begin:end]:
-                whole = _mix(np.array([whole * _U(0xD6E8FEB86659FD93) + w], np.uint64))[0]
-            out.append(np.array([whole], np.uint64))
+            whole = np.full(1, end - begin, np.uint64)
+            for k in range(begin, end):
+                whole = _mix(whole * _U(0xD6E8FEB86659FD93) + word[k : k + 1])
+            out.append(whole)
         else:
             out.append(none)
     return out

@@ -11,10 +11,11 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgauge.llm.common import held_out, map_rows
+from reelgauge.llm.common import held_out, map_rows, small_batches
 from reelgauge.llm.sampling import labelled_sample
 
 #: Bounds of the fitted sample: documents of each label, characters of a document.
@@ -324,3 +325,16 @@ def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` scored under the threshold, with all their columns, in place."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            scores = score_texts(net, batch.column(place).to_pylist())
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
