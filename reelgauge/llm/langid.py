@@ -193,14 +193,21 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with all their columns, in place."""
+    """The rows of ``docs`` whose language can be told, with all their columns, in place.
+
+    Without a model, those that have a letter.
+    """
     small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches):
         scorer = _Scorer(model) if model else None
         for batch in batches:
-            names, _ = predictions(scorer, batch.column(place).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            texts = batch.column(place).to_pylist()
+            if scorer:
+                known = [n != UNKNOWN for n in predictions(scorer, texts)[0]]
+            else:
+                known = [any(map(str.isalpha, t or "")) for t in texts]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
