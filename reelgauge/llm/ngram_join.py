@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from reelgauge.llm.common import Tables, small_batches
 from reelgauge.llm.components import components
-from reelgauge.operators.scaling import materialise
+from reelgauge.operators.scaling import fits, materialise
 
 SHINGLE, PERCENT = 5, 80
 #: The counting sketch: counters in all, and parts in which it travels.
@@ -249,6 +249,27 @@ def _sizes_fit(n: str, m: str, percent: int) -> F.Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
+def _enough(common: str, n: str, m: str, percent: int) -> F.Column:
+    """Whether two sets can be similar that have ``common`` elements in both prefixes.
+
+    Of the two, take the one whose prefix ends first in the order: what they share up to
+    there is counted, and behind it that set has only its other elements to share.
+    """
+    needed = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent))
+    behind = F.floor((F.lit(percent) * F.greatest(n, m) + 99) / 100) - 1
+    return F.col(common) + behind >= needed
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
+    """cls, text of one document of each class that a pair names.
+
+    A list of ids short enough by count goes to the documents; a longer one meets them in a shuffle.
+    """
+    needed = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
+    wanted = tables.keep(classes.join(needed, "s1", "left_semi").select(F.col("rep").alias("doc_id"), F.col("s1").alias("cls")))
+    return tables.keep(docs.join(F.broadcast(wanted) if fits(wanted) else wanted, "doc_id").select("cls", "text"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -275,12 +296,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         shared = tables.keep(shared.select("token", "cls", "n", F.col("low.cls").alias("low"), F.col("low.n").alias("low_n")).distinct())
         # first each class meets the one partner it shares most with
         met = shared.filter((F.col("cls") != F.col("low")) & _sizes_fit("n", "low_n", percent))
-        met = met.groupBy("cls", "low").agg(F.count("*").alias("common"))
+        met = met.groupBy("cls", "n", "low", "low_n").agg(F.count("*").alias("common"))
+        met = met.filter(_enough("common", "n", "low_n", percent))
         best = met.groupBy("cls").agg(F.max_by("low", F.struct("common", "low")).alias("low"))
         pairs = tables.keep(best.select(F.col("cls").alias("a"), F.col("low").alias("b")))
-        needed = shared.select(F.col("cls").alias("s1")).distinct()
-        wanted = classes.join(needed, "s1", "left_semi").select(F.col("rep").alias("doc_id"), F.col("s1").alias("cls"))
-        texts = tables.keep(docs.join(wanted, "doc_id").select("cls", "text"))
+        texts = _texts_of(pairs, docs, classes, tables)
         links = tables.keep(_verified(pairs, texts, frequent, size, percent))
         roots = tables.keep(components(links, tables))
         # then those that share a token but no component yet
@@ -291,8 +311,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         a = open_.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         b = open_.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb", percent))
-        rest = tables.keep(rest.select("a", "b").distinct())
-        more = tables.keep(_verified(rest, texts, frequent, size, percent))
+        rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+        rest = tables.keep(rest.filter(_enough("common", "na", "nb", percent)).select("a", "b"))
+        more = tables.keep(_verified(rest, _texts_of(rest, docs, classes, tables), frequent, size, percent))
         if not more.isEmpty():
             roots = components(links.union(more), tables)
         # components by the smallest document of their classes
