@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelgauge.llm.common import Tables, small_batches
-from reelgauge.llm.components import components
+from reelgauge.llm.components import components, forest_roots
 from reelgauge.operators.scaling import fits, materialise
 
 SHINGLE, PERCENT = 5, 80
 #: The counting sketch: counters in all, and parts in which it travels.
 SKETCH_BITS, SKETCH_PARTS = 23, 64
-#: A shingle is frequent from this count on, and at least this many times a counter's mean.
-LEAST_FREQUENT, MEANS = 32, 8
+#: A shingle is frequent from this count on, or this many deviations above a counter's mean.
+LEAST_FREQUENT, DEVIATIONS = 32, 8
 #: Odd factors of the global orders; the first one finds candidates.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -161,9 +161,10 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
 def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
     """Which counters are frequent: a bitmap of fixed size, whatever the input.
 
-    At most ``total / limit`` shingles can be, and the mean counter stays far below the limit.
+    At most ``total / limit`` counters can be; chance alone lifts none so far above the mean.
     """
-    limit = max(LEAST_FREQUENT, MEANS * total >> SKETCH_BITS)
+    mean = total / (1 << SKETCH_BITS)
+    limit = max(LEAST_FREQUENT, round(mean + DEVIATIONS * mean**0.5))
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         pairs = tables.keep(best.select(F.col("cls").alias("a"), F.col("low").alias("b")))
         texts = _texts_of(pairs, docs, classes, tables)
         links = tables.keep(_verified(pairs, texts, frequent, size, percent))
-        roots = tables.keep(components(links, tables))
+        roots = forest_roots(links, tables)
         # then those that share a token but no component yet
         placed = shared.select("token", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
         placed = placed.withColumn("root", F.coalesce("root", "cls"))
@@ -315,7 +316,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         rest = tables.keep(rest.filter(_enough("common", "na", "nb", percent)).select("a", "b"))
         more = tables.keep(_verified(rest, _texts_of(rest, docs, classes, tables), frequent, size, percent))
         if not more.isEmpty():
-            roots = components(links.union(more), tables)
+            # the links found last join whole components, so only their roots are worked on
+            names = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+            edges = more.join(names, "a", "left").join(names.toDF("b", "rb"), "b", "left")
+            joined = tables.keep(components(edges.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), tables))
+            moved = roots.join(joined.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            roots = tables.keep(moved.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")))
         # components by the smallest document of their classes
         known = classes.join(roots.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
         known = tables.keep(known)
