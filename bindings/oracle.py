@@ -99,7 +99,7 @@ def _comment_part(step: int, key: str, where: str) -> str:
     return f"""select {key} as "commentId", 'w' || conv_id || '{step}' as "videoId",
       case when turn > 1 then conv_id || ':{step}' end as "parentCommentId",
       'x{step}_' || role as "userId", 'X{step} ' || role as "userName",
-      'edit {step} ' || left(text, 30) as content, turn + {step} as "likeCount",
+      'edit {step} ' || text as content, turn + {step} as "likeCount",
       make_timestamp(({V.BASE}::bigint + {step} * 60) * 1000000) as "publishedAt",
       '{V.RECOLLECTED}' as "collectedDate",
       conv_id * 1000 + turn * 10 + {step} as seq from conversations where {where}"""
@@ -150,10 +150,8 @@ def views() -> dict[str, str]:
                 _comment_part(3, "'n' || conv_id || ':' || turn", "turn = 1"),
             ]
         ),
-        "v_all_comments": """select distinct "commentId", "parentCommentId", "userId", content from (
-          select "commentId", "parentCommentId", "userId", content from v_comments union all
-          select "commentId", "parentCommentId", "userId", content from v_comment_batch
-          where "commentId" like 'n%' or "parentCommentId" like '%:2')""",
+        "v_all_comments": """select "commentId", "parentCommentId", "userId", content from v_comments union all
+          select seq || '/' || "commentId", "parentCommentId", "userId", content from v_comment_batch""",
         "v_periods": f"select * from (values {periods}) t(period, period_start, period_end)",
         "v_in_period": """select v.*, p.period from v_videos v join v_periods p
           on v."publishedAt" between p.period_start and p.period_end""",
@@ -413,8 +411,8 @@ def statements() -> dict[str, str]:
           "transcriptLanguage", "viewCount", "likeCount", "commentCount" from v_videos where "channelId" = 'src3'""",
         "channel_names": """select "videoId", v."channelId", coalesce(c."channelName", v."channelId") as "channelName"
           from v_videos v left join v_channels c on v."channelId" = c."channelId" """,
-        "new_videos": 'select "videoId" from v_search where "videoId" not in (select "videoId" from v_batch)',
-        "stored_videos": 'select "videoId" from v_search where "videoId" in (select "videoId" from v_batch)',
+        "new_videos": 'select "videoId" from v_search where "videoId" not in (select concat(\'v\', doc_id) from documents where doc_id % 2 = 0)',
+        "stored_videos": 'select "videoId" from v_search where "videoId" in (select concat(\'v\', doc_id) from documents where doc_id % 2 = 0)',
         "known_ids": 'select "videoId" from v_videos union select "videoId" from v_batch',
         "video_details_join": """select "videoId", "channelId", "viewCount" from v_search join v_videos using ("videoId")""",
         "channel_yearly_update": "select * from v_yearly",
@@ -535,5 +533,7 @@ def statements() -> dict[str, str]:
           translate(entity, ' /', '_-') as entity, tier from v_tiers""",
         "stream_upsert_videos": _stream("doc_id % 3 = 0"),
         "stream_new_videos": _stream("doc_id % 2 = 1"),
+        "stream_two_jobs": _stream("doc_id % 3 > 0"),
+        "stream_replay": _stream("false"),
     }
     return {name: sql(body) for name, body in bodies.items()}

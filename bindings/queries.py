@@ -295,12 +295,15 @@ def channel_names(spark, sf):
 
 @query
 def new_videos(spark, sf):
-    return J.new_videos(R.parse_search(V.search_pages(spark, sf)), V.batch(spark, sf))
+    """Two thirds of the videos are hits, the even half of all is stored."""
+    stored = V.videos(spark, sf).filter("doc_id % 2 = 0")
+    return J.new_videos(R.parse_search(V.search_pages(spark, sf)), stored)
 
 
 @query
 def stored_videos(spark, sf):
-    return J.stored_videos(R.parse_search(V.search_pages(spark, sf)), V.batch(spark, sf))
+    stored = V.videos(spark, sf).filter("doc_id % 2 = 0")
+    return J.stored_videos(R.parse_search(V.search_pages(spark, sf)), stored)
 
 
 @query
@@ -325,12 +328,10 @@ def channel_yearly_update(spark, sf):
 
 @query
 def comment_threads(spark, sf):
-    comments = V.comments(spark, sf).unionByName(
-        V.comment_batch(spark, sf).select(*schemas.COMMENTS.fieldNames()).filter(
-            "commentId like 'n%' or parentCommentId like '%:2'"
-        )
-    )
-    fresh = comments.select("commentId", "parentCommentId", "userId", "content").distinct()
+    """Stored comments, and those of the batch under ids of their own, so that all ids are unique."""
+    batch = V.comment_batch(spark, sf).withColumn("commentId", F.concat_ws("/", "seq", "commentId"))
+    comments = V.comments(spark, sf).unionByName(batch.select(*schemas.COMMENTS.fieldNames()))
+    fresh = comments.select("commentId", "parentCommentId", "userId", "content")
     threads = J.comment_threads(fresh)
     return threads.select(
         "commentId", "parentCommentId", "userId", "parentUserId", "parentContent"
@@ -732,6 +733,34 @@ def stream_upsert_videos(spark, sf):
     return _stored(spark, root)
 
 
+@query
+def stream_two_jobs(spark, sf):
+    """Two jobs with the same batch numbers on one root, a compaction between them, then a replay."""
+    root = _folder(spark, "stream")
+    records = V.api_videos(spark, sf)
+    rows = lambda part, mark: records.filter(f"doc_id % 3 {part}").select(
+        F.col("doc_id").alias("seq"), F.replace("payload", F.lit('"title":"'), F.lit(f'"title":"{mark}')).alias("payload")
+    )
+    ingest.upsert_batch(root, V.COLLECTED, "first")(rows("< 2", ""), 0)
+    landed.compact(spark, root)
+    ingest.upsert_batch(root, V.COLLECTED, "second")(rows("> 0", "2 "), 0)
+    ingest.new_video_batch(root, V.COLLECTED, "third")(rows(">= 0", "3 "), 0)
+    ingest.new_video_batch(root, V.COLLECTED, "third")(rows(">= 0", "3 "), 0)
+    return _stored(spark, root)
+
+
+@query
+def stream_replay(spark, sf):
+    """New videos stored in one batch, which then runs again: nothing is lost or doubled."""
+    root = _folder(spark, "stream")
+    records = V.api_videos(spark, sf).select(F.col("doc_id").alias("seq"), "payload")
+    write = ingest.new_video_batch(root, V.COLLECTED, "new")
+    write(records.filter("seq % 2 = 0"), 0)
+    write(records, 1)
+    write(records, 1)
+    return _stored(spark, root)
+
+
 @query
 def stream_new_videos(spark, sf):
     """Even records arrive first; then all do, and only the odd ones are new."""

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     path = f"{sf_dir}/{name}.parquet"
     if name == "documents":
-        return read_spread(spark, path)
+        return read_spread(spark, path, spark.sparkContext.defaultParallelism)
     return spark.read.parquet(path)
 
 
@@ -261,7 +261,7 @@ def comment_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"case when turn > 1 then concat(conv_id, ':{step}') end as parentCommentId",
             f"concat('x{step}_', role) as userId",
             f"concat('X{step} ', role) as userName",
-            f"concat('edit {step} ', left(text, 30)) as content",
+            f"concat('edit {step} ', text) as content",
             f"cast(turn + {step} as bigint) as likeCount",
             f"timestamp_seconds({BASE} + {step} * 60) as publishedAt",
             f"date '{RECOLLECTED}' as collectedDate",

@@ -64,12 +64,16 @@ def coerce_types(
     metrics: Sequence[str] = METRICS,
     fill: int | None = None,
 ) -> DataFrame:
-    """Parse times and metrics from text; bad cells are NULL, or ``fill`` for metrics."""
-    parsed = {t: clock.parse_timestamp(F.col(t).cast("string")) for t in times}
+    """Parse times and metrics from text; bad cells are NULL, or ``fill`` for metrics.
+
+    A column that has its type already is left alone, so filters on it reach the scan.
+    """
+    kinds = dict(df.dtypes)
+    parsed = {t: clock.parse_timestamp(F.col(t).cast("string")) for t in times if kinds[t] != "timestamp"}
     for m in metrics:
         cell = F.col(m).cast("string")
         whole, decimal = cell.try_cast("long"), cell.try_cast("double").try_cast("long")
-        number = F.coalesce(whole, decimal)
+        number = F.col(m) if kinds[m] == "bigint" else F.coalesce(whole, decimal)
         parsed[m] = number if fill is None else F.coalesce(number, F.lit(fill).cast("long"))
     return df.withColumns(parsed)
 

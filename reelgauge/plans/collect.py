@@ -35,7 +35,7 @@ def collect(
     (videoId, language, seq, text).  Everything of the run becomes visible at once.
     """
     listed = between(records.parse_playlist(playlists), start, end).select("videoId")
-    wanted = materialise(new_videos(listed.distinct(), read_ids(spark, root)))
+    wanted = materialise(new_videos(listed.distinct(), read_ids(spark, root, without=("collect", number))))
     details = records.parse_videos(videos, collected=day)
     fetched = video_details(wanted, details)
     texts = pick_transcript_language(transcripts).select(
@@ -49,7 +49,7 @@ def collect(
         threads.join(open_videos, "videoId", "left_semi"), collected=day
     )
     profiles = channel_profile(details, records.parse_channels(channels), day)
-    # keys are unique in a run except for repeated responses, which are equal
+    # repeated responses of a run are told apart by their content when the table is read
     commit_batch(
         root,
         number,
@@ -58,4 +58,5 @@ def collect(
             "comments": comments.withColumn("seq", F.lit(0)),
             "channels": profiles.withColumn("seq", F.lit(0)),
         },
+        "collect",
     )

@@ -110,6 +110,9 @@ API_VIDEO = _struct(
     ),
 )
 
+# a response page of several records, or one bare record
+API_VIDEO_PAGE = T.StructType([*API_VIDEO, T.StructField("items", T.ArrayType(API_VIDEO))])
+
 API_PLAYLIST_PAGE = _struct(
     (
         "items",
@@ -154,4 +157,6 @@ API_THREAD = _struct(
     ("replies", _struct(("comments", T.ArrayType(_comment)))),
 )
 
+API_THREAD_PAGE = T.StructType([*API_THREAD, T.StructField("items", T.ArrayType(API_THREAD))])
+
 SNIPPETS = T.ArrayType(_struct(("start", _d), ("text", _s)))

@@ -47,20 +47,13 @@ def read_videos(spark: SparkSession, path: str) -> DataFrame:
     return analysis_columns(spark.read.parquet(path))
 
 
-def read_spread(
-    spark: SparkSession, path: str, small: int = 1 << 30
-) -> DataFrame:
-    """Parquet scan whose rows reach all cores even if the input is one row group.
+def read_spread(spark: SparkSession, path: str, parts: int) -> DataFrame:
+    """Parquet scan dealt round robin to ``parts`` tasks, whatever its size.
 
-    A scan is split by row groups, so a small file would leave costly text work to
-    one core.  Inputs estimated below ``small`` bytes are dealt round robin; larger
-    ones have enough row groups and are left where they are.
+    A scan is split by row groups, so one with a single row group leaves costly text
+    work to one core; a table with enough of them is read plainly instead.
     """
-    df = spark.read.parquet(path)
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    if int(str(stats.sizeInBytes())) >= small:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(path).repartition(parts)
 
 
 def read_database_videos(

@@ -25,6 +25,13 @@ def _items(pages: DataFrame, schema, payload: str, *carry: str) -> DataFrame:
     return parsed.select(*carry, F.explode("_page.items").alias("item"))
 
 
+def _pages_or_records(frame: DataFrame, page_schema, record_schema, payload: str, *carry: str) -> DataFrame:
+    """One row per record of response pages; a payload may also be one bare record."""
+    parsed = frame.select(*carry, F.from_json(payload, page_schema).alias("_page"))
+    bare = F.struct(*(F.col(f"_page.{f.name}").alias(f.name) for f in record_schema))
+    return parsed.select(*carry, F.explode(F.coalesce("_page.items", F.array(bare))).alias("_v"))
+
+
 def parse_channels(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """Channel id, name, subscribers and videos; absent counts are 0, absent name N/A."""
     items = _items(pages, schemas.API_CHANNEL_PAGE, payload)
@@ -41,10 +48,13 @@ def parse_videos(
 ) -> DataFrame:
     """Video rows plus ``commentsEnabled``; absent counts are 0.
 
-    Comments are enabled if the record has a comment count at all.
+    Payloads are response pages of several videos or single records.  Comments are
+    enabled if the record has a comment count at all.  A record without an id is no
+    video and gives no row; ``without_id`` lists the payloads that have such records.
     """
-    parsed = records.withColumn("_v", F.from_json(payload, schemas.API_VIDEO))
     carried = [c for c in records.columns if c != payload]
+    parsed = _pages_or_records(records, schemas.API_VIDEO_PAGE, schemas.API_VIDEO, payload, *carried)
+    parsed = parsed.filter(F.col("_v.id").isNotNull())
     return parsed.select(
         *carried,
         F.col("_v.id").alias("videoId"),
@@ -62,6 +72,13 @@ def parse_videos(
     )
 
 
+def without_id(records: DataFrame, payload: str = "payload") -> DataFrame:
+    """Rows whose payload holds a record without an id, or can't be read: for an error table."""
+    page = F.from_json(payload, schemas.API_VIDEO_PAGE)
+    ids = F.coalesce(page["items"]["id"], F.array(page["id"]))
+    return records.filter(F.coalesce(F.exists(ids, lambda i: i.isNull()), F.lit(True)))
+
+
 def parse_playlist(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """Video id and publication time of every playlist item."""
     items = _items(pages, schemas.API_PLAYLIST_PAGE, payload)
@@ -87,10 +104,12 @@ def flatten_threads(
     video_id: str = "videoId",
     collected: str | None = None,
 ) -> DataFrame:
-    """Comment rows from thread records: the top comment, then its replies."""
-    parsed = threads.select(
-        video_id, F.from_json(payload, schemas.API_THREAD).alias("_t")
-    )
+    """Comment rows from pages of threads or single ones: the top comment, then its replies.
+
+    A comment without an id gives no row.
+    """
+    parsed = _pages_or_records(threads, schemas.API_THREAD_PAGE, schemas.API_THREAD, payload, video_id)
+    parsed = parsed.withColumnRenamed("_v", "_t")
     top = F.col("_t.snippet.topLevelComment")
     replies = F.coalesce(
         F.col("_t.replies.comments"), F.array().cast(_comment_array_type())
@@ -101,7 +120,7 @@ def flatten_threads(
             replies, lambda r: F.struct(top["id"].alias("parent"), r.alias("c"))
         ),
     )
-    flat = parsed.select(video_id, F.explode(entries).alias("e"))
+    flat = parsed.select(video_id, F.explode(entries).alias("e")).filter(F.col("e.c.id").isNotNull())
     return flat.select(
         F.col("e.c.id").alias("commentId"),
         F.col(video_id).alias("videoId"),

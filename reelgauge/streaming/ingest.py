@@ -39,27 +39,37 @@ def _run(
     )
 
 
+def upsert_batch(root: str, collected: str | None, job: str) -> Callable[[DataFrame, int], None]:
+    """What ``upsert_stream`` does with a micro-batch."""
+    def write(batch: DataFrame, number: int) -> None:
+        commit_batch(root, number, {"videos": parse_videos(batch, collected=collected)}, job)
+
+    return write
+
+
+def new_video_batch(root: str, collected: str | None, job: str) -> Callable[[DataFrame, int], None]:
+    """What ``new_video_stream`` does; a batch that runs again doesn't meet its own rows."""
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = parse_videos(batch, collected=collected)
+        known = read_ids(batch.sparkSession, root, without=(job, number))
+        commit_batch(root, number, {"videos": new_videos(parsed, known)}, job)
+
+    return write
+
+
 def upsert_stream(
-    landed: DataFrame, root: str, collected: str | None = None
+    landed: DataFrame, root: str, collected: str | None = None, job: str = "upsert"
 ) -> StreamingQuery:
     """Apply every landed record; the last write of a video wins.
 
-    Each micro-batch only stores its own rows.  A batch that is run again after a
-    failure overwrites what it wrote before.
+    Each micro-batch only stores its own rows, under the name of its job.  A batch that
+    is run again after a failure takes the place of what it wrote before.
     """
-    def write(batch: DataFrame, number: int) -> None:
-        commit_batch(root, number, {"videos": parse_videos(batch, collected=collected)})
-
-    return _run(landed, root, "upsert", write)
+    return _run(landed, root, job, upsert_batch(root, collected, job))
 
 
 def new_video_stream(
-    landed: DataFrame, root: str, collected: str | None = None
+    landed: DataFrame, root: str, collected: str | None = None, job: str = "new-videos"
 ) -> StreamingQuery:
-    """Store only records of videos that no earlier batch has stored."""
-    def write(batch: DataFrame, number: int) -> None:
-        parsed = parse_videos(batch, collected=collected)
-        known = read_ids(batch.sparkSession, root)
-        commit_batch(root, number, {"videos": new_videos(parsed, known)})
-
-    return _run(landed, root, "new-videos", write)
+    """Store only records of videos that no other batch has stored."""
+    return _run(landed, root, job, new_video_batch(root, collected, job))

@@ -101,7 +101,8 @@ def test_batches_apply_in_order(spark, tmp_path):
     landed.commit_batch(root, 1, {"videos": video_rows(spark, ("a", "2", None, 1))})
     expected = {"a": ("2", "x"), "b": ("1", None)}
     assert titles(landed.read_table(spark, root, "videos")) == expected
-    assert landed.compact(spark, root) == 1
+    name = landed.compact(spark, root)
+    assert landed.compact(spark, root) == name
     assert titles(landed.read_table(spark, root, "videos")) == expected
     # a repeated batch changes nothing, a later one counts on top of the base
     landed.commit_batch(root, 1, {"videos": video_rows(spark, ("a", "2", None, 1))})
@@ -207,3 +208,50 @@ def test_top_k_is_trimmed_before_the_exchange(spark):
 
     plan = entry.queries()["top_bigrams"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 15, Partial" in plan
+
+
+def test_jobs_share_a_root(spark, tmp_path):
+    root = str(tmp_path / "jobs")
+    landed.commit_batch(root, 2, {"videos": video_rows(spark, ("a", "1", "x", 5))}, "one")
+    landed.compact(spark, root)
+    # same and lower numbers of another job, before and after a base
+    landed.commit_batch(root, 2, {"videos": video_rows(spark, ("b", "1", None, 1))}, "two")
+    landed.commit_batch(root, 0, {"videos": video_rows(spark, ("c", "1", None, 1))}, "two")
+    assert set(titles(landed.read_table(spark, root, "videos"))) == {"a", "b", "c"}
+    landed.compact(spark, root)
+    landed.commit_batch(root, 1, {"videos": video_rows(spark, ("d", "1", None, 1))}, "one")
+    assert set(titles(landed.read_table(spark, root, "videos"))) == {"a", "b", "c", "d"}
+    with pytest.raises(ValueError, match="name"):
+        landed.commit_batch(root, 1, {"videos": video_rows(spark, ("d", "1", None, 1))}, "a/b")
+
+
+def test_batch_that_runs_again(spark, tmp_path):
+    root = str(tmp_path / "again")
+    page = '{"items": [{"id": "a", "snippet": {"title": "A"}}, {"id": "b"}, {"snippet": {"title": "no id"}}]}'
+    batch = spark.createDataFrame([(1, page), (2, '{"id": "c"}')], "seq long, payload string")
+    for write in (ingest.new_video_batch(root, V.COLLECTED, "new"), ingest.upsert_batch(root, V.COLLECTED, "up")):
+        for _ in range(2):
+            write(batch, 0)
+            assert sorted(r.videoId for r in landed.read_ids(spark, root).collect()) == ["a", "b", "c"]
+    assert [r.seq for r in records.without_id(batch).collect()] == [1]
+
+
+def test_pages_of_threads(spark):
+    comment = lambda i: {"id": i, "snippet": {"textDisplay": i}}
+    thread = lambda i, *replies: {"snippet": {"topLevelComment": comment(i)}, "replies": {"comments": [comment(r) for r in replies]}}
+    rows = [("v", json.dumps({"items": [thread("a", "a1"), thread("b")]})), ("w", json.dumps(thread("c", "c1")))]
+    flat = records.flatten_threads(spark.createDataFrame(rows, "videoId string, payload string")).collect()
+    assert sorted((r.commentId, r.videoId, r.parentCommentId) for r in flat) == [
+        ("a", "v", None), ("a1", "v", "a"), ("b", "v", None), ("c", "w", None), ("c1", "w", "c"),
+    ]
+
+
+def test_time_filter_reaches_the_scan(spark, tmp_path):
+    from reelgauge.operators.filters import between, coerce_types
+
+    path = str(tmp_path / "typed")
+    spark.sql("select 'a' as videoId, timestamp'2022-01-02' as publishedAt, 1L as viewCount, 2L as likeCount, 3L as commentCount").write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    df = between(coerce_types(spark.read.parquet(path)), "2022-01-01", "2022-02-01")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(publishedAt" in plan and "LessThanOrEqual(publishedAt" in plan
