@@ -26,11 +26,24 @@ def _result(text: Column | str, language: str) -> Column:
     return F.struct(text.alias("status"), F.lit(language).alias("language"))
 
 
-def precheck_status(message: Column) -> Column:
-    """Status and language when listing the transcripts already fails."""
+# Error kinds that mean a reachable video without a transcript, and their result.
+WITHOUT_TRANSCRIPT_KINDS = ("NoTranscriptFound", "TranscriptsDisabled")
+NO_TRANSCRIPT = "TRANSCRIPT_UNAVAILABLE: No transcript available for this video"
+LANGUAGE_NOT_AVAILABLE = "not_available"
+
+
+def without_transcript(kind: Column) -> Column:
+    """True for the error kinds *none found* and *disabled*."""
+    return F.coalesce(kind.isin(*WITHOUT_TRANSCRIPT_KINDS), F.lit(False))
+
+
+def precheck_status(message: Column, kind: Column | None = None) -> Column:
+    """Status and language when listing the transcripts already fails; ``kind`` names the error."""
     text = F.lower(message)
+    kind = F.lit(None).cast("string") if kind is None else kind
     return (
-        F.when(text.contains("private"), _result(PRIVATE, LANGUAGE_UNAVAILABLE))
+        F.when(without_transcript(kind), _result(NO_TRANSCRIPT, LANGUAGE_NOT_AVAILABLE))
+        .when(text.contains("private"), _result(PRIVATE, LANGUAGE_UNAVAILABLE))
         .when(text.contains("deleted"), _result(DELETED, LANGUAGE_UNAVAILABLE))
         .when(text.contains("removed"), _result(REMOVED, LANGUAGE_UNAVAILABLE))
         .when(text.contains("unavailable"), _result(UNAVAILABLE, LANGUAGE_UNAVAILABLE))
@@ -55,16 +68,17 @@ def fetch_status(message: Column) -> Column:
     )
 
 
-def may_have_transcript(message: Column) -> Column:
-    """False if the video itself is out of reach; blocked or unknown errors stay true."""
+def may_have_transcript(message: Column, kind: Column | None = None) -> Column:
+    """False if the video is out of reach or its error ``kind`` says it has no transcript."""
     text = F.lower(message)
+    kind = F.lit(None).cast("string") if kind is None else kind
     unreachable = (
         text.contains("video is no longer available")
         | text.contains("video unavailable")
         | text.contains("age-restricted")
         | text.contains("age restricted")
     )
-    return ~unreachable
+    return ~unreachable & ~without_transcript(kind)
 
 
 def is_recorded_status(text: Column) -> Column:

@@ -13,6 +13,8 @@ from reelgauge.session import shared_dir
 
 #: Largest lookup table, in rows, that is sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Largest one in bytes, fields counted as 16 bytes and texts by their length.
+BROADCAST_BYTES = 64 << 20
 #: A key is hot when it holds more than this share of the rows (so < 200 keys are).
 HOT_SHARE = 200
 
@@ -25,9 +27,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if the table has at most ``max_rows`` rows; reads no more than it must."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if the table has at most that many rows and bytes; reads no more rows than it must.
+
+    Only the size of each row goes to the count, never its texts.
+    """
+    size = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    sizes = df.select(size.cast("long").alias("size")).limit(max_rows + 1)
+    rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return rows <= max_rows and total <= max_bytes
 
 
 def hot_keys(keys: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:

@@ -266,16 +266,21 @@ def dominant_topics(model: TopicModel) -> DataFrame:
 def representative_documents(
     model: TopicModel, videos: DataFrame, length: int = 200
 ) -> DataFrame:
-    """Per topic the document with the largest share of it, with an excerpt."""
+    """Per topic the document with the largest share of it, with an excerpt.
+
+    A video that comes several times, as in overlapping periods, is one document; where
+    ``videos`` lacks it the excerpt is NULL.  Only excerpts of chosen documents move.
+    """
     long = model.documents.select(
         *GROUP, "videoId", F.posexplode(F.slice(F.array(*_P), F.lit(1), F.col("k"))).alias("topic", "share")
     )
     keyed = long.withColumn("_none", F.lit(""))
     top = argmax_per_group(keyed, [*GROUP, "topic"], "share", "videoId", "_none")
-    return top.drop("example").join(
-        videos.select("videoId", X.excerpt(F.col("videoTranscript"), length).alias("example")),
-        "videoId",
-    )
+    top = materialise(top.drop("example"))
+    chosen = top.select("videoId").distinct()
+    shown = videos.select("videoId", X.excerpt(F.col("videoTranscript"), length).alias("example"))
+    shown = sized_join(shown, chosen, ["videoId"], "left_semi", small=fits(chosen))
+    return top.join(shown.groupBy("videoId").agg(F.min("example").alias("example")), "videoId", "left")
 
 
 def topic_engagement(
@@ -287,10 +292,12 @@ def topic_engagement(
     """Mean metrics, size and label of every dominant topic, most viewed first.
 
     ``examples`` adds the excerpt of the topic's representative document; all
-    parts are joined by topic number.
+    parts are joined by topic number.  A video that is in several periods counts once
+    in each of them.
     """
     key = [*GROUP, "topic"]
-    placed = dominant_topics(model).join(videos.select("videoId", *metrics), "videoId")
+    once = videos.select("videoId", *metrics).dropDuplicates(["videoId"])
+    placed = dominant_topics(model).join(once, "videoId")
     stats = placed.groupBy(*key).agg(
         *[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("num_videos")
     )

@@ -389,3 +389,22 @@ def test_empty_label(spark):
 
 def test_schema_names():
     assert schemas.ANALYSIS_COLUMNS[0] == "videoId" and len(schemas.ANALYSIS_COLUMNS) == 9
+
+
+def test_broadcast_limit_counts_bytes(spark):
+    from reelgauge.operators import scaling
+
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) as text")
+    assert scaling.fits(wide)
+    assert not scaling.fits(wide, max_bytes=9_000)
+    assert not scaling.fits(wide, max_rows=9)
+
+
+def test_error_kinds_without_transcript(spark):
+    from reelgauge.functions import status
+
+    rows = spark.createDataFrame([("x", "TranscriptsDisabled"), ("x", "Other"), ("x", None)], "m string, k string")
+    found = rows.select(status.precheck_status(F.col("m"), F.col("k")).alias("s"), status.may_have_transcript(F.col("m"), F.col("k")).alias("may")).collect()
+    assert list(found[0].s) == ["TRANSCRIPT_UNAVAILABLE: No transcript available for this video", "not_available"]
+    assert [r.may for r in found] == [False, True, True]
+    assert found[1].s[0] == "VIDEO_UNAVAILABLE: x"
