@@ -25,7 +25,7 @@ SHINGLE, PERCENT = 5, 80
 #: The counting sketch: counters in all, and parts in which it travels.
 SKETCH_BITS, SKETCH_PARTS = 23, 64
 #: A shingle is frequent from this count on, or this many deviations above a counter's mean.
-LEAST_FREQUENT, DEVIATIONS = 32, 8
+LEAST_FREQUENT, DEVIATIONS = 24, 4
 #: Odd factors of the global orders; the first one finds candidates.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -161,7 +161,8 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
 def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
     """Which counters are frequent: a bitmap of fixed size, whatever the input.
 
-    At most ``total / limit`` counters can be; chance alone lifts none so far above the mean.
+    At most ``total / limit`` counters can be; chance alone lifts few so far above the mean,
+    and one that it lifts only comes later in every order.
     """
     mean = total / (1 << SKETCH_BITS)
     limit = max(LEAST_FREQUENT, round(mean + DEVIATIONS * mean**0.5))
@@ -250,7 +251,7 @@ def _sizes_fit(n: str, m: str, percent: int) -> F.Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
-def _enough(common: str, n: str, m: str, percent: int) -> F.Column:
+def _enough(common: F.Column, n: str, m: str, percent: int) -> F.Column:
     """Whether two sets can be similar that have ``common`` elements in both prefixes.
 
     Of the two, take the one whose prefix ends first in the order: what they share up to
@@ -258,7 +259,7 @@ def _enough(common: str, n: str, m: str, percent: int) -> F.Column:
     """
     needed = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent))
     behind = F.floor((F.lit(percent) * F.greatest(n, m) + 99) / 100) - 1
-    return F.col(common) + behind >= needed
+    return common + behind >= needed
 
 
 def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
@@ -295,10 +296,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         )
         shared = prefixes.filter(F.col("low.cls") != F.col("high"))
         shared = tables.keep(shared.select("token", "cls", "n", F.col("low.cls").alias("low"), F.col("low.n").alias("low_n")).distinct())
-        # first each class meets the one partner it shares most with
+        # first each class meets the one partner it shares most with; a partner is counted only
+        # where it is the first class of a token, so a quarter of what is needed will do here
         met = shared.filter((F.col("cls") != F.col("low")) & _sizes_fit("n", "low_n", percent))
         met = met.groupBy("cls", "n", "low", "low_n").agg(F.count("*").alias("common"))
-        met = met.filter(_enough("common", "n", "low_n", percent))
+        met = met.filter(_enough(4 * F.col("common"), "n", "low_n", percent))
         best = met.groupBy("cls").agg(F.max_by("low", F.struct("common", "low")).alias("low"))
         pairs = tables.keep(best.select(F.col("cls").alias("a"), F.col("low").alias("b")))
         texts = _texts_of(pairs, docs, classes, tables)
@@ -313,7 +315,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         b = open_.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb", percent))
         rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-        rest = tables.keep(rest.filter(_enough("common", "na", "nb", percent)).select("a", "b"))
+        rest = tables.keep(rest.filter(_enough(F.col("common"), "na", "nb", percent)).select("a", "b"))
         more = tables.keep(_verified(rest, _texts_of(rest, docs, classes, tables), frequent, size, percent))
         if not more.isEmpty():
             # the links found last join whole components, so only their roots are worked on
