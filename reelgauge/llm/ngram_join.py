@@ -1,10 +1,12 @@
 """Jaccard join of word shingles by prefix filters under several global orders.
 
 Two sets that are similar enough share an element of their prefixes under every order of
-all shingles.  All orders put frequent shingles last and differ in the rest.  The first
-order finds candidates, the others and the sizes sift them, and what is left is compared
-exactly.  Sets that are equal are one class from the start; a class is compared with one
-partner first, and only classes that are still in different components meet again.
+all shingles, and as many of them as their sizes ask for.  Three orders put frequent
+shingles last and differ in the rest, a fourth is that of plain hashes.  The first order
+finds candidates; bitmaps of the prefixes under the plain order, then the other orders and
+the sizes sift them, and what is left is compared exactly.  Sets that are equal are one
+class from the start; a class is compared with one partner in each of the first rounds,
+and only classes that are still in different components meet all others.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ LEAST_FREQUENT, DEVIATIONS = 24, 4
 #: Odd factors of the global orders; the first one finds candidates.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
+#: Bitmap of a prefix under the order of plain hashes: so many longs of 64 bits.
+WORDS = 8
+#: Rounds in which a class meets one more partner before all that are left meet.
+MEETINGS = 3
+
+_WORDS = [f"w{i}" for i in range(WORDS)]
 _POWERS = np.cumprod(np.full(256, 0x100000001B3 * 2 + 1, np.uint64))
 _U = np.uint64
 
@@ -92,6 +100,18 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, order: int, percent: int
     return shingles[np.lexsort((rank, late))[:length]]
 
 
+def bitmap(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """Bits of the prefix under the order of plain hashes, and how many elements share theirs."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    n = len(shingles)
+    if not n:
+        return bits, 0
+    length = n - (percent * n + 99) // 100 + 1
+    first = shingles[np.argpartition(shingles * _U(ORDERS[1]), length - 1)[:length]]
+    bits[(_mix(first) % _U(64 * WORDS)).astype(np.int64)] = 1
+    return bits, length - int(bits.sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> bool:
     """Exact comparison of two sets, behind the size filter and those of the other orders."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -125,10 +145,11 @@ def _add(counts: np.ndarray, blob: bytes) -> None:
         counts += np.frombuffer(pa.decompress(blob[1:], counts.nbytes // 2, "zstd", asbytes=True), "<u4")
 
 
-def _first_pass(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (part null) and, once per task, the parts of its sketch."""
+def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows of documents (part null) with sizes, signatures and bitmaps, and, once per task, the parts of its sketch."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    longs = ["n", "s1", "s2", "spare", *_WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -136,26 +157,29 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             if schema is None:
-                schema = pa.schema([("doc_id", ids.type), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
+                schema = pa.schema([("doc_id", ids.type), *((c, pa.int64()) for c in longs), ("part", pa.int32()), ("blob", pa.binary())])
             sets = shingle_sets(batch.column(1).to_pylist(), size)
             every = np.concatenate(sets)
             where, number = np.unique((every >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
             counts[where] += number.astype(np.uint32)
             marks = [signature(s) for s in sets]
+            maps = [bitmap(s, percent) for s in sets]
             rows = len(sets)
+            words = np.packbits(np.array([m[0] for m in maps], np.uint8).reshape(rows, -1), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()),
-                pa.array([m[1] for m in marks], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
+                pa.array([m[1] for m in marks], pa.int64()), pa.array([m[1] for m in maps], pa.int64()),
+                *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
             ], schema=schema)
         if schema is not None:
             blobs = [_pack(c) for c in counts.reshape(SKETCH_PARTS, -1)]
             nothing = pa.nulls(SKETCH_PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(SKETCH_PARTS, schema.field(0).type), nothing, nothing, nothing,
+                pa.nulls(SKETCH_PARTS, schema.field(0).type), *([nothing] * len(longs)),
                 pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary()),
             ], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, part int, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} bigint' for c in longs)}, part int, blob binary")
 
 
 def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
@@ -262,6 +286,59 @@ def _enough(common: F.Column, n: str, m: str, percent: int) -> F.Column:
     return common + behind >= needed
 
 
+def _bits_shared() -> F.Column:
+    return sum((F.bit_count(F.col(f"w{i}").bitwiseAND(F.col(f"v{i}"))) for i in range(WORDS)), F.lit(0))
+
+
+def _bits_allow(n: str, m: str, percent: int) -> F.Column:
+    """Whether the bitmaps (w0.., v0..) leave room for enough common elements.
+
+    Elements in both prefixes have bits set in both; of each side's elements, as many as
+    its spare ones lie on a bit that another one of it has set.
+    """
+    return _enough(_bits_shared() + F.least("spare", "spare_b"), n, m, percent)
+
+
+def _merged(roots: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """node, root after links between components: only their roots are worked on."""
+    names = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    edges = links.join(names, "a", "left").join(names.toDF("b", "rb"), "b", "left")
+    joined = tables.keep(components(edges.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), tables))
+    moved = roots.join(joined.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return tables.keep(moved.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")))
+
+
+def _still_open(rows: DataFrame, roots: DataFrame, tables: Tables) -> DataFrame:
+    """token, cls, n, root of the tokens (of ``rows``) that meet in several components.
+
+    The ends of a token are summed before they move, and come back by a join that can be
+    split where one token has very many classes.
+    """
+    placed = rows.select("token", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    placed = tables.keep(placed.withColumn("root", F.coalesce("root", "cls")))
+    ends = placed.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
+    return tables.keep(placed.join(ends.select("token"), "token"))
+
+
+def _meetings(open_: DataFrame, marks: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each class with one partner of another component, likely the most alike.
+
+    Each round takes its share of the tokens.  Of a token's classes, the two at the ends of
+    an order of the token's own are partners, so a class has different ones at each token;
+    the bitmaps tell which is most alike.
+    """
+    mine = open_.filter(F.pmod(F.xxhash64("token"), F.lit(MEETINGS)) == number)
+    mark = F.struct(F.xxhash64("cls", "token").alias("h"), F.col("cls").alias("low"), F.col("n").alias("low_n"), F.col("root").alias("low_root"))
+    ends = mine.groupBy("token").agg(F.min(mark).alias("x"), F.max(mark).alias("y"))
+    met = mine.join(ends, "token").withColumn("x", F.when(F.col("x.low_root") != F.col("root"), F.col("x")).otherwise(F.col("y")))
+    met = met.select("cls", "n", "root", "x.low", "x.low_n", "x.low_root").filter((F.col("root") != F.col("low_root")) & _sizes_fit("n", "low_n", percent))
+    met = met.select("cls", "n", "low", "low_n").distinct()
+    theirs = marks.select(F.col("cls").alias("low"), F.col("spare").alias("spare_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)))
+    met = met.join(marks, "cls").join(theirs, "low").filter(_bits_allow("n", "low_n", percent))
+    met = met.select("cls", "low", (_bits_shared() / (F.col("n") + F.col("low_n"))).alias("share"))
+    return met.groupBy(F.col("cls").alias("a")).agg(F.max_by("low", F.struct("share", "low")).alias("b"))
+
+
 def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
     """cls, text of one document of each class that a pair names.
 
@@ -284,11 +361,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     docs = docs.select("doc_id", "text")
     with Tables(docs.sparkSession) as tables:
-        first = tables.keep(_first_pass(docs, size))
+        first = tables.keep(_first_pass(docs, size, percent))
         rows = first.filter(F.col("part").isNull()).select("doc_id", "n", "s1", "s2")
         total = rows.agg(F.sum("n")).first()[0] or 0
         frequent = _frequent(first.filter(F.col("part").isNotNull()), total)
-        classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+        kept = first.filter("part is null and n > 0").groupBy("s1", "s2", "n")
+        classes = tables.keep(kept.agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("spare", *_WORDS))))
         # tokens that more than one class has in its prefix, and the first such class
         token = Window.partitionBy("token")
         prefixes = _prefix_rows(docs, frequent, size, percent).select(
@@ -306,24 +384,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         texts = _texts_of(pairs, docs, classes, tables)
         links = tables.keep(_verified(pairs, texts, frequent, size, percent))
         roots = forest_roots(links, tables)
-        # then those that share a token but no component yet
-        placed = shared.select("token", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        placed = placed.withColumn("root", F.coalesce("root", "cls"))
-        open_ = placed.withColumn("least", F.min("root").over(token)).withColumn("most", F.max("root").over(token))
-        open_ = tables.keep(open_.filter("least != most").select("token", "cls", "n", "root"))
-        a = open_.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        b = open_.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb", percent))
+        # then those that share a token but no component yet: one partner a round, and at last all
+        open_ = _still_open(shared, roots, tables)
+        marks = classes.select(F.col("s1").alias("cls"), "spare", *_WORDS)
+        for number in range(MEETINGS):
+            pairs = tables.keep(_meetings(open_, marks, number, percent))
+            links = tables.keep(_verified(pairs, _texts_of(pairs, docs, classes, tables), frequent, size, percent))
+            if not links.isEmpty():
+                roots = _merged(roots, links, tables)
+                open_ = _still_open(open_, roots, tables)
+        marked = tables.keep(open_.join(marks, "cls"))
+        a = marked.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "spare", *_WORDS)
+        b = marked.select(
+            "token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"),
+            F.col("spare").alias("spare_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)),
+        )
+        apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+        rest = a.join(b, "token").filter(apart & _sizes_fit("na", "nb", percent) & _bits_allow("na", "nb", percent))
         rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
         rest = tables.keep(rest.filter(_enough(F.col("common"), "na", "nb", percent)).select("a", "b"))
         more = tables.keep(_verified(rest, _texts_of(rest, docs, classes, tables), frequent, size, percent))
         if not more.isEmpty():
-            # the links found last join whole components, so only their roots are worked on
-            names = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-            edges = more.join(names, "a", "left").join(names.toDF("b", "rb"), "b", "left")
-            joined = tables.keep(components(edges.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), tables))
-            moved = roots.join(joined.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            roots = tables.keep(moved.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")))
+            roots = _merged(roots, more, tables)
         # components by the smallest document of their classes
         known = classes.join(roots.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
         known = tables.keep(known)

@@ -110,6 +110,31 @@ def test_near_duplicates_brute_force(spark, docs):
     assert found == brute_components(rows)
 
 
+def test_bitmaps_never_lose_a_similar_pair(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in (1, 3, 40, 400, 3000):
+        for part in (0.0, 0.05, 0.1, 0.2, 0.95):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            gone = int(part * len(a))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64)]))
+            if not len(b):
+                continue
+            sides = []
+            for x in (a, b):
+                bits, spare = ngram_join.bitmap(x)
+                sides.append((len(x), spare, [int(w) for w in np.packbits(bits).view(np.int64)]))
+            common = len(np.intersect1d(a, b))
+            (n, spare, w), (m, spare_b, v) = sides
+            rows.append((n, m, spare, spare_b, *w, *v, 100 * common >= 80 * (n + m - common)))
+    names = [f"{c}{i}" for c in "wv" for i in range(ngram_join.WORDS)]
+    frame = spark.createDataFrame(rows, ["n", "m", "spare", "spare_b", *names, "similar"])
+    seen = frame.select("similar", "n", ngram_join._bits_allow("n", "m", 80).alias("allowed")).collect()
+    assert sum(r.similar for r in seen) >= 10
+    assert all(r.allowed for r in seen if r.similar)
+    assert any(not r.allowed for r in seen if r.n == 400)
+
+
 def test_near_duplicates_odd(odd, empty):
     rows = ngram_join.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
