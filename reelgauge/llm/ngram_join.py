@@ -3,7 +3,7 @@
 Two sets that are similar enough share an element of their prefixes under every order of
 all shingles, and as many of them as their sizes ask for.  Three orders put frequent
 shingles last and differ in the rest, a fourth is that of plain hashes.  The first order
-finds candidates; bitmaps of the prefixes under the plain order, then the other orders and
+finds candidates; bitmaps of the prefixes under two plain orders, then the other orders and
 the sizes sift them, and what is left is compared exactly.  Sets that are equal are one
 class from the start; a class is compared with one partner in each of the first rounds,
 and only classes that are still in different components meet all others.
@@ -31,12 +31,14 @@ LEAST_FREQUENT, DEVIATIONS = 24, 4
 #: Odd factors of the global orders; the first one finds candidates.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-#: Bitmap of a prefix under the order of plain hashes: so many longs of 64 bits.
-WORDS = 8
+#: Bitmap of a prefix under an order of plain hashes: so many longs of 64 bits; and of one under another.
+WORDS, MORE_WORDS = 8, 4
 #: Rounds in which a class meets one more partner before all that are left meet.
 MEETINGS = 3
 
-_WORDS = [f"w{i}" for i in range(WORDS)]
+#: Columns of a class's bitmaps, and what they are called on the other side of a pair.
+_MARKS = ["spare", *(f"w{i}" for i in range(WORDS)), "more_spare", *(f"x{i}" for i in range(MORE_WORDS))]
+_THEIR_MARKS = ["spare_b", *(f"v{i}" for i in range(WORDS)), "more_spare_b", *(f"y{i}" for i in range(MORE_WORDS))]
 _POWERS = np.cumprod(np.full(256, 0x100000001B3 * 2 + 1, np.uint64))
 _U = np.uint64
 
@@ -100,15 +102,15 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, order: int, percent: int
     return shingles[np.lexsort((rank, late))[:length]]
 
 
-def bitmap(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """Bits of the prefix under the order of plain hashes, and how many elements share theirs."""
-    bits = np.zeros(64 * WORDS, np.uint8)
+def bitmap(shingles: np.ndarray, percent: int = PERCENT, order: int = 1, words: int = WORDS) -> tuple[np.ndarray, int]:
+    """Bits of the prefix under an order of plain hashes, and how many elements share theirs."""
+    bits = np.zeros(64 * words, np.uint8)
     n = len(shingles)
     if not n:
         return bits, 0
     length = n - (percent * n + 99) // 100 + 1
-    first = shingles[np.argpartition(shingles * _U(ORDERS[1]), length - 1)[:length]]
-    bits[(_mix(first) % _U(64 * WORDS)).astype(np.int64)] = 1
+    first = shingles[np.argpartition(shingles * _U(ORDERS[order]), length - 1)[:length]]
+    bits[(_mix(first) % _U(64 * words)).astype(np.int64)] = 1
     return bits, length - int(bits.sum())
 
 
@@ -149,7 +151,7 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows of documents (part null) with sizes, signatures and bitmaps, and, once per task, the parts of its sketch."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    longs = ["n", "s1", "s2", "spare", *_WORDS]
+    longs = ["n", "s1", "s2", *_MARKS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -163,13 +165,15 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
             where, number = np.unique((every >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
             counts[where] += number.astype(np.uint32)
             marks = [signature(s) for s in sets]
-            maps = [bitmap(s, percent) for s in sets]
             rows = len(sets)
-            words = np.packbits(np.array([m[0] for m in maps], np.uint8).reshape(rows, -1), axis=1).view(np.int64)
+            maps: list[pa.Array] = []
+            for order, words in ((1, WORDS), (2, MORE_WORDS)):
+                own = [bitmap(s, percent, order, words) for s in sets]
+                packed = np.packbits(np.array([m[0] for m in own], np.uint8).reshape(rows, -1), axis=1).view(np.int64)
+                maps += [pa.array([m[1] for m in own], pa.int64()), *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(words))]
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()),
-                pa.array([m[1] for m in marks], pa.int64()), pa.array([m[1] for m in maps], pa.int64()),
-                *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
+                pa.array([m[1] for m in marks], pa.int64()), *maps, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
             ], schema=schema)
         if schema is not None:
             blobs = [_pack(c) for c in counts.reshape(SKETCH_PARTS, -1)]
@@ -299,6 +303,16 @@ def _bits_allow(n: str, m: str, percent: int) -> F.Column:
     return _enough(_bits_shared() + F.least("spare", "spare_b"), n, m, percent)
 
 
+def _more_bits_allow(n: str, m: str, percent: int) -> F.Column:
+    """The same for the bitmaps (x0.., y0..) under the other plain order."""
+    shared = sum((F.bit_count(F.col(f"x{i}").bitwiseAND(F.col(f"y{i}"))) for i in range(MORE_WORDS)), F.lit(0))
+    return _enough(shared + F.least("more_spare", "more_spare_b"), n, m, percent)
+
+
+def _theirs() -> list[F.Column]:
+    return [F.col(c).alias(d) for c, d in zip(_MARKS, _THEIR_MARKS, strict=True)]
+
+
 def _merged(roots: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
     """node, root after links between components: only their roots are worked on."""
     names = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -333,8 +347,8 @@ def _meetings(open_: DataFrame, marks: DataFrame, number: int, percent: int) ->
     met = mine.join(ends, "token").withColumn("x", F.when(F.col("x.low_root") != F.col("root"), F.col("x")).otherwise(F.col("y")))
     met = met.select("cls", "n", "root", "x.low", "x.low_n", "x.low_root").filter((F.col("root") != F.col("low_root")) & _sizes_fit("n", "low_n", percent))
     met = met.select("cls", "n", "low", "low_n").distinct()
-    theirs = marks.select(F.col("cls").alias("low"), F.col("spare").alias("spare_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)))
-    met = met.join(marks, "cls").join(theirs, "low").filter(_bits_allow("n", "low_n", percent))
+    theirs = marks.select(F.col("cls").alias("low"), *_theirs())
+    met = met.join(marks, "cls").join(theirs, "low").filter(_bits_allow("n", "low_n", percent) & _more_bits_allow("n", "low_n", percent))
     met = met.select("cls", "low", (_bits_shared() / (F.col("n") + F.col("low_n"))).alias("share"))
     return met.groupBy(F.col("cls").alias("a")).agg(F.max_by("low", F.struct("share", "low")).alias("b"))
 
@@ -366,7 +380,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         total = rows.agg(F.sum("n")).first()[0] or 0
         frequent = _frequent(first.filter(F.col("part").isNotNull()), total)
         kept = first.filter("part is null and n > 0").groupBy("s1", "s2", "n")
-        classes = tables.keep(kept.agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("spare", *_WORDS))))
+        classes = tables.keep(kept.agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in _MARKS)))
         # tokens that more than one class has in its prefix, and the first such class
         token = Window.partitionBy("token")
         prefixes = _prefix_rows(docs, frequent, size, percent).select(
@@ -386,7 +400,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         roots = forest_roots(links, tables)
         # then those that share a token but no component yet: one partner a round, and at last all
         open_ = _still_open(shared, roots, tables)
-        marks = classes.select(F.col("s1").alias("cls"), "spare", *_WORDS)
+        marks = classes.select(F.col("s1").alias("cls"), *_MARKS)
         for number in range(MEETINGS):
             pairs = tables.keep(_meetings(open_, marks, number, percent))
             links = tables.keep(_verified(pairs, _texts_of(pairs, docs, classes, tables), frequent, size, percent))
@@ -394,13 +408,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 roots = _merged(roots, links, tables)
                 open_ = _still_open(open_, roots, tables)
         marked = tables.keep(open_.join(marks, "cls"))
-        a = marked.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "spare", *_WORDS)
-        b = marked.select(
-            "token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"),
-            F.col("spare").alias("spare_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)),
-        )
+        a = marked.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *_MARKS)
+        b = marked.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), *_theirs())
         apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-        rest = a.join(b, "token").filter(apart & _sizes_fit("na", "nb", percent) & _bits_allow("na", "nb", percent))
+        rest = a.join(b, "token").filter(apart & _sizes_fit("na", "nb", percent) & _bits_allow("na", "nb", percent) & _more_bits_allow("na", "nb", percent))
         rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
         rest = tables.keep(rest.filter(_enough(F.col("common"), "na", "nb", percent)).select("a", "b"))
         more = tables.keep(_verified(rest, _texts_of(rest, docs, classes, tables), frequent, size, percent))

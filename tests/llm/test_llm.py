@@ -135,6 +135,26 @@ def test_bitmaps_never_lose_a_similar_pair(spark):
     assert any(not r.allowed for r in seen if r.n == 400)
 
 
+def test_bitmaps_of_the_other_order_never_lose_a_similar_pair(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in (1, 3, 40, 400, 3000):
+        for part in (0.0, 0.05, 0.1, 0.3, 0.95):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            gone = int(part * len(a))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64)]))
+            (bits, spare), (bits_b, spare_b) = (ngram_join.bitmap(s, order=2, words=ngram_join.MORE_WORDS) for s in (a, b))
+            longs = [int(w) for x in (bits, bits_b) for w in np.packbits(x).view(np.int64)]
+            common = len(np.intersect1d(a, b))
+            rows.append((len(a), len(b), spare, spare_b, *longs, 100 * common >= 80 * (len(a) + len(b) - common)))
+    names = [f"{c}{i}" for c in "xy" for i in range(ngram_join.MORE_WORDS)]
+    frame = spark.createDataFrame(rows, ["n", "m", "more_spare", "more_spare_b", *names, "similar"])
+    seen = frame.select("similar", "n", ngram_join._more_bits_allow("n", "m", 80).alias("allowed")).collect()
+    assert sum(r.similar for r in seen) >= 10
+    assert all(r.allowed for r in seen if r.similar)
+    assert any(not r.allowed for r in seen if r.n == 400)
+
+
 def test_near_duplicates_odd(odd, empty):
     rows = ngram_join.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
