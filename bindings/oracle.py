@@ -22,6 +22,7 @@ BRACKET_TIME = r"\[\p{Nd}{1,2}:\p{Nd}{2}(?::\p{Nd}{2})?\]"
 BARE_TIME = r"\b\p{Nd}{1,2}:\p{Nd}{2}(?::\p{Nd}{2})?\b"
 URL = rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+INNER = r"(\p{L})[,/:<>=](\p{L})"
 TS = "'%Y-%m-%d %H:%M:%S'"
 RFC = "'%Y-%m-%dT%H:%M:%SZ'"
 
@@ -286,7 +287,9 @@ def _strict_words() -> str:
 
 
 def _pieces(clean: str, source: str) -> str:
-    split = f"string_split({clean}, ' ')"
+    # twice, as neighbours share their letter in "a,b,c"
+    apart = f"regexp_replace({clean}, '{INNER}', '\\1 \\2', 'g')"
+    split = f"string_split(regexp_replace({apart}, '{INNER}', '\\1 \\2', 'g'), ' ')"
     return f"""(select "videoId", pos, regexp_replace(word, '{EDGE}', '', 'g') as word from (
       select "videoId", unnest({split}) as word, unnest(range(1, len({split}) + 1)) as pos from {source}))"""
 

@@ -23,6 +23,8 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 ALPHABETIC = r"^\p{L}+$"
 #: punctuation a tagger would split off the ends of a word
 EDGE_PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: punctuation between two letters at which a tagger splits a word; a hyphen is none
+INNER_PUNCTUATION = r"(?<=\p{L})[,/:<>=](?=\p{L})"
 
 
 # --- whitespace, times, links -------------------------------------------------
@@ -137,8 +139,9 @@ def bigrams_without_stopwords(tokens: Column, stopwords: Iterable[str]) -> Colum
 # --- token filters of the cleaning job ---------------------------------------
 
 def word_pieces(c: Column) -> Column:
-    """Words with the punctuation at either end split off."""
-    return F.transform(words(c), lambda w: F.regexp_replace(w, EDGE_PUNCTUATION, ""))
+    """Words, also those joined by inner punctuation, with the punctuation at either end split off."""
+    apart = F.regexp_replace(c, INNER_PUNCTUATION, " ")
+    return F.transform(words(apart), lambda w: F.regexp_replace(w, EDGE_PUNCTUATION, ""))
 
 
 def is_alphabetic(c: Column) -> Column:

@@ -17,6 +17,18 @@ def one(spark, value, expression, kind="string"):
     return df.select(expression(F.col("x")).alias("y")).first()["y"]
 
 
+@pytest.mark.parametrize(
+    "text, pieces",
+    [
+        ("sim,nao casa/carro", ["sim", "nao", "casa", "carro"]),
+        ("a,b,c: d<e>f=g", ["a", "b", "c", "d", "e", "f", "g"]),
+        ("guarda-chuva 3,5 (olá)", ["guarda-chuva", "3,5", "olá"]),
+    ],
+)
+def test_word_pieces(spark, text, pieces):
+    assert one(spark, text, X.word_pieces) == pieces
+
+
 @pytest.mark.parametrize(
     "text, cleaned",
     [
