@@ -24,7 +24,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the rewritten text, and how many values of each kind were replaced."""
     done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = (F.size(F.filter("pii", lambda x, k=kind: x["kind"] == k)).alias(f"n_{kind}") for kind in pii.FORMS)
+
+    def count(kind: str):
+        # a function of one argument: a second one would be taken for the place in the array
+        return F.size(F.filter("pii", lambda x: x["kind"] == kind)).alias(f"n_{kind}")
+
+    counts = (count(kind) for kind in pii.FORMS)
     return done.select("doc_id", "text", F.size("pii").alias("n_values"), *counts)
 
 

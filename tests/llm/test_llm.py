@@ -266,6 +266,15 @@ def test_feistel_is_a_permutation(spark):
     assert days.distinct().count() == 256 * 285
 
 
+def test_pii_query_counts_kinds(spark, docs):
+    rows = by_id(QUERIES["op4_pii_pseudonyms"](spark, SF))
+    found = by_id(pii.pseudonymise(docs))
+    assert len(rows) == docs.count() and any(r.n_values for r in rows.values())
+    for i, r in rows.items():
+        kinds = Counter(p.kind for p in found[i].pii or [])
+        assert r.text == found[i].text and {k: r[f"n_{k}"] for k in pii.FORMS} == {k: kinds[k] for k in pii.FORMS}
+
+
 def test_pii_odd(odd, empty):
     assert pii.pseudonymise(odd).count() == len(ODD) and pii.pseudonymise(empty).count() == 0
     with pytest.raises(ValueError, match="exists"):
