@@ -1,7 +1,7 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
-Some three hundred rules, each a regular expression with a priority, are tried behind a
-keyword gate.  Detections are intervals of the text; one that lies inside a detection of
+Some three hundred rules, each a regular expression with a priority, are tried behind
+keywords that all their matches hold.  Detections are intervals of the text; one that lies inside a detection of
 no lower priority is suppressed, and the labels of the rest are reported.
 """
 
@@ -17,10 +17,13 @@ BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general publi
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-# Signatures: label, gate keyword (lower case, in every text the rules can match),
-# pattern of the name, pattern of its short identifiers, pattern of its address (or "").
+# Signatures: label, keyword (one word in lower case that every match of the name holds, so
+# that line breaks inside a name do not matter), pattern of the name, pattern of its short
+# identifiers, pattern of its address (or ""); names with nothing in common have a row each.
 SIGNATURES = [
-    ("mit", "mit", r"(?:MIT|Expat|X11)", r"MIT", r"opensource\.org/licenses?/mit"),
+    ("mit", "mit", r"MIT", r"MIT", r"opensource\.org/licenses?/mit"),
+    ("mit", "expat", r"Expat", r"", r""),
+    ("mit", "x11", r"X11", r"", r""),
     ("mit-0", "mit", r"MIT[ -]+(?:No[ -]+Attribution|Zero)", r"MIT-0", r"opensource\.org/licenses?/mit-0"),
     ("apache", "apache", r"Apache(?:\s+Software)?", r"Apache", r"apache\.org/licenses/?"),
     ("apache-1.1", "apache", r"Apache(?:\s+Software)?\s+License,?\s+(?:Version|v\.?)\s*1\.1", r"Apache-1\.1", r"apache\.org/licenses/LICENSE-1\.1"),
@@ -48,16 +51,16 @@ SIGNATURES = [
     ("epl-1.0", "eclipse", r"Eclipse\s+Public\s+License,?\s+(?:version|v\.?|-)\s*1(?:\.0)?", r"EPL-1\.0", r"eclipse\.org/legal/epl-v10"),
     ("epl-2.0", "eclipse", r"Eclipse\s+Public\s+License,?\s+(?:version|v\.?|-)\s*2(?:\.0)?", r"EPL-2\.0", r"eclipse\.org/legal/epl-(?:2\.0|v20)"),
     ("edl", "eclipse", r"Eclipse\s+Distribution", r"EDL-1\.0", r"eclipse\.org/org/documents/edl-v10"),
-    ("cddl", "common development", r"Common\s+Development\s+and\s+Distribution", r"CDDL(?:-1\.[01])?", r"opensource\.org/licenses?/cddl"),
-    ("cpl", "common public", r"Common\s+Public", r"CPL-1\.0", r"opensource\.org/licenses?/cpl"),
+    ("cddl", "development", r"Common\s+Development\s+and\s+Distribution", r"CDDL(?:-1\.[01])?", r"opensource\.org/licenses?/cddl"),
+    ("cpl", "common", r"Common\s+Public", r"CPL-1\.0", r"opensource\.org/licenses?/cpl"),
     ("ipl", "ibm", r"IBM\s+Public", r"IPL-1\.0", r"opensource\.org/licenses?/ibmpl"),
     ("isc", "isc", r"ISC", r"ISC", r"opensource\.org/licenses?/isc"),
     ("zlib", "zlib", r"zlib(?:/libpng)?", r"Zlib", r"zlib\.net/zlib_license"),
     ("libpng", "libpng", r"libpng", r"libpng(?:-2\.0)?", r"libpng\.org/pub/png/src/libpng-LICENSE"),
     ("bsl-1.0", "boost", r"Boost\s+Software", r"BSL-1\.0", r"boost\.org/LICENSE_1_0"),
-    ("busl-1.1", "business source", r"Business\s+Source", r"BUSL-1\.1", r"mariadb\.com/bsl11"),
+    ("busl-1.1", "business", r"Business\s+Source", r"BUSL-1\.1", r"mariadb\.com/bsl11"),
     ("unlicense", "unlicense", r"(?:The\s+)?Unlicense", r"Unlicense", r"unlicense\.org"),
-    ("wtfpl", "want to public", r"Do\s+What\s+The\s+F\w*\s+You\s+Want\s+To\s+Public", r"WTFPL", r"wtfpl\.net"),
+    ("wtfpl", "want", r"Do\s+What\s+The\s+F\w*\s+You\s+Want\s+To\s+Public", r"WTFPL", r"wtfpl\.net"),
     ("artistic", "artistic", r"(?:Perl\s+)?Artistic", r"Artistic", r"opensource\.org/licenses?/artistic"),
     ("artistic-2.0", "artistic", r"Artistic\s+License,?\s+(?:version|v\.?)?\s*2(?:\.0)?", r"Artistic-2\.0", r"opensource\.org/licenses?/artistic-license-2\.0"),
     ("python-2.0", "python", r"Python(?:\s+Software\s+Foundation)?", r"(?:Python|PSF)-2\.0", r"docs\.python\.org/\S*license"),
@@ -66,60 +69,75 @@ SIGNATURES = [
     ("postgresql", "postgresql", r"PostgreSQL", r"PostgreSQL", r"postgresql\.org/about/licence"),
     ("openssl", "openssl", r"OpenSSL", r"OpenSSL", r"openssl\.org/source/license"),
     ("curl", "curl", r"curl", r"curl", r"curl\.(?:se|haxx\.se)/docs/copyright"),
-    ("ofl-1.1", "open font", r"(?:SIL\s+)?Open\s+Font", r"OFL-1\.1", r"scripts\.sil\.org/OFL"),
+    ("ofl-1.1", "font", r"(?:SIL\s+)?Open\s+Font", r"OFL-1\.1", r"scripts\.sil\.org/OFL"),
     ("ncsa", "ncsa", r"(?:University\s+of\s+Illinois/)?NCSA(?:\s+Open\s+Source)?", r"NCSA", r"opensource\.org/licenses?/ncsa"),
     ("ms-pl", "microsoft", r"Microsoft\s+Public", r"MS-PL", r"opensource\.org/licenses?/ms-pl"),
     ("ms-rl", "microsoft", r"Microsoft\s+Reciprocal", r"MS-RL", r"opensource\.org/licenses?/ms-rl"),
     ("afl-3.0", "academic", r"Academic\s+Free", r"AFL-3\.0", r"opensource\.org/licenses?/afl-3\.0"),
-    ("osl-3.0", "open software", r"Open\s+Software", r"OSL-3\.0", r"opensource\.org/licenses?/osl-3\.0"),
-    ("eupl", "european union", r"European\s+Union\s+Public", r"EUPL(?:-1\.[012])?", r"joinup\.ec\.europa\.eu/\S*eupl"),
+    ("osl-3.0", "open", r"Open\s+Software", r"OSL-3\.0", r"opensource\.org/licenses?/osl-3\.0"),
+    ("eupl", "european", r"European\s+Union\s+Public", r"EUPL(?:-1\.[012])?", r"joinup\.ec\.europa\.eu/\S*eupl"),
     ("cecill", "cecill", r"CeCILL(?:-[BC])?", r"CECILL(?:-[BC]|-[12]\.[01])?", r"cecill\.info"),
-    ("sspl", "server side", r"Server\s+Side\s+Public", r"SSPL-1\.0", r"mongodb\.com/licensing/server-side-public-license"),
+    ("sspl", "server", r"Server\s+Side\s+Public", r"SSPL-1\.0", r"mongodb\.com/licensing/server-side-public-license"),
     ("elastic-2.0", "elastic", r"Elastic", r"Elastic-2\.0", r"elastic\.co/licensing/elastic-license"),
-    ("upl-1.0", "universal permissive", r"Universal\s+Permissive", r"UPL-1\.0", r"oss\.oracle\.com/licenses/upl"),
+    ("upl-1.0", "permissive", r"Universal\s+Permissive", r"UPL-1\.0", r"oss\.oracle\.com/licenses/upl"),
     ("vim", "vim", r"Vim", r"Vim", r"vimhelp\.org/uganda"),
     ("w3c", "w3c", r"W3C(?:\s+Software(?:\s+Notice\s+and)?)?", r"W3C", r"w3\.org/Consortium/Legal"),
-    ("odbl-1.0", "open database", r"Open\s+Database", r"ODbL-1\.0", r"opendatacommons\.org/licenses/odbl"),
-    ("pddl-1.0", "public domain dedication", r"Public\s+Domain\s+Dedication\s+and", r"PDDL-1\.0", r"opendatacommons\.org/licenses/pddl"),
-    ("odc-by-1.0", "open data commons", r"Open\s+Data\s+Commons\s+Attribution", r"ODC-By-1\.0", r"opendatacommons\.org/licenses/by"),
+    ("odbl-1.0", "database", r"Open\s+Database", r"ODbL-1\.0", r"opendatacommons\.org/licenses/odbl"),
+    ("pddl-1.0", "dedication", r"Public\s+Domain\s+Dedication\s+and", r"PDDL-1\.0", r"opendatacommons\.org/licenses/pddl"),
+    ("odc-by-1.0", "commons", r"Open\s+Data\s+Commons\s+Attribution", r"ODC-By-1\.0", r"opendatacommons\.org/licenses/by"),
     ("cc0-1.0", "cc0", r"CC0(?:\s+1\.0)?(?:\s+Universal)?", r"CC0-1\.0", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by", "by", r"(?:Creative\s+Commons\s+Attribution|CC[ -]BY)(?:\s+[1-4]\.\d)?", r"CC-BY(?:-[1-4]\.\d)?", r"creativecommons\.org/licenses/by/"),
+    ("cc-by", "creative", r"Creative\s+Commons\s+Attribution(?:\s+[1-4]\.\d)?", r"", r""),
+    ("cc-by", "by", r"CC[ -]BY(?:\s+[1-4]\.\d)?", r"CC-BY(?:-[1-4]\.\d)?", r"creativecommons\.org/licenses/by/"),
     ("cc-by-sa", "sa", r"CC[ -]BY[ -]SA(?:[ -][1-4]\.\d)?", r"CC-BY-SA(?:-[1-4]\.\d)?", r"creativecommons\.org/licenses/by-sa/"),
     ("cc-by-nd", "nd", r"CC[ -]BY[ -]ND(?:[ -][1-4]\.\d)?", r"CC-BY-ND(?:-[1-4]\.\d)?", r"creativecommons\.org/licenses/by-nd/"),
     ("cc-by-nc", "nc", r"CC[ -]BY[ -]NC(?:[ -][1-4]\.\d)?", r"CC-BY-NC(?:-[1-4]\.\d)?", r"creativecommons\.org/licenses/by-nc/"),
     ("cc-by-nc-sa", "sa", r"CC[ -]BY[ -]NC[ -]SA(?:[ -][1-4]\.\d)?", r"CC-BY-NC-SA(?:-[1-4]\.\d)?", r"creativecommons\.org/licenses/by-nc-sa/"),
     ("cc-by-nc-nd", "nd", r"CC[ -]BY[ -]NC[ -]ND(?:[ -][1-4]\.\d)?", r"CC-BY-NC-ND(?:-[1-4]\.\d)?", r"creativecommons\.org/licenses/by-nc-nd/"),
-    ("proprietary", "rights reserved", r"all\s+rights\s+reserved,?\s+proprietary", r"LicenseRef-Proprietary", r""),
-    ("public-domain", "public domain", r"(?:released|dedicated|placed)\s+(?:in)?to\s+the\s+public\s+domain", r"LicenseRef-Public-Domain", r""),
+    ("proprietary", "reserved", r"all\s+rights\s+reserved,?\s+proprietary", r"LicenseRef-Proprietary", r""),
+    ("public-domain", "domain", r"(?:released|dedicated|placed)\s+(?:in)?to\s+the\s+public\s+domain", r"LicenseRef-Public-Domain", r""),
 ]
 
-# One of these is in every lower-cased text that a signature matches.
-GATE = ("licen", "spdx", "domain", "reserved", "opensource", "creativecommons", "cc by", "cc-by", "cc0", ".org", ".net", ".com", ".se/")
 _L, _R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Confidence of a label by the priority of the rule that found it.
 CONFIDENCE = {4: 0.98, 3: 0.9, 2: 0.75, 1: 0.6}
 
 
 def rules() -> list[dict]:
-    """The rules in order: gate keyword, pattern, label, priority (4 wins over 1)."""
+    """The rules in order: keyword, gates, pattern, label, priority (4 wins over 1).
+
+    Every match holds the keyword, and one of the gates, in lower case.
+    """
     made = []
     for label, keyword, name, short, address in SIGNATURES:
-        bare = re.search("[Ll]icen|public\\\\s\\+domain|reserved|CC|Unlicense", name) is not None
+        bare = re.search("[Ll]icen|public\\\\s\\+domain|reserved|CC|Creative|Unlicense", name) is not None
         full = name if bare else rf"{name}\s+(?:Public\s+)?Licen[cs]e"
+        if "licen" in full.lower():
+            gates = ("licen",)
+        else:
+            gates = ("cc by", "cc-by") if name.startswith("CC[ -]BY") else (keyword,)
         own = [
-            ("spdx", rf"{_L}SPDX-License-Identifier:\s*\(?{short}{_R}(?![.+-]\w)", 4),
-            (keyword, rf"{_L}(?:licensed|released|distributed|available|published|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:GNU\s+)?{full}{_R}", 3),
-            (keyword, rf"{_L}{full}{_R}", 2),
-            ("license", rf"{_L}Licen[cs]e\s*[:=]\s*[\"']?{short}{_R}(?![.+-]\w)", 3),
+            (keyword, gates, rf"{_L}(?:licensed|released|distributed|available|published|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:GNU\s+)?{full}{_R}", 3),
+            (keyword, gates, rf"{_L}{full}{_R}", 2),
         ]
+        if short:
+            own.insert(0, ("spdx", ("spdx",), rf"{_L}SPDX-License-Identifier:\s*\(?{short}{_R}(?![.+-]\w)", 4))
+            own.append(("license", ("licen",), rf"{_L}Licen[cs]e\s*[:=]\s*[\"']?{short}{_R}(?![.+-]\w)", 3))
         if address:
-            own.append((re.match(r"[a-z0-9]+", address)[0], rf"{_L}(?:https?://)?(?:www\.)?{address}", 2))
+            # the end of the host's name, with the slash where one follows
+            end = re.search(r"\\(\.[a-z]+)\)?(/|\Z)", address)
+            own.append((re.match(r"[a-z0-9]+", address)[0], (end[1] + end[2],), rf"{_L}(?:https?://)?(?:www\.)?{address}", 2))
         made += [
-            {"keyword": k, "pattern": "(?i)" + p, "label": label, "priority": n} for k, p, n in own
+            {"keyword": k, "gates": g, "pattern": "(?i)" + p, "label": label, "priority": n} for k, g, p, n in own
         ]
     return made
 
 
+def gate_words() -> list[str]:
+    """One of these is in every lower-cased text that a rule matches."""
+    words = {g for r in rules() for g in r["gates"]}
+    return sorted(w for w in words if not any(v in w for v in words - {w}))
+
+
 def _families() -> Column:
     """The rules as one constant array, grouped by gate keyword."""
     groups: dict[str, list] = {}
@@ -226,7 +244,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: str = "doc_id") ->
     place = rf"(?i)(?<={_BREAK})(?=(?:{alternatives})(?:{_BREAK}|\z))"
     out = docs.select(F.col(keep), t.alias("_t"), F.lower(t).alias("_low"))
     gated = F.lit(False)
-    for word in GATE:
+    for word in gate_words():
         gated = gated | F.contains("_low", F.lit(word))
     out = out.withColumn("n_words", F.regexp_count("_t", F.lit(_WORD)).cast("long"))
     # the parts of a text that start at a base phrase, after the part before the first

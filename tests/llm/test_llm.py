@@ -232,6 +232,64 @@ def test_license_rules_brute_force(spark):
         assert set(filter(None, r.labels.split(","))) == kept | set(filter(None, r.base_labels.split(","))), texts[i]
 
 
+def examples(parsed, space):
+    """Texts a parsed pattern matches: each branch once, each option with and without, ``space`` for white space."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "IN":
+            kinds = [(str(k), v) for k, v in arg]
+            some = [space] if any(v == re._constants.CATEGORY_SPACE for k, v in kinds if k == "CATEGORY") else [chr(v) for k, v in kinds if k == "LITERAL"] or ["1" if kinds[0][0] == "RANGE" else "x"]
+        elif op == "SUBPATTERN":
+            some = examples(arg[3], space)
+        elif op == "BRANCH":
+            some = [x for branch in arg[1] for x in examples(branch, space)]
+        elif op == "MAX_REPEAT":
+            some = ([""] if arg[0] == 0 else []) + examples(arg[2], space)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+            some = [""]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def ungated(text):
+    """Labels of the rules' matches that no other detection covers, with no keyword and no gate asked for."""
+    found = []
+    for rule in licenses.rules():
+        pattern = rule["pattern"].replace(r"\p{L}\p{N}", "a-zA-Z0-9À-ÿ")
+        found += [(m.start(), m.end(), rule["priority"], rule["label"]) for m in re.finditer(pattern, text)]
+    covers = lambda b, a: b != a and b[0] <= a[0] and b[1] >= a[1] and b[2] >= a[2] and (b[:3] != a[:3] or b[3] < a[3])
+    return {a[3] for a in found if not any(covers(b, a) for b in found)}
+
+
+def test_license_gates_hold_in_every_match():
+    words = licenses.gate_words()
+    for rule in licenses.rules():
+        parsed = re._parser.parse(rule["pattern"].replace(r"\p{L}\p{N}", "a-zA-Z0-9"))
+        for space in (" ", "\n", "\r\n  "):
+            for text in examples(parsed, space):
+                low = text.lower()
+                assert re.search(r"licen[cs]e\s*[:=]", low) if rule["keyword"] == "license" else rule["keyword"] in low, (rule, text)
+                assert any(g in low for g in rule["gates"]) and any(w in low for w in words), (rule, text)
+
+
+def test_license_rules_without_gates(spark):
+    texts = [
+        "Common\nDevelopment and Distribution License", "SIL Open\nFont License", "released into the public\n domain", "the Business\n  Source License 1.1",
+        "the Server\nSide Public License", "the European\nUnion Public Licence", "Universal\tPermissive License", "Open\nDatabase License", "Open\nSoftware License",
+        "Public\nDomain Dedication and License", "Open Data\nCommons Attribution License", "all rights\nreserved, proprietary", "do what the f you want\nto public license",
+        "Common\nPublic License", "Expat License", "licensed under the X11\nLicense", "Creative Commons Attribution 4.0", "Creative\nCommons\nAttribution", "CC BY 4.0, CC-BY-SA 3.0",
+        "http://www.cecill.info/licences", "https://joinup.ec.europa.eu/collection/eupl", "www.elastic.co/licensing/elastic-license", "curl.se/docs/copyright", "unlicense.org", "plain words",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for i, r in by_id(licenses.scan_licenses(frame)).items():
+        assert set(filter(None, r.labels.split(","))) == ungated(texts[i]) | set(filter(None, r.base_labels.split(","))), texts[i]
+        assert bool(r.labels) == (texts[i] != "plain words"), texts[i]
+
+
 def test_licenses_odd(odd, empty):
     assert licenses.scan_licenses(odd).count() == len(ODD)
     assert licenses.scan_licenses(empty).count() == 0
