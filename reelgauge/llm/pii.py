@@ -26,10 +26,20 @@ FORMS = {
     "ssn": rf"(?<![\p{{L}}\p{{N}}-])\d{{3}}-\d{{2}}-\d{{4}}{_A}(?!-\d)",
     "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}}){_A}",
     "iban": rf"{_B}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_A}",
-    "card": rf"(?<![\p{{L}}\p{{N}}.-])\d(?:[ -]?\d){{12,18}}{_A}(?!-\d)",
+    "card": rf"(?<![\p{{L}}\p{{N}}.-])(?:\d(?:[ -]?\d){{12,18}}{_A}(?!-\d)|\d{{4}}(?:-\d{{4}}){{3}}{_A})",
 }
-#: Dates permuted among each other: this many days from 1900-01-01 on, as 256 times 285.
+#: Days permuted among each other: blocks of 256 times 285 counted from 1900-01-01, and what
+#: is left of the years 1 to 9999 before (95 times 389) and after (64 times 626) whole blocks.
 FIRST_DAY, DATE_RADIX = "1900-01-01", (256, 285)
+EARLY_DAYS, EARLY_RADIX = -693_595, (95, 389)
+LATE_DAYS, LATE_RADIX = 2_918_400, (64, 626)
+#: Length of a bank account by country; others are tried at every length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def _power(digits: Column) -> Column:
@@ -108,6 +118,54 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _prefixes(hit: Column, least: int) -> Column:
+    """The prefixes of ``hit`` that end with a whole group of letters and digits, longest first."""
+    size = F.length(hit)
+    ends = F.filter(
+        F.sequence(size, F.least(F.lit(least), size), F.lit(-1)),
+        lambda n: F.substring(hit, n, F.lit(1)).rlike("[A-Z0-9]") & ~F.substring(hit, n + 1, F.lit(1)).rlike("[A-Z0-9]"),
+    )
+    return F.transform(ends, lambda n: F.substring(hit, F.lit(1), n))
+
+
+def _card_in(hit: Column) -> Column:
+    """The card that ``hit`` is or starts with; null without one.
+
+    A card of an issuer with one length has that length, whatever digits follow; then come
+    the whole hit, and the lengths other issuers use, longest first.
+    """
+    own = r"^(?:4\d{15}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13})$"
+    other = r"^(?:4(?:\d{12}|\d{18})|3[0689]\d{12,17}|35\d{14,17}|(?:5[0678]|6\d)\d{11,17})$"
+
+    def rank(p: Column) -> Column:
+        return _once(_digits(p), lambda d: F.when(
+            d.rlike(r"^\d{13,19}$") & (_luhn_sum(d, False) % 10 == 0),
+            F.when(d.rlike(own), 0).when(p == hit, 1).when(d.rlike(other), 2),
+        ))
+
+    return _first(_prefixes(hit, 13), rank)
+
+
+def _iban_in(hit: Column) -> Column:
+    """The bank account that ``hit`` is or starts with, of its country's length at first; null without one."""
+    own = "^(?:" + "|".join(rf"(?:{names.replace(' ', '|')}).{{{n - 2}}}" for n, names in IBAN_LENGTHS.items()) + ")$"
+    known = f"^(?:{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})"
+
+    def rank(p: Column) -> Column:
+        return _once(F.replace(p, F.lit(" "), F.lit("")), lambda s: F.when(
+            _mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, F.lit(1), F.lit(4)))) == 1,
+            F.when(s.rlike(own), 0).when(p == hit, 1).when(~s.rlike(known), 2),
+        ))
+
+    return _first(_prefixes(hit, 12), rank)
+
+
+def _first(values: Column, rank) -> Column:
+    """The first of the values of the lowest rank; null ranks do not count."""
+    ranked = F.transform(values, lambda v, i: F.struct(rank(v).alias("rank"), i.alias("place"), v.alias("value")))
+    return F.array_min(F.filter(ranked, lambda r: r["rank"].isNotNull()))["value"]
+
+
 def _card(hit: Column, key: str) -> Column:
     def made(d: Column) -> Column:
         body = feistel_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
@@ -144,11 +202,21 @@ def _date(hit: Column, key: str) -> Column:
             y, m, d = v["y"], v["m"], v["d"]
             leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
             last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-            valid = m.between(1, 12) & d.between(1, last) & y.between(1900, 2099)
+            valid = m.between(1, 12) & d.between(1, last) & (y >= 1)
             days = F.datediff(F.make_date(y, m, d), F.to_date(F.lit(FIRST_DAY)))
-            a, b = DATE_RADIX
-            pair = lambda n: feistel_numbers(F.floor(n / b), n % b, F.lit(a), F.lit(b), key, "date")
-            back = lambda q: F.date_add(F.to_date(F.lit(FIRST_DAY)), (q["left"] * b + q["right"]).cast("int"))
+            size = DATE_RADIX[0] * DATE_RADIX[1]
+            # no whole block starts before day EARLY_DAYS + 95 * 389
+            early, late = EARLY_DAYS + EARLY_RADIX[0] * EARLY_RADIX[1], LATE_DAYS
+
+            def block(n: Column) -> Column:
+                """The day its block starts with, the day's place in it, and the block's radices."""
+                radix = lambda i: F.when(n < early, EARLY_RADIX[i]).when(n >= late, LATE_RADIX[i]).otherwise(DATE_RADIX[i])
+                start = F.when(n < early, EARLY_DAYS).otherwise(F.floor(n / size) * size)
+                return F.struct(start.alias("start"), (n - start).alias("n"), radix(0).alias("a"), radix(1).alias("b"))
+
+            def back(k: Column) -> Column:
+                pair = feistel_numbers(F.floor(k["n"] / k["b"]), k["n"] % k["b"], k["a"], k["b"], key, "date")
+                return _once(pair, lambda q: F.date_add(F.to_date(F.lit(FIRST_DAY)), (k["start"] + q["left"] * k["b"] + q["right"]).cast("int")))
 
             def written(day: Column) -> Column:
                 short = F.length(first) + F.length(second) < 4
@@ -160,7 +228,7 @@ def _date(hit: Column, key: str) -> Column:
                     .otherwise(F.concat_ws("|", dd, mm, yy))
                 )
 
-            result = _once(days, lambda n: F.when(n < a * b, _once(_once(pair(n), back), written)))
+            result = _once(_once(_once(days, block), back), written)
             return F.when(valid, F.replace(result, F.lit("|"), mark))
 
         return _once(n, moved)
@@ -218,16 +286,44 @@ def _secret(hit: Column, key: str) -> Column:
 _MAKE = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "iban": _iban, "card": _card}
 
 
+#: What a hit that may run on into other text is cut to.
+_CUT = {"iban": _iban_in, "card": _card_in}
+
+
 def _replaced(hit: Column, key: str) -> Column:
-    """struct(kind, value, pseudonym); kind and pseudonym are null where no check passes."""
-    tried = F.array(*(
-        F.struct(F.lit(kind).alias("kind"), hit.alias("value"), F.when(hit.rlike(rf"\A(?:{FORMS[kind]})\z"), make(hit, key)).alias("pseudonym"))
-        for kind, make in _MAKE.items()
-    ))
-    return F.coalesce(
-        F.get(F.filter(tried, lambda x: x["pseudonym"].isNotNull()), F.lit(0)),
-        F.struct(F.lit(None).cast("string").alias("kind"), hit.alias("value"), F.lit(None).cast("string").alias("pseudonym")),
-    )
+    """struct(kind, value, pseudonym) of the value that ``hit`` starts with; null where no check passes."""
+    def made(kind: str, make) -> Column:
+        value = F.when(hit.rlike(rf"\A(?:{FORMS[kind]})\z"), _CUT.get(kind, lambda h: h)(hit))
+        return _once(value, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.when(v.isNotNull(), make(v, key)).alias("pseudonym")))
+
+    tried = F.array(*(made(kind, make) for kind, make in _MAKE.items()))
+    return F.get(F.filter(tried, lambda x: x["pseudonym"].isNotNull()), F.lit(0))
+
+
+def _pieces(parts: Column, values: Column) -> Column:
+    """The text in order: array of struct(kind, value, pseudonym), the last null for what stays.
+
+    ``parts`` is the text cut where a hit starts, ``values`` what ``_replaced`` found at those
+    places.  A value covers the places inside it; those of a failed hit are open.
+    """
+    shape = "array<struct<kind: string, value: string, pseudonym: string>>"
+    plain = lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value"), F.lit(None).cast("string").alias("pseudonym"))
+
+    def step(acc: Column, x: Column) -> Column:
+        part, found, covered = x["part"], x["found"], acc["covered"]
+        taken = F.when((covered == 0) & found.isNotNull(), found)
+        ahead = _once(taken, lambda v: F.when(v.isNotNull(), F.length(v["value"])).otherwise(covered))
+        rest = plain(F.substring(part, ahead + 1, F.length(part)))
+        return F.struct(
+            F.greatest(ahead - F.length(part), F.lit(0)).alias("covered"),
+            F.concat(acc["out"], F.filter(F.array(taken, rest), lambda v: v.isNotNull() & (v["value"] != ""))).alias("out"),
+        )
+
+    # without a hit at the very start, the first part is before all hits
+    lead = F.size(parts) - F.size(values)
+    pairs = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.get(values, i - lead).alias("found")))
+    start = F.struct(F.lit(0).alias("covered"), F.array().cast(shape).alias("out"))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", found: str = "pii") -> DataFrame:
@@ -235,24 +331,25 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", fo
 
     ``found`` holds struct(kind, value, pseudonym) of every replaced value in text order.
     Null texts stay null and empty ones empty, both with an empty ``found``; values that
-    fail their check stay as they are; repeated rows are treated alike.  A column already
+    fail their check stay as they are, and values inside or behind them are still found;
+    dates of the years 1 to 9999 count; repeated rows are treated alike.  A column already
     called ``found`` is an error.  No row moves.
     """
     if found in docs.columns:
         raise ValueError(f"column {found} exists; name another one")
     t = F.col(text)
-    any_form = "|".join(FORMS.values())
+    # every place where a form matches is looked at, also those inside another hit
+    any_form = f"(?=({'|'.join(FORMS.values())}))"
     shape = "array<struct<kind: string, value: string, pseudonym: string>>"
     hits = F.when(
         t.rlike(r"@|\d\D?\d|AKIA|[=:]\s?\"?[A-Za-z0-9+/_-]{8}"),
-        F.transform(F.regexp_extract_all(t, F.lit(any_form), F.lit(0)), lambda h: _replaced(h, key)),
+        F.transform(F.regexp_extract_all(t, F.lit(any_form), F.lit(1)), lambda h: _replaced(h, key)),
     ).otherwise(F.array().cast(shape))
     out = docs.withColumn("__pii_hits", hits)
-    gaps = F.split(t, any_form, -1)
-    rewritten = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(
-        g, F.coalesce(F.get(F.col("__pii_hits"), i)["pseudonym"], F.get(F.col("__pii_hits"), i)["value"], F.lit("")),
-    ))), "")
+    some = F.exists("__pii_hits", lambda x: x.isNotNull())
+    out = out.withColumn("__pii_pieces", F.when(some, _pieces(F.split(t, any_form, -1), F.col("__pii_hits"))).otherwise(F.array().cast(shape)))
+    rewritten = F.array_join(F.transform("__pii_pieces", lambda x: F.coalesce(x["pseudonym"], x["value"])), "")
     return out.select(
-        *(F.when(F.size("__pii_hits") > 0, rewritten).otherwise(t).alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.filter(F.coalesce("__pii_hits", F.array().cast(shape)), lambda x: x["pseudonym"].isNotNull()).alias(found),
+        *(F.when(F.size("__pii_pieces") > 0, rewritten).otherwise(t).alias(c) if c == text else F.col(c) for c in docs.columns),
+        F.filter("__pii_pieces", lambda x: x["pseudonym"].isNotNull()).alias(found),
     )

@@ -317,6 +317,35 @@ def test_pii(spark):
     assert by_id(pii.pseudonymise(frame, key="other"))[1].text != found[1].text
 
 
+def test_pii_before_and_after_other_text(spark):
+    card, amex, at, be = "4111 1111 1111 1111", "3782 822463 10005", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034"
+    gb = "GB82 WEST 1234 5698 7654 32"
+    texts = [
+        (f"{card} 12/26", [card]), (f"{card} 123", [card]), (f"{card} 1 2 3 4", [card]), (f"12 {card}", [card]), (f"{amex} 1234 x", [amex]), ("4111111111111111 07", ["4111111111111111"]),
+        ("4111-1111-1111-1111-2026", ["4111-1111-1111-1111"]), (f"{card} 5555 5555 5555 4444", [card, "5555 5555 5555 4444"]), (f"{at} BIC GIBAATWW", [at]), (f"{be} 2024", [be]),
+        (f"{be} {card}", [be, card]), (f"{at} {be} {gb} THE END", [at, be, gb]), (f"REF AT12 {be} OK", [be]), (f"{gb} {card} 2030-01-31", [gb, card, "2030-01-31"]),
+        (f"é😀 {be} 2024 😀 {card} 99", [be, card]), ("12/31/1899 and 0001-01-01, 9999-12-31 or 2099-10-05", ["12/31/1899", "0001-01-01", "9999-12-31", "2099-10-05"]),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string")
+    pseudonyms = defaultdict(set)
+    for i, r in by_id(pii.pseudonymise(frame)).items():
+        text, values = texts[i]
+        assert [p.value for p in r.pii] == values, text
+        for p in r.pii:
+            assert p.pseudonym != p.value and len(p.pseudonym) == len(p.value)
+            text = text.replace(p.value, p.pseudonym)
+            pseudonyms[p.value].add(p.pseudonym)
+        assert r.text == text
+    assert all(len(p) == 1 for p in pseudonyms.values())
+
+
+def test_pii_dates_are_a_permutation(spark):
+    for first, n in (("0001-01-01", 95 * 389), ("9890-04-23", 64 * 626)):
+        days = spark.range(n).select(F.date_format(F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+        moved = days.select(pii._date(F.col("d"), "k").alias("p"), "d").cache()
+        assert moved.select("p").distinct().count() == n and moved.select("p").exceptAll(days.select("d")).count() == 0, first
+
+
 def test_feistel_is_a_permutation(spark):
     four = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d")).select(pii.feistel_digits(F.col("d"), "k", "t").alias("p"))
     assert four.distinct().count() == 10_000 and four.filter("length(p) <> 4").count() == 0
