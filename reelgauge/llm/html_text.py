@@ -37,13 +37,22 @@ IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-# Words in class, id or role that mark what is not the article.
+# Words of a class or id that mark what is not the article ...
 CLUTTER = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar aside "
-    "menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay alert "
-    "comment comments commentlist respond reply replies disqus discussion footer masthead topbar share sharing social related "
-    "recommended newsletter subscribe signup login search widget widgets toolbar pagination pager contentinfo complementary dialog".split()
+    "ad ads adv advert adverts advertisement advertisements sponsor sponsored promo banner sidebar menu nav navbar breadcrumb breadcrumbs "
+    "cookie cookies popup comment comments commentlist disqus footer masthead topbar newsletter widget widgets toolbar pagination pager".split()
 )
+# ... those that also name a part of an article, which count only beside another word ...
+AMBIGUOUS = frozenset(
+    "advertising promotion aside navigation consent gdpr notice notices modal overlay alert respond reply replies discussion share sharing "
+    "social related recommended subscribe signup login search contentinfo complementary dialog".split()
+)
+# ... and the words beside them that change nothing.  Any other word leaves it to the ratios.
+FURNITURE = frozenset(
+    "area bar block bottom box button buttons container footer form global header holder icons inner item items left link links list "
+    "outer panel post posts primary right section secondary site slot sticky sub top unit wrap wrapper".split()
+)
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,7 +61,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؛،]")
@@ -64,33 +73,61 @@ SMOOTHING = (1.0, 0.6, 0.25)
 
 
 class _Open:
-    """An open element: its tag, path, and whether it lies outside the article."""
+    """An open element: its tag, path, and whether it lies outside the article.
 
-    __slots__ = ("article", "out", "path", "tag")
+    ``out`` is final; ``mark`` is that of the innermost element, itself or around it, that
+    is out by its words alone: a list of whether it still is, and of the mark around it.
+    """
 
-    def __init__(self, tag: str, path: str, out: bool, article: str):
-        self.tag, self.path, self.out, self.article = tag, path, out, article
+    __slots__ = ("article", "mark", "nested", "out", "path", "tag")
 
+    def __init__(self, tag: str, path: str, out: bool, article: str, mark: list | None, nested: bool):
+        self.tag, self.path, self.out, self.article, self.mark, self.nested = tag, path, out, article, mark, nested
 
-def _clutter(tag: str, attrs: str, parent: _Open) -> bool:
-    if tag in NEVER or (tag == "header" and not parent.article):
-        return True
+
+def _attributes(attrs: str) -> dict[str, str]:
+    """Name and value pairs, both in lower case; of a repeated name the first counts."""
+    found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(attrs):
-        value, name = "".join(values).lower(), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif name in ("class", "id", "role") and tag not in ("html", "body") and not CLUTTER.isdisjoint(_WORD.findall(value)):
+        found.setdefault(name.lower(), "".join(values).lower())
+    return found
+
+
+def _hidden(tag: str, attrs: dict[str, str], parent: _Open) -> bool:
+    """Never part of an article, whatever it holds."""
+    return (
+        (tag in NEVER and tag != "form")
+        or (tag == "header" and not parent.article)
+        or "hidden" in attrs
+        or attrs.get("aria-hidden") == "true"
+        or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")) is not None
+    )
+
+
+def _clutter(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether a form, the role or a whole name in class or id tells that it is not the article."""
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "form" or not ROLES.isdisjoint(attrs.get("role", "").split()):
+        return True
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = _WORD.findall(name)
+        sure, other = not CLUTTER.isdisjoint(words), not AMBIGUOUS.isdisjoint(words) and len(words) > 1
+        if (sure or other) and all(w in CLUTTER or w in AMBIGUOUS or w in FURNITURE for w in words):
             return True
     return False
 
 
 def blocks(html: str) -> list[dict]:
-    """Blocks of text in page order, each with its path, link share and place."""
-    stack = [_Open("", "", False, "")]
+    """Blocks of text in page order, each with its path, link share and place.
+
+    ``out`` blocks are never the article; ``soft`` ones are out by words.  An element that
+    holds ``main`` is not soft, nor one that holds an article while all articles are in such.
+    """
+    stack = [_Open("", "", False, "", None, False)]
     found: list[dict] = []
+    made: list[list] = []
+    holders: dict[str, list] = {"main": [], "article": []}
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -101,7 +138,7 @@ def blocks(html: str) -> list[dict]:
             top = stack[-1]
             found.append(
                 {
-                    "text": text, "tag": top.tag, "path": top.path, "out": top.out, "article": top.article,
+                    "text": text, "tag": top.tag, "path": top.path, "out": top.out, "soft": top.mark, "article": top.article,
                     "parent": stack[-2].path if len(stack) > 1 else "", "links": min(linked, len(text)),
                 }
             )
@@ -153,11 +190,27 @@ def blocks(html: str) -> list[dict]:
         links = 0
         parent = stack[-1]
         path = f"{parent.path}/{tag}"
-        out = parent.out or _clutter(tag, token["attrs"], parent)
+        attrs = _attributes(token["attrs"])
+        out, mark = parent.out or _hidden(tag, attrs, parent), parent.mark
         article = parent.article or (path if tag in ("article", "main") else "")
-        stack.append(_Open(tag, path, out, article))
+        kind = tag if tag in holders else attrs.get("role", "")
+        # an article of its own is not judged by its words; one among comments or in another one is
+        if kind != "main" and (kind != "article" or parent.nested or mark) and _clutter(tag, attrs):
+            mark = [True, mark]
+            made.append(mark)
+        elif kind in holders and not out and not (kind == "article" and parent.nested):
+            holders[kind].append(mark)
+        stack.append(_Open(tag, path, out, article, mark, parent.nested or tag == "article"))
     flush()
-    return found
+    for kind, marks in holders.items():
+        if kind == "main" or all(m and m[0] for m in marks):
+            for mark in marks:
+                while mark and mark[0]:
+                    mark[0], mark = False, mark[1]
+    # from the outside in; what is around a mark was made before it
+    for mark in made:
+        mark[0] = mark[0] or bool(mark[1] and mark[1][0])
+    return [b | {"soft": bool(b["soft"] and b["soft"][0])} for b in found]
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -175,7 +228,10 @@ def _smoothed(values: list[float]) -> list[float]:
 
 def content(found: list[dict], threshold: float = THRESHOLD) -> list[dict]:
     """The blocks of the article."""
-    kept = [b for b in found if not b["out"]]
+    kept = [b for b in found if not b["out"] and not b["soft"]]
+    if all(b["links"] == len(b["text"]) for b in kept):
+        # nothing else is left: words alone do not empty a page
+        kept = [b for b in found if not b["out"]]
     if not kept:
         return []
     length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)

@@ -441,6 +441,25 @@ def test_page_clutter(spark):
     assert len(found) == 6
 
 
+def test_page_names_that_hold_a_clutter_word():
+    story = "<p>The first part, told at length; it goes on and on, as stories do.</p><p>The second part, told too; and then, at last, it ends.</p>"
+    first, second = "The first part, told at length; it goes on and on, as stories do.", "The second part, told too; and then, at last, it ends."
+    whole = f"{first}\n\n{second}"
+    nav = "<div class='nav'><a href=x>Home</a></div>"
+    for opening in (
+        "<div class='content has-sidebar'>", "<div class='content-sidebar-wrap'>", "<div class='post with-comments'>", "<section id='discussion'>", "<div data-id='comment-5'>",
+        "<div data-hidden='false'>", "<div title='The hidden cost'>", "<div data-class='ad'>", "<article class='post sidebar'>", "<div class='sidebar'><article>",
+        "<div id='widget'><main>", "<form id='aspnet'><div><article>", "<div class='sidebar'><div role='main'>", "<div class='widget'>",
+    ):
+        assert html_text.main_text(f"<html><body>{nav}{opening}{story}") == whole, opening
+    for other in (
+        "<div class='comments-area'>", "<div id='comment-5'>", "<div class='box cookie-notice'>", "<div class='related-posts'>", "<div class='sidebar'><article>", "<div id=comments><article class=comment>",
+        "<div hidden>", "<div role=complementary>", "<div style='display: none'>", "<div class=ad>", "<aside>", "<form>",
+    ):
+        page = f"<html><body>{nav}<article>{story}</article>{other}<p>Something else, said by someone else; it is not, at all, part of it.</p>"
+        assert html_text.main_text(page) == whole, other
+
+
 # --- 8 toxicity ---------------------------------------------------------------
 
 
