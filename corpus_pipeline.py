@@ -36,16 +36,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Rows without words have no group and stay; of repeated rows of one id one stays.
+    Rows without words have no group and stay; of repeated rows, those of one id and one
+    set of shingles, one stays.  Null ids come last and are told apart by their texts.
     """
-    found = ngram_join.near_duplicates(docs)
-    first = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    alone = found.filter("n_shingles = 0").select("doc_id").distinct()
-    kept = first.union(alone).distinct()
-    rank = F.row_number().over(_by_id())
-    # the key may repeat or be null, so rows are numbered within an id
-    out = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    docs = docs.select(*COLUMNS)
+    found = ngram_join.near_duplicates(docs, classed=True)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("first")
+    first = found.filter("n_shingles > 0").groupBy("root").agg(least).select("first.doc_id", "first.cls")
+    kept = first.union(found.filter("n_shingles = 0").select("doc_id", "cls").distinct())
+    # ids that name one text need no look at it
+    many = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("cls").alias("n"), F.count("*").alias("all"))
+    many = many.filter("a <> b or n > 0 and n < all").select("doc_id")
+    out = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").join(many, "doc_id", "left_anti")
+    out = out.withColumn("_rank", F.row_number().over(_by_id())).filter("_rank = 1").select(*COLUMNS)
+    if found.filter("doc_id is null").isEmpty() and many.isEmpty():
+        return out
+    doubtful = docs.filter("doc_id is null").union(docs.join(many, "doc_id", "left_semi").select(*COLUMNS))
+    doubtful = ngram_join.with_class(doubtful).withColumn("_plain", F.when(F.col("cls").isNull(), F.col("text")))
+    one = doubtful.groupBy("doc_id", "cls", "_plain").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("_row"))
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"))
+    one = one.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("cls").eqNullSafe(F.col("_cls")), "left_semi")
+    return out.union(one.select("doc_id", "_row.*").select(*COLUMNS))
 
 
 def _by_id():

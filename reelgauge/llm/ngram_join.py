@@ -254,10 +254,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent: np.ndarray, size: in
         kept: dict[int, np.ndarray] = {}
 
         def sets(keys: list[int], values: list[str]) -> None:
-            missing = {k: t for k, t in zip(keys, values, strict=True) if k not in kept}
-            for k, s in zip(missing, shingle_sets(list(missing.values()), size), strict=True):
-                # two rows of one id may differ: only the one with the class's own set counts
-                kept[k] = s if signature(s)[0] == k else np.zeros(0, np.uint64)
+            missing = list(dict.fromkeys((k, t) for k, t in zip(keys, values, strict=True) if not len(kept.get(k, ()))))
+            for (k, _), s in zip(missing, shingle_sets([t for _, t in missing], size), strict=True):
+                # rows of one id may differ: the first with the class's own set counts
+                if not len(kept.get(k, ())):
+                    kept[k] = s if signature(s)[0] == k else np.zeros(0, np.uint64)
 
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -353,17 +354,33 @@ def _meetings(open_: DataFrame, marks: DataFrame, number: int, percent: int) ->
     return met.groupBy(F.col("cls").alias("a")).agg(F.max_by("low", F.struct("share", "low")).alias("b"))
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
-    """cls, text of one document of each class that a pair names.
+def with_class(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """All columns of ``docs`` and ``cls``, the class of the text; null for a text without words."""
+    place = docs.columns.index("text")
+    schema = docs.withColumn("cls", F.lit(None).cast("bigint")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = [signature(s)[0] if len(s) else None for s in shingle_sets(batch.column(place).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.int64())], [*batch.schema.names, "cls"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, nameless: DataFrame | None, tables: Tables) -> DataFrame:
+    """cls, text of one document of each class that a pair names; ``nameless``: those of null ids only.
 
     A list of ids short enough by count goes to the documents; a longer one meets them in a shuffle.
     """
     needed = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
     wanted = tables.keep(classes.join(needed, "s1", "left_semi").select(F.col("rep").alias("doc_id"), F.col("s1").alias("cls")))
-    return tables.keep(docs.join(F.broadcast(wanted) if fits(wanted) else wanted, "doc_id").select("cls", "text"))
+    texts = docs.join(F.broadcast(wanted) if fits(wanted) else wanted, "doc_id").select("cls", "text")
+    if nameless is not None:
+        texts = texts.union(nameless.join(needed.select(F.col("s1").alias("cls")), "cls", "left_semi"))
+    return tables.keep(texts)
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, classed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
     Words are runs without ASCII white space, A-Z in lower case; a text of fewer than
@@ -371,7 +388,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     Two rows are linked when ``100 * common >= percent * union`` of their sets;
     ``component_id`` is the smallest doc_id reachable, its own included.  Repeated rows
     are linked and each has its row; other columns are ignored; null ids never are the
-    smallest while another id is there.
+    smallest while another id is there.  ``classed`` adds the class of the row's text and
+    the root of its component, which tell rows of null or repeated ids apart.
     """
     docs = docs.select("doc_id", "text")
     with Tables(docs.sparkSession) as tables:
@@ -381,6 +399,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         frequent = _frequent(first.filter(F.col("part").isNotNull()), total)
         kept = first.filter("part is null and n > 0").groupBy("s1", "s2", "n")
         classes = tables.keep(kept.agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in _MARKS)))
+        nameless = None
+        if not classes.filter("rep is null").isEmpty():
+            own = classes.filter("rep is null").select(F.col("s1").alias("cls"))
+            nameless = with_class(docs.filter("doc_id is null"), size).join(own, "cls", "left_semi")
+            nameless = tables.keep(nameless.groupBy("cls").agg(F.min("text").alias("text")))
         # tokens that more than one class has in its prefix, and the first such class
         token = Window.partitionBy("token")
         prefixes = _prefix_rows(docs, frequent, size, percent).select(
@@ -395,7 +418,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         met = met.filter(_enough(4 * F.col("common"), "n", "low_n", percent))
         best = met.groupBy("cls").agg(F.max_by("low", F.struct("common", "low")).alias("low"))
         pairs = tables.keep(best.select(F.col("cls").alias("a"), F.col("low").alias("b")))
-        texts = _texts_of(pairs, docs, classes, tables)
+        texts = _texts_of(pairs, docs, classes, nameless, tables)
         links = tables.keep(_verified(pairs, texts, frequent, size, percent))
         roots = forest_roots(links, tables)
         # then those that share a token but no component yet: one partner a round, and at last all
@@ -403,7 +426,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         marks = classes.select(F.col("s1").alias("cls"), *_MARKS)
         for number in range(MEETINGS):
             pairs = tables.keep(_meetings(open_, marks, number, percent))
-            links = tables.keep(_verified(pairs, _texts_of(pairs, docs, classes, tables), frequent, size, percent))
+            links = tables.keep(_verified(pairs, _texts_of(pairs, docs, classes, nameless, tables), frequent, size, percent))
             if not links.isEmpty():
                 roots = _merged(roots, links, tables)
                 open_ = _still_open(open_, roots, tables)
@@ -414,13 +437,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         rest = a.join(b, "token").filter(apart & _sizes_fit("na", "nb", percent) & _bits_allow("na", "nb", percent) & _more_bits_allow("na", "nb", percent))
         rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
         rest = tables.keep(rest.filter(_enough(F.col("common"), "na", "nb", percent)).select("a", "b"))
-        more = tables.keep(_verified(rest, _texts_of(rest, docs, classes, tables), frequent, size, percent))
+        more = tables.keep(_verified(rest, _texts_of(rest, docs, classes, nameless, tables), frequent, size, percent))
         if not more.isEmpty():
             roots = _merged(roots, more, tables)
         # components by the smallest document of their classes
         known = classes.join(roots.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
         known = tables.keep(known)
         lowest = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = known.join(lowest, "root").select("s1", "s2", "n", "component_id")
+        named = known.join(lowest, "root").select("s1", "s2", "n", "component_id", "root")
         out = rows.join(named, ["s1", "s2", "n"], "left")
-        return materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+        more = [F.when(F.col("n") > 0, F.col("s1")).alias("cls"), "root"] if classed else []
+        return materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more))

@@ -162,6 +162,33 @@ def test_near_duplicates_odd(odd, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(300)]
+    text = lambda a, b, *more: " ".join([*words[a:b], *more])
+    rows = [
+        (None, text(0, 60)), (None, text(0, 60, "end")), (None, text(70, 100)), (None, text(70, 100)), (None, text(110, 140)), (1, text(110, 140)),
+        (2, text(150, 180)), (5, text(150, 180)), (5, text(200, 230)), (7, text(240, 270)), (7, text(240, 270)), (None, ""), (None, "!"), (9, None),
+    ]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = ngram_join.near_duplicates(frame, classed=True).collect()
+    assert len({r.root for r in found if r.root is not None}) == 7 and len(found) == len(rows)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, frame, SF).collect()]
+    assert len(kept) == len(set(kept)) == 9
+    assert {(None, text(70, 100)), (1, text(110, 140)), (2, text(150, 180)), (5, text(200, 230)), (7, text(240, 270)), (None, ""), (None, "!"), (9, None)} < set(kept)
+    assert len({(None, text(0, 60)), (None, text(0, 60, "end"))} & set(kept)) == 1
+
+
+def test_verification_takes_the_text_of_the_class(spark):
+    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten "
+    near = " ".join([a] + [f"x{i}" for i in range(60)])
+    close = f"{near} end"
+    key = lambda t: int(ngram_join.signature(next(iter(ngram_join.shingle_sets([t], ngram_join.SHINGLE))))[0])
+    pairs = spark.createDataFrame([(key(near), key(close))], "a long, b long")
+    for texts in ([near, b], [b, near]):
+        table = spark.createDataFrame([(key(near), t) for t in texts] + [(key(close), close)], "cls long, text string").coalesce(1)
+        assert ngram_join._verified(pairs, table, np.zeros(1 << ngram_join.SKETCH_BITS, bool), ngram_join.SHINGLE, 80).distinct().count() == 1
+
+
 def test_prefix_counts_never_lose_a_pair():
     rng = np.random.default_rng(1)
     late = rng.random(1 << ngram_join.SKETCH_BITS) < 0.1
