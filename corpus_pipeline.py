@@ -29,7 +29,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: ``und`` goes, as has no letter to go by."""
+    """Documents with a letter: only ``und``, a text without any, goes.
+
+    Each other text gets the language the model finds likeliest, and no score is too low.
+    """
     return langid.keep_known(docs.select(*COLUMNS), langid.fit_documents(docs))
 
 

@@ -193,9 +193,9 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with all their columns, in place.
+    """The rows of ``docs`` that have a letter, with all their columns, in place.
 
-    Without a model, those that have a letter.
+    With or without a model these are the same: a model names a language for each of them.
     """
     small_batches(docs.sparkSession)
     place = docs.columns.index(text)
