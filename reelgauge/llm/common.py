@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,19 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def text_slices(batch: pa.RecordBatch, place: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of at most so many bytes of text; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
+    begin, size = 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > chars:
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def _struct(schema: str):
     from pyspark.sql.types import StructType
 
@@ -83,10 +97,10 @@ class Tables:
     def __enter__(self) -> Tables:
         return self
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.count += 1
         path = f"{self.path}/{self.count}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_: object) -> None:

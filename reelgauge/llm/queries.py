@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgauge.llm import bm25, bpe, html_text, langid, licenses, ngram_join, packing, pii, spotsigs, toxicity
+from reelgauge.llm import alignment, bm25, bpe, html_text, langid, licenses, ngram_join, packing, pii, spotsigs, toxicity
 from reelgauge.llm.common import table
 
 
@@ -59,11 +59,16 @@ def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(docs, docs.filter(F.col("doc_id") % 100 == 0))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_ngram_jaccard_join, op3_license_scan, op4_pii_pseudonyms, op5_byte_bpe,
         op6_packing, op7_html_text, op8_toxicity, op9_spotsigs, op10_bm25_top_k,
+        op13_cross_tokenizer_alignment,
     )
 }
 
