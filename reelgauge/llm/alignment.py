@@ -1,8 +1,8 @@
 """Alignment of the ids that two tokenizers give to the same text.
 
-The ends of the tokens of both, in bytes, go into dictionaries from end to index.  The
-ends that both have are the intersection of the keys; sorted, they slice both id lists
-into groups.  Two tokens are linked when their bytes overlap: between any two
+The ends of the tokens, in bytes, are keys of a dictionary from end to index.  The ends
+that both have are the intersection of the keys; in order, they slice both id lists into
+groups.  Two tokens are linked when their bytes overlap: between any two
 neighbouring ends, of whichever side, one token of each side lies, so each end of a
 slice gives one link.  Texts of a slice of rows lie one behind the other in one stream
 of bytes, as a text's end is an end on both sides.
@@ -14,7 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +90,13 @@ class Tokenizers:
         ranks = {self.bytes_a[i]: i for i in range(256 + len(merges))}
         return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def ids_a(self, text: str) -> np.ndarray:
+    def plain(self, text: str) -> bool:
+        """Whether the quick encoder is there and knows all characters of a text."""
+        return self.quick is not None and not _UNPLAIN.search(text)
+
+    def ids_a(self, text: str, plain: bool) -> np.ndarray:
         """Ids of space + text by A."""
-        if self.quick is not None and not _UNPLAIN.search(text):
+        if plain:
             return self.quick.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
         return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
 
@@ -113,19 +117,15 @@ class Tokenizers:
         by_b = iter(self.b.encode([p for pieces in cut for p in pieces], num_threads=1))
         out = []
         for text, pieces in zip(texts, cut, strict=True):
-            a = np.concatenate([self.ids_a(p) for p in pieces])
-            b = [i for _ in pieces for i in next(by_b)] if len(pieces) > 1 else next(by_b)
-            data = (" " + text).encode()
-            same = text and b"".join([self.bytes_b[i] for i in b]) == data and self._whole_a(a, text, data)
+            plain, data = self.plain(text), (" " + text).encode()
+            a = self.ids_a(text, plain) if len(pieces) == 1 else np.concatenate([self.ids_a(p, plain) for p in pieces])
+            b = next(by_b) if len(pieces) == 1 else [i for _ in pieces for i in next(by_b)]
+            # the quick encoder loses no byte, so their number tells
+            same = text and (self.size_a[a].sum() == len(data) if plain else b"".join(map(self.bytes_a.__getitem__, a.tolist())) == data)
+            same = same and b"".join(map(self.bytes_b.__getitem__, b)) == data
             out.append((a, np.array(b, np.int64)) if same else (_NONE, _NONE))
         return out
 
-    def _whole_a(self, a: np.ndarray, text: str, data: bytes) -> bool:
-        """Whether A's joined bytes are ``data``; the quick encoder loses none, so its count tells."""
-        if self.quick is not None and not _UNPLAIN.search(text):
-            return int(self.size_a[a].sum()) == len(data)
-        return b"".join([self.bytes_a[i] for i in a.tolist()]) == data
-
 
 _NONE = np.zeros(0, np.int64)
 
@@ -141,10 +141,14 @@ def tokenizers(path_a: str | None = None, path_b: str | None = None) -> Tokenize
 
 
 def slices(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """How many tokens of either side lie before the end of each group; both sides end alike."""
-    at_a, at_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    return np.array(list(map(at_a.__getitem__, common)), np.int64), np.array(list(map(at_b.__getitem__, common)), np.int64)
+    """How many tokens of either side lie before the end of each group; both sides end alike.
+
+    B's ends are the keys of a dictionary; A's ends, already in order, are looked up there.
+    """
+    at_b = dict(zip(ends_b, count(1)))
+    upto_b = np.array(list(map(at_b.get, ends_a, repeat(0))), np.int64)
+    common = np.flatnonzero(upto_b)
+    return common + 1, upto_b[common]
 
 
 class Aligned:
@@ -155,26 +159,31 @@ class Aligned:
         edge_a, edge_b = (np.cumsum([0, *(len(x[side]) for x in ids)]) for side in (0, 1))
         ends_a, ends_b = np.cumsum(tok.size_a[a]), np.cumsum(tok.size_b[b])
         upto_a, upto_b = slices(ends_a.tolist(), ends_b.tolist())
-        # every end, of whichever side, closes one link
-        ends = np.union1d(ends_a, ends_b)
-        links = a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
+        size_a, size_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
         # the ids in the order of the text of the groups: a group's A ids, then its B ids
         out = np.empty(len(a) + len(b), object)
-        group_a = np.searchsorted(upto_a, np.arange(len(a)), side="right")
-        group_b = np.searchsorted(upto_b, np.arange(len(b)), side="right")
-        place_a = np.arange(len(a)) + np.append(0, upto_b)[group_a]
-        place_b = np.arange(len(b)) + upto_a[group_b] if len(b) else np.zeros(0, np.int64)
+        place_a = np.arange(len(a)) + np.repeat(upto_b - size_b, size_a)
+        place_b = np.arange(len(b)) + np.repeat(upto_a, size_b)
         out[place_a], out[place_b] = tok.inner[a], tok.inner[b]
         out[place_a[upto_a - 1]], out[place_b[upto_b - 1]] = tok.last_a[a[upto_a - 1]], tok.last_b[b[upto_b - 1]]
         out = out.tolist()
-        done = np.append(0, ends_a)[edge_a]
-        at_group, at_link = np.searchsorted(upto_a, edge_a, side="right"), np.searchsorted(ends, done, side="right")
-        at_group[0], self.n_a, self.n_b = 0, np.diff(edge_a), np.diff(edge_b)
-        self.n_groups, self.n_links = np.diff(at_group), np.diff(at_link)
-        both = (edge_a + edge_b).tolist()
-        self.groups = ["".join(out[x:y])[:-1] for x, y in zip(both[:-1], both[1:], strict=True)]
-        found = [np.unique(links[x:y], return_counts=True) for x, y in zip(at_link[:-1], at_link[1:], strict=True)]
-        self.pairs, self.times = [x[0] for x in found], [x[1] for x in found]
+        # each end closes one link, with the token of the other side that lies there
+        inner = np.ones(len(b), bool)
+        inner[upto_b - 1] = False
+        inner = np.flatnonzero(inner)
+        of_a = a << 32 | b[np.searchsorted(ends_b, ends_a)]
+        of_b = a[np.searchsorted(ends_a, ends_b[inner])] << 32 | b[inner]
+        edge_inner = np.searchsorted(inner, edge_b)
+        self.n_a, self.n_b = np.diff(edge_a), np.diff(edge_b)
+        self.n_links = self.n_a + np.diff(edge_inner)
+        self.n_groups = self.n_a + self.n_b - self.n_links
+        at_a, at_b, at = edge_a.tolist(), edge_inner.tolist(), (edge_a + edge_b).tolist()
+        self.groups, self.pairs, self.times = [], [], []
+        for i in range(len(ids)):
+            self.groups.append("".join(out[at[i] : at[i + 1]])[:-1])
+            pairs, times = np.unique(np.concatenate((of_a[at_a[i] : at_a[i + 1]], of_b[at_b[i] : at_b[i + 1]])), return_counts=True)
+            self.pairs.append(pairs)
+            self.times.append(times)
 
 
 def align(texts: list[str | None], path_a: str | None = None, path_b: str | None = None) -> Aligned:

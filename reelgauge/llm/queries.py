@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgauge.llm import alignment, bm25, bpe, html_text, langid, licenses, ngram_join, packing, pii, spotsigs, toxicity
+from reelgauge.llm import alignment, bm25, bpe, html_text, langid, licenses, minhash, ngram_join, packing, phrases, pii, spotsigs, toxicity
 from reelgauge.llm.common import table
 
 
@@ -59,6 +59,14 @@ def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(docs, docs.filter(F.col("doc_id") % 100 == 0))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_corpus(table(spark, sf_dir, "documents"))
 
@@ -68,10 +76,10 @@ QUERIES = {
     for f in (
         op1_language_id, op2_ngram_jaccard_join, op3_license_scan, op4_pii_pseudonyms, op5_byte_bpe,
         op6_packing, op7_html_text, op8_toxicity, op9_spotsigs, op10_bm25_top_k,
-        op13_cross_tokenizer_alignment,
+        op11_phrase_collocations, op12_minhash_near_dedup, op13_cross_tokenizer_alignment,
     )
 }
 
-#: DuckDB statements: none of these operators can be said in SQL as a whole (trained models,
+#: DuckDB statements: the other operators can't be said in SQL as a whole (trained models,
 #: tokenizers, rule tables, reachability, tie-exact floating sums); tests/llm has their brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_phrase_collocations": phrases.SQL}
