@@ -12,9 +12,10 @@ have, so these differences are short, and
 * any other similar pair must share an element of the differences, and one of their
   first elements (the prefix) under an order of all elements.
 
-So a large group falls into groups by element of the differences, whose members are
-compared by their short differences alone, and which are centred again if still large.
-The choice of P decides how fast this goes, never what is found.
+So the members of a large group that are not linked by its centre are compared by their
+short differences, in blocks of members; and a group with very many blocks falls into
+groups by element of the differences first, which are centred again if still large.  The
+choice of P decides how fast this goes, never what is found.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from reelgauge.llm.common import Tables, small_batches
 
 #: Members of a group compared in one place: of whole sets, and of differences to a centre.
 WHOLE, CENTRED = 48, 768
-#: Members (about) that a centre is made of, and times a group is centred before its halves meet.
+#: Members (about) that a centre is made of, and times a group is centred at most.
 SAMPLE, ROUNDS = 24, 6
+#: Blocks of a centred group that meet each other; one of more is split by elements.
+BLOCKS = 96
+#: Bytes of a table that may travel to all tasks.
+TRAVEL = 32_000_000
 #: Elements of the member table of one comparison.
 _CELLS = 4_000_000
 
@@ -55,8 +60,9 @@ def common_elements(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), len(sets)), np.int64)
     order = np.argsort(element, kind="stable")
     owner, element = owner[order], element[order]
-    width = max(1, _CELLS // len(sets))
-    for first in range(0, int(shared.sum()), width):
+    number = int(shared.sum())
+    width = max(1, min(number, _CELLS // len(sets)))
+    for first in range(0, number, width):
         part = slice(*np.searchsorted(element, (first, first + width)))
         cells = np.zeros((len(sets), width), np.float32)
         cells[owner[part], element[part] - first] = 1
@@ -109,7 +115,7 @@ def prefix_length(own: int, size: int, percent: int) -> int:
     return min(own, most + 1)
 
 
-def _by_group(rows: DataFrame, columns: list[str], make: Callable[[int, list], Iterator[tuple]], schema: str) -> DataFrame:
+def by_group(rows: DataFrame, columns: list[str], make: Callable[[int, list], Iterator[tuple]], schema: str) -> DataFrame:
     """Apply ``make`` to the rows of each group, which the group's bound keeps few."""
     small_batches(rows.sparkSession)
     target = pa.schema([(x.split()[0], pa.list_(pa.int64()) if "array" in x else pa.int64()) for x in schema.split(", ")])
@@ -155,7 +161,7 @@ def _links_within(rows: DataFrame, percent: int, compare: Compare | None) -> Dat
             if not (core[i] and core[j]):
                 yield members[i][0], members[j][0]
 
-    return _by_group(rows, ["grp", "cls", "n", "v", "core"], links, "a bigint, b bigint")
+    return by_group(rows, ["grp", "cls", "n", "v", "core"], links, "a bigint, b bigint")
 
 
 def _centres(rows: DataFrame) -> DataFrame:
@@ -165,34 +171,36 @@ def _centres(rows: DataFrame) -> DataFrame:
     def centre(group: int, members: list) -> Iterator[tuple]:
         yield group, centre_of([m[1] for m in members])
 
-    return _by_group(drawn, ["grp", "cls", "v"], centre, "grp bigint, centre array<bigint>")
+    return by_group(drawn, ["grp", "cls", "v"], centre, "grp bigint, centre array<bigint>")
 
 
 def _differences(rows: DataFrame, percent: int) -> DataFrame:
-    """grp, cls, n, v, slack, tokens: the difference of each member to its centre."""
+    """grp, cls, n, members, v, slack, tokens: the difference of each member to its centre."""
     small_batches(rows.sparkSession)
-    schema = pa.schema([("grp", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.int64())), ("slack", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    longs, lists = pa.int64(), pa.list_(pa.int64())
+    schema = pa.schema([("grp", longs), ("cls", longs), ("n", longs), ("members", longs), ("v", lists), ("slack", longs), ("tokens", lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in batches:
             sizes, own, slack, tokens = batch.column(2).to_pylist(), [], [], []
-            for n, v, c in zip(sizes, batch.column(3), batch.column(4), strict=True):
+            for n, v, c in zip(sizes, batch.column(4), batch.column(5), strict=True):
                 d = np.setxor1d(v.values.to_numpy(), c.values.to_numpy() if c.is_valid else none, assume_unique=True)
                 own.append(d)
                 slack.append((100 + percent) * len(d) - (100 - percent) * n)
                 tokens.append(d[: prefix_length(len(d), n, percent)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own, schema.field(3).type), pa.array(slack, pa.int64()), pa.array(tokens, schema.field(5).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, lists), pa.array(slack, longs), pa.array(tokens, lists)], schema=schema)
 
-    return rows.select("grp", "cls", "n", "v", "centre").mapInArrow(run, "grp bigint, cls bigint, n bigint, v array<bigint>, slack bigint, tokens array<bigint>")
+    kinds = "grp bigint, cls bigint, n bigint, members bigint, v array<bigint>, slack bigint, tokens array<bigint>"
+    return rows.select("grp", "cls", "n", "members", "v", "centre").mapInArrow(run, kinds)
 
 
-def _halves(rows: DataFrame, members: int) -> DataFrame:
-    """Each group dealt into parts, of which any two meet: for groups that centring did not make small."""
-    parts = F.ceil(F.lit(2) * F.col("members") / members).cast("int")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Each group dealt into parts, of which any two meet in a group of bounded size."""
+    parts = F.when(F.col("members") <= CENTRED, 1).otherwise(F.ceil(F.lit(2) * F.col("members") / CENTRED)).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts.cast("long")).cast("int")
     dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.withColumn("grp", F.xxhash64("grp", F.least("_own", "_other"), F.greatest("_own", "_other"))).select("grp", "cls", "n", "v", "core")
+    return dealt.withColumn("grp", F.xxhash64("grp", F.least("_own", "_other"), F.greatest("_own", "_other")))
 
 
 def links_of(groups: DataFrame, sets: DataFrame, percent: int, tables: Tables, compare: Compare | None = None) -> DataFrame:
@@ -200,34 +208,45 @@ def links_of(groups: DataFrame, sets: DataFrame, percent: int, tables: Tables, c
 
     ``groups`` has grp, cls, each pair once; ``sets`` has cls, n, v, a class's size and its
     elements in ascending order.  ``compare`` may replace the comparison of whole sets in
-    a small group.  A group that never becomes small has its parts compared two by two.
+    a small group.
     """
     counts = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
     named = tables.keep(groups.join(counts, "grp"))
-    rows = sets.join(_small(named, 20_000_000, F.lit(24)), "cls").select("grp", "cls", "n", "v", F.lit(0).cast("long").alias("core"), "members")
-    # groups of another size never meet again: each part is read from the written table
-    rows = tables.keep(rows)
-    found, bound = [], WHOLE
+    columns = ["grp", "cls", "n", "v", "members"]
+
+    def whole(part: DataFrame) -> DataFrame:
+        return sets.join(_small(part, TRAVEL, F.lit(24)), "cls").select(*columns)
+
+    small = whole(named.filter(F.col("members") <= WHOLE)).withColumn("core", F.lit(0).cast("long"))
+    found = [tables.keep(_links_within(small, percent, compare))]
+    large = named.filter(F.col("members") > WHOLE)
+    rows = None if large.isEmpty() else whole(large)
     for number in range(ROUNDS):
-        found.append(tables.keep(_links_within(rows.filter(F.col("members") <= bound), percent, None if number else compare)))
-        large = rows.filter(F.col("members") > bound)
-        if large.isEmpty():
+        if rows is None:
             break
-        if number == ROUNDS - 1:
-            found.append(tables.keep(_links_within(_halves(large, bound), percent, None)))
-            break
-        centres = tables.keep(_centres(large))
-        own = tables.keep(_differences(large.join(_small(centres, 32_000_000, 16 + 8 * F.size("centre")), "grp", "left"), percent))
-        nearest = own.groupBy("grp").agg(F.min(F.struct("slack", "cls")).alias("x")).select("grp", F.col("x.slack").alias("least"), F.col("x.cls").alias("nearest"))
-        own = own.join(_small(nearest, 20_000_000, F.lit(32)), "grp")
+        centres = tables.keep(_centres(rows))
+        own = rows.join(_small(centres, TRAVEL, 16 + 8 * F.size("centre")), "grp", "left")
+        own = tables.keep(_differences(own, percent))
+        nearest = own.groupBy("grp").agg(F.min(F.struct("slack", "cls")).alias("x"), F.max("slack").alias("most"))
+        nearest = tables.keep(nearest.select("grp", F.col("x.slack").alias("least"), F.col("x.cls").alias("nearest"), "most"))
+        own = own.join(_small(nearest, TRAVEL, F.lit(32)), "grp")
         near = F.col("slack") + F.col("least") <= 0
         found.append(tables.keep(own.filter(near & (F.col("cls") != F.col("nearest"))).select(F.col("cls").alias("a"), F.col("nearest").alias("b"))))
-        token = own.select("grp", "cls", near.cast("long").alias("core"), F.explode("tokens").alias("token"))
-        token = token.select(F.xxhash64("grp", "token").alias("next"), "grp", "cls", "core")
+        # groups that the centre links as a whole are done
+        own = own.filter("most + least > 0").withColumn("core", near.cast("long"))
+        wide = F.col("members") > BLOCKS * CENTRED // 2 if number < ROUNDS - 1 else F.lit(False)
+        found.append(tables.keep(_links_within(_blocks(own.filter(~wide)), percent, None)))
+        rest = own.filter(wide)
+        if rest.isEmpty():
+            break
+        token = rest.select("grp", "cls", "core", F.explode("tokens").alias("token")).select(F.xxhash64("grp", "token").alias("next"), "grp", "cls", "core")
         counts = token.groupBy("next").agg(F.count("*").alias("members"), F.min("core").alias("core")).filter("members > 1 and core = 0")
         token = tables.keep(token.join(counts.select("next", "members"), "next"))
-        rows = token.join(own.select("grp", "cls", "n", "v"), ["grp", "cls"]).select(F.col("next").alias("grp"), "cls", "n", "v", "core", "members")
-        rows, bound = tables.keep(rows), CENTRED
+        rows = token.join(rest.select("grp", "cls", "n", "v"), ["grp", "cls"]).select(F.col("next").alias("grp"), "cls", "n", "v", "core", "members")
+        rows = tables.keep(rows)
+        found.append(tables.keep(_links_within(rows.filter(F.col("members") <= CENTRED), percent, None)))
+        rows = rows.filter(F.col("members") > CENTRED).select(*columns)
+        rows = None if rows.isEmpty() else rows
     out = found[0]
     for part in found[1:]:
         out = out.union(part)

@@ -1,36 +1,39 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-A sketch holds the k lowest hashes of a document's shingles.  Inverted lists of the lowest
-ones name the documents that can be alike: two sets that are similar enough share one of
-them but for a chance of (1 - similarity) ** LISTED.  Inside a list, the k lowest hashes
-of two sketches together, which are the sketch of the union, estimate the similarity; what
-is not far below the threshold is compared in full.  Equal sets are one class from the
-start, and lists of any length are worked through by ``centred``.
+A sketch holds the k lowest hashes of a document's shingles, the retained values.  Similar
+sets share most of them, so a document needs inverted lists only of its rarest ones: of k
+values of which ``SHARED`` are surely common to both, one is among the k - SHARED + 1
+rarest of either.  Documents that meet in a list are estimated by the k lowest values of
+both sketches together, which are the sketch of the union; what is not far below the
+threshold is compared in full.  Equal sets are one class from the start, and lists of any
+length are worked through by ``centred``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from reelgauge.llm.centred import allowed, labelled, links_of
+from reelgauge.llm.centred import WHOLE, by_group, labelled, links_of, spanning
 from reelgauge.llm.common import Tables, small_batches, text_slices
 from reelgauge.llm.shingles import shingle_sets, signature
-from reelgauge.llm.text_classes import SLICE_BYTES, classes_of, sets_of, shared_tokens, with_components
+from reelgauge.llm.text_classes import SLICE_BYTES, TRAVEL, classes_of, sets_of, with_components
 
 SHINGLE, PERCENT = 5, 85
-#: Hashes of a sketch, and the lowest of them that have inverted lists.
-SKETCH, LISTED = 128, 16
-#: How far below the threshold an estimate may be: eight deviations of a sketch this long.
-MARGIN = 0.25
+#: Values of a sketch, and the share of them that similar sets surely have in common: fewer
+#: than half of 64 is eleven deviations below what a similarity of 0.85 gives.
+SKETCH, SHARED = 64, 0.5
+#: How far below the threshold an estimate may be: seven deviations of a sketch this long.
+MARGIN = 0.32
 
 
-def sketch_rows(docs: DataFrame, size: int = SHINGLE, listed: int = LISTED) -> DataFrame:
-    """doc_id, n, s1, s2, tokens: set size, signature and lowest hashes of every row."""
+def sketch_rows(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame:
+    """doc_id, n, s1, s2, sketch: set size, signature and k lowest hashes of every row."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -39,13 +42,13 @@ def sketch_rows(docs: DataFrame, size: int = SHINGLE, listed: int = LISTED) -> D
             for part in text_slices(batch, 1, SLICE_BYTES):
                 sets = shingle_sets(part.column(1).to_pylist(), size)
                 marks = [signature(s) for s in sets]
-                low = [np.sort(s.view(np.int64))[:listed] for s in sets]
+                low = [np.sort(s.view(np.int64))[:k] for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)),
                     pa.array(low, pa.list_(pa.int64())),
-                ], ["doc_id", "n", "s1", "s2", "tokens"])
+                ], ["doc_id", "n", "s1", "s2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, tokens array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
 
 
 def estimates(sets: list[np.ndarray], k: int = SKETCH) -> np.ndarray:
@@ -62,19 +65,42 @@ def estimates(sets: list[np.ndarray], k: int = SKETCH) -> np.ndarray:
     return np.minimum(out, out.T)
 
 
-def sketched(percent: int = PERCENT, k: int = SKETCH, margin: float = MARGIN) -> Callable[[np.ndarray, list[np.ndarray]], np.ndarray]:
-    """A comparison of whole sets: sizes, then estimates, then the sets themselves."""
+def listed(classes: DataFrame, tables: Tables) -> DataFrame:
+    """token, cls: the rarest retained values of each class, as far as other classes have them.
 
-    def compare(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-        likely = 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
-        likely &= estimates(sets, k) >= percent / 100 - margin
-        out = np.zeros_like(likely)
-        for i, j in zip(*np.nonzero(np.triu(likely, 1)), strict=True):
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            out[i, j] = out[j, i] = sizes[i] + sizes[j] - 2 * common <= allowed(sizes[i], sizes[j], percent)
-        return out
-
-    return compare
+    Values are ranked by the length of their lists.
+    """
+    each = classes.select("cls", "n", F.explode("sketch").alias("token"))
+    lengths = tables.keep(each.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1"))
+    lengths = F.broadcast(lengths) if lengths.count() * 24 <= TRAVEL else lengths
+    retained = F.least(F.col("n"), F.lit(SKETCH))
+    needed = retained - F.floor(SHARED * retained) + 1
+    own = Window.partitionBy("cls")
+    ranked = each.join(lengths, "token").select(
+        "token", "cls", F.row_number().over(own.orderBy("length", "token")).alias("rank"), (retained - F.count("*").over(own)).alias("alone"), needed.alias("needed")
+    )
+    return ranked.filter("alone + rank <= needed").select("token", "cls")
+
+
+def likely_groups(groups: DataFrame, classes: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """grp, cls: small groups reduced to the members that an estimate joins, large ones as they are."""
+    counts = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
+    named = tables.keep(groups.join(counts, "grp"))
+
+    def likely(_: int, members: list) -> Iterator[tuple]:
+        sizes, low = np.array([m[1] for m in members], np.int64), [m[2] for m in members]
+        good = 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
+        good &= estimates(low) >= percent / 100 - MARGIN
+        names: dict[int, int] = {}
+        for i, j in spanning(good & ~np.eye(len(sizes), dtype=bool)):
+            names[i] = names[j] = names.get(i, i)
+        for i, first in names.items():
+            yield members[first][0], members[i][0]
+
+    small = named.filter(F.col("members") <= WHOLE).join(classes.select("cls", "n", F.col("sketch").alias("v")), "cls")
+    joined = by_group(small, ["grp", "cls", "n", "v"], likely, "grp bigint, cls bigint")
+    large = named.filter(F.col("members") > WHOLE).select("grp", "cls")
+    return tables.keep(joined.select(F.xxhash64("grp").alias("grp"), "cls").union(large).distinct())
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -91,10 +117,10 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     docs = docs.select("doc_id", "text")
     with Tables(docs.sparkSession) as tables:
         rows = tables.keep(sketch_rows(docs, size))
-        classes = classes_of(rows, tables)
-        lists = shared_tokens(rows.filter("n > 0"), classes, tables)
-        groups = tables.keep(labelled(lists, tables))
+        classes = classes_of(rows, tables, "sketch")
+        groups = labelled(listed(classes, tables), tables)
+        groups = likely_groups(groups, classes, percent, tables)
         sets = sets_of(docs, classes, groups, tables, size)
-        links = links_of(groups, sets, percent, tables, sketched(percent))
+        links = links_of(groups, sets, percent, tables)
         out = with_components(rows.select("doc_id", "n", "s1", "s2"), classes, links, tables)
         return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -20,20 +20,13 @@ SLICE_BYTES = 1_000_000
 TRAVEL = 32_000_000
 
 
-def classes_of(rows: DataFrame, tables: Tables) -> DataFrame:
-    """s1, s2, n, rep, cls: one row for each distinct set, with a number and its smallest document."""
-    found = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
-    return tables.keep(found.withColumn("cls", F.monotonically_increasing_id()))
-
+def classes_of(rows: DataFrame, tables: Tables, *more: str) -> DataFrame:
+    """s1, s2, n, rep, cls and ``more``: one row for each distinct set, with a number and its smallest document.
 
-def shared_tokens(listed: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
-    """token, cls of the tokens that several classes have; ``listed`` has s1, s2, tokens of every class."""
-    each = listed.select(F.explode("tokens").alias("token"), "s1", "s2")
-    ends = [f(x).alias(f"{n}_{x}") for x in ("s1", "s2") for n, f in (("least", F.min), ("most", F.max))]
-    several = each.groupBy("token").agg(*ends).filter("least_s1 <> most_s1 or least_s2 <> most_s2").select("token")
-    several = tables.keep(several)
-    found = tables.keep(each.join(F.broadcast(several) if several.count() * 16 <= TRAVEL else several, "token").distinct())
-    return tables.keep(found.join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select("token", "cls"))
+    ``more`` are columns that equal sets have alike.
+    """
+    found = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in more))
+    return tables.keep(found.withColumn("cls", F.monotonically_increasing_id()))
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, tables: Tables, size: int) -> DataFrame:
@@ -59,7 +52,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, tables: Tabl
                     ], ["s1", "s2", "v"])
 
     found = texts.mapInArrow(run, "s1 bigint, s2 bigint, v array<bigint>")
-    found = tables.keep(found.join(named.select("s1", "s2", "cls", "n"), ["s1", "s2"]).select("cls", "n", "v"))
+    marks = named.select("s1", "s2", "cls", "n")
+    marks = F.broadcast(marks) if named.count() * 32 <= TRAVEL else marks
+    found = tables.keep(found.join(marks, ["s1", "s2"]).select("cls", "n", "v"))
     # repeated rows of a document give its set more than once
     return found if found.count() == named.count() else tables.keep(found.dropDuplicates(["cls"]))
 
