@@ -30,20 +30,3 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
         before = tuple(state)
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return found.union(edges.select(F.col("v"), F.col("v")).distinct())
-
-
-def forest_roots(links: DataFrame, tables: Tables) -> DataFrame:
-    """node, root for links (a, b) where each ``a`` comes once and ``b`` is smaller: trees.
-
-    Each round halves the way to the root; roots have a row of their own.
-    """
-    up = tables.keep(links.select(F.col("a").alias("node"), F.col("b").alias("root")))
-    while True:
-        above = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        up = tables.keep(up.join(above, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
-        moved = up.filter("moved").limit(1).count()
-        up = up.select("node", "root")
-        if not moved:
-            break
-    tops = up.select("root").distinct()
-    return tables.keep(up.union(tops.select("root", "root")))

@@ -1,12 +1,11 @@
 """Jaccard join of word shingles by prefix filters under several global orders.
 
 Two sets that are similar enough share an element of their prefixes under every order of
-all shingles, and as many of them as their sizes ask for.  Three orders put frequent
-shingles last and differ in the rest, a fourth is that of plain hashes.  The first order
-finds candidates; bitmaps of the prefixes under two plain orders, then the other orders and
-the sizes sift them, and what is left is compared exactly.  Sets that are equal are one
-class from the start; a class is compared with one partner in each of the first rounds,
-and only classes that are still in different components meet all others.
+all shingles.  Frequent shingles come last in each of three orders, which differ in the
+rest.  Classes of equal sets that share prefix elements under an order fall into a group
+of that order; candidates must meet in a group of the first and of the second order, and
+have company under the third.  The filters are intersected as keys of groups, before any
+pair exists; what is left of a group is compared exactly, by ``centred`` if it is large.
 """
 
 from __future__ import annotations
@@ -17,82 +16,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from reelgauge.llm.common import Tables, small_batches
-from reelgauge.llm.components import components, forest_roots
-from reelgauge.operators.scaling import fits, materialise
+from reelgauge.llm.centred import labelled, links_of
+from reelgauge.llm.common import Tables, small_batches, text_slices
+from reelgauge.llm.shingles import shingle_sets, signature
+from reelgauge.llm.text_classes import SLICE_BYTES, classes_of, sets_of, shared_tokens, with_components
 
 SHINGLE, PERCENT = 5, 80
 #: The counting sketch: counters in all, and parts in which it travels.
 SKETCH_BITS, SKETCH_PARTS = 23, 64
 #: A shingle is frequent from this count on, or this many deviations above a counter's mean.
 LEAST_FREQUENT, DEVIATIONS = 24, 4
-#: Odd factors of the global orders; the first one finds candidates.
+#: Odd factors of the global orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-#: Bitmap of a prefix under an order of plain hashes: so many longs of 64 bits; and of one under another.
-WORDS, MORE_WORDS = 8, 4
-#: Rounds in which a class meets one more partner before all that are left meet.
-MEETINGS = 3
-
-#: Columns of a class's bitmaps, and what they are called on the other side of a pair.
-_MARKS = ["spare", *(f"w{i}" for i in range(WORDS)), "more_spare", *(f"x{i}" for i in range(MORE_WORDS))]
-_THEIR_MARKS = ["spare_b", *(f"v{i}" for i in range(WORDS)), "more_spare_b", *(f"y{i}" for i in range(MORE_WORDS))]
-_POWERS = np.cumprod(np.full(256, 0x100000001B3 * 2 + 1, np.uint64))
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; empty without words."""
-    parts = [(t or "").encode("utf-8", "surrogatepass").lower() + b" " for t in texts]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    at = np.flatnonzero(inside)
-    none = np.zeros(0, np.uint64)
-    if not len(at):
-        return [none] * len(texts)
-    new = np.ones(len(at), bool)
-    new[1:] = np.diff(at) > 1
-    first = np.flatnonzero(new)
-    sizes = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, sizes)
-    # beyond 256 bytes the number of the block of 256 is mixed in
-    letters = (data[at].astype(np.uint64) + _U(1)) * _POWERS[place & 255] ^ ((place >> 8).astype(np.uint64) << _U(40))
-    word = _mix(np.add.reduceat(letters, first) + sizes.astype(np.uint64))
-    bounds = np.searchsorted(at[first], np.cumsum([0] + [len(p) for p in parts]))
-    joined = np.zeros(max(len(word) - size + 1, 0), np.uint64)
-    for k in range(size):
-        joined = joined * _U(0x9E3779B97F4A7C15) + word[k : k + len(joined)]
-    joined = _mix(joined)
-    out = []
-    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
-        if end - begin >= size:
-            out.append(np.unique(joined[begin : end - size + 1]))
-        elif end > begin:
-            whole = np.full(1, end - begin, np.uint64)
-            for k in range(begin, end):
-                whole = _mix(whole * _U(0xD6E8FEB86659FD93) + word[k : k + 1])
-            out.append(whole)
-        else:
-            out.append(none)
-    return out
-
-
-def signature(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed longs; equal sets have equal ones."""
-    with np.errstate(over="ignore"):
-        a = _mix(shingles ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        b = _mix(shingles * _U(0xDA942042E4DD58B5)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
-
-
 def prefix(shingles: np.ndarray, frequent: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
     """The first shingles under one order: any similar set has one of them in its own prefix."""
     n = len(shingles)
@@ -102,33 +42,6 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, order: int, percent: int
     return shingles[np.lexsort((rank, late))[:length]]
 
 
-def bitmap(shingles: np.ndarray, percent: int = PERCENT, order: int = 1, words: int = WORDS) -> tuple[np.ndarray, int]:
-    """Bits of the prefix under an order of plain hashes, and how many elements share theirs."""
-    bits = np.zeros(64 * words, np.uint8)
-    n = len(shingles)
-    if not n:
-        return bits, 0
-    length = n - (percent * n + 99) // 100 + 1
-    first = shingles[np.argpartition(shingles * _U(ORDERS[order]), length - 1)[:length]]
-    bits[(_mix(first) % _U(64 * words)).astype(np.int64)] = 1
-    return bits, length - int(bits.sum())
-
-
-def similar(a: np.ndarray, b: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> bool:
-    """Exact comparison of two sets, behind the size filter and those of the other orders."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    for order in range(1, len(ORDERS)):
-        if not len(np.intersect1d(prefix(a, frequent, order, percent), prefix(b, frequent, order, percent), assume_unique=True)):
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 # --- first pass: set sizes, signatures, and the counting sketch -----------------
 
 
@@ -147,34 +60,28 @@ def _add(counts: np.ndarray, blob: bytes) -> None:
         counts += np.frombuffer(pa.decompress(blob[1:], counts.nbytes // 2, "zstd", asbytes=True), "<u4")
 
 
-def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows of documents (part null) with sizes, signatures and bitmaps, and, once per task, the parts of its sketch."""
+def _first_pass(docs: DataFrame, size: int) -> DataFrame:
+    """Rows of documents (part null) with sizes and signatures, and, once per task, the parts of its sketch."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    longs = ["n", "s1", "s2", *_MARKS]
+    longs = ["n", "s1", "s2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         schema = None
         for batch in batches:
-            ids = batch.column(0)
             if schema is None:
-                schema = pa.schema([("doc_id", ids.type), *((c, pa.int64()) for c in longs), ("part", pa.int32()), ("blob", pa.binary())])
-            sets = shingle_sets(batch.column(1).to_pylist(), size)
-            every = np.concatenate(sets)
-            where, number = np.unique((every >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
-            counts[where] += number.astype(np.uint32)
-            marks = [signature(s) for s in sets]
-            rows = len(sets)
-            maps: list[pa.Array] = []
-            for order, words in ((1, WORDS), (2, MORE_WORDS)):
-                own = [bitmap(s, percent, order, words) for s in sets]
-                packed = np.packbits(np.array([m[0] for m in own], np.uint8).reshape(rows, -1), axis=1).view(np.int64)
-                maps += [pa.array([m[1] for m in own], pa.int64()), *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(words))]
-            yield pa.RecordBatch.from_arrays([
-                ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()),
-                pa.array([m[1] for m in marks], pa.int64()), *maps, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
-            ], schema=schema)
+                schema = pa.schema([("doc_id", batch.column(0).type), *((c, pa.int64()) for c in longs), ("part", pa.int32()), ("blob", pa.binary())])
+            for piece in text_slices(batch, 1, SLICE_BYTES):
+                sets = shingle_sets(piece.column(1).to_pylist(), size)
+                where, number = np.unique((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                counts[where] += number.astype(np.uint32)
+                marks = [signature(s) for s in sets]
+                rows = len(sets)
+                yield pa.RecordBatch.from_arrays([
+                    piece.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)),
+                    pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
+                ], schema=schema)
         if schema is not None:
             blobs = [_pack(c) for c in counts.reshape(SKETCH_PARTS, -1)]
             nothing = pa.nulls(SKETCH_PARTS, pa.int64())
@@ -214,172 +121,79 @@ def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-# --- second pass: prefixes under the first order --------------------------------
+# --- second pass: prefixes --------------------------------------------------------
 
 
-def _prefix_rows(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """token, cls, n of each class's prefix; a class comes once from each task that meets it."""
+def _prefixes(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
+    """s1, s2, tokens: each class's prefix under the first order, once from each task that meets it."""
     bits = np.packbits(frequent).tobytes()
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         seen: set = set()
         for batch in batches:
-            tokens, classes, sizes, repeats = [], [], [], []
-            for s in shingle_sets(batch.column(0).to_pylist(), size):
-                mark = signature(s) if len(s) else None
-                if mark is None or mark in seen:
-                    continue
-                seen.add(mark)
-                tokens.append(prefix(s, late, 0, percent))
-                classes.append(mark[0])
-                sizes.append(len(s))
-                repeats.append(len(tokens[-1]))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(_signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(classes, np.int64), repeats)),
-                    pa.array(np.repeat(np.array(sizes, np.int64), repeats)),
-                ], schema=schema)
+            for piece in text_slices(batch, 0, SLICE_BYTES):
+                own = {}
+                for s in shingle_sets(piece.column(0).to_pylist(), size):
+                    mark = signature(s) if len(s) else None
+                    if mark is not None and mark not in seen:
+                        seen.add(mark)
+                        own[mark] = prefix(s, late, 0, percent).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array([m[i] for m in own], pa.int64()) for i in (0, 1)), pa.array(list(own.values()), pa.list_(pa.int64()))], ["s1", "s2", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, cls bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "s1 bigint, s2 bigint, tokens array<bigint>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Those pairs of classes (a, b) that are similar."""
+def _tokens_of(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """cls, order, token: the prefixes of known sets under the orders behind the first."""
+    small_batches(sets.sparkSession)
     bits = np.packbits(frequent).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        kept: dict[int, np.ndarray] = {}
-
-        def sets(keys: list[int], values: list[str]) -> None:
-            missing = list(dict.fromkeys((k, t) for k, t in zip(keys, values, strict=True) if not len(kept.get(k, ()))))
-            for (k, _), s in zip(missing, shingle_sets([t for _, t in missing], size), strict=True):
-                # rows of one id may differ: the first with the class's own set counts
-                if not len(kept.get(k, ())):
-                    kept[k] = s if signature(s)[0] == k else np.zeros(0, np.uint64)
-
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kept.clear()
-            sets(a, batch.column(2).to_pylist())
-            sets(b, batch.column(3).to_pylist())
-            good = [len(kept[x]) > 0 and len(kept[y]) > 0 and similar(kept[x], kept[y], late, percent) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, g in zip(a, good, strict=True) if g], pa.int64()), pa.array([y for y, g in zip(b, good, strict=True) if g], pa.int64())], ["a", "b"]
-            )
-
-    left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a bigint, b bigint")
-
-
-def _sizes_fit(n: str, m: str, percent: int) -> F.Column:
-    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+            for order in range(1, len(ORDERS)):
+                found = [prefix(v.values.to_numpy().view(np.uint64), late, order, percent).view(np.int64) for v in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([order] * len(found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["cls", "order", "tokens"])
 
+    arrays = sets.select("cls", "v").mapInArrow(run, "cls bigint, order int, tokens array<bigint>")
+    return arrays.select("cls", "order", F.explode("tokens").alias("token"))
 
-def _enough(common: F.Column, n: str, m: str, percent: int) -> F.Column:
-    """Whether two sets can be similar that have ``common`` elements in both prefixes.
 
-    Of the two, take the one whose prefix ends first in the order: what they share up to
-    there is counted, and behind it that set has only its other elements to share.
-    """
-    needed = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent))
-    behind = F.floor((F.lit(percent) * F.greatest(n, m) + 99) / 100) - 1
-    return common + behind >= needed
-
-
-def _bits_shared() -> F.Column:
-    return sum((F.bit_count(F.col(f"w{i}").bitwiseAND(F.col(f"v{i}"))) for i in range(WORDS)), F.lit(0))
-
-
-def _bits_allow(n: str, m: str, percent: int) -> F.Column:
-    """Whether the bitmaps (w0.., v0..) leave room for enough common elements.
-
-    Elements in both prefixes have bits set in both; of each side's elements, as many as
-    its spare ones lie on a bit that another one of it has set.
-    """
-    return _enough(_bits_shared() + F.least("spare", "spare_b"), n, m, percent)
-
-
-def _more_bits_allow(n: str, m: str, percent: int) -> F.Column:
-    """The same for the bitmaps (x0.., y0..) under the other plain order."""
-    shared = sum((F.bit_count(F.col(f"x{i}").bitwiseAND(F.col(f"y{i}"))) for i in range(MORE_WORDS)), F.lit(0))
-    return _enough(shared + F.least("more_spare", "more_spare_b"), n, m, percent)
-
-
-def _theirs() -> list[F.Column]:
-    return [F.col(c).alias(d) for c, d in zip(_MARKS, _THEIR_MARKS, strict=True)]
+def _in_company(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key more than one class has; each class has a key once."""
+    return rows.join(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), key, "left_semi")
 
 
-def _merged(roots: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
-    """node, root after links between components: only their roots are worked on."""
-    names = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    edges = links.join(names, "a", "left").join(names.toDF("b", "rb"), "b", "left")
-    joined = tables.keep(components(edges.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), tables))
-    moved = roots.join(joined.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return tables.keep(moved.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")))
+def _met(first: DataFrame, sets: DataFrame, frequent: np.ndarray, percent: int, tables: Tables) -> DataFrame:
+    """grp, cls: the groups of the first order, cut down by the groups of the others."""
+    tokens = tables.keep(_tokens_of(sets, frequent, percent))
+    of = [_in_company(tokens.filter(F.col("order") == o).select("token", "cls"), "token") for o in range(1, len(ORDERS))]
+    second = labelled(of[0], tables).withColumnRenamed("grp", "other")
+    both = first.join(second, "cls").join(of[1].select("cls").distinct(), "cls", "left_semi")
+    return tables.keep(_in_company(both.select(F.xxhash64("grp", "other").alias("grp"), "cls").distinct(), "grp"))
 
 
-def _still_open(rows: DataFrame, roots: DataFrame, tables: Tables) -> DataFrame:
-    """token, cls, n, root of the tokens (of ``rows``) that meet in several components.
-
-    The ends of a token are summed before they move, and come back by a join that can be
-    split where one token has very many classes.
-    """
-    placed = rows.select("token", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = tables.keep(placed.withColumn("root", F.coalesce("root", "cls")))
-    ends = placed.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-    return tables.keep(placed.join(ends.select("token"), "token"))
-
-
-def _meetings(open_: DataFrame, marks: DataFrame, number: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of each class with one partner of another component, likely the most alike.
-
-    Each round takes its share of the tokens.  Of a token's classes, the two at the ends of
-    an order of the token's own are partners, so a class has different ones at each token;
-    the bitmaps tell which is most alike.
-    """
-    mine = open_.filter(F.pmod(F.xxhash64("token"), F.lit(MEETINGS)) == number)
-    mark = F.struct(F.xxhash64("cls", "token").alias("h"), F.col("cls").alias("low"), F.col("n").alias("low_n"), F.col("root").alias("low_root"))
-    ends = mine.groupBy("token").agg(F.min(mark).alias("x"), F.max(mark).alias("y"))
-    met = mine.join(ends, "token").withColumn("x", F.when(F.col("x.low_root") != F.col("root"), F.col("x")).otherwise(F.col("y")))
-    met = met.select("cls", "n", "root", "x.low", "x.low_n", "x.low_root").filter((F.col("root") != F.col("low_root")) & _sizes_fit("n", "low_n", percent))
-    met = met.select("cls", "n", "low", "low_n").distinct()
-    theirs = marks.select(F.col("cls").alias("low"), *_theirs())
-    met = met.join(marks, "cls").join(theirs, "low").filter(_bits_allow("n", "low_n", percent) & _more_bits_allow("n", "low_n", percent))
-    met = met.select("cls", "low", (_bits_shared() / (F.col("n") + F.col("low_n"))).alias("share"))
-    return met.groupBy(F.col("cls").alias("a")).agg(F.max_by("low", F.struct("share", "low")).alias("b"))
+def class_name(first: str = "s1", second: str = "s2") -> F.Column:
+    """Both halves of a signature as text: equal for equal sets."""
+    return F.concat_ws(":", F.col(first).cast("string"), F.col(second).cast("string"))
 
 
 def with_class(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """All columns of ``docs`` and ``cls``, the class of the text; null for a text without words."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index("text")
-    schema = docs.withColumn("cls", F.lit(None).cast("bigint")).schema
+    schema = docs.withColumn("cls", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes = [signature(s)[0] if len(s) else None for s in shingle_sets(batch.column(place).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.int64())], [*batch.schema.names, "cls"])
+            for piece in text_slices(batch, place, SLICE_BYTES):
+                classes = ["{}:{}".format(*signature(s)) if len(s) else None for s in shingle_sets(piece.column(place).to_pylist(), size)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(classes, pa.string())], [*piece.schema.names, "cls"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, nameless: DataFrame | None, tables: Tables) -> DataFrame:
-    """cls, text of one document of each class that a pair names; ``nameless``: those of null ids only.
-
-    A list of ids short enough by count goes to the documents; a longer one meets them in a shuffle.
-    """
-    needed = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
-    wanted = tables.keep(classes.join(needed, "s1", "left_semi").select(F.col("rep").alias("doc_id"), F.col("s1").alias("cls")))
-    texts = docs.join(F.broadcast(wanted) if fits(wanted) else wanted, "doc_id").select("cls", "text")
-    if nameless is not None:
-        texts = texts.union(nameless.join(needed.select(F.col("s1").alias("cls")), "cls", "left_semi"))
-    return tables.keep(texts)
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, classed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -393,58 +207,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     docs = docs.select("doc_id", "text")
     with Tables(docs.sparkSession) as tables:
-        first = tables.keep(_first_pass(docs, size, percent))
+        first = tables.keep(_first_pass(docs, size))
         rows = first.filter(F.col("part").isNull()).select("doc_id", "n", "s1", "s2")
         total = rows.agg(F.sum("n")).first()[0] or 0
         frequent = _frequent(first.filter(F.col("part").isNotNull()), total)
-        kept = first.filter("part is null and n > 0").groupBy("s1", "s2", "n")
-        classes = tables.keep(kept.agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in _MARKS)))
-        nameless = None
-        if not classes.filter("rep is null").isEmpty():
-            own = classes.filter("rep is null").select(F.col("s1").alias("cls"))
-            nameless = with_class(docs.filter("doc_id is null"), size).join(own, "cls", "left_semi")
-            nameless = tables.keep(nameless.groupBy("cls").agg(F.min("text").alias("text")))
-        # tokens that more than one class has in its prefix, and the first such class
-        token = Window.partitionBy("token")
-        prefixes = _prefix_rows(docs, frequent, size, percent).select(
-            "token", "cls", "n", F.min(F.struct("cls", "n")).over(token).alias("low"), F.max("cls").over(token).alias("high")
-        )
-        shared = prefixes.filter(F.col("low.cls") != F.col("high"))
-        shared = tables.keep(shared.select("token", "cls", "n", F.col("low.cls").alias("low"), F.col("low.n").alias("low_n")).distinct())
-        # first each class meets the one partner it shares most with; a partner is counted only
-        # where it is the first class of a token, so a quarter of what is needed will do here
-        met = shared.filter((F.col("cls") != F.col("low")) & _sizes_fit("n", "low_n", percent))
-        met = met.groupBy("cls", "n", "low", "low_n").agg(F.count("*").alias("common"))
-        met = met.filter(_enough(4 * F.col("common"), "n", "low_n", percent))
-        best = met.groupBy("cls").agg(F.max_by("low", F.struct("common", "low")).alias("low"))
-        pairs = tables.keep(best.select(F.col("cls").alias("a"), F.col("low").alias("b")))
-        texts = _texts_of(pairs, docs, classes, nameless, tables)
-        links = tables.keep(_verified(pairs, texts, frequent, size, percent))
-        roots = forest_roots(links, tables)
-        # then those that share a token but no component yet: one partner a round, and at last all
-        open_ = _still_open(shared, roots, tables)
-        marks = classes.select(F.col("s1").alias("cls"), *_MARKS)
-        for number in range(MEETINGS):
-            pairs = tables.keep(_meetings(open_, marks, number, percent))
-            links = tables.keep(_verified(pairs, _texts_of(pairs, docs, classes, nameless, tables), frequent, size, percent))
-            if not links.isEmpty():
-                roots = _merged(roots, links, tables)
-                open_ = _still_open(open_, roots, tables)
-        marked = tables.keep(open_.join(marks, "cls"))
-        a = marked.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *_MARKS)
-        b = marked.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), *_theirs())
-        apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-        rest = a.join(b, "token").filter(apart & _sizes_fit("na", "nb", percent) & _bits_allow("na", "nb", percent) & _more_bits_allow("na", "nb", percent))
-        rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-        rest = tables.keep(rest.filter(_enough(F.col("common"), "na", "nb", percent)).select("a", "b"))
-        more = tables.keep(_verified(rest, _texts_of(rest, docs, classes, nameless, tables), frequent, size, percent))
-        if not more.isEmpty():
-            roots = _merged(roots, more, tables)
-        # components by the smallest document of their classes
-        known = classes.join(roots.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
-        known = tables.keep(known)
-        lowest = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = known.join(lowest, "root").select("s1", "s2", "n", "component_id", "root")
-        out = rows.join(named, ["s1", "s2", "n"], "left")
-        more = [F.when(F.col("n") > 0, F.col("s1")).alias("cls"), "root"] if classed else []
-        return materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more))
+        classes = classes_of(rows, tables)
+        prefixes = tables.keep(_prefixes(docs, frequent, size, percent))
+        groups = labelled(shared_tokens(prefixes, classes, tables), tables)
+        groups = tables.keep(_in_company(groups, "grp"))
+        sets = sets_of(docs, classes, groups, tables, size)
+        groups = _met(groups, sets, frequent, percent, tables)
+        links = links_of(groups, sets, percent, tables)
+        more = [F.when(F.col("n") > 0, class_name()).alias("cls"), "root"] if classed else []
+        return with_components(rows, classes, links, tables, *more)

@@ -29,6 +29,16 @@ def classes_of(rows: DataFrame, tables: Tables, *more: str) -> DataFrame:
     return tables.keep(found.withColumn("cls", F.monotonically_increasing_id()))
 
 
+def shared_tokens(listed: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
+    """token, cls of the tokens that several classes have; ``listed`` has s1, s2, tokens of every class."""
+    each = listed.select(F.explode("tokens").alias("token"), "s1", "s2")
+    ends = [f(x).alias(f"{n}_{x}") for x in ("s1", "s2") for n, f in (("least", F.min), ("most", F.max))]
+    several = each.groupBy("token").agg(*ends).filter("least_s1 <> most_s1 or least_s2 <> most_s2").select("token")
+    several = tables.keep(several)
+    found = each.join(F.broadcast(several) if several.count() * 16 <= TRAVEL else several, "token").distinct()
+    return found.join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select("token", "cls")
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, tables: Tables, size: int) -> DataFrame:
     """cls, n, v (ascending) of the wanted classes, from the texts of their smallest documents.
 

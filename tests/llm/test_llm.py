@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reelgauge.llm import bm25, bpe, html_text, langid, licenses, ngram_join, packing, pii, spotsigs, toxicity
+from reelgauge.llm import bm25, bpe, html_text, langid, licenses, ngram_join, packing, pii, spotsigs, text_classes, toxicity
 from reelgauge.llm.common import Tables
-from reelgauge.llm.components import components, forest_roots
+from reelgauge.llm.components import components
 from reelgauge.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -110,51 +110,6 @@ def test_near_duplicates_brute_force(spark, docs):
     assert found == brute_components(rows)
 
 
-def test_bitmaps_never_lose_a_similar_pair(spark):
-    rng = np.random.default_rng(11)
-    rows = []
-    for n in (1, 3, 40, 400, 3000):
-        for part in (0.0, 0.05, 0.1, 0.2, 0.95):
-            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            gone = int(part * len(a))
-            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64)]))
-            if not len(b):
-                continue
-            sides = []
-            for x in (a, b):
-                bits, spare = ngram_join.bitmap(x)
-                sides.append((len(x), spare, [int(w) for w in np.packbits(bits).view(np.int64)]))
-            common = len(np.intersect1d(a, b))
-            (n, spare, w), (m, spare_b, v) = sides
-            rows.append((n, m, spare, spare_b, *w, *v, 100 * common >= 80 * (n + m - common)))
-    names = [f"{c}{i}" for c in "wv" for i in range(ngram_join.WORDS)]
-    frame = spark.createDataFrame(rows, ["n", "m", "spare", "spare_b", *names, "similar"])
-    seen = frame.select("similar", "n", ngram_join._bits_allow("n", "m", 80).alias("allowed")).collect()
-    assert sum(r.similar for r in seen) >= 10
-    assert all(r.allowed for r in seen if r.similar)
-    assert any(not r.allowed for r in seen if r.n == 400)
-
-
-def test_bitmaps_of_the_other_order_never_lose_a_similar_pair(spark):
-    rng = np.random.default_rng(12)
-    rows = []
-    for n in (1, 3, 40, 400, 3000):
-        for part in (0.0, 0.05, 0.1, 0.3, 0.95):
-            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            gone = int(part * len(a))
-            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64)]))
-            (bits, spare), (bits_b, spare_b) = (ngram_join.bitmap(s, order=2, words=ngram_join.MORE_WORDS) for s in (a, b))
-            longs = [int(w) for x in (bits, bits_b) for w in np.packbits(x).view(np.int64)]
-            common = len(np.intersect1d(a, b))
-            rows.append((len(a), len(b), spare, spare_b, *longs, 100 * common >= 80 * (len(a) + len(b) - common)))
-    names = [f"{c}{i}" for c in "xy" for i in range(ngram_join.MORE_WORDS)]
-    frame = spark.createDataFrame(rows, ["n", "m", "more_spare", "more_spare_b", *names, "similar"])
-    seen = frame.select("similar", "n", ngram_join._more_bits_allow("n", "m", 80).alias("allowed")).collect()
-    assert sum(r.similar for r in seen) >= 10
-    assert all(r.allowed for r in seen if r.similar)
-    assert any(not r.allowed for r in seen if r.n == 400)
-
-
 def test_near_duplicates_odd(odd, empty):
     rows = ngram_join.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
@@ -178,15 +133,17 @@ def test_null_and_repeated_ids(spark):
     assert len({(None, text(0, 60)), (None, text(0, 60, "end"))} & set(kept)) == 1
 
 
-def test_verification_takes_the_text_of_the_class(spark):
-    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten "
-    near = " ".join([a] + [f"x{i}" for i in range(60)])
-    close = f"{near} end"
-    key = lambda t: int(ngram_join.signature(next(iter(ngram_join.shingle_sets([t], ngram_join.SHINGLE))))[0])
-    pairs = spark.createDataFrame([(key(near), key(close))], "a long, b long")
-    for texts in ([near, b], [b, near]):
-        table = spark.createDataFrame([(key(near), t) for t in texts] + [(key(close), close)], "cls long, text string").coalesce(1)
-        assert ngram_join._verified(pairs, table, np.zeros(1 << ngram_join.SKETCH_BITS, bool), ngram_join.SHINGLE, 80).distinct().count() == 1
+def test_sets_come_from_the_text_of_the_class(spark):
+    near = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, near), (1, "one two three four five six"), (1, near), (None, "a b"), (None, "c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with Tables(spark) as tables:
+        sets = [s for s in ngram_join.shingle_sets([t for _, t in rows], 5)]
+        marked = [(d, len(s), *ngram_join.signature(s)) for (d, _), s in zip(rows, sets, strict=True)]
+        classes = text_classes.classes_of(spark.createDataFrame(marked, "doc_id long, n long, s1 long, s2 long"), tables)
+        found = text_classes.sets_of(docs, classes, classes, tables, 5).collect()
+    assert sorted(tuple(r.v) for r in found) == sorted({tuple(sorted(s.view(np.int64).tolist())) for s in sets})
+    assert len({r.cls for r in found}) == len(found) == 4
 
 
 def test_prefix_counts_never_lose_a_pair():
@@ -210,8 +167,6 @@ def test_components(spark):
     with Tables(spark) as tables:
         found = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long"), tables).collect()}
         assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys([100, 101, 103, 105], 100)}
-        trees = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(50, 0), (61, 60)], "a long, b long")
-        assert {r.node: r.root for r in forest_roots(trees, tables).collect()} == {**dict.fromkeys([*range(21), 50], 0), 60: 60, 61: 60}
 
 
 # --- 3 licenses ---------------------------------------------------------------
@@ -420,8 +375,23 @@ def test_bpe_splits_where_nothing_changes():
     assert bpe.decode(bpe.encode(space)) == space.encode()
 
 
+def fresh_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER_FILE))
+
+
+def test_ids_equal_the_library():
+    tokenizer = fresh_tokenizer()
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "don't", "'s", "ÀÉ", "ﬁ", "İ", "ß", "e\u0301", "中文", "한국", "a1b22", "...!?", "\x1c", "\x85", "\u00a0", "\u2028", "_a_", "🙂"]
+    texts = [f"{a}{gap}{b} x" for a in marks for b in marks for gap in ("", " ", "\t\n")]
+    for text, ids in zip(texts, packing.encode_texts(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_packing(docs, odd, empty):
-    tokenizer = packing._tokenizer(None)
+    tokenizer = fresh_tokenizer()
     for frame in (docs, odd):
         texts = Counter((r.doc_id, r.text) for r in frame.collect())
         rows = packing.pack(frame).collect()
