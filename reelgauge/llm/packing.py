@@ -25,10 +25,9 @@ CACHE_WORDS = 600_000
 CACHED_LENGTH = 64
 
 # The tokenizer drops white space and never joins a letter to a mark, so words can be
-# encoded one by one, and marks between a letter and white space on their own.
-_MARKS = re.compile(r"([!-/:-@\[-`{-~](?<=[^\W\d_].)[!-/:-@\[-`{-~]*)(?=\s|\Z)")
-# Python takes these four for white space, the tokenizer doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+# encoded one by one, and marks between a letter and white space on their own: behind these
+# letters, that is, as some others end in a combining mark once they are in lower case.
+_MARKS = re.compile(r"([!-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)[!-/:-@\[-`{-~]*)(?=\s|\Z)")
 # Letters whose lower case and composition are beyond doubt: the quick path below.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
@@ -41,9 +40,17 @@ def _tokenizer(path: str | None):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    made = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER_FILE))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER_FILE))
+
+
+@lru_cache(maxsize=2)
+def _whole_texts(path: str | None) -> re.Pattern:
+    """What a text must not hold to be cut into words: added tokens, and white space of Python's alone.
+
+    The library finds added tokens before it cuts anything, so such a text is its own.
+    """
+    added = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join([*map(re.escape, added), "[\x1c-\x1f]"]), re.I)
 
 
 @lru_cache(maxsize=2)
@@ -118,14 +125,14 @@ def _learn(words: list[str], known: dict[str, bytes], path: str | None) -> None:
 
 def encode_texts(texts: list[str | None], path: str | None = None) -> list[bytes]:
     """Little-endian 32-bit ids of each whole text, with the end id; null counts as empty."""
-    known = _words.setdefault(path, {})
+    known, whole = _words.setdefault(path, {}), _whole_texts(path)
     end = END_ID.to_bytes(4, "little")
     out = []
     for text in texts:
         if not text:
             out.append(end)
             continue
-        if _SEPARATORS.search(text):
+        if whole.search(text):
             out.append(_by_library([text], path)[0] + end)
             continue
         words = _MARKS.sub(r" \1", text).split()
