@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_labe
     ``labels`` has doc_id and label.  Held-out documents, null labels and texts that are
     empty or longer than ``max_chars`` take no part.  All labels are counted; a hash of
     the id below a label's share makes the choice, the same at every run, so that no
-    label's rows meet in one task.  At most ``2 * max_labels * per_label`` texts of that
-    length reach the driver.
+    label's rows meet in one task.  At most ``max_labels * per_label`` texts of that length
+    reach the driver.
     """
     known = labels.select("doc_id", "label").filter(~held_out("doc_id") & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
@@ -34,12 +32,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_labe
     ids = drawn.withColumn("rank", rank).filter(F.col("rank") <= 2 * per_label).select("doc_id", "label", "draw")
     kept = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
     texts = docs.filter(F.length("text").between(1, max_chars)).select("doc_id", "text").join(F.broadcast(kept), "doc_id")
-    # an id that comes many times counts once
-    rows = texts.groupBy("label", "draw", "doc_id").agg(F.min("text").alias("text")).collect()
-    taken: Counter = Counter()
-    out = []
-    for row in sorted(rows, key=lambda r: (r["draw"], r["doc_id"], str(r["label"]))):
-        if taken[row["label"]] < per_label:
-            taken[row["label"]] += 1
-            out.append((row["text"], row["label"]))
-    return out
+    # an id that comes many times counts once; only what is taken travels
+    once = texts.groupBy("label", "draw", "doc_id").agg(F.min("text").alias("text"))
+    taken = once.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("text", "label", "draw", "doc_id").toArrow()
+    order = taken.sort_by([("draw", "ascending"), ("doc_id", "ascending")])
+    return list(zip(order.column("text").to_pylist(), order.column("label").to_pylist(), strict=True))

@@ -20,8 +20,8 @@ from reelgauge.llm.sampling import labelled_sample
 
 #: Bounds of the fitted sample: documents of each label, characters of a document.
 PER_LABEL, MAX_CHARS = 1000, 20_000
-#: Words of a window, and from one window to the next.
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and from one window to the next: any run of half a window lies whole in one.
+WINDOW, STRIDE = 32, 16
 #: Words with a vector of their own (the rest share one), and documents each must be in.
 MAX_WORDS, LEAST_DOCUMENTS = 40_000, 4
 #: Width of word vectors, buckets and width of trigram vectors, width of states and attention.
@@ -204,13 +204,24 @@ def _gathered(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(mask > 0, first + steps, 0), mask
 
 
+def _part(w: Words, begin: int, end: int) -> Words:
+    """Words ``begin`` to ``end`` alone."""
+    first = w.first[begin:end]
+    grams = slice(first[0], w.first[end] if end < len(w.first) else len(w.gram))
+    return Words(w.word[begin:end], w.text[begin:end], w.gram[grams], first - first[0])
+
+
 def window_scores(net: Network, w: Words, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Probability of every window."""
+    """Probability of every window; windows are in the order of their first words.
+
+    Vectors exist for the words of one block of windows at a time.
+    """
     out = np.zeros(len(first), np.float32)
-    gates = net.inputs(w) @ net.p["wx"] + net.p["b"]
     for at in range(0, len(first), BLOCK_WINDOWS):
         part = slice(at, at + BLOCK_WINDOWS)
-        index, mask = _gathered(first[part], size[part])
+        begin, end = int(first[part][0]), int((first[part] + size[part]).max())
+        gates = net.inputs(_part(w, begin, end)) @ net.p["wx"] + net.p["b"]
+        index, mask = _gathered(first[part] - begin, size[part])
         out[part] = net.run(gates[index], mask)
     return out
 
@@ -241,7 +252,8 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED) -
     """
     target = np.array([int(y) for _, y in sample])
     w = words_of([t for t, _ in sample])
-    pairs = np.unique(np.stack([w.text.astype(np.int64), w.word.astype(np.int64)]), axis=1)
+    pairs = np.unique(w.text.astype(np.int64) << 32 | w.word.astype(np.int64))
+    pairs = pairs >> 32, pairs & 0xFFFFFFFF
     hashes, number, spread = np.unique(pairs[1], return_inverse=True, return_counts=True)
     common = np.lexsort((hashes, -spread))[:MAX_WORDS]
     net = Network.fresh(np.sort(hashes[common[spread[common] >= LEAST_DOCUMENTS]]).astype(np.uint32), seed)
