@@ -154,6 +154,7 @@ def fit_centres(
         F.lit(0.0),
         lambda total, d: total + d,
     ).alias("_shift")
+    done = []
     for _ in range(max_iter):
         sums = (
             _assign(points, state, by, restarts, small)
@@ -162,11 +163,15 @@ def fit_centres(
         )
         gathered = _gather(sums.select(*by, "restart", "c", *means), by, "_means")
         old = state.withColumnRenamed("centres", "_old")
-        state = materialise(old.join(gathered, by).select(*by, centres, shift))
-        settled = state.filter(F.col("_shift") > tol).isEmpty()
-        state = state.drop("_shift")
-        if settled:
+        moved = materialise(old.join(gathered, by).select(*by, centres, shift))
+        # groups that have settled leave the passes, and their points with them
+        done.append(moved.filter(F.col("_shift") <= tol).drop("_shift"))
+        state = moved.filter(F.col("_shift") > tol).drop("_shift")
+        if state.isEmpty():
             break
+    for part in done:
+        state = state.unionByName(part)
+    state = materialise(state)
     inertia = (
         _assign(points, state, by, restarts, small)
         .groupBy(*by, "restart")

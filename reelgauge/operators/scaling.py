@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +27,30 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables in the shared folder, removed when the block ends.
+
+    ``keep`` writes a table and reads it back, which cuts lineage and survives lost
+    executors.  What outlives the block is stored by ``materialise``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True if the table has at most that many rows and bytes; reads no more rows than it must.
 

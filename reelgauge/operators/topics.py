@@ -1,31 +1,39 @@
 """Latent topics for every (period, entity) at once.
 
 The usual route, one ``pyspark.ml`` LDA model per group, needs a driver loop over
-channels and a vocabulary-by-topics matrix in the driver.  The number of topics
-is at most five here, so the variational updates are written as joins and sums
-over (group, document, term) rows with one column per topic: all groups share a
-job, nothing is gathered, and a frequent term is an ordinary hot key.
+channels and a vocabulary-by-topics matrix in the driver.  Here the documents of all
+groups lie in blocks of bounded size, each with the terms it uses.  In every pass
+the weights of a block's terms come to it, its documents are fitted to them to the
+end, and the expected counts of its terms go back to be summed: only the terms
+move, and no group is ever in one place.  The variational bound of each group is
+summed along the way; a group whose bound no longer rises leaves the passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reelgauge.functions import text as X
 from reelgauge.operators.engagement import group_sizes, topic_count, with_entities
 from reelgauge.operators.ngrams import doc_term_counts, top_per_group, with_tokens
 from reelgauge.operators.picks import argmax_per_group
-from reelgauge.operators.scaling import fits, hot_keys, materialise, sized_join
+from reelgauge.operators.scaling import Tables, fits, hot_keys, materialise, sized_join
 from reelgauge.schemas import METRICS
 
 GROUP = ["period", "entity"]
 MAX_TOPICS = 5
+#: Documents of a block, on average.
+BLOCK_DOCS = 512
+#: Steps in which a block's documents are fitted at most, and the mean change that ends them.
+STEPS, STEP_CHANGE = 100, 1e-3
 _P = [f"p{i}" for i in range(MAX_TOPICS)]
+_B = [f"b{i}" for i in range(MAX_TOPICS)]
 #: share of a document that its starting topic gets
 _START = 0.9
 
@@ -35,193 +43,241 @@ class TopicModel:
     """Result tables; ``topics`` counts from 0 in each (period, entity).
 
     ``documents``: group, videoId, k, p0..p4 (topic shares, sum 1, NULL from k on).
-    ``terms``: group, term, topic, weight.
+    ``terms``: group, term, topic, weight.  ``bounds``: group, pass, bound of every pass
+    that the group took part in.
     """
 
     documents: DataFrame
     terms: DataFrame
+    bounds: DataFrame
 
 
-def digamma(column: str) -> Column:
-    """Digamma of a column of values from 0.2 up, good to seven digits.
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Digamma of positive values: the recurrence leads to x + 6, then the asymptotic series."""
+    y = x + 6
+    f = 1 / (y * y)
+    return np.log(y) - 0.5 / y - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240))) - sum(1 / (x + i) for i in range(6))
 
-    The recurrence leads to x + 3, where the asymptotic series takes over.  The
-    three reciprocals of the recurrence share one division: a longer expression
-    makes the generated method too large for the JVM to compile.
-    """
-    x = column
-    shift = f"(3 * {x} * {x} + 6 * {x} + 2) / ({x} * ({x} + 1) * ({x} + 2))"
-    r = f"(1 / ({x} + 3))"
-    square = f"{r} * {r}"
-    tail = (
-        f"{1 / 12!r}D - {square} * ({1 / 120!r}D - {square} * ({1 / 252!r}D - {square} / 240))"
-    )
-    return F.expr(f"ln({x} + 3) - {r} * (0.5D + {r} * ({tail})) - {shift}")
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive values, the same way."""
+    y = x + 6
+    f = 1 / (y * y)
+    series = (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f / 1680))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - sum(np.log(x + i) for i in range(6))
 
 
 def _active(i: int) -> Column:
     return F.lit(i) < F.col("k")
 
 
-def _start_shares(seed: int) -> list[Column]:
-    """Starting shares: most of a document on one topic chosen by its id."""
+def _start_sums(edges: DataFrame, seed: int) -> DataFrame:
+    """g, term, k, p0..p4: most of each document on one topic chosen by its id."""
     start = F.pmod(F.xxhash64("videoId", F.lit(seed)), F.col("k")).cast("int")
     rest = (1 - _START) / F.col("k")
-    return [
-        F.when(_active(i), F.when(start == i, _START + rest).otherwise(rest)).alias(p)
-        for i, p in enumerate(_P)
-    ]
+    shares = [F.when(_active(i), F.when(start == i, _START + rest).otherwise(rest)).otherwise(0.0) for i in range(MAX_TOPICS)]
+    sums = [F.sum(F.col("n") * share).alias(p) for p, share in zip(_P, shares)]
+    return edges.groupBy("g", "term", "k").agg(*sums)
+
+
+# --- blocks of documents ----------------------------------------------------------------
+
+_BLOCK = "g bigint, block int, k int, ids array<string>, terms array<string>, doc array<int>, term array<int>, times array<bigint>"
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """One row for the documents of a block: their ids, its terms, and who has which how often."""
+    ids, terms = (rows.column(c).combine_chunks().dictionary_encode() for c in ("videoId", "term"))
+    first = {c: rows.column(c)[0].as_py() for c in ("g", "block", "k")}
+    lists = {"ids": ids.dictionary, "terms": terms.dictionary, "doc": ids.indices, "term": terms.indices, "times": rows.column("n")}
+    kinds = {"ids": pa.string(), "terms": pa.string(), "doc": pa.int32(), "term": pa.int32(), "times": pa.int64()}
+    return pa.table({
+        "g": pa.array([first["g"]], pa.int64()), "block": pa.array([first["block"]], pa.int32()), "k": pa.array([first["k"]], pa.int32()),
+        **{c: pa.array([v.to_pylist()], pa.list_(kinds[c])) for c, v in lists.items()},
+    })
+
+
+class _Fitted:
+    """The documents of a block fitted to the weights of its terms (term by topic)."""
+
+    def __init__(self, block: dict, weights: np.ndarray):
+        k = block["k"]
+        doc, term = np.array(block["doc"]), np.array(block["term"])
+        times, prior, weights = np.array(block["times"], float), 1 / k, weights[:, :k]
+        self.weights, n = weights, len(block["ids"])
+        self.gamma = np.ones((n, k))
+        at_term = weights[term]
+
+        def summed(by: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+            return np.stack([np.bincount(by, values[:, i], size) for i in range(k)], 1)
+
+        for _ in range(STEPS):
+            log_share = digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None]
+            share = np.exp(log_share)
+            total = (share[doc] * at_term).sum(1) + 1e-300
+            new = prior + share * summed(doc, at_term * (times / total)[:, None], n)
+            change, self.gamma = np.abs(new - self.gamma).mean(), new
+            if change < STEP_CHANGE:
+                break
+        log_share = digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None]
+        share = np.exp(log_share)
+        total = (share[doc] * at_term).sum(1) + 1e-300
+        self.sums = weights * summed(term, share[doc] * (times / total)[:, None], len(weights))
+        own = (prior - self.gamma) * log_share + log_gamma(self.gamma)
+        constant = log_gamma(np.array(1.0)) - k * log_gamma(np.array(prior))
+        self.bound = float((times * np.log(total)).sum() + own.sum() - log_gamma(self.gamma.sum(1)).sum() + n * constant)
+
+
+def _met(block: pa.Table, weights: pa.Table) -> tuple[dict, np.ndarray] | None:
+    if not block.num_rows or not weights.num_rows:
+        return None
+    row = block.to_pylist()[0]
+    out = np.zeros((len(row["terms"]), MAX_TOPICS))
+    out[weights.column("place").to_numpy()] = np.stack([weights.column(b).to_numpy() for b in _B], 1)
+    return row, out
+
+
+_COUNTS = f"g bigint, term string, {', '.join(f'{p} double' for p in _P)}, bound double"
+_SHARES = f"g bigint, videoId string, {', '.join(f'{p} double' for p in _P)}"
+
+
+def _columns(values: np.ndarray) -> dict[str, pa.Array]:
+    """Topic columns, zero from k on."""
+    full = np.zeros((len(values), MAX_TOPICS))
+    full[:, : values.shape[1]] = values
+    return {p: pa.array(full[:, i]) for i, p in enumerate(_P)}
+
+
+def _expected_counts(block: pa.Table, weights: pa.Table) -> pa.Table:
+    """Expected counts of a block's terms, and one row without a term for its part of the bound."""
+    met = _met(block, weights)
+    row, found = (met[0], _Fitted(*met)) if met else (None, None)
+    terms = row["terms"] if row else []
+    n = len(terms) + bool(row)
+    sums = np.vstack([found.sums, np.zeros((1, found.sums.shape[1]))]) if row else np.zeros((0, 1))
+    return pa.table({
+        "g": pa.array([row["g"]] * n if row else [], pa.int64()), "term": pa.array([*terms, None] if row else [], pa.string()),
+        **_columns(sums), "bound": pa.array([None] * len(terms) + [found.bound] if row else [], pa.float64()),
+    })
 
 
-def _deal(at_term: DataFrame) -> DataFrame:
-    """Expected counts of every document and of every term after one pass.
+def _document_shares(block: pa.Table, weights: pa.Table) -> pa.Table:
+    """The documents' topic counts, prior included."""
+    met = _met(block, weights)
+    row, found = (met[0], _Fitted(*met)) if met else (None, None)
+    gamma = found.gamma if row else np.zeros((0, 1))
+    ids = row["ids"] if row else []
+    return pa.table({"g": pa.array([row["g"]] * len(ids) if row else [], pa.int64()), "videoId": pa.array(ids, pa.string()), **_columns(gamma)})
 
-    An edge's occurrences are shared among the topics; both sums come from one
-    exchange, in which each edge goes to its document and to its term.
+
+# --- weights of terms ---------------------------------------------------------------------
+
+
+def _weights(sums: DataFrame, few_groups: bool) -> DataFrame:
+    """g, term, b0..b4, part: what documents are fitted to, and the term's part of the bound.
+
+    A topic's weight of a term is the exponential of its expected logarithm.
     """
-    raw = [F.coalesce(F.col(f"_d{p}") * F.col(f"_b{p}"), F.lit(0.0)) for p in _P]
-    shares = at_term.select(
-        "g", "videoId", "term", "k", "n", *[r.alias(p) for r, p in zip(raw, _P)]
-    )
-    total = sum((F.col(p) for p in _P[1:]), F.col(_P[0]))
-    dealt = shares.select(
-        "g",
-        "k",
-        *[
-            F.when(_active(i), F.col("n") * F.col(p) / total).alias(p)
-            for i, p in enumerate(_P)
-        ],
-        F.explode(
-            F.array(
-                F.struct(F.lit(True).alias("is_term"), F.col("term").alias("key")),
-                F.struct(F.lit(False).alias("is_term"), F.col("videoId").alias("key")),
-            )
-        ).alias("_to"),
-    )
-    return dealt.groupBy("g", "k", "_to.is_term", "_to.key").agg(
-        *[F.sum(p).alias(p) for p in _P]
-    )
+    own = sums.select("g", "term", "k", *[F.when(_active(i), F.col(p) + 1 / F.col("k")).otherwise(0.0).alias(p) for i, p in enumerate(_P)])
+    totals = own.groupBy("g").agg(*[F.sum(p).alias(f"t{p}") for p in _P], F.count("*").alias("size"))
+    both = sized_join(own, totals, ["g"], "inner", few_groups).select("g", "term", "k", *_P, *[f"t{p}" for p in _P], "size")
+    names = ["g", "term", *_B, "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, size = batch.column(2).to_numpy()[:, None], batch.column(2 + 2 * MAX_TOPICS + 1).to_numpy()[:, None]
+            x, total = (np.stack([batch.column(3 + at + i).to_numpy() for i in range(MAX_TOPICS)], 1) for at in (0, MAX_TOPICS))
+            used, prior = np.arange(MAX_TOPICS) < k, 1 / k
+            x, total = np.where(used, x, 1), np.where(used, total, 1)
+            log = digamma(x) - digamma(total)
+            part = (prior - x) * log + log_gamma(x) - log_gamma(prior) + (log_gamma(size * prior) - log_gamma(total)) / size
+            weight = np.where(used, np.exp(log), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(weight[:, i]) for i in range(MAX_TOPICS)), pa.array(np.where(used, part, 0).sum(1))], names)
+
+    return both.mapInArrow(run, f"g bigint, term string, {', '.join(f'{b} double' for b in _B)}, part double")
 
 
 def fit_topics(
     in_period: DataFrame,
     stopwords: Iterable[str],
-    max_iter: int = 10,
+    max_iter: int = 12,
     seed: int = 42,
+    tolerance: float = 1e-4,
+    tokenised: DataFrame | None = None,
 ) -> TopicModel:
     """Topics of every (period, entity), priors 1/k, k from the group's size.
 
     A document without tokens keeps equal shares.  A group in which no document
-    has a token has no vocabulary and is left out.
+    has a token has no vocabulary and is left out; rows without an id take no part.  A
+    group leaves the passes once its bound rises by less than ``tolerance`` of itself.
+    ``tokenised`` hands in period, channelId, videoId and tokens where they exist already.
     """
     key = ["period", "channelId", "videoId"]
+    spark = in_period.sparkSession
     narrow = in_period.select(*key)
-    # groups get a number, which is shorter to send and compare than their names
-    groups = materialise(
-        group_sizes(narrow).select(
-            *GROUP,
-            topic_count(F.col("n")).alias("k"),
-            F.monotonically_increasing_id().alias("g"),
-        )
-    )
-    # sizes that no pass changes are checked once: groups, documents, terms
-    few_groups = fits(groups)
-    counts = doc_term_counts(
-        with_tokens(in_period.select(*key, "videoTranscript"), stopwords), key
-    )
-    edges = materialise(
-        sized_join(
-            with_entities(counts).drop("channelId"),
-            groups.select(*GROUP, "g"),
-            GROUP,
-            "inner",
-            few_groups,
-        ).drop(*GROUP)
-    )
-    lengths = edges.groupBy("g", "videoId").agg(F.sum("n").alias("_len"))
-    start = materialise(
-        sized_join(
-            with_entities(narrow).select(*GROUP, "videoId"),
-            groups,
-            GROUP,
-            "inner",
-            few_groups,
-        )
-        .join(lengths, ["g", "videoId"], "left")
-        .select("g", "videoId", "k", "_len", *_start_shares(seed))
-    )
-    members = start.select("g", "videoId", "k")
-    few_documents = fits(members)
-
-    def meet_documents(documents: DataFrame) -> DataFrame:
-        # a document's terms are few: no hot key beyond the checked size
-        if few_documents:
-            documents = F.broadcast(documents)
-        return edges.join(documents, ["g", "videoId"])
-
-    sums = materialise(
-        meet_documents(start.drop("_len"))
-        .groupBy("g", "term", "k")
-        .agg(*[F.sum(F.col("n") * F.col(p)).alias(p) for p in _P])
-    )
-    few_terms = fits(sums)
-    hot = None
-    if not few_terms:
-        hot = materialise(hot_keys(edges.select("g", "term"), ["g", "term"]))
-
-    state = start.select(
-        "g",
-        "videoId",
-        "k",
-        *[(F.col(p) * F.coalesce("_len", F.lit(0)) + 1 / F.col("k")).alias(p) for p in _P],
-    )
-    # the document's own normaliser cancels out of the shares
-    of_document = [F.exp(digamma(p)).alias(f"_d{p}") for p in _P]
-    prior = [(F.col(p) + 1 / F.col("k")).alias(p) for p in _P]
-    of_term = [F.exp(digamma(p) - F.col(f"_t{p}")).alias(f"_b{p}") for p in _P]
-    sum_up = [F.sum(p).alias(p) for p in _P]
-    totals = [digamma(p).alias(f"_t{p}") for p in _P]
-    gained = [F.col(p).alias(f"_n{p}") for p in _P]
-    renewed = [
-        F.when(_active(i), F.coalesce(f"_n{p}", F.lit(0.0)) + 1 / F.col("k")).alias(p)
-        for i, p in enumerate(_P)
-    ]
-    for _ in range(max_iter):
-        at_doc = meet_documents(state.select("g", "videoId", "k", *of_document))
-        weights = sums.select("g", "term", *prior)
-        terms = sized_join(
-            weights,
-            weights.groupBy("g").agg(*sum_up).select("g", *totals),
-            ["g"],
-            "inner",
-            few_groups,
-        ).select("g", "term", *of_term)
-        at_term = sized_join(at_doc, terms, ["g", "term"], "inner", few_terms, hot)
-        both = materialise(_deal(at_term))
-        sums = both.filter("is_term").select("g", F.col("key").alias("term"), "k", *_P)
-        news = both.filter("not is_term").select(
-            "g", F.col("key").alias("videoId"), *gained
-        )
-        state = members.join(news, ["g", "videoId"], "left").select(
-            "g", "videoId", "k", *renewed
-        )
-    total = sum((F.coalesce(p, F.lit(0.0)) for p in _P[1:]), F.col(_P[0]))
-    filled = sums.select("g").distinct()
-    names = groups.select("g", *GROUP)
-    kept = sized_join(state, filled, ["g"], "left_semi", few_groups)
-    documents = sized_join(kept, names, ["g"], "inner", few_groups).select(
-        *GROUP, "videoId", "k", *[(F.col(p) / total).alias(p) for p in _P]
-    )
-    by_topic = sums.select(
-        "g",
-        "term",
-        "k",
-        F.posexplode(F.slice(F.array(*_P), F.lit(1), F.col("k"))).alias("topic", "_sum"),
-    )
-    weights = sized_join(by_topic, names, ["g"], "inner", few_groups).select(
-        *GROUP, "term", "topic", (F.col("_sum") + 1 / F.col("k")).alias("weight")
-    )
-    return TopicModel(materialise(documents), materialise(weights))
+    if tokenised is None:
+        tokenised = with_tokens(in_period.select(*key, "videoTranscript"), stopwords)
+    with Tables(spark) as tables:
+        # groups get a number, which is shorter to send and compare than their names
+        groups = tables.keep(group_sizes(narrow).select(*GROUP, topic_count(F.col("n")).cast("int").alias("k"), "n", F.monotonically_increasing_id().alias("g")))
+        few_groups = fits(groups)
+        blocks_of = F.ceil(F.col("n") / BLOCK_DOCS)
+        numbered = groups.select(*GROUP, "g", "k", blocks_of.alias("blocks"))
+        counts = with_entities(doc_term_counts(tokenised, key).filter("videoId is not null")).drop("channelId")
+        block = F.pmod(F.xxhash64("videoId"), F.col("blocks")).cast("int").alias("block")
+        edges = tables.keep(sized_join(counts, numbered, GROUP, "inner", few_groups).select("g", "k", block, "videoId", "term", "n"))
+        blocks = tables.keep(edges.groupBy("g", "block").applyInArrow(_pack, _BLOCK))
+        spread = tables.keep(blocks.select("g", "block", F.posexplode("terms").alias("place", "term")))
+        sums = tables.keep(_start_sums(edges, seed))
+        few_terms = fits(sums)
+        hot = None if few_terms else tables.keep(hot_keys(spread.select("g", "term"), ["g", "term"]))
+
+        def at_blocks(left: DataFrame, weights: DataFrame, act, schema: str) -> DataFrame:
+            placed = sized_join(spread, weights.drop("part"), ["g", "term"], "inner", few_terms, hot).drop("term")
+            return left.groupBy("g", "block").cogroup(placed.groupBy("g", "block")).applyInArrow(act, schema)
+
+        settled, bounds, before, left = [], [], None, blocks
+        for number in range(max_iter):
+            weights = tables.keep(_weights(sums, few_groups))
+            counted = tables.keep(at_blocks(left, weights, _expected_counts, _COUNTS))
+            parts = counted.filter("term is null").select("g", "bound").unionByName(weights.select("g", F.col("part").alias("bound")))
+            bound = parts.groupBy("g").agg(F.sum("bound").alias("bound"))
+            if before is None:
+                bound = bound.withColumn("open", F.lit(True))
+            else:
+                rise = F.col("bound") - F.col("was")
+                bound = bound.join(before.select("g", F.col("bound").alias("was")), "g").select("g", "bound", (rise > tolerance * F.abs("was")).alias("open"))
+            before = tables.keep(bound.withColumn("pass", F.lit(number)))
+            bounds.append(before.select("g", "pass", "bound"))
+            k = groups.select("g", "k")
+            news = sized_join(counted.filter("term is not null").groupBy("g", "term").agg(*[F.sum(p).alias(p) for p in _P]), k, ["g"], "inner", few_groups)
+            sums = tables.keep(news)
+            closed, still = before.filter("not open").select("g"), before.filter("open").select("g")
+            if number == max_iter - 1 or still.isEmpty():
+                settled.append(sums)
+                break
+            if not closed.isEmpty():
+                settled.append(sized_join(sums, closed, ["g"], "left_semi", few_groups))
+                sums, left = (sized_join(x, still, ["g"], "left_semi", few_groups) for x in (sums, left))
+        sums = settled[0]
+        for part in settled[1:]:
+            sums = sums.unionByName(part)
+        sums = tables.keep(sums)
+        shares = at_blocks(blocks, _weights(sums, few_groups), _document_shares, _SHARES)
+        members = sized_join(with_entities(narrow.filter("videoId is not null")).select(*GROUP, "videoId"), groups.select(*GROUP, "g", "k"), GROUP, "inner", few_groups)
+        filled = sized_join(members, sums.select("g").distinct(), ["g"], "left_semi", few_groups)
+        total = sum((F.col(p) for p in _P[1:]), F.col(_P[0]))
+        own = [F.when(_active(i), F.coalesce(F.col(p) / total, 1 / F.col("k"))).alias(p) for i, p in enumerate(_P)]
+        documents = materialise(filled.join(shares, ["g", "videoId"], "left").select(*GROUP, "videoId", "k", *own))
+        names = groups.select("g", *GROUP)
+        by_topic = sums.select("g", "term", "k", F.posexplode(F.slice(F.array(*_P), F.lit(1), F.col("k"))).alias("topic", "_sum"))
+        terms = sized_join(by_topic, names, ["g"], "inner", few_groups)
+        terms = materialise(terms.select(*GROUP, "term", "topic", (F.col("_sum") + 1 / F.col("k")).alias("weight")))
+        every = bounds[0]
+        for part in bounds[1:]:
+            every = every.unionByName(part)
+        every = materialise(sized_join(every, names, ["g"], "inner", few_groups).select(*GROUP, "pass", "bound"))
+    return TopicModel(documents, terms, every)
 
 
 def topic_terms(model: TopicModel, n: int = 10) -> DataFrame:
@@ -293,10 +349,10 @@ def topic_engagement(
 
     ``examples`` adds the excerpt of the topic's representative document; all
     parts are joined by topic number.  A video that is in several periods counts once
-    in each of them.
+    in each of them; of rows that differ in metrics the greatest counts.
     """
     key = [*GROUP, "topic"]
-    once = videos.select("videoId", *metrics).dropDuplicates(["videoId"])
+    once = videos.groupBy("videoId").agg(F.max(F.struct(*metrics)).alias("_m")).select("videoId", "_m.*")
     placed = dominant_topics(model).join(once, "videoId")
     stats = placed.groupBy(*key).agg(
         *[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("num_videos")

@@ -1,5 +1,6 @@
 """Operators against brute force, on skewed and hand-written rows."""
 
+import math
 import random
 
 import numpy as np
@@ -329,12 +330,12 @@ def test_kmeans_separates(spark):
     assert {r.cluster for r in found if r.channelId == "same"} == {0}
 
 
-def test_digamma(spark):
+def test_digamma_and_log_gamma():
     # Digamma at 0.2, 1 and 50.
     expected = {0.2: -5.289039896592188, 1.0: -0.5772156649015329, 50.0: 3.901989673427892}
-    df = spark.createDataFrame([(x,) for x in expected], "x double")
-    for r in df.select("x", topics.digamma("x").alias("d")).collect():
-        assert r.d == pytest.approx(expected[r.x], abs=2e-7)
+    for x, value in expected.items():
+        assert topics.digamma(np.array(x)) == pytest.approx(value, abs=1e-8)
+        assert topics.log_gamma(np.array(x)) == pytest.approx(math.lgamma(x), abs=1e-8)
 
 
 @pytest.fixture(scope="module")
@@ -381,6 +382,42 @@ def test_shares_sum_to_one(spark, topic_model):
         assert r.t == pytest.approx(1.0)
 
 
+def planted(seed, n=200):
+    """Documents of five topics with some words in common; each mostly of one topic."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        main = i % 5
+        mix = rng.dirichlet(np.where(np.arange(5) == main, 4.0, 0.25))
+        words = []
+        for t in rng.choice(5, 60, p=mix):
+            common = rng.random() < 0.25
+            words.append("palavra" + chr(97 + rng.integers(0, 20)) if common else f"tema{'abcde'[t]}" + chr(97 + rng.integers(0, 20)) + "zx")
+        rows.append(("p", "c1" if i % 2 else "c2", f"v{i}", main, 1, 1, " ".join(words)))
+    return rows
+
+
+def test_planted_topics_are_found_and_bounds_rise(spark, monkeypatch):
+    monkeypatch.setattr(topics, "BLOCK_DOCS", 40)
+    kinds = "period string, channelId string, videoId string, viewCount long, likeCount long, commentCount long, videoTranscript string"
+    rows = planted(1)
+    df = spark.createDataFrame(rows, kinds)
+    model = topics.fit_topics(df, stopword_set(("pt",)))
+    truth = {r[2]: r[3] for r in rows}
+    found = {}
+    for r in topics.dominant_topics(model).filter("entity = 'ALL'").collect():
+        found.setdefault(r.topic, []).append(truth[r.videoId])
+    pure = sum(max(v.count(t) for t in set(v)) for v in found.values()) / len(rows)
+    assert pure > 0.75, pure
+    passes = {}
+    for r in model.bounds.collect():
+        passes.setdefault(r.entity, {})[r["pass"]] = r.bound
+    assert set(passes) == {"ALL", "c1", "c2"}
+    for own in passes.values():
+        values = [own[i] for i in range(len(own))]
+        assert len(values) > 2 and all(b - a > -1e-5 * abs(a) for a, b in zip(values, values[1:]))
+
+
 def test_empty_label(spark):
     df = spark.createDataFrame([(3, [])], "t int, w array<string>")
     label = df.select(topics.topic_label(F.col("t"), F.col("w")).alias("l")).first().l
