@@ -11,7 +11,7 @@ length are worked through by ``centred``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelgauge.llm.centred import WHOLE, by_group, labelled, links_of, spanning
+from reelgauge.llm.centred import WHOLE, labelled, links_of
 from reelgauge.llm.common import Tables, small_batches, text_slices
 from reelgauge.llm.shingles import shingle_sets, signature
-from reelgauge.llm.text_classes import SLICE_BYTES, TRAVEL, classes_of, sets_of, with_components
+from reelgauge.llm.text_classes import SLICE_BYTES, TRAVEL, classes_of, sets_of, sifted, with_components
 
 SHINGLE, PERCENT = 5, 85
 #: Values of a sketch, and the share of them that similar sets surely have in common: fewer
@@ -82,25 +82,14 @@ def listed(classes: DataFrame, tables: Tables) -> DataFrame:
     return ranked.filter("alone + rank <= needed").select("token", "cls")
 
 
-def likely_groups(groups: DataFrame, classes: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """grp, cls: small groups reduced to the members that an estimate joins, large ones as they are."""
-    counts = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
-    named = tables.keep(groups.join(counts, "grp"))
+def likely(percent: int) -> Callable[[np.ndarray, list[np.ndarray]], np.ndarray]:
+    """Which pairs of sketches may be of similar sets: by size, then by the estimate."""
 
-    def likely(_: int, members: list) -> Iterator[tuple]:
-        sizes, low = np.array([m[1] for m in members], np.int64), [m[2] for m in members]
+    def possible(sizes: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
         good = 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
-        good &= estimates(low) >= percent / 100 - MARGIN
-        names: dict[int, int] = {}
-        for i, j in spanning(good & ~np.eye(len(sizes), dtype=bool)):
-            names[i] = names[j] = names.get(i, i)
-        for i, first in names.items():
-            yield members[first][0], members[i][0]
+        return good & (estimates(sketches) >= percent / 100 - MARGIN)
 
-    small = named.filter(F.col("members") <= WHOLE).join(classes.select("cls", "n", F.col("sketch").alias("v")), "cls")
-    joined = by_group(small, ["grp", "cls", "n", "v"], likely, "grp bigint, cls bigint")
-    large = named.filter(F.col("members") > WHOLE).select("grp", "cls")
-    return tables.keep(joined.select(F.xxhash64("grp").alias("grp"), "cls").union(large).distinct())
+    return possible
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -119,7 +108,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         rows = tables.keep(sketch_rows(docs, size))
         classes = classes_of(rows, tables, "sketch")
         groups = labelled(listed(classes, tables), tables)
-        groups = likely_groups(groups, classes, percent, tables)
+        groups = sifted(groups, classes.withColumnRenamed("sketch", "v"), WHOLE, likely(percent), tables)
         sets = sets_of(docs, classes, groups, tables, size)
         links = links_of(groups, sets, percent, tables)
         out = with_components(rows.select("doc_id", "n", "s1", "s2"), classes, links, tables)

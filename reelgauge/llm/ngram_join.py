@@ -5,22 +5,24 @@ all shingles.  Frequent shingles come last in each of three orders, which differ
 rest.  Classes of equal sets that share prefix elements under an order fall into a group
 of that order; candidates must meet in a group of the first and of the second order, and
 have company under the third.  The filters are intersected as keys of groups, before any
-pair exists; what is left of a group is compared exactly, by ``centred`` if it is large.
+pair exists: first inside each group of the first order, by how many prefix elements its
+members share there, then with the other orders.  What is left of a group is compared
+exactly, by ``centred`` if it is large.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgauge.llm.centred import labelled, links_of
+from reelgauge.llm.centred import CENTRED, common_elements, labelled, links_of
 from reelgauge.llm.common import Tables, small_batches, text_slices
 from reelgauge.llm.shingles import shingle_sets, signature
-from reelgauge.llm.text_classes import SLICE_BYTES, classes_of, sets_of, shared_tokens, with_components
+from reelgauge.llm.text_classes import SLICE_BYTES, classes_of, sets_of, shared_tokens, sifted, with_components
 
 SHINGLE, PERCENT = 5, 80
 #: The counting sketch: counters in all, and parts in which it travels.
@@ -160,6 +162,22 @@ def _tokens_of(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
     return arrays.select("cls", "order", F.explode("tokens").alias("token"))
 
 
+def enough(percent: int) -> Callable[[np.ndarray, list[np.ndarray]], np.ndarray]:
+    """Which pairs of prefixes have as many elements in common as their sets' sizes ask for.
+
+    Of the two, take the one whose prefix ends first in the order: what they share up to
+    there is counted, and behind it that set has only its other elements to share.
+    """
+
+    def possible(sizes: np.ndarray, prefixes: list[np.ndarray]) -> np.ndarray:
+        least, most = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+        needed = -(-percent * (least + most) // (100 + percent))
+        behind = -(-percent * most // 100) - 1
+        return (100 * least >= percent * most) & (common_elements(prefixes) + behind >= needed)
+
+    return possible
+
+
 def _in_company(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key more than one class has; each class has a key once."""
     return rows.join(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), key, "left_semi")
@@ -213,8 +231,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         frequent = _frequent(first.filter(F.col("part").isNotNull()), total)
         classes = classes_of(rows, tables)
         prefixes = tables.keep(_prefixes(docs, frequent, size, percent))
-        groups = labelled(shared_tokens(prefixes, classes, tables), tables)
-        groups = tables.keep(_in_company(groups, "grp"))
+        shared = tables.keep(shared_tokens(prefixes, classes, tables))
+        own = shared.groupBy("cls").agg(F.array_sort(F.collect_list("token")).alias("v")).join(classes.select("cls", "n"), "cls")
+        groups = sifted(labelled(shared, tables), tables.keep(own), CENTRED, enough(percent), tables)
         sets = sets_of(docs, classes, groups, tables, size)
         groups = _met(groups, sets, frequent, percent, tables)
         links = links_of(groups, sets, percent, tables)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgauge.llm.centred import by_group, spanning
 from reelgauge.llm.common import Tables, small_batches, text_slices
 from reelgauge.llm.components import components
 from reelgauge.llm.shingles import shingle_sets, signature
@@ -39,6 +40,28 @@ def shared_tokens(listed: DataFrame, classes: DataFrame, tables: Tables) -> Data
     return found.join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select("token", "cls")
 
 
+def sifted(groups: DataFrame, values: DataFrame, bound: int, possible: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], tables: Tables) -> DataFrame:
+    """grp, cls: groups of at most ``bound`` members fall into what possible pairs connect; others stay.
+
+    ``values`` has cls, n and the array v that ``possible`` looks at, instead of whole sets.
+    """
+    counts = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
+    named = tables.keep(groups.join(counts, "grp"))
+
+    def connected(_: int, members: list) -> Iterator[tuple]:
+        good = possible(np.array([m[1] for m in members], np.int64), [m[2] for m in members])
+        names: dict[int, int] = {}
+        for i, j in spanning(good & ~np.eye(len(good), dtype=bool)):
+            names[i] = names[j] = names.get(i, i)
+        for i, first in names.items():
+            yield members[first][0], members[i][0]
+
+    small = named.filter(F.col("members") <= bound).join(values.select("cls", "n", "v"), "cls")
+    joined = by_group(small, ["grp", "cls", "n", "v"], connected, "grp bigint, cls bigint")
+    large = named.filter(F.col("members") > bound).select("grp", "cls")
+    return tables.keep(joined.select(F.xxhash64("grp").alias("grp"), "cls").union(large).distinct())
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, tables: Tables, size: int) -> DataFrame:
     """cls, n, v (ascending) of the wanted classes, from the texts of their smallest documents.
 

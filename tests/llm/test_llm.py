@@ -159,6 +159,7 @@ def test_prefix_counts_never_lose_a_pair():
             for order in range(3):
                 common = len(np.intersect1d(ngram_join.prefix(a, late, order), ngram_join.prefix(b, late, order)))
                 needed = math.ceil(80 * (len(a) + len(b)) / 180)
+                assert ngram_join.enough(80)(np.array([len(a), len(b)]), [ngram_join.prefix(x, late, order) for x in (a, b)])[0, 1]
                 assert common >= 1 and common + (80 * max(len(a), len(b)) + 99) // 100 - 1 >= needed
 
 
