@@ -56,7 +56,7 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog men
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
@@ -73,7 +73,7 @@ SMOOTHING = (1.0, 0.6, 0.25)
 
 
 class _Open:
-    """An open element: its tag, path, and whether it lies outside the article.
+    """An open element: its tag, the number of its path, and whether it lies outside the article.
 
     ``out`` is final; ``mark`` is that of the innermost element, itself or around it, that
     is out by its words alone: a list of whether it still is, and of the mark around it.
@@ -81,7 +81,7 @@ class _Open:
 
     __slots__ = ("article", "mark", "nested", "out", "path", "tag")
 
-    def __init__(self, tag: str, path: str, out: bool, article: str, mark: list | None, nested: bool):
+    def __init__(self, tag: str, path: int, out: bool, article: int, mark: list | None, nested: bool):
         self.tag, self.path, self.out, self.article, self.mark, self.nested = tag, path, out, article, mark, nested
 
 
@@ -118,13 +118,18 @@ def _clutter(tag: str, attrs: dict[str, str]) -> bool:
     return False
 
 
-def blocks(html: str) -> list[dict]:
-    """Blocks of text in page order, each with its path, link share and place.
+def blocks(html: str) -> tuple[list[dict], list[int]]:
+    """Blocks of text in page order, each with its path, link share and place; the path above each path.
 
+    Paths are numbers, 0 that of the page; a path is above those with higher numbers only.
     ``out`` blocks are never the article; ``soft`` ones are out by words.  An element that
     holds ``main`` is not soft, nor one that holds an article while all articles are in such.
     """
-    stack = [_Open("", "", False, "", None, False)]
+    stack = [_Open("", 0, False, 0, None, False)]
+    paths: dict[tuple[int, str], int] = {}
+    above = [0]
+    # how many elements of a tag are open, so that nothing is looked for in vain
+    opened: dict[str, int] = defaultdict(int)
     found: list[dict] = []
     made: list[list] = []
     holders: dict[str, list] = {"main": [], "article": []}
@@ -139,12 +144,17 @@ def blocks(html: str) -> list[dict]:
             found.append(
                 {
                     "text": text, "tag": top.tag, "path": top.path, "out": top.out, "soft": top.mark, "article": top.article,
-                    "parent": stack[-2].path if len(stack) > 1 else "", "links": min(linked, len(text)),
+                    "parent": stack[-2].path if len(stack) > 1 else 0, "links": min(linked, len(text)),
                 }
             )
         parts.clear()
         linked = 0
 
+    def close(depth: int) -> None:
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+        del stack[depth:]
+
     at = 0
     while True:
         token = _TOKEN.search(html, at)
@@ -176,23 +186,25 @@ def blocks(html: str) -> list[dict]:
             continue
         flush()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag))
             continue
         ends, until = IMPLIED.get(tag, (set(), set()))
-        for depth in range(len(stack) - 1, 0, -1):
+        depth = len(stack) - 1
+        while depth and any(opened[t] for t in (*ends, "p")):
             if stack[depth].tag in ends or (stack[depth].tag == "p" and tag in BLOCKS):
-                del stack[depth:]
+                close(depth)
             elif stack[depth].tag in until or not ends:
                 break
+            depth -= 1
         links = 0
         parent = stack[-1]
-        path = f"{parent.path}/{tag}"
+        path = paths.setdefault((parent.path, tag), len(above))
+        if path == len(above):
+            above.append(parent.path)
         attrs = _attributes(token["attrs"])
         out, mark = parent.out or _hidden(tag, attrs, parent), parent.mark
-        article = parent.article or (path if tag in ("article", "main") else "")
+        article = parent.article or (path if tag in ("article", "main") else 0)
         kind = tag if tag in holders else attrs.get("role", "")
         # an article of its own is not judged by its words; one among comments or in another one is
         if kind != "main" and (kind != "article" or parent.nested or mark) and _clutter(tag, attrs):
@@ -201,6 +213,7 @@ def blocks(html: str) -> list[dict]:
         elif kind in holders and not out and not (kind == "article" and parent.nested):
             holders[kind].append(mark)
         stack.append(_Open(tag, path, out, article, mark, parent.nested or tag == "article"))
+        opened[tag] += 1
     flush()
     for kind, marks in holders.items():
         if kind == "main" or all(m and m[0] for m in marks):
@@ -210,7 +223,7 @@ def blocks(html: str) -> list[dict]:
     # from the outside in; what is around a mark was made before it
     for mark in made:
         mark[0] = mark[0] or bool(mark[1] and mark[1][0])
-    return [b | {"soft": bool(b["soft"] and b["soft"][0])} for b in found]
+    return [b | {"soft": bool(b["soft"] and b["soft"][0])} for b in found], above
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -226,8 +239,8 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content(found: list[dict], threshold: float = THRESHOLD) -> list[dict]:
-    """The blocks of the article."""
+def content(found: list[dict], above: list[int], threshold: float = THRESHOLD) -> list[dict]:
+    """The blocks of the article, chosen by their paths; ``above`` has the path above each path."""
     kept = [b for b in found if not b["out"] and not b["soft"]]
     if all(b["links"] == len(b["text"]) for b in kept):
         # nothing else is left: words alone do not empty a page
@@ -244,23 +257,19 @@ def content(found: list[dict], threshold: float = THRESHOLD) -> list[dict]:
     fused = [math.sqrt(a * (1 + m)) for a, m in zip(by_length, by_marks, strict=True)]
     mean = sum(fused) / len(fused)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    path_score: dict[str, float] = defaultdict(float)
+    path_score: dict[int, float] = defaultdict(float)
     for b, x in zip(kept, fused, strict=True):
         path_score[b["path"]] = max(path_score[b["path"]], x)
     limit = min(threshold * deviation, max(path_score.values()))
     chosen = {p for p, x in path_score.items() if x >= limit and length[p] > 0}
     if not chosen:
         return []
-    # what the paths say of each container, by the text it would bring
-    weight: dict[str, float] = defaultdict(float)
-    for b in kept:
-        if b["path"] in chosen:
-            weight[b["article"] or b["parent"]] += len(b["text"]) - b["links"]
-    most = max(weight.values())
-    containers = [c for c, w in weight.items() if w >= 0.2 * most]
-    inside = [
-        any(b["path"] == c or b["path"].startswith(c + "/") for c in containers) for b in kept
-    ]
+    # the containers of the chosen paths' blocks, and all that lies in them
+    containers = {b["article"] or b["parent"] for b in kept if b["path"] in chosen and b["links"] < len(b["text"])}
+    within = [False] * len(above)
+    for path, parent in enumerate(above):
+        within[path] = path in containers or within[parent]
+    inside = [within[b["path"]] for b in kept]
     # a heading right before the article belongs to it
     for before, after in pairwise(range(len(kept))):
         if inside[after] and not inside[before] and kept[before]["tag"] in HEADINGS:
@@ -274,7 +283,7 @@ def content(found: list[dict], threshold: float = THRESHOLD) -> list[dict]:
 
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line; null and pages without text give ''."""
-    return "\n\n".join(b["text"] for b in content(blocks(html))) if html else ""
+    return "\n\n".join(b["text"] for b in content(*blocks(html))) if html else ""
 
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
