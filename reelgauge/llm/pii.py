@@ -286,6 +286,9 @@ def _secret(hit: Column, key: str) -> Column:
 _MAKE = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "iban": _iban, "card": _card}
 
 
+#: Places of a text whose pieces are put together at once.
+CHUNK = 256
+
 #: What a hit that may run on into other text is cut to.
 _CUT = {"iban": _iban_in, "card": _card_in}
 
@@ -319,11 +322,25 @@ def _pieces(parts: Column, values: Column) -> Column:
             F.concat(acc["out"], F.filter(F.array(taken, rest), lambda v: v.isNotNull() & (v["value"] != ""))).alias("out"),
         )
 
-    # without a hit at the very start, the first part is before all hits
-    lead = F.size(parts) - F.size(values)
-    pairs = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.get(values, i - lead).alias("found")))
-    start = F.struct(F.lit(0).alias("covered"), F.array().cast(shape).alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def joined(own: Column) -> Column:
+        # without a hit at the very start, the first part is before all hits
+        lead = F.size(own) - F.size(values)
+        return F.transform(own, lambda p, i: F.struct(p.alias("part"), F.get(values, i - lead).alias("found")))
+
+    def in_chunks(pairs: Column) -> Column:
+        # an array that grows is copied at each step, so it grows by chunks of short ones
+        chunks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(CHUNK)), lambda at: F.slice(pairs, at, CHUNK))
+
+        def more(acc: Column, chunk: Column) -> Column:
+            start = F.struct(acc["covered"].alias("covered"), F.array().cast(shape).alias("out"))
+            grown = lambda x: F.struct(x["covered"].alias("covered"), F.concat(acc["out"], F.array(x["out"])).alias("out"))
+            return _once(F.aggregate(chunk, start, step), grown)
+
+        none = F.struct(F.lit(0).alias("covered"), F.array().cast(f"array<{shape}>").alias("out"))
+        return F.aggregate(chunks, none, more, lambda acc: F.flatten(acc["out"]))
+
+    # bound once each: what stands inside a lambda is computed for every element
+    return _once(_once(parts, joined), in_chunks)
 
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", found: str = "pii") -> DataFrame:

@@ -376,6 +376,32 @@ def test_bpe_splits_where_nothing_changes():
     assert bpe.decode(bpe.encode(space)) == space.encode()
 
 
+def test_many_values_in_one_text(spark):
+    days = [f"{1 + i % 28:02d}.{1 + i % 12:02d}.{1950 + i % 70}" for i in range(4000)]
+    frame = spark.createDataFrame([(1, " and ".join(days)), *((2 + i, d) for i, d in enumerate(days[:40]))], "doc_id long, text string")
+    found = by_id(pii.pseudonymise(frame))
+    values = found[1].pii
+    assert [v.value for v in values] == days
+    assert found[1].text == " and ".join(v.pseudonym for v in values)
+    assert all(found[2 + i].text == values[i].pseudonym for i in range(40))
+
+
+def test_pages_that_never_close():
+    import time
+
+    started = time.perf_counter()
+    story = "<p>The main text of a page, long enough to count, ends here.</p>" * 5
+    assert html_text.main_text("<p>" + "x<" * 1_000_000) is not None
+    assert "main text" in html_text.main_text("<div>" * 30_000 + story + "</section>" * 30_000 + "<li>x" * 30_000)
+    assert time.perf_counter() - started < 20
+
+
+def test_all_of_an_article_in_parts():
+    part = lambda n: " ".join(f"Sentence {i} of this part, which goes on for a while." for i in range(n))
+    page = f"<body><section><p>{part(14)}</p><p>{part(13)}</p></section><div><p>{part(3)}</p><p>A closing line, at last.</p></div></body>"
+    assert html_text.main_text(page).endswith("A closing line, at last.")
+
+
 def fresh_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
