@@ -574,7 +574,8 @@ def test_spotsigs_pairs(docs):
 
 
 def test_search_brute_force(monkeypatch, docs):
-    monkeypatch.setattr(bm25, "SHARD_DOCS", 50)
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 20)
+    monkeypatch.setattr(bm25, "FIRST", 3)
     rows = docs.collect()
     counts = {r.doc_id: Counter(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in rows}
     n, lengths = len(rows), {i: sum(c.values()) for i, c in counts.items()}
@@ -594,6 +595,15 @@ def test_search_brute_force(monkeypatch, docs):
         assert all(abs(scores[i] - s) < 1e-9 for i, s in found[q])
 
 
+def test_search_repeated_rows(spark):
+    rows = [(100, "a b c"), (100, "a b c"), (100, "b z"), (1, "a x"), (2, "a x"), (3, "c")]
+    found = bm25.top_k(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[:3], "doc_id long, text string"), 4).collect()
+    once = bm25.top_k(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[:1], "doc_id long, text string"), 4).collect()
+    # one query for an id, its repeated rows are each found, equal scores go to the smaller id
+    assert [tuple(r) for r in sorted(found)] == [tuple(r) for r in sorted(once)]
+    assert [r.doc_id for r in sorted(found, key=lambda r: r["rank"])] == [100, 100, 3, 100]
+
+
 def test_search_odd(odd, empty):
     rows = bm25.top_k(odd, odd.filter("doc_id in (2, 6)")).collect()
     assert {r.query_id for r in rows} == {6} and all(r.doc_id is not None for r in rows)
