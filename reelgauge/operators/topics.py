@@ -31,7 +31,7 @@ MAX_TOPICS = 5
 #: Documents of a block, on average.
 BLOCK_DOCS = 512
 #: Steps in which a block's documents are fitted at most, and the mean change that ends them.
-STEPS, STEP_CHANGE = 100, 1e-3
+STEPS, STEP_CHANGE = 40, 1e-3
 _P = [f"p{i}" for i in range(MAX_TOPICS)]
 _B = [f"b{i}" for i in range(MAX_TOPICS)]
 #: share of a document that its starting topic gets
@@ -102,27 +102,28 @@ class _Fitted:
 
     def __init__(self, block: dict, weights: np.ndarray):
         k = block["k"]
-        doc, term = np.array(block["doc"]), np.array(block["term"])
-        times, prior, weights = np.array(block["times"], float), 1 / k, weights[:, :k]
-        self.weights, n = weights, len(block["ids"])
+        doc = np.array(block["doc"])
+        order = np.argsort(doc, kind="stable")
+        doc, term, times = doc[order], np.array(block["term"])[order], np.array(block["times"], float)[order]
+        # each document of a block has a term
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        prior, weights, n = 1 / k, weights[:, :k], len(block["ids"])
         self.gamma = np.ones((n, k))
         at_term = weights[term]
 
-        def summed(by: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-            return np.stack([np.bincount(by, values[:, i], size) for i in range(k)], 1)
-
         for _ in range(STEPS):
             log_share = digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None]
             share = np.exp(log_share)
-            total = (share[doc] * at_term).sum(1) + 1e-300
-            new = prior + share * summed(doc, at_term * (times / total)[:, None], n)
+            total = np.einsum("ij,ij->i", share[doc], at_term) + 1e-300
+            new = prior + share * np.add.reduceat(at_term * (times / total)[:, None], first, axis=0)
             change, self.gamma = np.abs(new - self.gamma).mean(), new
             if change < STEP_CHANGE:
                 break
         log_share = digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None]
         share = np.exp(log_share)
         total = (share[doc] * at_term).sum(1) + 1e-300
-        self.sums = weights * summed(term, share[doc] * (times / total)[:, None], len(weights))
+        dealt = share[doc] * (times / total)[:, None]
+        self.sums = weights * np.stack([np.bincount(term, dealt[:, i], len(weights)) for i in range(k)], 1)
         own = (prior - self.gamma) * log_share + log_gamma(self.gamma)
         constant = log_gamma(np.array(1.0)) - k * log_gamma(np.array(prior))
         self.bound = float((times * np.log(total)).sum() + own.sum() - log_gamma(self.gamma.sum(1)).sum() + n * constant)
