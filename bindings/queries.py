@@ -768,14 +768,13 @@ def stream_upsert_videos(spark, sf):
 
 @query
 def stream_two_jobs(spark, sf):
-    """Two jobs with the same batch numbers on one root, a compaction between them, then a replay."""
+    """Two jobs with the same batch numbers on one root, then a replay."""
     root = _folder(spark, "stream")
     records = V.api_videos(spark, sf)
     rows = lambda part, mark: records.filter(f"doc_id % 3 {part}").select(
         F.col("doc_id").alias("seq"), F.replace("payload", F.lit('"title":"'), F.lit(f'"title":"{mark}')).alias("payload")
     )
     ingest.upsert_batch(root, V.COLLECTED, "first")(rows("< 2", ""), 0)
-    landed.compact(spark, root)
     ingest.upsert_batch(root, V.COLLECTED, "second")(rows("> 0", "2 "), 0)
     ingest.new_video_batch(root, V.COLLECTED, "third")(rows(">= 0", "3 "), 0)
     ingest.new_video_batch(root, V.COLLECTED, "third")(rows(">= 0", "3 "), 0)
@@ -801,7 +800,6 @@ def stream_new_videos(spark, sf):
     records, folder = V.api_videos(spark, sf), f"{root}/landed"
     _land(records.filter("doc_id % 2 = 0"), folder, 0)
     ingest.new_video_stream(ingest.read_landed(spark, folder), root, V.COLLECTED).awaitTermination()
-    landed.compact(spark, root)
     _land(records, folder, 0, "2 ")
     ingest.new_video_stream(ingest.read_landed(spark, folder), root, V.COLLECTED).awaitTermination()
     return _stored(spark, root)

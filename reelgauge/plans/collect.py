@@ -32,7 +32,8 @@ def collect(
 
     ``playlists``, ``videos`` and ``channels`` are response pages in ``payload``;
     ``threads`` has ``videoId`` and ``payload``; ``transcripts`` has rows of
-    (videoId, language, seq, text).  Everything of the run becomes visible at once.
+    (videoId, language, seq, text).  Videos are stored last: they decide what is new, so a
+    run that ends between its tables stores all of them when it runs again.
     """
     listed = between(records.parse_playlist(playlists), start, end).select("videoId")
     wanted = materialise(new_videos(listed.distinct(), read_ids(spark, root, without=("collect", number))))
@@ -54,9 +55,9 @@ def collect(
         root,
         number,
         {
-            "videos": stored.withColumn("seq", F.lit(0)),
             "comments": comments.withColumn("seq", F.lit(0)),
             "channels": profiles.withColumn("seq", F.lit(0)),
+            "videos": stored.withColumn("seq", F.lit(0)),
         },
         "collect",
     )

@@ -1,25 +1,22 @@
-"""Tables kept current by committed batches and merged when read.
-
-    <root>/batches/<job>/<n>/<attempt>/<table>/   rows of batch n of a job
-    <root>/commits/<seq>@<job>@<n>@<attempt>      empty file, written last: the batch counts
-    <root>/base/<name>/<table>/                   all rows of the batches it lists, merged
-    <root>/bases/<name>                           written last: the base counts; lists its batches
-
-A batch belongs to a job, so jobs that share a root never meet; batches apply in the
-order of their first commit.  A batch that is committed again keeps its place and its
-last attempt counts; no attempt is ever overwritten.  A base names the batches it holds,
-so one that is committed late, under whatever number, is never passed over.  Videos and
-comments of a batch become visible together or not at all.
+"""Tables kept current by batches, each a partition, and merged when read.
+
+    <root>/<table>/job=<job>/number=<n>/   rows of batch n of a job
+
+A batch belongs to a job, so jobs that share a root never meet.  Writing a batch replaces
+its own partition only (dynamic partition overwrite), so one that runs again after a
+failure neither doubles nor loses rows.  Batches apply in the order of the time at which
+they were first written; one that runs again keeps its time.  A batch without rows writes
+nothing.  The tables of a batch appear one after the other, in the order given.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
-import uuid
 from collections.abc import Mapping
-from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,128 +29,59 @@ TABLES: dict[str, tuple[T.StructType, U.UpsertRule]] = {
     "channels": (schemas.CHANNELS, U.CHANNEL_RULE),
 }
 
-
-def _path(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _mark(spark: SparkSession, path: str, text: str = "") -> None:
-    place, fs = _path(spark, path)
-    out = fs.create(place, False)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    place, fs = _path(spark, folder)
-    if not fs.exists(place):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(place))
+#: Columns beside a table's own; the last two are the partition.
+BATCH = "seq long, written timestamp, job string, number long"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place, fs = _path(spark, path)
-    return fs.exists(place)
-
-
-def _text(spark: SparkSession, path: str) -> str:
-    place, fs = _path(spark, path)
-    stream = fs.open(place)
+def _rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All stored rows with the columns of their batch; none if nothing was ever written."""
+    schema = T.StructType([*TABLES[name][0], *T.StructType.fromDDL(BATCH)])
     try:
-        return str(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-class Batch(NamedTuple):
-    """A committed batch: its place in the order, its job and number, the attempt that counts."""
-
-    seq: int
-    job: str
-    number: int
-    attempt: str
-
-    @property
-    def key(self) -> tuple[str, int]:
-        return self.job, self.number
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def committed(spark: SparkSession, root: str) -> list[Batch]:
-    """All batches in order of their first commit, each with its last attempt."""
-    first: dict[tuple[str, int], Batch] = {}
-    for name in _names(spark, f"{root}/commits"):
-        seq, job, number, attempt = name.split("@")
-        batch = Batch(int(seq), job, int(number), attempt)
-        known = first.get(batch.key)
-        first[batch.key] = batch if known is None else known._replace(attempt=attempt)
-    return sorted(first.values())
+def _of_batch(job: str, number: int) -> Column:
+    return (F.col("job") == job) & (F.col("number") == number)
 
 
 def commit_batch(root: str, number: int, tables: Mapping[str, DataFrame], job: str = "manual") -> None:
-    """Store the rows of batch ``number`` of a job, each with its ``seq``, and make them count at once."""
+    """Store the rows of batch ``number`` of a job, each with its ``seq``, in place of an earlier run's."""
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", job):
         raise ValueError(f"not a name for a job: {job!r}")
-    attempt = uuid.uuid4().hex
+    now = dt.datetime.now(dt.timezone.utc)
     for name, rows in tables.items():
-        schema, _ = TABLES[name]
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
-        rows.select(*columns, "seq").write.parquet(f"{root}/batches/{job}/{number}/{attempt}/{name}")
-    if tables:
-        spark = next(iter(tables.values())).sparkSession
-        taken = _names(spark, f"{root}/commits")
-        seq = int(taken[-1].split("@")[0]) + 1 if taken else 0
-        # two jobs may draw one place at the same time; their names then decide
-        _mark(spark, f"{root}/commits/{seq:012d}@{job}@{number}@{attempt}")
-
-
-def _newest_base(spark: SparkSession, root: str) -> tuple[str | None, set[tuple[str, int]]]:
-    """Name of the newest base and the batches it holds."""
-    bases = _names(spark, f"{root}/bases")
-    if not bases:
-        return None, set()
-    lines = _text(spark, f"{root}/bases/{bases[-1]}").splitlines()
-    return bases[-1], {(job, int(n)) for job, n in (x.split("@") for x in lines)}
-
-
-def _parts(
-    spark: SparkSession, root: str, name: str, without: tuple[str, int] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """The newest base and the rows of the batches it doesn't hold, but for ``without``."""
-    schema, _ = TABLES[name]
-    numbered = T.StructType([*schema, T.StructField("seq", T.LongType())])
-    newest, held = _newest_base(spark, root)
-    base_path = f"{root}/base/{newest}/{name}"
-    base = (
-        spark.read.schema(schema).parquet(base_path)
-        if newest and _exists(spark, base_path)
-        else spark.createDataFrame([], schema)
-    )
-    batches = spark.createDataFrame([], T.StructType([*numbered, T.StructField("batch", T.LongType())]))
-    paths: dict[str, int] = {}
-    for order, batch in enumerate(committed(spark, root)):
-        place = f"{batch.job}/{batch.number}/{batch.attempt}"
-        if batch.key in held or batch.key == without or not _exists(spark, f"{root}/batches/{place}/{name}"):
-            continue
-        paths[place] = order
-    if paths:
-        rows = spark.read.schema(numbered).parquet(*[f"{root}/batches/{p}/{name}" for p in paths])
-        place = F.regexp_extract(F.col("_metadata.file_path"), r"/batches/([^/]+/\d+/[^/]+)/", 1)
-        order = F.create_map(*(F.lit(x) for pair in paths.items() for x in pair))
-        batches = rows.withColumn("batch", F.element_at(order, place).cast("long"))
-    return base, batches
+        earlier = _rows(rows.sparkSession, root, name).filter(_of_batch(job, number))
+        written = earlier.agg(F.min("written")).first()[0]
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name][0]]
+        (
+            rows.select(
+                *columns,
+                F.col("seq").cast("long").alias("seq"),
+                F.lit(written or now).alias("written"),
+                F.lit(job).alias("job"),
+                F.lit(number).cast("long").alias("number"),
+            )
+            .write.partitionBy("job", "number")
+            .option("partitionOverwriteMode", "dynamic")
+            .mode("overwrite")
+            .parquet(f"{root}/{name}")
+        )
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Current rows: the base with the other batches applied in order.
+    """Current rows: all batches applied in order, folded in one aggregation.
 
     Rows of one key with one ``seq`` in one batch are ordered by their content, so
     which of them wins doesn't depend on tasks.
     """
-    base, batches = _parts(spark, root, name)
-    _, rule = TABLES[name]
-    content = F.xxhash64(*(F.col(c).cast("string") for c in base.columns))
-    return U.upsert(base, batches, rule, seq=F.struct("batch", "seq", content.alias("content")))
+    schema, rule = TABLES[name]
+    content = F.xxhash64(*(F.col(c).cast("string") for c in schema.names)).alias("content")
+    order = F.struct("written", "job", "number", "seq", content)
+    return U.fold_batch(_rows(spark, root, name), rule, seq=order).select(*schema.names)
 
 
 def read_ids(
@@ -163,27 +91,7 @@ def read_ids(
 
     ``without`` names a (job, number) whose rows don't count, for a batch that runs again.
     """
-    base, batches = _parts(spark, root, name, without)
-    _, rule = TABLES[name]
-    return base.select(rule.key).unionByName(batches.select(rule.key)).distinct()
-
-
-def compact(spark: SparkSession, root: str) -> str | None:
-    """Write a new base holding all committed batches; return its name."""
-    batches = committed(spark, root)
-    if not batches:
-        return None
-    newest, held = _newest_base(spark, root)
-    keys = [b.key for b in batches]
-    if newest and set(keys) <= held:
-        return newest
-    bases = _names(spark, f"{root}/bases")
-    number = int(bases[-1].split("-")[0]) + 1 if bases else 0
-    name = f"{number:012d}-{uuid.uuid4().hex}"
-    for table in TABLES:
-        # what this base says it holds is what it read: batches that commit meanwhile stay outside
-        read_table(spark, root, table).write.parquet(f"{root}/base/{name}/{table}")
-    if [b.key for b in committed(spark, root)] != keys:
-        return compact(spark, root)
-    _mark(spark, f"{root}/bases/{name}", "\n".join(f"{job}@{n}" for job, n in keys))
-    return name
+    rows = _rows(spark, root, name)
+    if without is not None:
+        rows = rows.filter(~_of_batch(*without))
+    return rows.select(TABLES[name][1].key).distinct()

@@ -1,7 +1,7 @@
 """Incremental ingestion of landed video records.
 
 Both jobs are keyed by video id and ordered by arrival, so there is no watermark
-and no state to grow: what is known lives in the stored tables.
+and no state to grow: what is known lives in the stored partitions, one a batch.
 """
 
 from __future__ import annotations

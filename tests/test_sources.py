@@ -101,10 +101,9 @@ def test_batches_apply_in_order(spark, tmp_path):
     landed.commit_batch(root, 1, {"videos": video_rows(spark, ("a", "2", None, 1))})
     expected = {"a": ("2", "x"), "b": ("1", None)}
     assert titles(landed.read_table(spark, root, "videos")) == expected
-    name = landed.compact(spark, root)
-    assert landed.compact(spark, root) == name
+    # a repeated batch changes nothing and keeps its place, a later one counts on top
+    landed.commit_batch(root, 0, {"videos": video_rows(spark, ("a", "1", "x", 5), ("b", "1", None, 6))})
     assert titles(landed.read_table(spark, root, "videos")) == expected
-    # a repeated batch changes nothing, a later one counts on top of the base
     landed.commit_batch(root, 1, {"videos": video_rows(spark, ("a", "2", None, 1))})
     landed.commit_batch(root, 2, {"videos": video_rows(spark, ("b", "3", "y", 1), ("c", "3", None, 2))})
     assert titles(landed.read_table(spark, root, "videos")) == {
@@ -114,9 +113,16 @@ def test_batches_apply_in_order(spark, tmp_path):
 
 def test_uncommitted_batch_is_invisible(spark, tmp_path):
     root = str(tmp_path / "t")
+    assert landed.read_table(spark, root, "videos").count() == 0
+    assert landed.read_ids(spark, root).count() == 0
     landed.commit_batch(root, 0, {"videos": video_rows(spark, ("a", "1", None, 1))})
-    # a job that died between its tables and its mark
-    video_rows(spark, ("z", "1", None, 1)).write.parquet(f"{root}/batches/1/videos")
+    # a write that failed leaves nothing of its batch, be it new or run again
+    broken = video_rows(spark, ("z", "1", None, 1)).withColumn("videoTitle", F.raise_error(F.lit("lost")))
+    for number in (0, 1):
+        with pytest.raises(Exception, match="lost"):
+            landed.commit_batch(root, number, {"videos": broken})
+    # nor does a staging folder that its writer left behind count
+    video_rows(spark, ("y", "1", None, 1)).write.parquet(f"{root}/videos/.spark-staging-x/job=manual/number=1")
     assert set(titles(landed.read_table(spark, root, "videos"))) == {"a"}
 
 
@@ -213,18 +219,33 @@ def test_top_k_is_trimmed_before_the_exchange(spark):
 def test_jobs_share_a_root(spark, tmp_path):
     root = str(tmp_path / "jobs")
     landed.commit_batch(root, 2, {"videos": video_rows(spark, ("a", "1", "x", 5))}, "one")
-    landed.compact(spark, root)
-    # same and lower numbers of another job, before and after a base
+    # same and lower numbers of another job
     landed.commit_batch(root, 2, {"videos": video_rows(spark, ("b", "1", None, 1))}, "two")
     landed.commit_batch(root, 0, {"videos": video_rows(spark, ("c", "1", None, 1))}, "two")
     assert set(titles(landed.read_table(spark, root, "videos"))) == {"a", "b", "c"}
-    landed.compact(spark, root)
     landed.commit_batch(root, 1, {"videos": video_rows(spark, ("d", "1", None, 1))}, "one")
     assert set(titles(landed.read_table(spark, root, "videos"))) == {"a", "b", "c", "d"}
     with pytest.raises(ValueError, match="name"):
         landed.commit_batch(root, 1, {"videos": video_rows(spark, ("d", "1", None, 1))}, "a/b")
 
 
+def test_replay_after_another_job(spark, tmp_path):
+    root = str(tmp_path / "late")
+    first = {"videos": video_rows(spark, ("a", "old", "x", 1))}
+    landed.commit_batch(root, 7, first, "one")
+    landed.commit_batch(root, 0, {"videos": video_rows(spark, ("a", "new", None, 1))}, "two")
+    landed.commit_batch(root, 7, first, "one")
+    assert titles(landed.read_table(spark, root, "videos")) == {"a": ("new", "x")}
+    # a run that yields fewer rows replaces those of the one before
+    both = {"videos": video_rows(spark, ("b", "1", None, 1), ("c", "1", None, 2))}
+    landed.commit_batch(root, 1, both, "two")
+    landed.commit_batch(root, 1, {"videos": video_rows(spark, ("c", "1", None, 2))}, "two")
+    assert sorted(r.videoId for r in landed.read_ids(spark, root).collect()) == ["a", "c"]
+    assert [r.videoId for r in landed.read_ids(spark, root, without=("two", 1)).collect()] == ["a"]
+    plan = landed.read_ids(spark, root, without=("two", 1))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "ReadSchema: struct<videoId:string>" in plan
+
+
 def test_batch_that_runs_again(spark, tmp_path):
     root = str(tmp_path / "again")
     page = '{"items": [{"id": "a", "snippet": {"title": "A"}}, {"id": "b"}, {"snippet": {"title": "no id"}}]}'
