@@ -11,9 +11,14 @@ from functools import lru_cache
 
 from bindings import views as V
 from bindings.queries import stop
-from reelgauge.functions import status
 from reelgauge.functions import stopwords as S
-from reelgauge.operators.engagement import PERIODS
+
+# Name, first and last midnight of each period.
+PERIODS = (
+    ("nov-dec 2022", "2022-11-01", "2022-12-31"),
+    ("early jan 2023", "2023-01-06", "2023-01-18"),
+    ("late jan 2023 on", "2023-01-19", "2023-03-01"),
+)
 
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 NOT_SPACE = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -59,26 +64,30 @@ def _ladder(kind: str) -> str:
     """(status, language) of an error message for either set of rules."""
     m = "lower(message)"
     age = f"contains({m}, 'age') and (contains({m}, 'restrict') or contains({m}, 'content'))"
+    none = "kind in ('NoTranscriptFound', 'TranscriptsDisabled')"
     rules = [
-        (f"contains({m}, 'private')", _q(status.PRIVATE)),
-        (f"contains({m}, 'deleted')", _q(status.DELETED)),
+        (f"contains({m}, 'private')", "'VIDEO_UNAVAILABLE: Video is private'"),
+        (f"contains({m}, 'deleted')", "'VIDEO_UNAVAILABLE: Video has been deleted'"),
     ]
     if kind == "precheck":
         rules += [
-            (f"contains({m}, 'removed')", _q(status.REMOVED)),
-            (f"contains({m}, 'unavailable')", _q(status.UNAVAILABLE)),
-            (age, _q(status.AGE_RESTRICTED)),
+            (f"contains({m}, 'removed')", "'VIDEO_UNAVAILABLE: Video has been removed'"),
+            (f"contains({m}, 'unavailable')", "'VIDEO_UNAVAILABLE: Video is unavailable'"),
+            (age, "'VIDEO_UNAVAILABLE: Video is age-restricted'"),
         ]
         other, lang = "'VIDEO_UNAVAILABLE: ' || message", "'unavailable'"
     else:
         rules += [
-            (f"contains({m}, 'unavailable') or contains({m}, 'no longer available')", _q(status.UNAVAILABLE)),
-            (age, _q(status.AGE_RESTRICTED)),
-            (f"contains({m}, 'copyright')", _q(status.COPYRIGHT)),
+            (f"contains({m}, 'unavailable') or contains({m}, 'no longer available')", "'VIDEO_UNAVAILABLE: Video is unavailable'"),
+            (age, "'VIDEO_UNAVAILABLE: Video is age-restricted'"),
+            (f"contains({m}, 'copyright')", "'VIDEO_UNAVAILABLE: Video has copyright issues'"),
         ]
         other, lang = "'ERROR: ' || message", "'error'"
     text = " ".join(f"when {c} then {v}" for c, v in rules)
     hit = " or ".join(f"({c})" for c, _ in rules)
+    if kind == "precheck":
+        text = f"when {none} then 'TRANSCRIPT_UNAVAILABLE: No transcript available for this video' {text}"
+        hit = f"{none} then 'not_available' when {hit}"
     return (
         f"case {text} else {other} end as status, "
         f"case when {hit} then 'unavailable' else {lang} end as language"
@@ -113,7 +122,7 @@ def _values(words: list[str]) -> str:
 @lru_cache(maxsize=1)
 def views() -> dict[str, str]:
     periods = ", ".join(
-        f"({_q(p.name)}, timestamp {_q(p.start)}, timestamp {_q(p.end)})" for p in PERIODS
+        f"({_q(name)}, timestamp {_q(start)}, timestamp {_q(end)})" for name, start, end in PERIODS
     )
     lang_words = ", ".join(
         f"({_q(lang)}, {_q(w)})" for lang in V.LANGS for w in S.language_list(lang)
@@ -190,7 +199,9 @@ def views() -> dict[str, str]:
           unnest(range(1, len(regexp_extract_all(lower("videoTranscript"), '{TOKEN}')) + 1)) as pos
           from v_videos""",
         "v_errors": f"""select 'v' || doc_id as "videoId", doc_id,
-          ([{errors}])[doc_id % {len(V.ERRORS)} + 1] as message from documents""",
+          ([{errors}])[doc_id % {len(V.ERRORS)} + 1] as message,
+          ([null, 'NoTranscriptFound', 'TranscriptsDisabled', 'IpBlocked'])[doc_id // {len(V.ERRORS)} % 4 + 1] as kind
+          from documents""",
         "v_gaps": """select doc_id, "videoId", "channelId", "publishedAt", ingest_seq,
           case when doc_id % 3 = 0 then null when doc_id % 11 = 0 then '' else "videoTranscript" end as "videoTranscript",
           case when doc_id % 3 = 0 then null else "transcriptLanguage" end as "transcriptLanguage",
@@ -278,11 +289,11 @@ def _regroup(source: str, expr: str, order: str, name: str) -> str:
       on v."videoId" = t."videoId" """
 
 
-def _strict_words() -> str:
+def _strict_words(source: str = "v_timed") -> str:
     bare = "regexp_replace(translate(lower(\"videoTranscript\"), '[]', ''), '\\p{Nd}+', '', 'g')"
     split = f"string_split({_squeeze(bare)}, ' ')"
     return f"""(select * from (select "videoId", unnest({split}) as word,
-      unnest(range(1, len({split}) + 1)) as pos from v_timed)
+      unnest(range(1, len({split}) + 1)) as pos from {source})
       where word <> '' and word not in (select word from v_stop))"""
 
 
@@ -459,6 +470,20 @@ def statements() -> dict[str, str]:
           select *, row_number() over (partition by period, entity, tier order by frequency desc, first_seen) as rank from (
             select period, entity, tier, bigram, count(*) as frequency, min((doc_id, spot)) as first_seen
             from v_tiers join v_bigrams using (doc_id) group by 1, 2, 3, 4)) where rank <= 15""",
+        "period_report_tiers_bigrams": f"""select * from (with tokens as (
+            select cast(substr("videoId", 2) as bigint) as doc_id, pos, sub, token from (select "videoId", pos,
+              unnest(regexp_extract_all(word, '{TOKEN}')) as token,
+              unnest(range(1, len(regexp_extract_all(word, '{TOKEN}')) + 1)) as sub from {_strict_words("v_videos")})
+            where token not in (select word from v_stop)),
+          pairs as (select doc_id, spot, token || ' ' || next_token as bigram from (
+            select doc_id, token, row_number() over w as spot, lead(token) over w as next_token from tokens
+            window w as (partition by doc_id order by pos, sub)) where next_token is not null)
+          select 'tiers' as part, period, entity, tier, count(*) as n, cast(null as varchar) as bigram,
+            cast(null as integer) as rank from v_tiers group by 2, 3, 4
+          union all select 'bigrams', period, entity, tier, n, bigram, rank from (
+            select *, row_number() over (partition by period, entity, tier order by n desc, first_seen) as rank from (
+              select period, entity, tier, bigram, count(*) as n, min((doc_id, spot)) as first_seen
+              from v_tiers join pairs using (doc_id) group by 1, 2, 3, 4)) where rank <= 15)""",
         "group_engagement": """select quality, toxic, round(avg("viewCount"), 6) as "viewCount",
           round(avg("likeCount"), 6) as "likeCount", round(avg("commentCount"), 6) as "commentCount",
           count(*) as num_videos, format('{:,}', cast(trunc(avg("viewCount")) as bigint)) as views_shown,
@@ -530,8 +555,9 @@ def statements() -> dict[str, str]:
         "transcript_status_precheck": f'select "videoId", {_ladder("precheck")} from v_errors',
         "transcript_status_fetch": f'select "videoId", {_ladder("fetch")} from v_errors',
         "transcript_available": """select "videoId", not (contains(m, 'video is no longer available')
-          or contains(m, 'video unavailable') or contains(m, 'age-restricted') or contains(m, 'age restricted')) as available
-          from (select "videoId", lower(message) as m from v_errors)""",
+          or contains(m, 'video unavailable') or contains(m, 'age-restricted') or contains(m, 'age restricted'))
+          and not coalesce(kind in ('NoTranscriptFound', 'TranscriptsDisabled'), false) as available
+          from (select "videoId", kind, lower(message) as m from v_errors)""",
         "scan_channels_csv": """select name, url, nullif(id, '') as id, "numberOfVideos", "numberOfSubscribers", "dataCollected"
           from v_channel_list""",
         "scan_analysis_csv": f"""select "videoId", "channelId", "videoTitle", "videoTranscript", {_stamp('"publishedAt"')},

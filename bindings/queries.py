@@ -26,7 +26,7 @@ from reelgauge.operators import topics as TO
 from reelgauge.operators import upsert as U
 from reelgauge.operators.clusters import cluster_engagement
 from reelgauge.operators.scaling import materialise, unnest
-from reelgauge.plans import export
+from reelgauge.plans import export, report
 from reelgauge.session import shared_dir
 from reelgauge.sources import files, landed
 from reelgauge.sources import records as R
@@ -446,6 +446,17 @@ def top_bigrams_first_seen(spark, sf):
     return N.top_bigrams(rows, stop(), ties="first_seen")
 
 
+@query
+def period_report_tiers_bigrams(spark, sf):
+    """Tier sizes and top bigrams of the report: strict cleaner, ties by first appearance."""
+    tables = report.period_report(
+        V.videos(spark, sf), stop(), ties="first_seen", order="ingest_seq", strict=True, parts=("tiers", "bigrams")
+    )
+    sizes = tables["tiers"].withColumnRenamed("videos", "n").withColumn("part", F.lit("tiers"))
+    pairs = tables["bigrams"].withColumnRenamed("frequency", "n").withColumn("part", F.lit("bigrams"))
+    return sizes.unionByName(pairs, allowMissingColumns=True)
+
+
 @query
 def group_engagement(spark, sf):
     labels = V.table(spark, sf, "labels").select(
@@ -601,7 +612,7 @@ def safe_name(spark, sf):
 @query
 def transcript_status_precheck(spark, sf):
     return V.errors(spark, sf).select(
-        "videoId", status.precheck_status(F.col("message")).alias("s")
+        "videoId", status.precheck_status(F.col("message"), F.col("kind")).alias("s")
     ).select("videoId", "s.status", "s.language")
 
 
@@ -615,7 +626,7 @@ def transcript_status_fetch(spark, sf):
 @query
 def transcript_available(spark, sf):
     return V.errors(spark, sf).select(
-        "videoId", status.may_have_transcript(F.col("message")).alias("available")
+        "videoId", status.may_have_transcript(F.col("message"), F.col("kind")).alias("available")
     )
 
 

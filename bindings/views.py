@@ -30,6 +30,7 @@ ERRORS = (
     "IP address block in effect",
     "Connection reset",
 )
+ERROR_KINDS = (None, "NoTranscriptFound", "TranscriptsDisabled", "IpBlocked")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -215,10 +216,13 @@ def timed_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*map(F.lit, ERRORS))
+    kinds = F.array(*map(F.lit, ERROR_KINDS))
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("v"), F.col("doc_id")).alias("videoId"),
         F.col("doc_id"),
         texts[(F.col("doc_id") % len(ERRORS)).cast("int")].alias("message"),
+        # every message meets every kind
+        kinds[(F.floor(F.col("doc_id") / len(ERRORS)) % len(ERROR_KINDS)).cast("int")].alias("kind"),
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,27 +83,30 @@ def lemma_counts(term_counts: DataFrame, lemmas: DataFrame) -> DataFrame:
     )
 
 
-def replace_by_lemmas(
-    rows: DataFrame, lemmas: DataFrame, key: Sequence[str], column: str = "tokens"
-) -> DataFrame:
+def replace_by_lemmas(rows: DataFrame, lemmas: DataFrame, column: str = "tokens") -> DataFrame:
     """Replace each token of an array column by its lemma, keeping the order.
 
-    Only the keys and tokens travel; the array is put together per document.
+    Arrays are known by their content, so rows with repeated or null ids keep their own
+    tokens and equal arrays are put together once.  A null array becomes an empty one
+    and null elements are left out.
+    ``lemmas`` has one row per ``term``; a null lemma leaves the term.
     """
-    key = list(key)
-    exploded = unnest(rows.select(*key, column), F.col(column), "term", "_pos").drop(column)
+    # equal ids mean equal arrays: 128 bits of a form that keeps elements and nulls apart
+    keyed = rows.withColumn("_array", F.md5(F.to_json(F.col(column))))
+    exploded = unnest(keyed.select("_array", column), F.col(column), "term", "_pos").drop(column)
     found = lookup_join(exploded, lemmas, ["term"], "left")
-    rebuilt = found.groupBy(*key).agg(
+    # a set, as equal arrays bring the same places; it combines before the exchange
+    rebuilt = found.groupBy("_array").agg(
         F.sort_array(
-            F.collect_list(F.struct("_pos", F.coalesce("lemma", "term").alias("lemma")))
+            F.collect_set(F.struct("_pos", F.coalesce("lemma", "term").alias("lemma")))
         ).alias("_lemmas")
     )
     empty = F.array().cast("array<string>")
     return (
-        rows.drop(column)
-        .join(rebuilt, key, "left")
+        keyed.drop(column)
+        .join(rebuilt, "_array", "left")
         .withColumn(column, F.coalesce(F.col("_lemmas.lemma"), empty))
-        .drop("_lemmas")
+        .drop("_lemmas", "_array")
     )
 
 

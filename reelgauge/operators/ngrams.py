@@ -94,15 +94,17 @@ def top_bigrams(
     ``ties="alphabetical"`` counts with a hash aggregate and is the default.
     ``ties="first_seen"`` keeps the bigram that appears first in the corpus, in
     order of ``order_key`` (a column of the input) and position in the text.
+    Input that has ``tokens`` already is not tokenised again.
     """
     by = ["period", "entity", "tier"]
     tiered = with_tiers(in_period, metric)
     first_seen = ties == "first_seen"
     carried = ["order_key"] if first_seen else []
     # tokenise and pair before a video is repeated for its tiers
-    tokenised = with_tokens(
-        tiered.select("period", "tiers", "videoTranscript", *carried), stopwords
-    )
+    text = "tokens" if "tokens" in in_period.columns else "videoTranscript"
+    tokenised = tiered.select("period", "tiers", text, *carried)
+    if text != "tokens":
+        tokenised = with_tokens(tokenised, stopwords)
     in_texts = unnest(tokenised, X.bigrams(F.col("tokens")), "bigram", "_pos")
     pairs = unnest(in_texts, F.col("tiers"), "_t").select(
         "period", "_t.entity", "_t.tier", *carried, "_pos", "bigram"

@@ -33,7 +33,7 @@ def _lemmatise(
     if lemmatiser is not None:
         return rows.withColumn("tokens", lemmatiser(F.col("tokens")))
     if lemmas is not None:
-        return replace_by_lemmas(rows, lemmas, ["videoId"])
+        return replace_by_lemmas(rows, lemmas)
     return rows
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgauge.functions import text as X
 from reelgauge.operators import filters as FI
 from reelgauge.operators import topics as T
 from reelgauge.operators.clusters import cluster_engagement
@@ -20,6 +21,7 @@ from reelgauge.operators.engagement import (
 )
 from reelgauge.operators.joins import channel_names
 from reelgauge.operators.ngrams import top_bigrams
+from reelgauge.operators.scaling import materialise
 from reelgauge.schemas import METRICS
 from reelgauge.sources.files import write_results
 
@@ -34,6 +36,25 @@ def analysis_rows(
     return assign_periods(FI.valid_videos(FI.coerce_types(rows)), periods)
 
 
+#: Tables of a report.
+PARTS = ("tiers", "bigrams", "topics", "clusters")
+
+
+def tokenised_rows(
+    rows: DataFrame, stopwords: Sequence[str], order: str | None = None, strict: bool = False
+) -> DataFrame:
+    """What all parts of a report read: ids, metrics, text, its tokens and its place in the corpus.
+
+    ``strict`` deletes digits and square brackets before stopwords are looked up.
+    """
+    text = F.col("videoTranscript")
+    clean = X.remove_stopwords_strict(text, stopwords) if strict else text
+    places = [] if order is None else [F.col(order).alias("order_key")]
+    return rows.select(
+        "period", "channelId", "videoId", *METRICS, *places, text, X.content_tokens(clean, stopwords).alias("tokens")
+    )
+
+
 def period_report(
     videos: DataFrame,
     stopwords: Iterable[str],
@@ -41,25 +62,40 @@ def period_report(
     channel_id: str | None = None,
     names: DataFrame | None = None,
     examples: bool = True,
+    ties: str = "alphabetical",
+    order: str | None = None,
+    strict: bool = False,
+    parts: Sequence[str] = PARTS,
 ) -> dict[str, DataFrame]:
     """Tables of a report, keyed by ``tiers``, ``bigrams``, ``topics``, ``clusters``.
 
     All channels and every single channel are analysed side by side; with
     ``channel_id`` only that channel is, clusters included.  ``names`` replaces
-    channel ids by names.
+    channel ids by names and keeps the id as ``entityId``.  Videos are scanned and
+    tokenised once, into a stored table that every part reads its own columns of.
+    ``ties="first_seen"`` takes the corpus order from the column ``order``; ``strict``
+    is the strict cleaner.  ``parts`` names the tables wanted.
     """
+    if ties == "first_seen" and order is None:
+        raise ValueError("ties by first appearance need a column that orders the corpus")
+    if unknown := set(parts) - set(PARTS):
+        raise ValueError(f"not parts of a report: {sorted(unknown)}")
     stop = list(stopwords)
-    rows = analysis_rows(videos, periods, channel_id)
-    tiers = tier_sizes(with_tiers(rows.select("period", "channelId", "viewCount")))
-    model = T.fit_topics(rows, stop)
-    tables = {
-        "tiers": tiers,
-        "bigrams": top_bigrams(rows, stop),
-        "topics": T.topic_engagement(model, rows, examples),
-        "clusters": cluster_engagement(rows).select(
+    source = analysis_rows(videos, periods, channel_id)
+    rows = materialise(tokenised_rows(source, stop, order, strict))
+    tables: dict[str, DataFrame] = {}
+    if "tiers" in parts:
+        tables["tiers"] = tier_sizes(with_tiers(rows.select("period", "channelId", "viewCount")))
+    if "bigrams" in parts:
+        tables["bigrams"] = top_bigrams(rows.drop("videoTranscript"), stop, ties=ties)
+    if "topics" in parts:
+        tokens = rows.select("period", "channelId", "videoId", "tokens")
+        model = T.fit_topics(rows, stop, tokenised=tokens)
+        tables["topics"] = T.topic_engagement(model, rows, examples)
+    if "clusters" in parts:
+        tables["clusters"] = cluster_engagement(rows.drop("videoTranscript", "tokens")).select(
             "period", F.col("channelId").alias("entity"), *METRICS, "cluster"
-        ),
-    }
+        )
     if channel_id is not None:
         single = F.col("entity") != ALL_CHANNELS
         tables = {name: table.filter(single) for name, table in tables.items()}
@@ -71,7 +107,7 @@ def period_report(
 def _named(table: DataFrame, names: DataFrame) -> DataFrame:
     keyed = table.withColumnRenamed("entity", "channelId")
     named = channel_names(keyed, names).withColumn("entity", F.col("channelName"))
-    return named.select(*table.columns)
+    return named.select(*table.columns, F.col("channelId").alias("entityId"))
 
 
 #: Folder columns of each written table.

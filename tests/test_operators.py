@@ -268,10 +268,23 @@ def test_lemmas_keep_order(spark):
         [("a", ["x", "y", "x"]), ("b", [])], "videoId string, tokens array<string>"
     )
     lemmas = spark.createDataFrame([("x", "X")], "term string, lemma string")
-    found = {r.videoId: r.tokens for r in J.replace_by_lemmas(df, lemmas, ["videoId"]).collect()}
+    found = {r.videoId: r.tokens for r in J.replace_by_lemmas(df, lemmas).collect()}
     assert found == {"a": ["X", "y", "X"], "b": []}
 
 
+def test_lemmas_of_repeated_and_null_ids(spark):
+    rows = [("a", 1, ["x", "y"]), ("a", 2, ["y", "x", "x"]), (None, 3, ["x"]), (None, 4, ["x"]), ("c", 5, None),
+            ("d", 6, ["y", None, "x"]), ("e", 7, ["x y"]), ("f", 8, ["x", "y"])]
+    df = spark.createDataFrame(rows, "videoId string, n int, tokens array<string>")
+    lemmas = spark.createDataFrame([("x", "X"), ("y", None)], "term string, lemma string")
+    out = J.replace_by_lemmas(df, lemmas)
+    assert sorted(out.columns) == ["n", "tokens", "videoId"]
+    assert [(r.videoId, r.n, r.tokens) for r in out.orderBy("n").collect()] == [
+        ("a", 1, ["X", "y"]), ("a", 2, ["y", "X", "X"]), (None, 3, ["X"]), (None, 4, ["X"]), ("c", 5, []),
+        ("d", 6, ["y", "X"]), ("e", 7, ["x y"]), ("f", 8, ["X", "y"]),
+    ]
+
+
 def test_argmax_tie(spark):
     df = spark.createDataFrame([("g", "b", 2.0, "B"), ("g", "a", 2.0, "A"), ("g", "c", 1.0, "C")],
                                "g string, id string, v double, t string")

@@ -181,6 +181,29 @@ def test_report_tables(spark, tmp_path):
     assert (tmp_path / "out" / "bigrams" / "period=nov-dec_2022" / "entity=ALL").is_dir()
 
 
+def test_report_reads_texts_once(spark, tmp_path):
+    path = str(tmp_path / "videos")
+    V.videos(spark, SF).write.parquet(path)
+    videos = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    stop = stopword_set(V.LANGS)
+    rows = report.tokenised_rows(report.analysis_rows(videos), list(stop))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "GreaterThanOrEqual(publishedAt" in plan
+    assert plan.count("regexp_extract_all") == 1
+    tables = report.period_report(videos, stop, parts=("tiers", "bigrams"), names=V.channels(spark, SF))
+    for table in tables.values():
+        # what the parts read is the stored table, never the texts of the source again
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert path not in plan and "videoTranscript" not in plan
+    # equal names stay apart by their ids
+    assert {"entity", "entityId"} <= set(tables["tiers"].columns)
+    with pytest.raises(ValueError, match="orders the corpus"):
+        report.period_report(videos, stop, ties="first_seen")
+    with pytest.raises(ValueError, match="not parts"):
+        report.period_report(videos, stop, parts=("tier",))
+
+
 def test_export_window(spark, tmp_path):
     path = str(tmp_path / "export")
     export.export_window(V.videos(spark, SF), path, stopword_set(V.LANGS))
