@@ -558,6 +558,13 @@ def statements() -> dict[str, str]:
           or contains(m, 'video unavailable') or contains(m, 'age-restricted') or contains(m, 'age restricted'))
           and not coalesce(kind in ('NoTranscriptFound', 'TranscriptsDisabled'), false) as available
           from (select "videoId", kind, lower(message) as m from v_errors)""",
+        "monthly_window": f"""select "videoId", cast("viewCount" + case when month("publishedAt") = 12 then 1 else 0 end as bigint)
+          as "viewCount", {_stamp('"publishedAt"')}, strftime(date_trunc('month', "publishedAt"), '%Y-%m-%d') as "publishMonth"
+          from v_videos where doc_id % 29 <> 0
+          and "publishedAt" >= timestamp '2022-12-20' and "publishedAt" < timestamp '2023-01-10 05:00:00'""",
+        "monthly_periods": """select period, "channelId", count(*) as videos,
+          cast(sum("viewCount" + case when month("publishedAt") = 12 then 1 else 0 end) as bigint) as views
+          from v_in_period where doc_id % 29 <> 0 group by 1, 2""",
         "scan_channels_csv": """select name, url, nullif(id, '') as id, "numberOfVideos", "numberOfSubscribers", "dataCollected"
           from v_channel_list""",
         "scan_analysis_csv": f"""select "videoId", "channelId", "videoTitle", "videoTranscript", {_stamp('"publishedAt"')},

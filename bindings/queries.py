@@ -636,6 +636,28 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """The videos stored by month, December written twice, and a month of rows without a time."""
+    path, rows = _folder(spark, "monthly"), V.videos(spark, sf)
+    timeless = F.when(F.col("doc_id") % 29 != 0, F.col("publishedAt"))
+    files.write_by_month(rows.withColumn("publishedAt", timeless), path)
+    december = rows.filter("publishedAt >= '2022-12-01' and publishedAt < '2023-01-01' and doc_id % 29 != 0")
+    files.write_by_month(december.withColumn("viewCount", F.col("viewCount") + 1), path)
+    return files.read_by_month(spark, path, rows.schema)
+
+
+@query
+def monthly_window(spark, sf):
+    return shown(FI.between(_monthly(spark, sf), "2022-12-20 00:00:00", "2023-01-10 05:00:00", "left").select(
+        "videoId", "viewCount", "publishedAt", "publishMonth"))
+
+
+@query
+def monthly_periods(spark, sf):
+    rows = E.assign_periods(_monthly(spark, sf))
+    return rows.groupBy("period", "channelId").agg(F.count(F.lit(1)).alias("videos"), F.sum("viewCount").alias("views"))
+
+
 @query
 def scan_channels_csv(spark, sf):
     rows, path = V.channel_list(spark, sf), _folder(spark, "channels")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgauge.operators.filters import in_months
 from reelgauge.operators.scaling import grouped_quantiles, lookup_join, materialise
 from reelgauge.schemas import METRICS
 
@@ -44,6 +45,7 @@ def assign_periods(
 
     The periods are a short list in the caller's program, so they enter the plan
     as literals: no join, and the overall range is left to the scan to prune by.
+    Of a table stored by month only the months of the periods are read.
     """
     at = F.col(time)
     within = [
@@ -51,7 +53,8 @@ def assign_periods(
     ]
     earliest = F.least(*map(_bound, (p.start for p in periods)), _bound(periods[0].start))
     latest = F.greatest(*map(_bound, (p.end for p in periods)), _bound(periods[0].end))
-    return videos.filter(at.between(earliest, latest)).withColumn(
+    rows = in_months(videos, [(_bound(p.start), _bound(p.end)) for p in periods], time)
+    return rows.filter(at.between(earliest, latest)).withColumn(
         "period", F.explode(F.array_compact(F.array(*within)))
     )
 

@@ -109,6 +109,28 @@ def valid_videos(
     return rows.filter(~status.is_recorded_status(text))
 
 
+#: Partition column of tables stored by month: the first day of a row's month.
+MONTH = "publishMonth"
+
+
+def in_months(
+    df: DataFrame, ranges: Sequence[tuple[Column | None, Column | None]], column: str = "publishedAt"
+) -> DataFrame:
+    """Leave out months that no (start, end) of ``ranges`` touches, where the table is stored by month.
+
+    It follows from the time filter that comes with it, so rows are the same; what it
+    adds is that the scan lists no other partitions.  Other tables are left alone.
+    """
+    if column != "publishedAt" or MONTH not in df.columns:
+        return df
+    month, touched = F.col(MONTH), F.lit(False)
+    for start, end in ranges:
+        low = F.lit(True) if start is None else month >= F.trunc(start, "month")
+        high = F.lit(True) if end is None else month <= F.trunc(end, "month")
+        touched = touched | (low & high)
+    return df.filter(touched)
+
+
 def between(
     df: DataFrame,
     start: str | None = None,
@@ -118,12 +140,12 @@ def between(
 ) -> DataFrame:
     """Rows inside optional bounds; ``closed="left"`` leaves the end out."""
     at = F.col(column)
-    if start is not None:
-        df = df.filter(at >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        bound = F.lit(end).cast("timestamp")
-        df = df.filter(at < bound if closed == "left" else at <= bound)
-    return df
+    low, high = (None if t is None else F.lit(t).cast("timestamp") for t in (start, end))
+    if low is not None:
+        df = df.filter(at >= low)
+    if high is not None:
+        df = df.filter(at < high if closed == "left" else at <= high)
+    return df if low is None and high is None else in_months(df, [(low, high)], column)
 
 
 def channel(videos: DataFrame, channel_id: str) -> DataFrame:

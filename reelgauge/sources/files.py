@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from reelgauge import schemas
 from reelgauge.functions import clock
 from reelgauge.functions.text import safe_name
-from reelgauge.operators.filters import analysis_columns, ensure_columns
+from reelgauge.operators.filters import MONTH, analysis_columns, ensure_columns
 
 _QUOTED = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 # the writer trims cells unless told not to
@@ -68,6 +68,23 @@ def read_database_videos(
     return analysis_columns(reader.load())
 
 
+def write_by_month(df: DataFrame, path: str) -> None:
+    """Store a table by the month of ``publishedAt``; months that ``df`` lacks stay as they are.
+
+    Months that it has are replaced.  Rows without a time have a partition of their own,
+    which no time filter reads.  Rows are gathered by month, and adaptive execution splits
+    a large month over several tasks.
+    """
+    month = F.trunc(F.col("publishedAt"), "month").alias(MONTH)
+    writer = df.select(*df.columns, month).hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH)
+    writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def read_by_month(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table stored by month, with its partition column; time filters then pick the months."""
+    return spark.read.schema(T.StructType([*schema, T.StructField(MONTH, T.DateType())])).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header and quoting that ``read_analysis_file`` reads back, in parallel parts.
 

@@ -290,6 +290,35 @@ def test_pages_of_threads(spark):
     ]
 
 
+def test_months_are_pruned(spark, tmp_path):
+    from reelgauge.operators.engagement import assign_periods
+
+    path, rows = str(tmp_path / "months"), V.videos(spark, SF)
+    files.write_by_month(rows.withColumn("publishedAt", F.when(F.col("doc_id") != 3, F.col("publishedAt"))), path)
+    months = sorted(p.name for p in (tmp_path / "months").iterdir() if p.name.startswith("publishMonth"))
+    assert "publishMonth=2022-12-01" in months and "publishMonth=__HIVE_DEFAULT_PARTITION__" in months
+    stored = files.read_by_month(spark, path, rows.schema)
+    assert stored.count() == rows.count()
+
+    def months_read(df):
+        return {f.split("publishMonth=")[1].split("/")[0] for f in df.select("_metadata.file_path").distinct().toPandas().file_path}
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    window = FI.between(stored, "2022-12-20", "2023-01-01", "left")
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "publishMonth" in pushed and "2022-12-01" in pushed
+    assert months_read(window) == {"2022-12-01"}
+    plan = assign_periods(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "publishMonth" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    same = lambda df: sorted(map(str, df.select(*rows.columns).collect()))
+    kept = rows.filter("doc_id != 3")
+    assert same(window) == same(FI.between(kept, "2022-12-20", "2023-01-01", "left"))
+    # one open bound, and no bound at all
+    assert same(FI.between(stored, start="2023-01-19")) == same(FI.between(kept, start="2023-01-19"))
+    assert FI.between(stored).count() == rows.count()
+
+
 def test_time_filter_reaches_the_scan(spark, tmp_path):
     from reelgauge.operators.filters import between, coerce_types
 
