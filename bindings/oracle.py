@@ -449,6 +449,11 @@ def statements() -> dict[str, str]:
         "corpus_summary": f"""select count(*) as videos, {_METRIC_STATS} from v_videos""",
         "engagement_thresholds": """select period, entity, n, round(high, 6) as high, round(low, 6) as low from v_thresholds""",
         "engagement_tiers": """select period, "videoId", "viewCount", entity, tier from v_tiers""",
+        "thresholds_after_batch": """select period, entity, count(*) as n,
+          cast(case when count(*) <= 3 then min(v) else quantile_cont(v, 0.75) end as double) as high,
+          cast(case when count(*) <= 3 then min(v) - 1 else quantile_cont(v, 0.25) end as double) as low
+          from (select period, entity, "viewCount" + case when doc_id % 6 = 1 then 1000 else 0 end as v from v_entities)
+          group by 1, 2""",
         "tier_sizes": "select period, entity, tier, count(*) as videos from v_tiers group by 1, 2, 3",
         "tokenize": f"""select "videoId", cast(len(t) as bigint) as n, array_to_string(t, ' ') as tokens from (
           select "videoId", regexp_extract_all(lower("videoTranscript"), '{TOKEN}') as t from v_videos)""",

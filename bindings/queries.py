@@ -403,6 +403,17 @@ def engagement_tiers(spark, sf):
     return E.explode_tiers(E.with_tiers(narrow)).drop("channelId")
 
 
+@query
+def thresholds_after_batch(spark, sf):
+    """Stored counts of two thirds of the videos, then a batch with the rest and with changed views."""
+    rows = in_period(spark, sf).select("period", "channelId", "viewCount", "doc_id")
+    stored = materialise(E.metric_counts(rows.filter("doc_id % 3 <> 0")))
+    replaced = rows.filter("doc_id % 6 = 1")
+    changed = replaced.withColumn("viewCount", F.col("viewCount") + 1000)
+    change = E.counts_change(rows.filter("doc_id % 3 = 0").unionByName(changed), replaced)
+    return E.limits_of_counts(materialise(E.merged_counts([stored, change])))
+
+
 @query
 def tier_sizes(spark, sf):
     narrow = in_period(spark, sf).select("period", "channelId", "videoId", "viewCount")

@@ -78,19 +78,45 @@ def metric_counts(in_period: DataFrame, metric: str = "viewCount") -> DataFrame:
     )
 
 
+def merged_counts(parts: Sequence[DataFrame], metric: str = "viewCount") -> DataFrame:
+    """Sum of several tables of ``metric_counts``; values that no row has left vanish."""
+    key = ["period", "entity", metric]
+    rows = parts[0].select(*key, "n")
+    for part in parts[1:]:
+        rows = rows.unionByName(part.select(*key, "n"))
+    return rows.groupBy(*key).agg(F.sum("n").alias("n")).filter(F.col("n") != 0)
+
+
+def counts_change(
+    added: DataFrame, removed: DataFrame | None = None, metric: str = "viewCount"
+) -> DataFrame:
+    """What a batch changes in stored ``metric_counts``: its rows, less those they replace.
+
+    Counts are exact and add up, so limits after a batch come from ``merged_counts`` of
+    the stored counts and this, and no older video is read again.
+    """
+    counts = metric_counts(added, metric)
+    if removed is None:
+        return counts
+    gone = metric_counts(removed, metric).withColumn("n", -F.col("n"))
+    return merged_counts([counts, gone], metric)
+
+
 def engagement_thresholds(in_period: DataFrame, metric: str = "viewCount") -> DataFrame:
-    """``high`` and ``low`` limits per period and entity.
+    """``high`` and ``low`` limits per period and entity, as ``limits_of_counts`` has them.
+
+    The counts are stored first because the ranking reads them twice.
+    """
+    return limits_of_counts(materialise(metric_counts(in_period, metric)), metric)
+
+
+def limits_of_counts(counts: DataFrame, metric: str = "viewCount") -> DataFrame:
+    """``high`` and ``low`` limits per period and entity from stored ``metric_counts``.
 
     More than three videos: the exact 75 % and 25 % quantiles.  Up to three: the
-    minimum and one less, which makes every video high and none low.  The counts
-    are stored first because the ranking reads them twice.
+    minimum and one less, which makes every video high and none low.
     """
-    q = grouped_quantiles(
-        materialise(metric_counts(in_period, metric)),
-        ["period", "entity"],
-        metric,
-        {"q75": 0.75, "q25": 0.25},
-    )
+    q = grouped_quantiles(counts, ["period", "entity"], metric, {"q75": 0.75, "q25": 0.25})
     few = F.col("n") <= 3
     lowest = F.col("lowest").cast("double")
     return q.select(

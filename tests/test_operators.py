@@ -272,6 +272,25 @@ def test_lemmas_keep_order(spark):
     assert found == {"a": ["X", "y", "X"], "b": []}
 
 
+def test_limits_of_added_batches(spark, tmp_path):
+    from reelgauge.operators import engagement as E
+
+    def rows(*cells):
+        return spark.createDataFrame(cells, "period string, channelId string, viewCount long")
+
+    first = rows(*[("p", "a", v) for v in (5, 5, 9, 12, 40)], ("p", "b", 7), ("q", "a", 3))
+    path = str(tmp_path / "counts")
+    E.metric_counts(first).write.parquet(path)
+    stored = spark.read.parquet(path)
+    # 9 becomes 90, the only video of b goes, c is new, one more video of a has an old value
+    change = E.counts_change(rows(("p", "a", 90), ("p", "c", 1), ("p", "a", 5)), rows(("p", "a", 9), ("p", "b", 7)))
+    assert change.filter("n < 0").count() == 4
+    now = rows(*[("p", "a", v) for v in (5, 5, 5, 90, 12, 40)], ("p", "c", 1), ("q", "a", 3))
+    merged = E.limits_of_counts(E.merged_counts([stored, change]))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, E.engagement_thresholds(now).collect()))
+    assert {(r.period, r.entity) for r in merged.collect()} == {("p", "ALL"), ("p", "a"), ("p", "c"), ("q", "ALL"), ("q", "a")}
+
+
 def test_lemmas_of_repeated_and_null_ids(spark):
     rows = [("a", 1, ["x", "y"]), ("a", 2, ["y", "x", "x"]), (None, 3, ["x"]), (None, 4, ["x"]), ("c", 5, None),
             ("d", 6, ["y", None, "x"]), ("e", 7, ["x y"]), ("f", 8, ["x", "y"])]
