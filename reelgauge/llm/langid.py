@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from reelgauge.llm.common import held_out, map_rows, small_batches
 from reelgauge.llm.sampling import labelled_sample
 
-#: Bounds of the fitted sample: languages, documents and landmarks of each, characters of a document.
-MAX_LANGUAGES, PER_LANGUAGE, LANDMARKS, MAX_CHARS = 64, 160, 24, 20_000
+#: Bounds of the fitted sample: languages (more are an error), documents and landmarks of each, characters of a document.
+MAX_LANGUAGES, PER_LANGUAGE, LANDMARKS, MAX_CHARS = 256, 160, 24, 20_000
 #: Lengths of n-grams, characters told apart, n-grams kept of each length.
 NGRAMS, ALPHABET, MAX_GRAMS = (1, 2, 3), 160, 12_000
 RIDGE = 1e-2
@@ -150,7 +150,10 @@ def fit(sample: list[tuple[str, str]], ridge: float = RIDGE) -> LanguageModel |
 
 
 def fit_documents(docs: DataFrame, label: str = "lang") -> LanguageModel | None:
-    """Fit on a bounded sample of the documents that are not held out; None without any."""
+    """Fit on a bounded sample of the documents that are not held out; None without any.
+
+    Every label is learned; more than ``MAX_LANGUAGES`` raise a ValueError.
+    """
     known = docs.select("doc_id", F.col(label).alias("label"))
     return fit(labelled_sample(docs, known, PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS))
 

@@ -10,21 +10,24 @@ from reelgauge.llm.common import held_out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_labels: int, max_chars: int) -> list[tuple[str, object]]:
-    """(text, label) of at most ``per_label`` documents of each of the ``max_labels`` most frequent labels.
+    """(text, label) of at most ``per_label`` documents of each label.
 
-    ``labels`` has doc_id and label.  Held-out documents, null labels and texts that are
+    More than ``max_labels`` labels are an error, as a model that leaves some out could never
+    predict them.  ``labels`` has doc_id and label.  Held-out documents, null labels and texts that are
     empty or longer than ``max_chars`` take no part.  All labels are counted; a hash of
     the id below a label's share makes the choice, the same at every run, so that no
     label's rows meet in one task.  At most ``max_labels * per_label`` texts of that length
     reach the driver.
     """
     known = labels.select("doc_id", "label").filter(~held_out("doc_id") & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
+    counts = known.groupBy("label").count().limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels to learn: fit fewer at a time or raise the bound")
     if not counts:
         return []
     # twice as many as wanted, as some texts turn out too long
     share = F.lit(None).cast("double")
-    for label, n in counts:
+    for label, n in sorted(counts):
         share = F.when(F.col("label") == F.lit(label), F.lit(2 * per_label / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     drawn = known.filter(draw < share * (1 << 30)).withColumn("draw", draw)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reelgauge.llm import bm25, bpe, html_text, langid, licenses, ngram_join, packing, pii, spotsigs, text_classes, toxicity
+from reelgauge.llm import bm25, bpe, html_text, langid, licenses, ngram_join, packing, pii, sampling, spotsigs, text_classes, toxicity
 from reelgauge.llm.common import Tables
 from reelgauge.llm.components import components
 from reelgauge.llm.queries import QUERIES
@@ -61,6 +61,15 @@ def test_language_ignores_labels_of_held_out(docs):
     assert by_id(langid.identify_documents(other)) == by_id(langid.identify_documents(docs))
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"word{i % 70} text{i % 70} more{i % 70}", f"l{i % 70:02d}") for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    taken = sampling.labelled_sample(frame, frame, 3, 70, 100)
+    assert len({label for _, label in taken}) == 70 and len(taken) <= 210
+    with pytest.raises(ValueError, match="labels to learn"):
+        sampling.labelled_sample(frame, frame, 3, 69, 100)
+
+
 def test_language_odd(odd, empty):
     found = langid.identify_documents(odd).collect()
     assert len(found) == len(ODD)
