@@ -2,28 +2,31 @@
 
 The usual route, one ``pyspark.ml`` LDA model per group, needs a driver loop over
 channels and a vocabulary-by-topics matrix in the driver.  Here the documents of all
-groups lie in blocks of bounded size, each with the terms it uses.  In every pass
-the weights of a block's terms come to it, its documents are fitted to them to the
-end, and the expected counts of its terms go back to be summed: only the terms
+groups lie in blocks of bounded size, each with the terms it uses, and the terms of a
+group in buckets.  In every pass a block gets one array from each bucket, the weights
+of its terms there; its documents are fitted to them to the end, and it sends each
+bucket one array back, the expected counts, which the bucket sums.  Only these arrays
 move, and no group is ever in one place.  The variational bound of each group is
 summed along the way; a group whose bound no longer rises leaves the passes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgauge.functions import text as X
 from reelgauge.operators.engagement import group_sizes, topic_count, with_entities
-from reelgauge.operators.ngrams import doc_term_counts, top_per_group, with_tokens
+from reelgauge.operators.ngrams import top_per_group, with_tokens
 from reelgauge.operators.picks import argmax_per_group
-from reelgauge.operators.scaling import Tables, fits, hot_keys, materialise, sized_join
+from reelgauge.operators.scaling import Tables, fits, materialise, sized_join
 from reelgauge.schemas import METRICS
 
 GROUP = ["period", "entity"]
@@ -33,7 +36,7 @@ BLOCK_DOCS = 512
 #: Steps in which a block's documents are fitted at most, and the mean change that ends them.
 STEPS, STEP_CHANGE = 40, 1e-3
 _P = [f"p{i}" for i in range(MAX_TOPICS)]
-_B = [f"b{i}" for i in range(MAX_TOPICS)]
+_T = [f"t{i}" for i in range(MAX_TOPICS)]
 #: share of a document that its starting topic gets
 _START = 0.9
 
@@ -67,135 +70,226 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - sum(np.log(x + i) for i in range(6))
 
 
-def _active(i: int) -> Column:
-    return F.lit(i) < F.col("k")
+# --- blocks of documents and buckets of terms --------------------------------------------
+
+_BLOCK = (
+    "g bigint, block int, k int, ids array<string>, terms array<string>, buckets array<int>, begins array<int>, sizes array<int>, "
+    "doc binary, term binary, times binary, start binary"
+)
+_BUCKET = "g bigint, bucket int, k int, n int, blocks binary, sizes binary, place binary"
+#: From blocks to buckets: expected counts, term by topic.  Bucket -1 gets the blocks' parts of the bound.
+_UP = "g bigint, block int, bucket int, sums binary, bound double"
+#: From buckets to blocks: the same counts of the whole group, prior included.  Block -1 gets a bucket's totals.
+_DOWN = f"g bigint, block int, bucket int, k int, sums binary, bound double, part double, n bigint, {', '.join(f'{p} double' for p in _P)}"
+_SHARES = f"g bigint, videoId string, {', '.join(f'{p} double' for p in _P)}"
+_SUMS = f"g bigint, term string, k int, {', '.join(f'{p} double' for p in _P)}"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+    kinds |= {f"array<{k}>": pa.list_(v) for k, v in kinds.items()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
 
-def _start_sums(edges: DataFrame, seed: int) -> DataFrame:
-    """g, term, k, p0..p4: most of each document on one topic chosen by its id."""
-    start = F.pmod(F.xxhash64("videoId", F.lit(seed)), F.col("k")).cast("int")
-    rest = (1 - _START) / F.col("k")
-    shares = [F.when(_active(i), F.when(start == i, _START + rest).otherwise(rest)).otherwise(0.0) for i in range(MAX_TOPICS)]
-    sums = [F.sum(F.col("n") * share).alias(p) for p, share in zip(_P, shares)]
-    return edges.groupBy("g", "term", "k").agg(*sums)
+def _table(schema: str, rows: Sequence[dict] = ()) -> pa.Table:
+    return pa.Table.from_pylist(list(rows), _arrow(schema))
 
 
-# --- blocks of documents ----------------------------------------------------------------
+def _bytes(values: np.ndarray, kind: type) -> bytes:
+    return np.ascontiguousarray(values, kind).tobytes()
 
-_BLOCK = "g bigint, block int, k int, ids array<string>, terms array<string>, doc array<int>, term array<int>, times array<bigint>"
+
+def _one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _pack(rows: pa.Table) -> pa.Table:
-    """One row for the documents of a block: their ids, its terms, and who has which how often."""
-    ids, terms = (rows.column(c).combine_chunks().dictionary_encode() for c in ("videoId", "term"))
-    first = {c: rows.column(c)[0].as_py() for c in ("g", "block", "k")}
-    lists = {"ids": ids.dictionary, "terms": terms.dictionary, "doc": ids.indices, "term": terms.indices, "times": rows.column("n")}
-    kinds = {"ids": pa.string(), "terms": pa.string(), "doc": pa.int32(), "term": pa.int32(), "times": pa.int64()}
-    return pa.table({
-        "g": pa.array([first["g"]], pa.int64()), "block": pa.array([first["block"]], pa.int32()), "k": pa.array([first["k"]], pa.int32()),
-        **{c: pa.array([v.to_pylist()], pa.list_(kinds[c])) for c, v in lists.items()},
-    })
+    """One row for the documents of a block: their ids, its terms by bucket, and who has which how often."""
+    first = {c: rows.column(c)[0].as_py() for c in ("g", "block", "k", "buckets")}
+    ids = rows.column("videoId").combine_chunks().dictionary_encode()
+    tokens = rows.column("tokens").combine_chunks()
+    words, owner = tokens.flatten(), pc.list_parent_indices(tokens)
+    if words.null_count:
+        words, owner = words.filter(words.is_valid()), owner.filter(words.is_valid())
+    if not len(words):
+        return _table(_BLOCK)
+    coded = words.dictionary_encode()
+    bucket = np.array([zlib.crc32(t.encode()) for t in coded.dictionary.to_pylist()]) % first["buckets"]
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    doc_of_row = ids.indices.to_numpy().astype(np.int64)
+    pairs, times = np.unique(doc_of_row[owner.to_numpy()] * len(order) + place[coded.indices.to_numpy()], return_counts=True)
+    used, doc = np.unique(pairs // len(order), return_inverse=True)
+    start = np.zeros(len(ids.dictionary), np.int32)
+    start[doc_of_row] = rows.column("start").to_numpy()
+    buckets, sizes = np.unique(bucket, return_counts=True)
+    lists = (buckets, np.cumsum(sizes) - sizes + 1, sizes)
+    return pa.table(
+        [
+            pa.array([first["g"]]), pa.array([first["block"]]), pa.array([first["k"]]), _one(ids.dictionary.take(pa.array(used))),
+            _one(coded.dictionary.take(pa.array(order))), *(_one(pa.array(v, pa.int32())) for v in lists),
+            *(pa.array([_bytes(v, np.int32)]) for v in (doc, pairs % len(order), times, start[used])),
+        ],
+        names=_arrow(_BLOCK).names,
+    ).cast(_arrow(_BLOCK))
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """One row for a bucket: which of its terms each block has, in the block's order."""
+    rows = rows.sort_by("block")
+    terms = rows.column("terms").combine_chunks()
+    coded = terms.flatten().dictionary_encode()
+    first = {c: rows.column(c)[0].as_py() for c in ("g", "bucket", "k")}
+    lists = {"blocks": rows.column("block").to_numpy(), "sizes": pc.list_value_length(terms).to_numpy(), "place": coded.indices.to_numpy()}
+    return _table(_BUCKET, [{**first, "n": len(coded.dictionary), **{c: _bytes(v, np.int32) for c, v in lists.items()}}])
+
+
+def _ints(row: dict, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(row[name], np.int32) for name in names]
 
 
 class _Fitted:
     """The documents of a block fitted to the weights of its terms (term by topic)."""
 
     def __init__(self, block: dict, weights: np.ndarray):
-        k = block["k"]
-        doc = np.array(block["doc"])
-        order = np.argsort(doc, kind="stable")
-        doc, term, times = doc[order], np.array(block["term"])[order], np.array(block["times"], float)[order]
-        # each document of a block has a term
-        first = np.flatnonzero(np.diff(doc, prepend=-1))
-        prior, weights, n = 1 / k, weights[:, :k], len(block["ids"])
+        k, n = block["k"], len(block["ids"])
+        # by document; each document of a block has a term
+        doc, term, times = _ints(block, "doc", "term", "times")
+        first, prior = np.flatnonzero(np.diff(doc, prepend=-1)), 1 / k
+        length = np.diff(first, append=len(doc))
+        # one run of memory for each topic
+        at_term = [np.ascontiguousarray(weights[:, i])[term] for i in range(k)]
         self.gamma = np.ones((n, k))
-        at_term = weights[term]
+
+        def total(share: np.ndarray) -> np.ndarray:
+            out = np.full(len(doc), 1e-300)
+            for i in range(k):
+                out += np.repeat(share[:, i], length) * at_term[i]
+            return out
 
         for _ in range(STEPS):
-            log_share = digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None]
-            share = np.exp(log_share)
-            total = np.einsum("ij,ij->i", share[doc], at_term) + 1e-300
-            new = prior + share * np.add.reduceat(at_term * (times / total)[:, None], first, axis=0)
+            share = np.exp(digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None])
+            parts = times / total(share)
+            new = prior + share * np.stack([np.add.reduceat(at * parts, first) for at in at_term], 1)
             change, self.gamma = np.abs(new - self.gamma).mean(), new
             if change < STEP_CHANGE:
                 break
         log_share = digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None]
         share = np.exp(log_share)
-        total = (share[doc] * at_term).sum(1) + 1e-300
-        dealt = share[doc] * (times / total)[:, None]
-        self.sums = weights * np.stack([np.bincount(term, dealt[:, i], len(weights)) for i in range(k)], 1)
+        sums = total(share)
+        parts = times / sums
+        dealt = [np.bincount(term, np.repeat(share[:, i], length) * parts, len(weights)) for i in range(k)]
+        self.sums = weights * np.stack(dealt, 1)
         own = (prior - self.gamma) * log_share + log_gamma(self.gamma)
         constant = log_gamma(np.array(1.0)) - k * log_gamma(np.array(prior))
-        self.bound = float((times * np.log(total)).sum() + own.sum() - log_gamma(self.gamma.sum(1)).sum() + n * constant)
+        self.bound = float((times * np.log(sums)).sum() + own.sum() - log_gamma(self.gamma.sum(1)).sum() + n * constant)
+
+
+def _columns(values: np.ndarray) -> dict[str, pa.Array]:
+    """Topic columns, zero from k on."""
+    full = np.zeros((len(values), MAX_TOPICS))
+    full[:, : values.shape[1]] = values
+    return {p: pa.array(full[:, i]) for i, p in enumerate(_P)}
 
 
-def _met(block: pa.Table, weights: pa.Table) -> tuple[dict, np.ndarray] | None:
-    if not block.num_rows or not weights.num_rows:
+def _met(block: pa.Table, down: pa.Table) -> tuple[dict, np.ndarray] | None:
+    """A block and the counts of its terms in the whole group."""
+    if not block.num_rows or not down.num_rows:
         return None
     row = block.to_pylist()[0]
-    out = np.zeros((len(row["terms"]), MAX_TOPICS))
-    out[weights.column("place").to_numpy()] = np.stack([weights.column(b).to_numpy() for b in _B], 1)
-    return row, out
+    return row, np.frombuffer(b"".join(down.sort_by("bucket").column("sums").to_pylist())).reshape(-1, row["k"])
 
 
-_COUNTS = f"g bigint, term string, {', '.join(f'{p} double' for p in _P)}, bound double"
-_SHARES = f"g bigint, videoId string, {', '.join(f'{p} double' for p in _P)}"
+def _fitted(block: pa.Table, down: pa.Table) -> tuple[dict, _Fitted] | None:
+    """A topic's weight of a term is the exponential of its expected logarithm."""
+    if (met := _met(block, down)) is None:
+        return None
+    row, sums = met
+    return row, _Fitted(row, np.exp(digamma(sums) - np.array([row[t] for t in _T[: row["k"]]])))
 
 
-def _columns(values: np.ndarray) -> dict[str, pa.Array]:
-    """Topic columns, zero from k on."""
-    full = np.zeros((len(values), MAX_TOPICS))
-    full[:, : values.shape[1]] = values
-    return {p: pa.array(full[:, i]) for i, p in enumerate(_P)}
+def _sent(row: dict, sums: np.ndarray, bound: float | None = None) -> pa.Table:
+    """A block's counts to its buckets, and its part of the bound."""
+    key = {"g": row["g"], "block": row["block"]}
+    parts = zip(row["buckets"], row["begins"], row["sizes"], strict=True)
+    out = [{**key, "bucket": b, "sums": _bytes(sums[at - 1 : at - 1 + n], float)} for b, at, n in parts]
+    return _table(_UP, out if bound is None else [*out, {**key, "bucket": -1, "bound": bound}])
 
 
-def _expected_counts(block: pa.Table, weights: pa.Table) -> pa.Table:
-    """Expected counts of a block's terms, and one row without a term for its part of the bound."""
-    met = _met(block, weights)
-    row, found = (met[0], _Fitted(*met)) if met else (None, None)
-    terms = row["terms"] if row else []
-    n = len(terms) + bool(row)
-    sums = np.vstack([found.sums, np.zeros((1, found.sums.shape[1]))]) if row else np.zeros((0, 1))
-    return pa.table({
-        "g": pa.array([row["g"]] * n if row else [], pa.int64()), "term": pa.array([*terms, None] if row else [], pa.string()),
-        **_columns(sums), "bound": pa.array([None] * len(terms) + [found.bound] if row else [], pa.float64()),
-    })
+def _start_counts(block: pa.Table) -> pa.Table:
+    """Most of each document on one topic chosen by its id."""
+    row = block.drop_columns(["ids", "terms"]).to_pylist()[0]
+    k, n = row["k"], sum(row["sizes"])
+    doc, term, times, start = _ints(row, "doc", "term", "times", "start")
+    shares = np.full((len(start), k), (1 - _START) / k)
+    shares[np.arange(len(start)), start] += _START
+    return _sent(row, np.stack([np.bincount(term, shares[doc, i] * times, n) for i in range(k)], 1))
 
 
-def _document_shares(block: pa.Table, weights: pa.Table) -> pa.Table:
-    """The documents' topic counts, prior included."""
-    met = _met(block, weights)
-    row, found = (met[0], _Fitted(*met)) if met else (None, None)
-    gamma = found.gamma if row else np.zeros((0, 1))
-    ids = row["ids"] if row else []
-    return pa.table({"g": pa.array([row["g"]] * len(ids) if row else [], pa.int64()), "videoId": pa.array(ids, pa.string()), **_columns(gamma)})
+def _expected_counts(block: pa.Table, down: pa.Table) -> pa.Table:
+    if (met := _fitted(block, down)) is None:
+        return _table(_UP)
+    row, found = met
+    return _sent(row, found.sums, found.bound)
 
 
-# --- weights of terms ---------------------------------------------------------------------
+def _document_shares(block: pa.Table, down: pa.Table) -> pa.Table:
+    """The documents' topic counts, prior included."""
+    if (met := _fitted(block, down)) is None:
+        return _table(_SHARES)
+    row, found = met
+    return pa.table({"g": pa.array([row["g"]] * len(row["ids"])), "videoId": pa.array(row["ids"], pa.string()), **_columns(found.gamma)})
 
 
-def _weights(sums: DataFrame, few_groups: bool) -> DataFrame:
-    """g, term, b0..b4, part: what documents are fitted to, and the term's part of the bound.
+def _term_sums(block: pa.Table, down: pa.Table) -> pa.Table:
+    if (met := _met(block, down)) is None:
+        return _table(_SUMS)
+    row, sums = met
+    n = len(sums)
+    return pa.table({
+        "g": pa.array([row["g"]] * n), "term": pa.array(row["terms"], pa.string()), "k": pa.array([row["k"]] * n, pa.int32()), **_columns(sums)
+    })
 
-    A topic's weight of a term is the exponential of its expected logarithm.
-    """
-    own = sums.select("g", "term", "k", *[F.when(_active(i), F.col(p) + 1 / F.col("k")).otherwise(0.0).alias(p) for i, p in enumerate(_P)])
-    totals = own.groupBy("g").agg(*[F.sum(p).alias(f"t{p}") for p in _P], F.count("*").alias("size"))
-    both = sized_join(own, totals, ["g"], "inner", few_groups).select("g", "term", "k", *_P, *[f"t{p}" for p in _P], "size")
-    names = ["g", "term", *_B, "part"]
+
+def _group_counts(bucket: pa.Table, up: pa.Table) -> pa.Table:
+    """Blocks' counts summed for the terms of a bucket: to the blocks, and in total."""
+    if not up.num_rows:
+        return _table(_DOWN)
+    if not bucket.num_rows:
+        return _table(_DOWN, [{"g": up.column("g")[0].as_py(), "block": -1, "bucket": -1, "bound": float(np.sort(up.column("bound").to_numpy()).sum())}])
+    row, up = bucket.to_pylist()[0], up.sort_by("block")
+    blocks, sizes, place = _ints(row, "blocks", "sizes", "place")
+    k, prior = row["k"], 1 / row["k"]
+    sums = np.frombuffer(b"".join(up.column("sums").to_pylist())).reshape(-1, k)
+    x = np.stack([np.bincount(place, sums[:, i], row["n"]) for i in range(k)], 1) + prior
+    key = {"g": row["g"], "bucket": row["bucket"], "k": k}
+    part = float(((prior - x) * digamma(x) + log_gamma(x)).sum() - x.size * log_gamma(np.array(prior)))
+    out = [{**key, "block": -1, "part": part, "n": row["n"], **dict(zip(_P, x.sum(0).tolist(), strict=False))}]
+    at = x[place]
+    for block, begin, size in zip(blocks.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        out.append({**key, "block": block, "sums": at[begin : begin + size].tobytes()})
+    return _table(_DOWN, out)
+
+
+def _totals(down: DataFrame) -> DataFrame:
+    """g, part, t0..t4: the terms' part of the bound and the expected logarithm of each topic's total."""
+    parts = down.filter("block = -1 and bucket >= 0").groupBy("g", "k")
+    summed = parts.agg(F.sum("n").alias("n"), F.sum("part").alias("part"), *[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in _P])
+    names = ["g", "part", *_T]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, size = batch.column(2).to_numpy()[:, None], batch.column(2 + 2 * MAX_TOPICS + 1).to_numpy()[:, None]
-            x, total = (np.stack([batch.column(3 + at + i).to_numpy() for i in range(MAX_TOPICS)], 1) for at in (0, MAX_TOPICS))
+            k, n = batch.column("k").to_numpy()[:, None], batch.column("n").to_numpy()[:, None]
             used, prior = np.arange(MAX_TOPICS) < k, 1 / k
-            x, total = np.where(used, x, 1), np.where(used, total, 1)
-            log = digamma(x) - digamma(total)
-            part = (prior - x) * log + log_gamma(x) - log_gamma(prior) + (log_gamma(size * prior) - log_gamma(total)) / size
-            weight = np.where(used, np.exp(log), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(weight[:, i]) for i in range(MAX_TOPICS)), pa.array(np.where(used, part, 0).sum(1))], names)
+            total = np.where(used, np.stack([batch.column(p).to_numpy() for p in _P], 1), 1)
+            log = digamma(total)
+            own = log_gamma(n * prior) - log_gamma(total) - log * (n * prior - total)
+            part = batch.column("part").to_numpy() + np.where(used, own, 0).sum(1)
+            log = np.where(used, log, 0)
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(part), *(pa.array(log[:, i]) for i in range(MAX_TOPICS))], names)
 
-    return both.mapInArrow(run, f"g bigint, term string, {', '.join(f'{b} double' for b in _B)}, part double")
+    return summed.mapInArrow(run, f"g bigint, part double, {', '.join(f'{t} double' for t in _T)}")
 
 
 def fit_topics(
@@ -223,25 +317,34 @@ def fit_topics(
         groups = tables.keep(group_sizes(narrow).select(*GROUP, topic_count(F.col("n")).cast("int").alias("k"), "n", F.monotonically_increasing_id().alias("g")))
         few_groups = fits(groups)
         blocks_of = F.ceil(F.col("n") / BLOCK_DOCS)
-        numbered = groups.select(*GROUP, "g", "k", blocks_of.alias("blocks"))
-        counts = with_entities(doc_term_counts(tokenised, key).filter("videoId is not null")).drop("channelId")
+        # both the terms of a bucket and the arrays that a block sends grow with the root of the blocks
+        numbered = groups.select(*GROUP, "g", "k", blocks_of.alias("blocks"), F.ceil(4 * F.sqrt(blocks_of)).cast("int").alias("buckets"))
+        texts = with_entities(tokenised.select(*key, "tokens").filter("videoId is not null")).drop("channelId")
         block = F.pmod(F.xxhash64("videoId"), F.col("blocks")).cast("int").alias("block")
-        edges = tables.keep(sized_join(counts, numbered, GROUP, "inner", few_groups).select("g", "k", block, "videoId", "term", "n"))
-        blocks = tables.keep(edges.groupBy("g", "block").applyInArrow(_pack, _BLOCK))
-        spread = tables.keep(blocks.select("g", "block", F.posexplode("terms").alias("place", "term")))
-        sums = tables.keep(_start_sums(edges, seed))
-        few_terms = fits(sums)
-        hot = None if few_terms else tables.keep(hot_keys(spread.select("g", "term"), ["g", "term"]))
-
-        def at_blocks(left: DataFrame, weights: DataFrame, act, schema: str) -> DataFrame:
-            placed = sized_join(spread, weights.drop("part"), ["g", "term"], "inner", few_terms, hot).drop("term")
-            return left.groupBy("g", "block").cogroup(placed.groupBy("g", "block")).applyInArrow(act, schema)
-
-        settled, bounds, before, left = [], [], None, blocks
+        start = F.pmod(F.xxhash64("videoId", F.lit(seed)), F.col("k")).cast("int").alias("start")
+        placed = sized_join(texts, numbered, GROUP, "inner", few_groups).select("g", "k", "buckets", block, start, "videoId", "tokens")
+        blocks = tables.keep(placed.groupBy("g", "block").applyInArrow(_pack, _BLOCK))
+        own = F.transform(
+            F.arrays_zip("buckets", "begins", "sizes"),
+            lambda x: F.struct(x.buckets.alias("bucket"), F.slice("terms", x.begins, x.sizes).alias("terms")),
+        )
+        pieces = blocks.select("g", "block", "k", F.explode(own).alias("own")).select("g", "block", "k", "own.*")
+        buckets = tables.keep(pieces.groupBy("g", "bucket").applyInArrow(_gather, _BUCKET))
+
+        def at_blocks(left: DataFrame, down: DataFrame, totals: DataFrame, act, schema: str) -> DataFrame:
+            known = sized_join(left, totals.drop("part"), ["g"], "inner", few_groups)
+            sums = down.filter("block >= 0").select("g", "block", "bucket", "sums")
+            return known.groupBy("g", "block").cogroup(sums.groupBy("g", "block")).applyInArrow(act, schema)
+
+        def at_buckets(left: DataFrame, up: DataFrame) -> DataFrame:
+            return left.groupBy("g", "bucket").cogroup(up.groupBy("g", "bucket")).applyInArrow(_group_counts, _DOWN)
+
+        settled, bounds, before, left, theirs = [], [], None, blocks, buckets
+        down = tables.keep(at_buckets(buckets, blocks.groupBy("g", "block").applyInArrow(_start_counts, _UP)))
         for number in range(max_iter):
-            weights = tables.keep(_weights(sums, few_groups))
-            counted = tables.keep(at_blocks(left, weights, _expected_counts, _COUNTS))
-            parts = counted.filter("term is null").select("g", "bound").unionByName(weights.select("g", F.col("part").alias("bound")))
+            totals = tables.keep(_totals(down))
+            down = tables.keep(at_buckets(theirs, at_blocks(left, down, totals, _expected_counts, _UP)))
+            parts = down.filter("bucket = -1").select("g", "bound").unionByName(totals.select("g", F.col("part").alias("bound")))
             bound = parts.groupBy("g").agg(F.sum("bound").alias("bound"))
             if before is None:
                 bound = bound.withColumn("open", F.lit(True))
@@ -250,30 +353,29 @@ def fit_topics(
                 bound = bound.join(before.select("g", F.col("bound").alias("was")), "g").select("g", "bound", (rise > tolerance * F.abs("was")).alias("open"))
             before = tables.keep(bound.withColumn("pass", F.lit(number)))
             bounds.append(before.select("g", "pass", "bound"))
-            k = groups.select("g", "k")
-            news = sized_join(counted.filter("term is not null").groupBy("g", "term").agg(*[F.sum(p).alias(p) for p in _P]), k, ["g"], "inner", few_groups)
-            sums = tables.keep(news)
             closed, still = before.filter("not open").select("g"), before.filter("open").select("g")
             if number == max_iter - 1 or still.isEmpty():
-                settled.append(sums)
+                settled.append(down)
                 break
             if not closed.isEmpty():
-                settled.append(sized_join(sums, closed, ["g"], "left_semi", few_groups))
-                sums, left = (sized_join(x, still, ["g"], "left_semi", few_groups) for x in (sums, left))
-        sums = settled[0]
+                settled.append(sized_join(down, closed, ["g"], "left_semi", few_groups))
+                down, left, theirs = (sized_join(x, still, ["g"], "left_semi", few_groups) for x in (down, left, theirs))
+        down = settled[0]
         for part in settled[1:]:
-            sums = sums.unionByName(part)
-        sums = tables.keep(sums)
-        shares = at_blocks(blocks, _weights(sums, few_groups), _document_shares, _SHARES)
+            down = down.unionByName(part)
+        totals = tables.keep(_totals(down))
+        shares = at_blocks(blocks, down, totals, _document_shares, _SHARES)
         members = sized_join(with_entities(narrow.filter("videoId is not null")).select(*GROUP, "videoId"), groups.select(*GROUP, "g", "k"), GROUP, "inner", few_groups)
-        filled = sized_join(members, sums.select("g").distinct(), ["g"], "left_semi", few_groups)
+        filled = sized_join(members, blocks.select("g").distinct(), ["g"], "left_semi", few_groups)
         total = sum((F.col(p) for p in _P[1:]), F.col(_P[0]))
-        own = [F.when(_active(i), F.coalesce(F.col(p) / total, 1 / F.col("k"))).alias(p) for i, p in enumerate(_P)]
+        own = [F.when(F.lit(i) < F.col("k"), F.coalesce(F.col(p) / total, 1 / F.col("k"))).alias(p) for i, p in enumerate(_P)]
         documents = materialise(filled.join(shares, ["g", "videoId"], "left").select(*GROUP, "videoId", "k", *own))
         names = groups.select("g", *GROUP)
-        by_topic = sums.select("g", "term", "k", F.posexplode(F.slice(F.array(*_P), F.lit(1), F.col("k"))).alias("topic", "_sum"))
+        # all blocks of a term bring the same counts
+        sums = at_blocks(blocks, down, totals, _term_sums, _SUMS).groupBy("g", "term", "k").agg(*[F.max(p).alias(p) for p in _P])
+        by_topic = sums.select("g", "term", F.posexplode(F.slice(F.array(*_P), F.lit(1), F.col("k"))).alias("topic", "weight"))
         terms = sized_join(by_topic, names, ["g"], "inner", few_groups)
-        terms = materialise(terms.select(*GROUP, "term", "topic", (F.col("_sum") + 1 / F.col("k")).alias("weight")))
+        terms = materialise(terms.select(*GROUP, "term", "topic", "weight"))
         every = bounds[0]
         for part in bounds[1:]:
             every = every.unionByName(part)

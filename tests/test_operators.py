@@ -450,6 +450,26 @@ def test_planted_topics_are_found_and_bounds_rise(spark, monkeypatch):
         assert len(values) > 2 and all(b - a > -1e-5 * abs(a) for a, b in zip(values, values[1:]))
 
 
+def test_topic_passes_move_arrays_not_terms(spark, monkeypatch):
+    kinds = "period string, channelId string, videoId string, viewCount long, likeCount long, commentCount long, videoTranscript string"
+    df = spark.createDataFrame(planted(2), kinds)
+    rows, keep = [], topics.Tables.keep
+
+    def counted(self, table):
+        kept = keep(self, table)
+        rows.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(topics.Tables, "keep", counted)
+    model = topics.fit_topics(df, stopword_set(("pt",)), max_iter=2)
+    terms = model.terms.select("period", "entity", "term").distinct().count()
+    assert terms > 300 and max(rows) < 60, (terms, rows)
+    # counts of all topics are the group's tokens, beside the prior of each term and topic
+    words = {"c1": 100 * 60, "c2": 100 * 60, "ALL": 200 * 60}
+    sums = model.terms.groupBy("entity").agg((F.sum("weight") - F.count("*") / 5).alias("n")).collect()
+    assert {r.entity: round(r.n, 6) for r in sums} == words
+
+
 def test_empty_label(spark):
     df = spark.createDataFrame([(3, [])], "t int, w array<string>")
     label = df.select(topics.topic_label(F.col("t"), F.col("w")).alias("l")).first().l
