@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,6 +82,18 @@ def top_per_group(
     )
 
 
+def _place(rows: DataFrame) -> Column:
+    """``order_key`` and ``_pos`` as one value with the same order, a missing key first.
+
+    Whole numbers become one decimal, which a hash aggregate can keep; the smallest
+    struct would need all pairs sorted before they are combined.
+    """
+    if dict(rows.dtypes)["order_key"] not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct("order_key", "_pos")
+    key = F.coalesce(F.col("order_key").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    return (key * F.lit(str(1 << 31)).cast("decimal(10,0)") + F.col("_pos")).cast("decimal(38,0)")
+
+
 def top_bigrams(
     in_period: DataFrame,
     stopwords: Iterable[str],
@@ -113,8 +125,6 @@ def top_bigrams(
     if not first_seen:
         counts = pairs.groupBy(*by, "bigram").agg(frequency)
         return top_per_group(counts, by, n)
-    counts = pairs.groupBy(*by, "bigram").agg(
-        frequency, F.min(F.struct("order_key", "_pos")).alias("_first")
-    )
+    counts = pairs.groupBy(*by, "bigram").agg(frequency, F.min(_place(in_texts)).alias("_first"))
     ranked = top_per_group(counts, by, n, [F.col("frequency").desc(), F.col("_first")])
     return ranked.drop("_first")

@@ -450,6 +450,19 @@ def test_planted_topics_are_found_and_bounds_rise(spark, monkeypatch):
         assert len(values) > 2 and all(b - a > -1e-5 * abs(a) for a, b in zip(values, values[1:]))
 
 
+def test_first_seen_is_kept_by_a_hash_aggregate(spark):
+    kinds = "period string, channelId string, videoId string, viewCount long, order_key long, tokens array<string>"
+    # Both ends of the key's range, and a missing key, which comes first.
+    rows = [("p", "c", f"v{i}", 5, key, [first, "b"]) for i, (key, first) in enumerate([((1 << 63) - 1, "w"), (-(1 << 63), "x"), (None, "y"), (7, "z")])]
+    df = spark.createDataFrame([*rows, ("p", "c", "v9", 5, 7, ["q", "q", "r"])], kinds)
+    ranked = N.top_bigrams(df, [], ties="first_seen").filter("entity = 'ALL' and tier = 'high'")
+    assert [r.bigram for r in ranked.orderBy("rank").collect()] in (["y b", "x b", "q q", "z b", "q r", "w b"], ["y b", "x b", "z b", "q q", "q r", "w b"])
+    plan = ranked._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan.partition("== Physical Plan ==")[2]
+    place = spark.createDataFrame([("k", 1)], "order_key string, _pos int")
+    assert place.select(N._place(place).alias("p")).first().p == ("k", 1)
+
+
 def test_topic_passes_move_arrays_not_terms(spark, monkeypatch):
     kinds = "period string, channelId string, videoId string, viewCount long, likeCount long, commentCount long, videoTranscript string"
     df = spark.createDataFrame(planted(2), kinds)
