@@ -82,7 +82,9 @@ def period_report(
         raise ValueError(f"not parts of a report: {sorted(unknown)}")
     stop = list(stopwords)
     source = analysis_rows(videos, periods, channel_id)
-    rows = materialise(tokenised_rows(source, stop, order, strict))
+    stored = tokenised_rows(source, stop, order, strict)
+    # only topics show texts
+    rows = materialise(stored if "topics" in parts else stored.drop("videoTranscript"))
     tables: dict[str, DataFrame] = {}
     if "tiers" in parts:
         tables["tiers"] = tier_sizes(with_tiers(rows.select("period", "channelId", "viewCount")))

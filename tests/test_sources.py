@@ -338,3 +338,12 @@ def test_spread_grows_with_the_table(spark, tmp_path, monkeypatch):
     assert files.read_spread(spark, path, 3).rdd.getNumPartitions() > 5
     plain = files.read_spread(spark, path, 2)
     assert "Exchange" not in plain._jdf.queryExecution().toString() and plain.count() == 20_000
+
+
+def test_report_without_topics_stores_no_text(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(report, "materialise", lambda df: kept.append(df) or df)
+    rows = [("v1", "c", "t", "gato cachorro pata", 1, 1, 1, "2022-11-02 00:00:00"), ("v2", "c", "t", "gato cachorro lua", 2, 1, 1, "2022-11-03 00:00:00")]
+    df = spark.createDataFrame(rows, "videoId string, channelId string, videoTitle string, videoTranscript string, viewCount long, likeCount long, commentCount long, publishedAt string")
+    tables = report.period_report(df, stopword_set(("pt",)), parts=("tiers", "bigrams"))
+    assert "videoTranscript" not in kept[0].columns and tables["bigrams"].count() > 0
