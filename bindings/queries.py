@@ -361,7 +361,7 @@ def lemma_lookup(spark, sf):
         .select("term", F.expr("left(term, length(term) - 1)").alias("lemma"))
         .distinct()
     )
-    return J.lemma_counts(counts, lemmas)
+    return J.lemma_counts(counts, materialise(lemmas))
 
 
 @query

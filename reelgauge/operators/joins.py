@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgauge.functions import text as X
-from reelgauge.operators.scaling import hot_key_join, lookup_join, unnest
+from reelgauge.operators.scaling import BROADCAST_BYTES, hot_key_join, lookup_join, unnest
 
 
 def channel_names(rows: DataFrame, channels: DataFrame) -> DataFrame:
@@ -75,7 +75,8 @@ def lemma_counts(term_counts: DataFrame, lemmas: DataFrame) -> DataFrame:
     ``term_counts`` has one row per document and term, so a frequent word costs
     one row per document; ``lemmas`` has columns ``term`` and ``lemma``.
     """
-    joined = lookup_join(term_counts, lemmas, ["term"], "left")
+    # words are short: bytes alone say whether the dictionary can travel in place of all counts
+    joined = lookup_join(term_counts, lemmas, ["term"], "left", max_rows=BROADCAST_BYTES)
     return (
         joined.withColumn("lemma", F.coalesce("lemma", "term"))
         .groupBy("videoId", "lemma")

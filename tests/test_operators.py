@@ -510,3 +510,12 @@ def test_error_kinds_without_transcript(spark):
     assert list(found[0].s) == ["TRANSCRIPT_UNAVAILABLE: No transcript available for this video", "not_available"]
     assert [r.may for r in found] == [False, True, True]
     assert found[1].s[0] == "VIDEO_UNAVAILABLE: x"
+
+
+def test_large_dictionary_of_short_words_is_broadcast(spark):
+    lemmas = spark.range(200_001).selectExpr("concat('w', id) as term", "concat('l', id) as lemma")
+    counts = spark.createDataFrame([("v1", "w7", 2), ("v1", "l7", 1), ("v1", "x", 1)], "videoId string, term string, n long")
+    out = J.lemma_counts(counts, lemmas)
+    assert {(r.videoId, r.lemma): r.n for r in out.collect()} == {("v1", "l7"): 3, ("v1", "x"): 1}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
