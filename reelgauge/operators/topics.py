@@ -6,8 +6,9 @@ groups lie in blocks of bounded size, each with the terms it uses, and the terms
 group in buckets.  In every pass a block gets one array from each bucket, the weights
 of its terms there; its documents are fitted to them to the end, and it sends each
 bucket one array back, the expected counts, which the bucket sums.  Only these arrays
-move, and no group is ever in one place.  The variational bound of each group is
-summed along the way; a group whose bound no longer rises leaves the passes.
+and the blocks' numbers move, neither texts nor names, and no group is ever in one place.
+The variational bound of each group is summed along the way; a group whose bound no
+longer rises leaves the passes.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MAX_TOPICS = 5
 BLOCK_DOCS = 512
 #: Steps in which a block's documents are fitted at most, and the mean change that ends them.
 STEPS, STEP_CHANGE = 40, 1e-3
+#: Documents of a block, neighbours in length, that are fitted as one padded array.
+ALIKE = 16
 _P = [f"p{i}" for i in range(MAX_TOPICS)]
 _T = [f"t{i}" for i in range(MAX_TOPICS)]
 #: share of a document that its starting topic gets
@@ -46,7 +49,8 @@ class TopicModel:
     """Result tables; ``topics`` counts from 0 in each (period, entity).
 
     ``documents``: group, videoId, k, p0..p4 (topic shares, sum 1, NULL from k on).
-    ``terms``: group, term, topic, weight.  ``bounds``: group, pass, bound of every pass
+    ``terms``: group, term, topic, weight, place (from 1, among the terms that share a
+    bucket: the n heaviest terms of a topic all have a place up to n).  ``bounds``: group, pass, bound of every pass
     that the group took part in.
     """
 
@@ -74,15 +78,18 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 _BLOCK = (
     "g bigint, block int, k int, ids array<string>, terms array<string>, buckets array<int>, begins array<int>, sizes array<int>, "
-    "doc binary, term binary, times binary, start binary"
+    "lengths binary, term binary, times binary, start binary"
 )
-_BUCKET = "g bigint, bucket int, k int, n int, blocks binary, sizes binary, place binary"
+#: What the passes need of a block, and of a bucket.
+_NUMBERS = ["g", "block", "k", "buckets", "begins", "sizes", "lengths", "term", "times"]
+_PLACES = ["g", "bucket", "k", "n", "blocks", "sizes", "place"]
+_BUCKET = "g bigint, bucket int, k int, n int, terms array<string>, blocks binary, sizes binary, place binary"
 #: From blocks to buckets: expected counts, term by topic.  Bucket -1 gets the blocks' parts of the bound.
 _UP = "g bigint, block int, bucket int, sums binary, bound double"
 #: From buckets to blocks: the same counts of the whole group, prior included.  Block -1 gets a bucket's totals.
 _DOWN = f"g bigint, block int, bucket int, k int, sums binary, bound double, part double, n bigint, {', '.join(f'{p} double' for p in _P)}"
 _SHARES = f"g bigint, videoId string, {', '.join(f'{p} double' for p in _P)}"
-_SUMS = f"g bigint, term string, k int, {', '.join(f'{p} double' for p in _P)}"
+_WEIGHTS = "g bigint, term string, weights array<double>, places array<int>"
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -104,7 +111,7 @@ def _one(values: pa.Array) -> pa.ListArray:
 
 
 def _pack(rows: pa.Table) -> pa.Table:
-    """One row for the documents of a block: their ids, its terms by bucket, and who has which how often."""
+    """One row for the documents of a block, shortest first: their ids, its terms by bucket, and who has which how often."""
     first = {c: rows.column(c)[0].as_py() for c in ("g", "block", "k", "buckets")}
     ids = rows.column("videoId").combine_chunks().dictionary_encode()
     tokens = rows.column("tokens").combine_chunks()
@@ -120,7 +127,12 @@ def _pack(rows: pa.Table) -> pa.Table:
     place[order] = np.arange(len(order))
     doc_of_row = ids.indices.to_numpy().astype(np.int64)
     pairs, times = np.unique(doc_of_row[owner.to_numpy()] * len(order) + place[coded.indices.to_numpy()], return_counts=True)
-    used, doc = np.unique(pairs // len(order), return_inverse=True)
+    used, lengths = np.unique(pairs // len(order), return_counts=True)
+    by_length = np.argsort(lengths, kind="stable")
+    begin = (np.cumsum(lengths) - lengths)[by_length]
+    used, lengths = used[by_length], lengths[by_length]
+    own = np.arange(len(pairs)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
+    pairs, times = pairs[own], times[own]
     start = np.zeros(len(ids.dictionary), np.int32)
     start[doc_of_row] = rows.column("start").to_numpy()
     buckets, sizes = np.unique(bucket, return_counts=True)
@@ -129,20 +141,25 @@ def _pack(rows: pa.Table) -> pa.Table:
         [
             pa.array([first["g"]]), pa.array([first["block"]]), pa.array([first["k"]]), _one(ids.dictionary.take(pa.array(used))),
             _one(coded.dictionary.take(pa.array(order))), *(_one(pa.array(v, pa.int32())) for v in lists),
-            *(pa.array([_bytes(v, np.int32)]) for v in (doc, pairs % len(order), times, start[used])),
+            *(pa.array([_bytes(v, np.int32)]) for v in (lengths, pairs % len(order), times, start[used])),
         ],
         names=_arrow(_BLOCK).names,
     ).cast(_arrow(_BLOCK))
 
 
 def _gather(rows: pa.Table) -> pa.Table:
-    """One row for a bucket: which of its terms each block has, in the block's order."""
+    """One row for a bucket: its terms in order, and which of them each block has, in the block's order."""
     rows = rows.sort_by("block")
     terms = rows.column("terms").combine_chunks()
     coded = terms.flatten().dictionary_encode()
     first = {c: rows.column(c)[0].as_py() for c in ("g", "bucket", "k")}
-    lists = {"blocks": rows.column("block").to_numpy(), "sizes": pc.list_value_length(terms).to_numpy(), "place": coded.indices.to_numpy()}
-    return _table(_BUCKET, [{**first, "n": len(coded.dictionary), **{c: _bytes(v, np.int32) for c, v in lists.items()}}])
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    lists = {"blocks": rows.column("block").to_numpy(), "sizes": pc.list_value_length(terms).to_numpy(), "place": rank[coded.indices.to_numpy()]}
+    own = {c: pa.array([v]) for c, v in {**first, "n": len(order)}.items()}
+    own |= {"terms": _one(coded.dictionary.take(pa.array(order)))} | {c: pa.array([_bytes(v, np.int32)]) for c, v in lists.items()}
+    return pa.table(own).cast(_arrow(_BUCKET))
 
 
 def _ints(row: dict, *names: str) -> list[np.ndarray]:
@@ -153,31 +170,38 @@ class _Fitted:
     """The documents of a block fitted to the weights of its terms (term by topic)."""
 
     def __init__(self, block: dict, weights: np.ndarray):
-        k, n = block["k"], len(block["ids"])
-        # by document; each document of a block has a term
-        doc, term, times = _ints(block, "doc", "term", "times")
-        first, prior = np.flatnonzero(np.diff(doc, prepend=-1)), 1 / k
-        length = np.diff(first, append=len(doc))
-        # one run of memory for each topic
-        at_term = [np.ascontiguousarray(weights[:, i])[term] for i in range(k)]
+        k = block["k"]
+        # by document, shortest first; each document of a block has a term
+        length, term, times = _ints(block, "lengths", "term", "times")
+        n, prior, end = len(length), 1 / k, np.cumsum(length)
         self.gamma = np.ones((n, k))
-
-        def total(share: np.ndarray) -> np.ndarray:
-            out = np.full(len(doc), 1e-300)
+        # documents, topics, terms: neighbours are padded with terms of no weight that occur no time
+        alike = []
+        for at in range(0, n, ALIKE):
+            own, width = slice(at, min(at + ALIKE, n)), length[min(at + ALIKE, n) - 1]
+            inside = np.arange(width) < length[own, None]
+            span = slice(end[at] - length[at], end[own.stop - 1])
+            often, weight = np.zeros(inside.shape), np.zeros((k, *inside.shape))
+            often[inside] = times[span]
             for i in range(k):
-                out += np.repeat(share[:, i], length) * at_term[i]
-            return out
+                weight[i][inside] = weights[term[span], i]
+            alike.append((own, inside, often, np.ascontiguousarray(weight.transpose(1, 0, 2))))
+
+        def total(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            return (share[:, None, :] @ weight)[:, 0] + 1e-300
 
         for _ in range(STEPS):
             share = np.exp(digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None])
-            parts = times / total(share)
-            new = prior + share * np.stack([np.add.reduceat(at * parts, first) for at in at_term], 1)
+            new = np.empty((n, k))
+            for own, _, often, weight in alike:
+                new[own] = (weight @ (often / total(share[own], weight))[:, :, None])[:, :, 0]
+            new = prior + share * new
             change, self.gamma = np.abs(new - self.gamma).mean(), new
             if change < STEP_CHANGE:
                 break
         log_share = digamma(self.gamma) - digamma(self.gamma.sum(1))[:, None]
         share = np.exp(log_share)
-        sums = total(share)
+        sums = np.concatenate([total(share[own], weight)[inside] for own, inside, _, weight in alike])
         parts = times / sums
         dealt = [np.bincount(term, np.repeat(share[:, i], length) * parts, len(weights)) for i in range(k)]
         self.sums = weights * np.stack(dealt, 1)
@@ -193,19 +217,12 @@ def _columns(values: np.ndarray) -> dict[str, pa.Array]:
     return {p: pa.array(full[:, i]) for i, p in enumerate(_P)}
 
 
-def _met(block: pa.Table, down: pa.Table) -> tuple[dict, np.ndarray] | None:
-    """A block and the counts of its terms in the whole group."""
+def _fitted(block: pa.Table, down: pa.Table) -> tuple[dict, _Fitted] | None:
+    """A block and its fit; a topic's weight of a term is the exponential of its expected logarithm."""
     if not block.num_rows or not down.num_rows:
         return None
     row = block.to_pylist()[0]
-    return row, np.frombuffer(b"".join(down.sort_by("bucket").column("sums").to_pylist())).reshape(-1, row["k"])
-
-
-def _fitted(block: pa.Table, down: pa.Table) -> tuple[dict, _Fitted] | None:
-    """A topic's weight of a term is the exponential of its expected logarithm."""
-    if (met := _met(block, down)) is None:
-        return None
-    row, sums = met
+    sums = np.frombuffer(b"".join(down.sort_by("bucket").column("sums").to_pylist())).reshape(-1, row["k"])
     return row, _Fitted(row, np.exp(digamma(sums) - np.array([row[t] for t in _T[: row["k"]]])))
 
 
@@ -219,9 +236,10 @@ def _sent(row: dict, sums: np.ndarray, bound: float | None = None) -> pa.Table:
 
 def _start_counts(block: pa.Table) -> pa.Table:
     """Most of each document on one topic chosen by its id."""
-    row = block.drop_columns(["ids", "terms"]).to_pylist()[0]
+    row = block.to_pylist()[0]
     k, n = row["k"], sum(row["sizes"])
-    doc, term, times, start = _ints(row, "doc", "term", "times", "start")
+    lengths, term, times, start = _ints(row, "lengths", "term", "times", "start")
+    doc = np.repeat(np.arange(len(lengths)), lengths)
     shares = np.full((len(start), k), (1 - _START) / k)
     shares[np.arange(len(start)), start] += _START
     return _sent(row, np.stack([np.bincount(term, shares[doc, i] * times, n) for i in range(k)], 1))
@@ -242,14 +260,21 @@ def _document_shares(block: pa.Table, down: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array([row["g"]] * len(row["ids"])), "videoId": pa.array(row["ids"], pa.string()), **_columns(found.gamma)})
 
 
-def _term_sums(block: pa.Table, down: pa.Table) -> pa.Table:
-    if (met := _met(block, down)) is None:
-        return _table(_SUMS)
-    row, sums = met
-    n = len(sums)
-    return pa.table({
-        "g": pa.array([row["g"]] * n), "term": pa.array(row["terms"], pa.string()), "k": pa.array([row["k"]] * n, pa.int32()), **_columns(sums)
-    })
+def _term_weights(bucket: pa.Table, down: pa.Table) -> pa.Table:
+    """Terms of a bucket with their counts in the group, by topic, and their places among them."""
+    if not bucket.num_rows or not down.num_rows:
+        return _table(_WEIGHTS)
+    terms = bucket.column("terms").combine_chunks().flatten()
+    row = bucket.drop_columns(["terms"]).to_pylist()[0]
+    k, n = row["k"], row["n"]
+    sums = np.empty((n, k))
+    # all blocks of a term bring the same counts
+    sums[_ints(row, "place")[0]] = np.frombuffer(b"".join(down.sort_by("block").column("sums").to_pylist())).reshape(-1, k)
+    place = np.empty((n, k), np.int32)
+    for i in range(k):
+        place[np.argsort(-sums[:, i], kind="stable"), i] = np.arange(1, n + 1)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, np.int32)), pa.array(v.ravel())) for v in (sums, place)]
+    return pa.table([pa.array(np.full(n, row["g"])), terms, *lists], names=_arrow(_WEIGHTS).names).cast(_arrow(_WEIGHTS))
 
 
 def _group_counts(bucket: pa.Table, up: pa.Table) -> pa.Table:
@@ -272,11 +297,13 @@ def _group_counts(bucket: pa.Table, up: pa.Table) -> pa.Table:
     return _table(_DOWN, out)
 
 
-def _totals(down: DataFrame) -> DataFrame:
-    """g, part, t0..t4: the terms' part of the bound and the expected logarithm of each topic's total."""
-    parts = down.filter("block = -1 and bucket >= 0").groupBy("g", "k")
-    summed = parts.agg(F.sum("n").alias("n"), F.sum("part").alias("part"), *[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in _P])
-    names = ["g", "part", *_T]
+def _state(down: DataFrame) -> DataFrame:
+    """g, found, part, t0..t4: the blocks' and the terms' part of the bound, and the expected logarithm of each topic's total."""
+    summed = down.filter("block = -1").groupBy("g").agg(
+        F.max("k").alias("k"), F.sum("n").alias("n"), F.sum("bound").alias("found"), F.sum("part").alias("part"),
+        *[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in _P],
+    )
+    names = ["g", "found", "part", *_T]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,9 +314,10 @@ def _totals(down: DataFrame) -> DataFrame:
             own = log_gamma(n * prior) - log_gamma(total) - log * (n * prior - total)
             part = batch.column("part").to_numpy() + np.where(used, own, 0).sum(1)
             log = np.where(used, log, 0)
-            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(part), *(pa.array(log[:, i]) for i in range(MAX_TOPICS))], names)
+            logs = [pa.array(log[:, i]) for i in range(MAX_TOPICS)]
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("found"), pa.array(part), *logs], names)
 
-    return summed.mapInArrow(run, f"g bigint, part double, {', '.join(f'{t} double' for t in _T)}")
+    return summed.mapInArrow(run, f"g bigint, found double, part double, {', '.join(f'{t} double' for t in _T)}")
 
 
 def fit_topics(
@@ -331,51 +359,51 @@ def fit_topics(
         pieces = blocks.select("g", "block", "k", F.explode(own).alias("own")).select("g", "block", "k", "own.*")
         buckets = tables.keep(pieces.groupBy("g", "bucket").applyInArrow(_gather, _BUCKET))
 
-        def at_blocks(left: DataFrame, down: DataFrame, totals: DataFrame, act, schema: str) -> DataFrame:
-            known = sized_join(left, totals.drop("part"), ["g"], "inner", few_groups)
+        def at_blocks(columns: Sequence[str], down: DataFrame, state: DataFrame, act, schema: str) -> DataFrame:
+            known = sized_join(blocks.select(*columns), state.select("g", *_T), ["g"], "inner", few_groups)
             sums = down.filter("block >= 0").select("g", "block", "bucket", "sums")
             return known.groupBy("g", "block").cogroup(sums.groupBy("g", "block")).applyInArrow(act, schema)
 
         def at_buckets(left: DataFrame, up: DataFrame) -> DataFrame:
             return left.groupBy("g", "bucket").cogroup(up.groupBy("g", "bucket")).applyInArrow(_group_counts, _DOWN)
 
-        settled, bounds, before, left, theirs = [], [], None, blocks, buckets
-        down = tables.keep(at_buckets(buckets, blocks.groupBy("g", "block").applyInArrow(_start_counts, _UP)))
+        settled, bounds, theirs = [], [], buckets.select(*_PLACES)
+        begun = blocks.select(*_NUMBERS, "start").groupBy("g", "block").applyInArrow(_start_counts, _UP)
+        down = tables.keep(at_buckets(theirs, begun))
+        state = tables.keep(_state(down).withColumn("bound", F.lit(None).cast("double")))
         for number in range(max_iter):
-            totals = tables.keep(_totals(down))
-            down = tables.keep(at_buckets(theirs, at_blocks(left, down, totals, _expected_counts, _UP)))
-            parts = down.filter("bucket = -1").select("g", "bound").unionByName(totals.select("g", F.col("part").alias("bound")))
-            bound = parts.groupBy("g").agg(F.sum("bound").alias("bound"))
-            if before is None:
-                bound = bound.withColumn("open", F.lit(True))
-            else:
-                rise = F.col("bound") - F.col("was")
-                bound = bound.join(before.select("g", F.col("bound").alias("was")), "g").select("g", "bound", (rise > tolerance * F.abs("was")).alias("open"))
-            before = tables.keep(bound.withColumn("pass", F.lit(number)))
-            bounds.append(before.select("g", "pass", "bound"))
-            closed, still = before.filter("not open").select("g"), before.filter("open").select("g")
-            if number == max_iter - 1 or still.isEmpty():
+            down = tables.keep(at_buckets(theirs, at_blocks(_NUMBERS, down, state, _expected_counts, _UP)))
+            before = state.select("g", F.col("part").alias("own"), F.col("bound").alias("was"))
+            bound, rise = F.col("found") + F.col("own"), F.col("bound") - F.col("was")
+            now = sized_join(_state(down), before, ["g"], "inner", few_groups).withColumn("bound", bound)
+            still = F.coalesce(rise > tolerance * F.abs("was"), F.lit(True))
+            state = tables.keep(now.select("g", "part", *_T, "bound", still.alias("open"), F.lit(number).alias("pass")))
+            bounds.append(state.select("g", "pass", "bound"))
+            opened, every = state.agg(F.count_if("open"), F.count("*")).first()
+            if number == max_iter - 1 or not opened:
                 settled.append(down)
                 break
-            if not closed.isEmpty():
-                settled.append(sized_join(down, closed, ["g"], "left_semi", few_groups))
-                down, left, theirs = (sized_join(x, still, ["g"], "left_semi", few_groups) for x in (down, left, theirs))
+            if opened < every:
+                settled.append(sized_join(down, state.filter("not open").select("g"), ["g"], "left_semi", few_groups))
+                state = state.filter("open")
+                down, theirs = (sized_join(x, state.select("g"), ["g"], "left_semi", few_groups) for x in (down, buckets.select(*_PLACES)))
         down = settled[0]
         for part in settled[1:]:
             down = down.unionByName(part)
-        totals = tables.keep(_totals(down))
-        shares = at_blocks(blocks, down, totals, _document_shares, _SHARES)
+        shares = at_blocks([*_NUMBERS, "ids"], down, tables.keep(_state(down)), _document_shares, _SHARES)
         members = sized_join(with_entities(narrow.filter("videoId is not null")).select(*GROUP, "videoId"), groups.select(*GROUP, "g", "k"), GROUP, "inner", few_groups)
         filled = sized_join(members, blocks.select("g").distinct(), ["g"], "left_semi", few_groups)
         total = sum((F.col(p) for p in _P[1:]), F.col(_P[0]))
         own = [F.when(F.lit(i) < F.col("k"), F.coalesce(F.col(p) / total, 1 / F.col("k"))).alias(p) for i, p in enumerate(_P)]
         documents = materialise(filled.join(shares, ["g", "videoId"], "left").select(*GROUP, "videoId", "k", *own))
         names = groups.select("g", *GROUP)
-        # all blocks of a term bring the same counts
-        sums = at_blocks(blocks, down, totals, _term_sums, _SUMS).groupBy("g", "term", "k").agg(*[F.max(p).alias(p) for p in _P])
-        by_topic = sums.select("g", "term", F.posexplode(F.slice(F.array(*_P), F.lit(1), F.col("k"))).alias("topic", "weight"))
-        terms = sized_join(by_topic, names, ["g"], "inner", few_groups)
-        terms = materialise(terms.select(*GROUP, "term", "topic", "weight"))
+        sums = down.filter("block >= 0").select("g", "block", "bucket", "sums")
+        by_topic = buckets.select("g", "bucket", "k", "n", "terms", "place").groupBy("g", "bucket").cogroup(sums.groupBy("g", "bucket"))
+        weights = sized_join(by_topic.applyInArrow(_term_weights, _WEIGHTS), names, ["g"], "inner", few_groups)
+        # stored by term, a row for each topic on reading
+        stored = materialise(weights.select(*GROUP, "term", F.arrays_zip("weights", "places").alias("topics")))
+        topics = stored.select(*GROUP, "term", F.posexplode("topics").alias("topic", "_t"))
+        terms = topics.select(*GROUP, "term", "topic", F.col("_t.weights").alias("weight"), F.col("_t.places").alias("place"))
         every = bounds[0]
         for part in bounds[1:]:
             every = every.unionByName(part)
@@ -384,9 +412,9 @@ def fit_topics(
 
 
 def topic_terms(model: TopicModel, n: int = 10) -> DataFrame:
-    """The ``n`` heaviest terms of each topic."""
+    """The ``n`` heaviest terms of each topic; only those that are so in their bucket are ranked."""
     order = [F.col("weight").desc(), F.col("term")]
-    return top_per_group(model.terms, [*GROUP, "topic"], n, order)
+    return top_per_group(model.terms.filter(F.col("place") <= n).drop("place"), [*GROUP, "topic"], n, order)
 
 
 def topic_label(topic: Column, terms: Column, shown: int = 3) -> Column:

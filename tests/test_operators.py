@@ -483,6 +483,59 @@ def test_topic_passes_move_arrays_not_terms(spark, monkeypatch):
     assert {r.entity: round(r.n, 6) for r in sums} == words
 
 
+def test_topic_passes_move_numbers_and_rank_few_terms(spark, monkeypatch):
+    kinds = "period string, channelId string, videoId string, viewCount long, likeCount long, commentCount long, videoTranscript string"
+    seen, fitted = [], topics._expected_counts
+
+    def watched(block, down):
+        # a task's own process: what it sees comes back as the bound's error
+        if block.num_rows and {"ids", "terms", "start"} & set(block.column_names):
+            raise AssertionError(block.column_names)
+        return fitted(block, down)
+
+    monkeypatch.setattr(topics, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(topics, "_expected_counts", watched)
+    model = topics.fit_topics(spark.createDataFrame(planted(3), kinds), stopword_set(("pt",)), max_iter=2)
+    key = ["entity", "topic"]
+    for r in model.terms.collect():
+        seen.append((r.entity, r.topic, -r.weight, r.term, r.place))
+    for n in (1, 7):
+        best = {}
+        for entity, topic, weight, term, place in sorted(seen):
+            best.setdefault((entity, topic), []).append((term, place))
+        found = {}
+        ranked = topics.topic_terms(model, n)
+        assert ranked.columns == ["period", "entity", "term", "topic", "weight", "rank"]
+        for r in ranked.orderBy(*key, "rank").collect():
+            found.setdefault((r.entity, r.topic), []).append(r.term)
+        assert found == {k: [t for t, _ in v[:n]] for k, v in best.items()}
+        assert all(place <= n for v in best.values() for _, place in v[:n])
+    assert sum(place > 7 for *_, place in seen) > len(seen) / 4
+
+
+def test_documents_of_a_block_are_fitted_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    # Lengths with gaps and repeats, shortest first.
+    lengths, k, n = [1, 1, 2, 7, 7, 40], 3, 50
+    term = np.concatenate([np.sort(rng.permutation(n)[:size]) for size in lengths]).astype(np.int32)
+    times, weights = rng.integers(1, 9, len(term)).astype(np.int32), rng.random((n, k))
+    block = {"k": k, "lengths": np.array(lengths, np.int32).tobytes(), "term": term.tobytes(), "times": times.tobytes()}
+    monkeypatch.setattr(topics, "STEPS", 3)
+    monkeypatch.setattr(topics, "ALIKE", 4)
+    fit = topics._Fitted(block, weights)
+    sums, at = np.zeros((n, k)), 0
+    for d, size in enumerate(lengths):
+        own, often, gamma = term[at : at + size], times[at : at + size], np.ones(k)
+        for _ in range(3):
+            share = np.exp(topics.digamma(gamma) - topics.digamma(gamma.sum()))
+            gamma = 1 / k + share * ((often / (weights[own] @ share)) @ weights[own])
+        assert fit.gamma[d] == pytest.approx(gamma)
+        share = np.exp(topics.digamma(gamma) - topics.digamma(gamma.sum()))
+        sums[own] += weights[own] * share * (often / (weights[own] @ share))[:, None]
+        at += size
+    assert fit.sums == pytest.approx(sums)
+
+
 def test_empty_label(spark):
     df = spark.createDataFrame([(3, [])], "t int, w array<string>")
     label = df.select(topics.topic_label(F.col("t"), F.col("w")).alias("l")).first().l
