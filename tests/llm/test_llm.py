@@ -651,6 +651,35 @@ def test_pipeline_odd(spark, odd, empty):
         assert stage(spark, odd, SF).count() > 0, name
 
 
+def test_common_terms_are_scored_by_a_matrix_and_summed_anew():
+    rng = np.random.default_rng(4)
+    # 300 documents in three blocks: common terms, rare ones, an exact copy, one without asked terms
+    words = [np.unique(np.concatenate([rng.integers(0, 12, 9), rng.integers(12, 900, 20)])) for _ in range(300)]
+    words[7], words[200] = words[250], np.zeros(0, np.int64)
+    hashes = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, 900))
+    terms = [np.sort(hashes[w].view(np.uint64)) for w in words]
+    owner, term = np.repeat(np.arange(300, dtype=np.int32), [len(t) for t in terms]), np.concatenate(terms)
+    count, lengths, ids = rng.integers(1, 4, len(term)).astype(np.int32), rng.integers(20, 60, 300).astype(np.int32), rng.permutation(300)
+    same = [np.flatnonzero(owner == d) for d in (7, 250)]
+    count[same[0]], lengths[7] = count[same[1]], lengths[250]
+    asked = hashes[::2]
+    shard = bm25.Shard(ids, owner, term, count, lengths, 40.0, asked)
+    assert 3 <= len(shard.common) < 40 and shard.blocks == 3
+    queries = [np.unique(np.concatenate([rng.integers(0, 6, 4), rng.integers(6, len(asked), 30)])) for _ in range(40)]
+    weights = [rng.random(len(q)) for q in queries]
+    impact = count * 2.2 / (count + 1.2 * (0.25 + 0.75 * lengths[owner] / 40.0))
+    edge, known = np.cumsum([0, *map(len, queries)]), np.zeros(40)
+    for _ in range(2):
+        found = {q: (places, scores) for q, places, scores in shard.search(edge, np.concatenate(queries), np.concatenate(weights), 5, known)}
+        for q, (own, weight) in enumerate(zip(queries, weights, strict=True)):
+            idf = dict(zip(asked[own].tolist(), weight.tolist(), strict=True))
+            scores = np.bincount(owner, impact * [idf.get(t, 0.0) for t in term.view(np.int64).tolist()], 300)
+            best = sorted(np.flatnonzero(scores > 0), key=lambda d: (-round(scores[d], 9), ids[d]))[:5]
+            assert found[q][0].tolist() == best
+            assert found[q][1] == pytest.approx(scores[best])
+            known[q] = found[q][1][-1] * (1 - 1e-9)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
