@@ -3,7 +3,9 @@
 Texts are read once per level: words, pairs of words, then longer phrases.  A phrase can
 only be frequent if the pairs in it are, so a map of fixed size, made of the frequent
 phrases of the level before, leaves out nearly all others before anything is counted;
-what it lets through by chance is dropped by its count.  Counts are summed in the tasks
+what it lets through by chance is dropped by its count.  Inside a task words are numbers
+and a phrase is the number of its beginning beside that of its last word, so that some
+megabytes of text are counted by sorting arrays.  Counts are summed in the tasks
 before they move.  The frequent phrases then are two streams, one in the order of their
 first words and one in that of their last ones; sort-merge joins walk these and the
 stream of counts in step, which gives the counts of all left and right parts and of the
@@ -14,10 +16,11 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +32,10 @@ from reelgauge.operators.scaling import materialise
 MOST_WORDS, LEAST, TOP = 5, 100, 2000
 #: Bits of the map of the phrases that were frequent one level before.
 MAP_BITS = 24
-#: Distinct phrases a task holds before it hands its counts on, and words with a known answer.
+#: Distinct words a task holds before it hands its counts on.
 HELD = 400_000
+#: Bytes of texts whose phrases are counted at once.
+CHUNK_BYTES = 8 << 20
 
 # A-Z in lower case, marks that end a piece, and the two blanks between words.
 _TABLE = bytearray(range(256))
@@ -42,78 +47,93 @@ _TABLE[9] = 32
 _TABLE = bytes(_TABLE)
 
 
-def pieces_of(text: str) -> list[list[bytes]]:
-    """The words of each piece of a text."""
-    return [w for w in (p.split() for p in text.encode("utf-8", "surrogatepass").translate(_TABLE).split(b"\n")) if w]
-
-
 class Frequent:
-    """Whether a phrase may be frequent: surely false if its bit is not in the map."""
-
-    def __init__(self, bits: np.ndarray, lang: bytes):
-        self.bits, self.start, self.known = bits, zlib.crc32(lang + b" "), {}
-
-    def __call__(self, phrase: bytes) -> bool:
-        answer = self.known.get(phrase)
-        if answer is None:
-            if len(self.known) > HELD:
-                self.known.clear()
-            at = zlib.crc32(phrase, self.start) >> (32 - MAP_BITS)
-            answer = self.known[phrase] = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        return answer
-
-
-def _pairs(words: list[bytes], frequent: Frequent) -> Iterator[bytes]:
-    """Pairs of neighbours that may both be frequent words."""
-    good = [frequent(w) for w in words]
-    for i in range(len(words) - 1):
-        if good[i] and good[i + 1]:
-            yield words[i] + b" " + words[i + 1]
-
-
-def _longer(words: list[bytes], frequent: Frequent, most: int) -> Iterator[bytes]:
-    """Phrases of three words and more, all of whose pairs may be frequent."""
-    n = len(words)
-    good = [frequent(words[i] + b" " + words[i + 1]) for i in range(n - 1)]
-    for i in range(n - 2):
-        if good[i] and good[i + 1]:
-            phrase = words[i] + b" " + words[i + 1] + b" " + words[i + 2]
-            yield phrase
-            for j in range(i + 3, min(i + most, n)):
-                if not good[j - 1]:
-                    break
-                phrase += b" " + words[j]
-                yield phrase
-
-
-def _counted(docs: DataFrame, level: int, bits: np.ndarray | None, most: int) -> DataFrame:
-    """lang, phrase, n of the phrases of one level (1, 2, or 3 for all longer ones)."""
+    """Which phrases of a language may be frequent: surely not those whose bits are not in the map."""
+
+    def __init__(self, bits: np.ndarray, lang: str):
+        self.bits, self.start = bits, zlib.crc32(lang.encode() + b" ")
+
+    def __call__(self, phrases: pa.Array) -> np.ndarray:
+        start = self.start
+        at = np.array([zlib.crc32(p, start) for p in phrases.to_pylist()], np.uint32) >> np.uint32(32 - MAP_BITS)
+        return (self.bits[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def numbered(texts: list[bytes], frequent: Frequent) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts in lower case as numbers, and the numbered words; -1 stands for one
+    that isn't frequent or for the end of a piece."""
+    text = pa.array([b"\n".join(texts).replace(b"\n", b" \n ")], pa.large_binary())
+    coded = pc.split_pattern(text, b" ").flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary())
+    number = np.where(frequent(words), np.arange(len(words)), -1)
+    for word, value in ((b"\n", -1), (b"", -2)):
+        if (at := pc.index(words, pa.scalar(word, pa.binary())).as_py()) >= 0:
+            number[at] = value
+    ids = number[coded.indices.to_numpy()]
+    return ids[ids != -2], words
+
+
+def phrase_counts(ids: np.ndarray, words: pa.Array, pairs: Frequent | None, most: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Distinct phrases with their counts: pairs of numbered words, or, where it is known which
+    ``pairs`` may be frequent, phrases of three words and more all of whose pairs may be."""
+
+    def extended(begin: np.ndarray, names: pa.Array, last: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        code, number, count = np.unique(begin << 32 | last, return_inverse=True, return_counts=True)
+        longer = pc.binary_join_element_wise(names.take(pa.array(code >> 32)), words.take(pa.array(code & 0xFFFFFFFF)), b" ")
+        return longer, number, count
+
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    names, number, count = extended(ids[at], words, ids[at + 1])
+    if pairs is None:
+        yield names, count
+        return
+    used = pairs(names)[number]
+    at, number = at[used], number[used]
+    good = np.zeros(len(ids) + most, bool)
+    good[at] = True
+    for size in range(3, most + 1):
+        used = good[at + size - 2]
+        at, number = at[used], number[used]
+        names, number, count = extended(number, names, ids[at + size - 1])
+        yield names, count
+
+
+def _counted(docs: DataFrame, maps: Sequence[np.ndarray], most: int) -> DataFrame:
+    """lang, phrase, n of the phrases of one level: words, pairs by a map of the words, all longer ones by that and one of the pairs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        maps: dict[str, Frequent] = {}
+        held: dict[str, list[bytes]] = {}
+        size = 0
+
+        def row(lang: str, phrases: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), phrases.cast(pa.string()), pa.array(count, pa.int64())], ["lang", "phrase", "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in counts.items():
-                phrases = pa.array(list(found), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), phrases, pa.array(list(found.values()), pa.int64())], ["lang", "phrase", "n"])
+                yield row(lang, pa.array(list(found), pa.binary()), np.fromiter(found.values(), np.int64, len(found)))
+            for lang, texts in held.items():
+                words, *pairs = (Frequent(bits, lang) for bits in maps)
+                for phrases, count in phrase_counts(*numbered(texts, words), pairs[0] if pairs else None, most):
+                    if len(count):
+                        yield row(lang, phrases, count)
             counts.clear()
+            held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text:
                     continue
-                own = counts.setdefault(lang, Counter())
-                if level == 1:
-                    own.update(text.encode().translate(_TABLE).split())
+                text = text.translate(_TABLE)
+                if maps:
+                    held.setdefault(lang, []).append(text)
+                    size += len(text)
                 else:
-                    frequent = maps.setdefault(lang, Frequent(bits, lang.encode()))
-                    for words in pieces_of(text):
-                        if len(words) >= level:
-                            own.update(_pairs(words, frequent) if level == 2 else _longer(words, frequent, most))
-                if sum(map(len, counts.values())) > HELD:
+                    counts.setdefault(lang, Counter()).update(text.split())
+                if size > CHUNK_BYTES or sum(map(len, counts.values())) > HELD:
                     yield from flush()
+                    size = 0
         yield from flush()
 
     by_task = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "lang string, phrase string, n bigint")
@@ -132,11 +152,12 @@ def _map_of(phrases: DataFrame) -> np.ndarray:
 
 def frequent_phrases(docs: DataFrame, tables: Tables, most: int = MOST_WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, size, f of every phrase with ``least`` occurrences; and lang, n of all words."""
-    words = tables.keep(_counted(docs, 1, None, most))
+    words = tables.keep(_counted(docs, [], most))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = [tables.keep(words.filter(F.col("n") >= least))]
-    for level in range(2, min(most, 3) + 1):
-        counted = _counted(docs, level, _map_of(found[-1]), most)
+    found, maps = [tables.keep(words.filter(F.col("n") >= least))], []
+    for _ in range(2, min(most, 3) + 1):
+        maps.append(_map_of(found[-1]))
+        counted = _counted(docs, tuple(maps), most)
         found.append(tables.keep(counted.filter(F.col("n") >= least)))
     every = found[0]
     for part in found[1:]:

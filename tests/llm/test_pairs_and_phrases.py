@@ -1,6 +1,7 @@
 """Phrases, near copies, groups of any size and aligned tokenizers against brute force."""
 
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -90,6 +91,31 @@ def test_phrases_pass_64_bits(spark):
     assert phrases._scores(big).first().score == 1000 * 9 * 10**17 * 9 * 10**18 // 10**36
 
 
+def test_phrases_of_a_chunk_are_counted_as_numbers():
+    texts = ["a b c a b c d. a b", "x\x00 a  b\tc d\nb c", "", "d d d d d", "é a b c"]
+    lowered = [t.encode().translate(phrases._TABLE) for t in texts]
+    every = phrases.Frequent(np.full(1 << (phrases.MAP_BITS - 3), 255, np.uint8), "en")
+    ids, words = phrases.numbered(lowered, every)
+    brute = {size: {} for size in range(2, 6)}
+    for text in lowered:
+        for piece in text.split(b"\n"):
+            own = piece.split()
+            for size in brute:
+                for i in range(len(own) - size + 1):
+                    phrase = b" ".join(own[i : i + size])
+                    brute[size][phrase] = brute[size].get(phrase, 0) + 1
+    counted = lambda pairs: [dict(zip(p.to_pylist(), n.tolist(), strict=True)) for p, n in phrases.phrase_counts(ids, words, pairs, 5)]
+    assert counted(None) == [brute[2]]
+    assert counted(every) == [brute[3], brute[4], brute[5]]
+    # only what the map has is counted: without the pair of b and c nothing goes on over it
+    bits = np.zeros(1 << (phrases.MAP_BITS - 3), np.uint8)
+    for pair in (b"a b", b"c a", b"d d"):
+        at = zlib.crc32(b"en " + pair) >> (32 - phrases.MAP_BITS)
+        bits[at >> 3] |= 1 << (at & 7)
+    assert counted(phrases.Frequent(bits, "en")) == [{b"c a b": 1, b"d d d": 3}, {b"d d d d": 2}, {b"d d d d d": 1}]
+
+
+
 def test_phrases_statement(docs):
     assert not differences(phrases.collocations(docs), connect(SF), phrases.SQL)
 
