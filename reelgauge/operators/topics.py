@@ -2,11 +2,13 @@
 
 The usual route, one ``pyspark.ml`` LDA model per group, needs a driver loop over
 channels and a vocabulary-by-topics matrix in the driver.  Here the documents of all
-groups lie in blocks of bounded size, each with the terms it uses, and the terms of a
-group in buckets.  In every pass a block gets one array from each bucket, the weights
-of its terms there; its documents are fitted to them to the end, and it sends each
-bucket one array back, the expected counts, which the bucket sums.  Only these arrays
-and the blocks' numbers move, neither texts nor names, and no group is ever in one place.
+groups lie in blocks of bounded size, some blocks in a shard with the terms they use.
+Terms that several shards have lie in buckets, those of one shard in a bucket of its own,
+where terms that a document has alone, and as often, are one.  In every pass a shard gets
+one array from each bucket, the weights of its terms there; its blocks are fitted to them
+to the end, and it sends each bucket one array back, the expected counts, which the bucket
+sums.  Only these arrays and the shards' numbers move, neither texts nor names, and no
+group is ever in one place.
 The variational bound of each group is summed along the way; a group whose bound no
 longer rises leaves the passes.
 """
@@ -34,6 +36,8 @@ GROUP = ["period", "entity"]
 MAX_TOPICS = 5
 #: Documents of a block, on average.
 BLOCK_DOCS = 512
+#: Blocks of a shard.  Terms move once a shard, and those of one shard only as that shard's numbers.
+SHARD_BLOCKS = 4
 #: Steps in which a block's documents are fitted at most, and the mean change that ends them.
 STEPS, STEP_CHANGE = 40, 1e-3
 #: Documents of a block, neighbours in length, that are fitted as one padded array.
@@ -74,20 +78,29 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - sum(np.log(x + i) for i in range(6))
 
 
-# --- blocks of documents and buckets of terms --------------------------------------------
+# --- blocks of documents, shards of blocks and buckets of terms ---------------------------
 
 _BLOCK = (
     "g bigint, block int, k int, ids array<string>, terms array<string>, buckets array<int>, begins array<int>, sizes array<int>, "
     "lengths binary, term binary, times binary, start binary"
 )
-#: What the passes need of a block, and of a bucket.
-_NUMBERS = ["g", "block", "k", "buckets", "begins", "sizes", "lengths", "term", "times"]
-_PLACES = ["g", "bucket", "k", "n", "blocks", "sizes", "place"]
-_BUCKET = "g bigint, bucket int, k int, n int, terms array<string>, blocks binary, sizes binary, place binary"
-#: From blocks to buckets: expected counts, term by topic.  Bucket -1 gets the blocks' parts of the bound.
-_UP = "g bigint, block int, bucket int, sums binary, bound double"
-#: From buckets to blocks: the same counts of the whole group, prior included.  Block -1 gets a bucket's totals.
-_DOWN = f"g bigint, block int, bucket int, k int, sums binary, bound double, part double, n bigint, {', '.join(f'{p} double' for p in _P)}"
+#: Which terms of a block are in several shards.
+_SEVERAL = "g bigint, shard int, block int, bucket int, several binary"
+#: ``docs``: documents of each block.  ``own``: terms of this shard alone; ``many``: how many of them, one after the other, are one.
+_SHARD = (
+    "g bigint, shard int, k int, ids array<string>, terms array<string>, buckets array<int>, begins array<int>, sizes array<int>, "
+    "own array<string>, many binary, docs binary, lengths binary, term binary, times binary, start binary"
+)
+#: What the passes need of a shard, and of a bucket.
+_NUMBERS = ["g", "shard", "k", "buckets", "sizes", "many", "docs", "lengths", "term", "times"]
+_PLACES = ["g", "bucket", "k", "n", "shards", "sizes", "place", "many"]
+_BUCKET = "g bigint, bucket int, k int, n int, terms array<string>, shards binary, sizes binary, place binary, many binary"
+#: Number of the bucket of shard 0's own terms; the other shards' follow.
+_OWN = 1 << 30
+#: From shards to buckets: expected counts, term by topic.  Bucket -1 gets the shards' parts of the bound.
+_UP = "g bigint, shard int, bucket int, sums binary, bound double"
+#: From buckets to shards: the same counts of the whole group, prior included.  Shard -1 gets a bucket's totals.
+_DOWN = f"g bigint, shard int, bucket int, k int, sums binary, bound double, part double, n bigint, {', '.join(f'{p} double' for p in _P)}"
 _SHARES = f"g bigint, videoId string, {', '.join(f'{p} double' for p in _P)}"
 _WEIGHTS = "g bigint, term string, weights array<double>, places array<int>"
 
@@ -147,19 +160,100 @@ def _pack(rows: pa.Table) -> pa.Table:
     ).cast(_arrow(_BLOCK))
 
 
+def _several(rows: pa.Table) -> pa.Table:
+    """For the blocks' terms of a bucket, in the blocks' order, whether another shard has the term too."""
+    terms = rows.column("terms").combine_chunks()
+    codes, sizes = terms.flatten().dictionary_encode().indices.to_numpy().astype(np.int64), pc.list_value_length(terms).to_numpy()
+    shard = rows.column("shard").to_numpy()
+    own = np.unique(codes * (int(shard.max()) + 1) + np.repeat(shard, sizes)) // (int(shard.max()) + 1)
+    several = (np.bincount(own) > 1)[codes]
+    parts = [_bytes(v, np.uint8) for v in np.split(several, np.cumsum(sizes)[:-1])]
+    return rows.drop_columns(["terms"]).append_column("several", pa.array(parts, pa.binary())).select(_arrow(_SEVERAL).names).cast(_arrow(_SEVERAL))
+
+
+def _merge(blocks: pa.Table, several: pa.Table) -> pa.Table:
+    """The blocks of a shard as one row, by block and then shortest document first.
+
+    A term that one document has alone gets the same counts as all others that this document
+    has alone and as often, so they are one; ``times`` is their sum.
+    """
+    if not blocks.num_rows:
+        return _table(_SHARD)
+    blocks = blocks.sort_by("block")
+    named, ids = blocks.column("terms").combine_chunks(), blocks.column("ids").combine_chunks()
+    coded = named.flatten().dictionary_encode()
+    codes, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    rows = blocks.drop_columns(["terms", "ids"]).to_pylist()
+    bucket, own = np.empty(n, np.int64), np.ones(n, bool)
+    bucket[codes] = np.concatenate([np.repeat(r["buckets"], r["sizes"]) for r in rows])
+    if several.num_rows:
+        order = [("block", "ascending"), ("bucket", "ascending")]
+        own[codes[np.frombuffer(b"".join(several.sort_by(order).column("several").to_pylist()), bool)]] = False
+    ends = np.cumsum(pc.list_value_length(named).to_numpy())
+    lengths, begins, times, start = (np.concatenate([_ints(r, c)[0] for r in rows]) for c in ("lengths", "term", "times", "start"))
+    entries = [len(r["term"]) // 4 for r in rows]
+    term = codes[begins + np.repeat(ends - np.diff(ends, prepend=0), entries)]
+    docs = np.array([len(r["start"]) // 4 for r in rows])
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    alone = own & (np.bincount(term, minlength=n) == 1)
+    single = np.flatnonzero(alone[term])
+    _, one, kind, alike = np.unique(doc[single] * (int(times.max()) + 1) + times[single], return_index=True, return_inverse=True, return_counts=True)
+    shared, rest = np.flatnonzero(~own), np.flatnonzero(own & ~alone)
+    shared = shared[np.argsort(bucket[shared], kind="stable")]
+    number = np.empty(n, np.int64)
+    number[shared], number[rest] = np.arange(len(shared)), len(shared) + np.arange(len(rest))
+    number[term[single]] = len(shared) + len(rest) + kind
+    names = np.concatenate([rest, term[single][np.argsort(kind, kind="stable")]])
+    many = np.concatenate([np.ones(len(rest), np.int64), alike])
+    kept = ~alone[term]
+    kept[single[one]] = True
+    doc, term, times = doc[kept], number[term[kept]], times[kept]
+    inside = term >= len(shared)
+    times = times.astype(np.int64)
+    times[inside] *= many[term[inside] - len(shared)]
+    lengths = np.bincount(doc, minlength=len(lengths))
+    by_length = np.lexsort((lengths, np.repeat(np.arange(len(docs)), docs)))
+    rank = np.empty(len(by_length), np.int64)
+    rank[by_length] = np.arange(len(by_length))
+    order = np.lexsort((term, rank[doc]))
+    buckets, sizes = np.unique(bucket[shared], return_counts=True)
+    lists = (buckets, np.cumsum(sizes) - sizes + 1, sizes)
+    numbers = (many, docs, lengths[by_length], term[order], times[order], start[by_length])
+    return pa.table(
+        [
+            pa.array([rows[0]["g"]]), pa.array([rows[0]["shard"]]), pa.array([rows[0]["k"]]), _one(ids.flatten().take(pa.array(by_length))),
+            _one(coded.dictionary.take(pa.array(shared))), *(_one(pa.array(v, pa.int32())) for v in lists),
+            _one(coded.dictionary.take(pa.array(names))), *(pa.array([_bytes(v, np.int32)]) for v in numbers),
+        ],
+        names=_arrow(_SHARD).names,
+    ).cast(_arrow(_SHARD))
+
+
 def _gather(rows: pa.Table) -> pa.Table:
-    """One row for a bucket: its terms in order, and which of them each block has, in the block's order."""
-    rows = rows.sort_by("block")
+    """One row for a bucket: its terms in order, and which of them each shard has, in the shard's order."""
+    rows = rows.sort_by("shard")
     terms = rows.column("terms").combine_chunks()
     coded = terms.flatten().dictionary_encode()
     first = {c: rows.column(c)[0].as_py() for c in ("g", "bucket", "k")}
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
-    lists = {"blocks": rows.column("block").to_numpy(), "sizes": pc.list_value_length(terms).to_numpy(), "place": rank[coded.indices.to_numpy()]}
+    lists = {"shards": rows.column("shard").to_numpy(), "sizes": pc.list_value_length(terms).to_numpy(), "place": rank[coded.indices.to_numpy()]}
     own = {c: pa.array([v]) for c, v in {**first, "n": len(order)}.items()}
     own |= {"terms": _one(coded.dictionary.take(pa.array(order)))} | {c: pa.array([_bytes(v, np.int32)]) for c, v in lists.items()}
-    return pa.table(own).cast(_arrow(_BUCKET))
+    return pa.table(own | {"many": pa.array([_bytes(np.ones(len(order)), np.int32)])}).cast(_arrow(_BUCKET))
+
+
+def _own_bucket(shard: pa.Table) -> pa.Table:
+    """The bucket of a shard's own terms."""
+    row = shard.drop_columns(["own"]).to_pylist()[0]
+    many = _ints(row, "many")[0]
+    if not len(many):
+        return _table(_BUCKET)
+    numbers = ([row["shard"]], [len(many)], np.arange(len(many)), many)
+    first = [pa.array([v]) for v in (row["g"], _OWN + row["shard"], row["k"], len(many))]
+    lists = [_one(shard.column("own").combine_chunks().flatten()), *(pa.array([_bytes(v, np.int32)]) for v in numbers)]
+    return pa.table([*first, *lists], names=_arrow(_BUCKET).names).cast(_arrow(_BUCKET))
 
 
 def _ints(row: dict, *names: str) -> list[np.ndarray]:
@@ -217,44 +311,67 @@ def _columns(values: np.ndarray) -> dict[str, pa.Array]:
     return {p: pa.array(full[:, i]) for i, p in enumerate(_P)}
 
 
-def _fitted(block: pa.Table, down: pa.Table) -> tuple[dict, _Fitted] | None:
-    """A block and its fit; a topic's weight of a term is the exponential of its expected logarithm."""
-    if not block.num_rows or not down.num_rows:
+class _FittedShard:
+    """The blocks of a shard, each fitted on its own; ``sums`` are those of one term where many are one."""
+
+    def __init__(self, shard: dict, weights: np.ndarray):
+        docs, lengths, many = _ints(shard, "docs", "lengths", "many")
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.sums, self.bound, gammas, doc = np.zeros(weights.shape), 0.0, [], 0
+        for size in docs.tolist():
+            entries = slice(4 * ends[doc], 4 * ends[doc + size])
+            block = {"k": shard["k"], "lengths": shard["lengths"][4 * doc : 4 * (doc + size)], "term": shard["term"][entries], "times": shard["times"][entries]}
+            found, doc = _Fitted(block, weights), doc + size
+            self.sums += found.sums
+            self.bound += found.bound
+            gammas.append(found.gamma)
+        self.gamma = np.concatenate(gammas)
+        self.sums[len(weights) - len(many) :] /= many[:, None]
+
+
+def _fitted(shard: pa.Table, down: pa.Table) -> tuple[dict, _FittedShard] | None:
+    """A shard and its fit; a topic's weight of a term is the exponential of its expected logarithm."""
+    if not shard.num_rows or not down.num_rows:
         return None
-    row = block.to_pylist()[0]
+    row = shard.to_pylist()[0]
     sums = np.frombuffer(b"".join(down.sort_by("bucket").column("sums").to_pylist())).reshape(-1, row["k"])
-    return row, _Fitted(row, np.exp(digamma(sums) - np.array([row[t] for t in _T[: row["k"]]])))
+    return row, _FittedShard(row, np.exp(digamma(sums) - np.array([row[t] for t in _T[: row["k"]]])))
 
 
 def _sent(row: dict, sums: np.ndarray, bound: float | None = None) -> pa.Table:
-    """A block's counts to its buckets, and its part of the bound."""
-    key = {"g": row["g"], "block": row["block"]}
-    parts = zip(row["buckets"], row["begins"], row["sizes"], strict=True)
-    out = [{**key, "bucket": b, "sums": _bytes(sums[at - 1 : at - 1 + n], float)} for b, at, n in parts]
+    """A shard's counts to its buckets, and its part of the bound."""
+    key = {"g": row["g"], "shard": row["shard"]}
+    out, at = [], 0
+    for bucket, size in zip([*row["buckets"], _OWN + row["shard"]], [*row["sizes"], len(sums) - sum(row["sizes"])], strict=True):
+        if size:
+            out.append({**key, "bucket": bucket, "sums": _bytes(sums[at : at + size], float)})
+        at += size
     return _table(_UP, out if bound is None else [*out, {**key, "bucket": -1, "bound": bound}])
 
 
-def _start_counts(block: pa.Table) -> pa.Table:
+def _start_counts(shard: pa.Table) -> pa.Table:
     """Most of each document on one topic chosen by its id."""
-    row = block.to_pylist()[0]
-    k, n = row["k"], sum(row["sizes"])
-    lengths, term, times, start = _ints(row, "lengths", "term", "times", "start")
+    row = shard.to_pylist()[0]
+    lengths, term, times, start, many = _ints(row, "lengths", "term", "times", "start", "many")
+    k, n = row["k"], sum(row["sizes"]) + len(many)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     shares = np.full((len(start), k), (1 - _START) / k)
     shares[np.arange(len(start)), start] += _START
-    return _sent(row, np.stack([np.bincount(term, shares[doc, i] * times, n) for i in range(k)], 1))
+    sums = np.stack([np.bincount(term, shares[doc, i] * times, n) for i in range(k)], 1)
+    sums[n - len(many) :] /= many[:, None]
+    return _sent(row, sums)
 
 
-def _expected_counts(block: pa.Table, down: pa.Table) -> pa.Table:
-    if (met := _fitted(block, down)) is None:
+def _expected_counts(shard: pa.Table, down: pa.Table) -> pa.Table:
+    if (met := _fitted(shard, down)) is None:
         return _table(_UP)
     row, found = met
     return _sent(row, found.sums, found.bound)
 
 
-def _document_shares(block: pa.Table, down: pa.Table) -> pa.Table:
+def _document_shares(shard: pa.Table, down: pa.Table) -> pa.Table:
     """The documents' topic counts, prior included."""
-    if (met := _fitted(block, down)) is None:
+    if (met := _fitted(shard, down)) is None:
         return _table(_SHARES)
     row, found = met
     return pa.table({"g": pa.array([row["g"]] * len(row["ids"])), "videoId": pa.array(row["ids"], pa.string()), **_columns(found.gamma)})
@@ -266,10 +383,15 @@ def _term_weights(bucket: pa.Table, down: pa.Table) -> pa.Table:
         return _table(_WEIGHTS)
     terms = bucket.column("terms").combine_chunks().flatten()
     row = bucket.drop_columns(["terms"]).to_pylist()[0]
-    k, n = row["k"], row["n"]
-    sums = np.empty((n, k))
-    # all blocks of a term bring the same counts
-    sums[_ints(row, "place")[0]] = np.frombuffer(b"".join(down.sort_by("block").column("sums").to_pylist())).reshape(-1, k)
+    k = row["k"]
+    sums = np.empty((row["n"], k))
+    # all shards of a term bring the same counts
+    at, many = _ints(row, "place", "many")
+    sums[at] = np.frombuffer(b"".join(down.sort_by("shard").column("sums").to_pylist())).reshape(-1, k)
+    if row["bucket"] >= _OWN:
+        order = pc.sort_indices(terms)
+        terms, sums = terms.take(order), np.repeat(sums, many, 0)[order.to_numpy()]
+    n = len(terms)
     place = np.empty((n, k), np.int32)
     for i in range(k):
         place[np.argsort(-sums[:, i], kind="stable"), i] = np.arange(1, n + 1)
@@ -278,28 +400,28 @@ def _term_weights(bucket: pa.Table, down: pa.Table) -> pa.Table:
 
 
 def _group_counts(bucket: pa.Table, up: pa.Table) -> pa.Table:
-    """Blocks' counts summed for the terms of a bucket: to the blocks, and in total."""
+    """Shards' counts summed for the terms of a bucket: to the shards, and in total."""
     if not up.num_rows:
         return _table(_DOWN)
     if not bucket.num_rows:
-        return _table(_DOWN, [{"g": up.column("g")[0].as_py(), "block": -1, "bucket": -1, "bound": float(np.sort(up.column("bound").to_numpy()).sum())}])
-    row, up = bucket.to_pylist()[0], up.sort_by("block")
-    blocks, sizes, place = _ints(row, "blocks", "sizes", "place")
+        return _table(_DOWN, [{"g": up.column("g")[0].as_py(), "shard": -1, "bucket": -1, "bound": float(np.sort(up.column("bound").to_numpy()).sum())}])
+    row, up = bucket.to_pylist()[0], up.sort_by("shard")
+    shards, sizes, place, many = _ints(row, "shards", "sizes", "place", "many")
     k, prior = row["k"], 1 / row["k"]
     sums = np.frombuffer(b"".join(up.column("sums").to_pylist())).reshape(-1, k)
     x = np.stack([np.bincount(place, sums[:, i], row["n"]) for i in range(k)], 1) + prior
-    key = {"g": row["g"], "bucket": row["bucket"], "k": k}
-    part = float(((prior - x) * digamma(x) + log_gamma(x)).sum() - x.size * log_gamma(np.array(prior)))
-    out = [{**key, "block": -1, "part": part, "n": row["n"], **dict(zip(_P, x.sum(0).tolist(), strict=False))}]
+    key, n = {"g": row["g"], "bucket": row["bucket"], "k": k}, int(many.sum())
+    part = float((((prior - x) * digamma(x) + log_gamma(x)).sum(1) * many).sum() - n * k * log_gamma(np.array(prior)))
+    out = [{**key, "shard": -1, "part": part, "n": n, **dict(zip(_P, (x * many[:, None]).sum(0).tolist(), strict=False))}]
     at = x[place]
-    for block, begin, size in zip(blocks.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
-        out.append({**key, "block": block, "sums": at[begin : begin + size].tobytes()})
+    for shard, begin, size in zip(shards.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        out.append({**key, "shard": shard, "sums": at[begin : begin + size].tobytes()})
     return _table(_DOWN, out)
 
 
 def _state(down: DataFrame) -> DataFrame:
-    """g, found, part, t0..t4: the blocks' and the terms' part of the bound, and the expected logarithm of each topic's total."""
-    summed = down.filter("block = -1").groupBy("g").agg(
+    """g, found, part, t0..t4: the shards' and the terms' part of the bound, and the expected logarithm of each topic's total."""
+    summed = down.filter("shard = -1").groupBy("g").agg(
         F.max("k").alias("k"), F.sum("n").alias("n"), F.sum("bound").alias("found"), F.sum("part").alias("part"),
         *[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in _P],
     )
@@ -345,34 +467,45 @@ def fit_topics(
         groups = tables.keep(group_sizes(narrow).select(*GROUP, topic_count(F.col("n")).cast("int").alias("k"), "n", F.monotonically_increasing_id().alias("g")))
         few_groups = fits(groups)
         blocks_of = F.ceil(F.col("n") / BLOCK_DOCS)
-        # both the terms of a bucket and the arrays that a block sends grow with the root of the blocks
+        # both the terms of a bucket and the arrays that a shard sends grow with the root of the blocks
         numbered = groups.select(*GROUP, "g", "k", blocks_of.alias("blocks"), F.ceil(4 * F.sqrt(blocks_of)).cast("int").alias("buckets"))
         texts = with_entities(tokenised.select(*key, "tokens").filter("videoId is not null")).drop("channelId")
         block = F.pmod(F.xxhash64("videoId"), F.col("blocks")).cast("int").alias("block")
         start = F.pmod(F.xxhash64("videoId", F.lit(seed)), F.col("k")).cast("int").alias("start")
         placed = sized_join(texts, numbered, GROUP, "inner", few_groups).select("g", "k", "buckets", block, start, "videoId", "tokens")
-        blocks = tables.keep(placed.groupBy("g", "block").applyInArrow(_pack, _BLOCK))
-        own = F.transform(
-            F.arrays_zip("buckets", "begins", "sizes"),
-            lambda x: F.struct(x.buckets.alias("bucket"), F.slice("terms", x.begins, x.sizes).alias("terms")),
-        )
-        pieces = blocks.select("g", "block", "k", F.explode(own).alias("own")).select("g", "block", "k", "own.*")
-        buckets = tables.keep(pieces.groupBy("g", "bucket").applyInArrow(_gather, _BUCKET))
-
-        def at_blocks(columns: Sequence[str], down: DataFrame, state: DataFrame, act, schema: str) -> DataFrame:
-            known = sized_join(blocks.select(*columns), state.select("g", *_T), ["g"], "inner", few_groups)
-            sums = down.filter("block >= 0").select("g", "block", "bucket", "sums")
-            return known.groupBy("g", "block").cogroup(sums.groupBy("g", "block")).applyInArrow(act, schema)
+        shard = F.floor(F.col("block") / SHARD_BLOCKS).cast("int").alias("shard")
+        blocks = tables.keep(placed.groupBy("g", "block").applyInArrow(_pack, _BLOCK).select("*", shard))
+
+        def by_bucket(rows: DataFrame, *columns: str) -> DataFrame:
+            own = F.transform(
+                F.arrays_zip("buckets", "begins", "sizes"),
+                lambda x: F.struct(x.buckets.alias("bucket"), F.slice("terms", x.begins, x.sizes).alias("terms")),
+            )
+            return rows.select("g", *columns, F.explode(own).alias("own")).select("g", *columns, "own.*")
+
+        # a group of one shard has all its terms there
+        large = numbered.filter(F.col("blocks") > SHARD_BLOCKS).select("g")
+        pieces = by_bucket(sized_join(blocks, large, ["g"], "left_semi", few_groups), "shard", "block")
+        several = pieces.groupBy("g", "bucket").applyInArrow(_several, _SEVERAL)
+        shards = tables.keep(blocks.groupBy("g", "shard").cogroup(several.groupBy("g", "shard")).applyInArrow(_merge, _SHARD))
+        shared = by_bucket(shards, "shard", "k").groupBy("g", "bucket").applyInArrow(_gather, _BUCKET)
+        alone = shards.select("g", "shard", "k", "own", "many").groupBy("g", "shard").applyInArrow(_own_bucket, _BUCKET)
+        buckets = tables.keep(shared.unionByName(alone))
+
+        def at_shards(columns: Sequence[str], down: DataFrame, state: DataFrame, act, schema: str) -> DataFrame:
+            known = sized_join(shards.select(*columns), state.select("g", *_T), ["g"], "inner", few_groups)
+            sums = down.filter("shard >= 0").select("g", "shard", "bucket", "sums")
+            return known.groupBy("g", "shard").cogroup(sums.groupBy("g", "shard")).applyInArrow(act, schema)
 
         def at_buckets(left: DataFrame, up: DataFrame) -> DataFrame:
             return left.groupBy("g", "bucket").cogroup(up.groupBy("g", "bucket")).applyInArrow(_group_counts, _DOWN)
 
         settled, bounds, theirs = [], [], buckets.select(*_PLACES)
-        begun = blocks.select(*_NUMBERS, "start").groupBy("g", "block").applyInArrow(_start_counts, _UP)
+        begun = shards.select(*_NUMBERS, "start").groupBy("g", "shard").applyInArrow(_start_counts, _UP)
         down = tables.keep(at_buckets(theirs, begun))
         state = tables.keep(_state(down).withColumn("bound", F.lit(None).cast("double")))
         for number in range(max_iter):
-            down = tables.keep(at_buckets(theirs, at_blocks(_NUMBERS, down, state, _expected_counts, _UP)))
+            down = tables.keep(at_buckets(theirs, at_shards(_NUMBERS, down, state, _expected_counts, _UP)))
             before = state.select("g", F.col("part").alias("own"), F.col("bound").alias("was"))
             bound, rise = F.col("found") + F.col("own"), F.col("bound") - F.col("was")
             now = sized_join(_state(down), before, ["g"], "inner", few_groups).withColumn("bound", bound)
@@ -390,15 +523,15 @@ def fit_topics(
         down = settled[0]
         for part in settled[1:]:
             down = down.unionByName(part)
-        shares = at_blocks([*_NUMBERS, "ids"], down, tables.keep(_state(down)), _document_shares, _SHARES)
+        shares = at_shards([*_NUMBERS, "ids"], down, tables.keep(_state(down)), _document_shares, _SHARES)
         members = sized_join(with_entities(narrow.filter("videoId is not null")).select(*GROUP, "videoId"), groups.select(*GROUP, "g", "k"), GROUP, "inner", few_groups)
-        filled = sized_join(members, blocks.select("g").distinct(), ["g"], "left_semi", few_groups)
+        filled = sized_join(members, shards.select("g").distinct(), ["g"], "left_semi", few_groups)
         total = sum((F.col(p) for p in _P[1:]), F.col(_P[0]))
         own = [F.when(F.lit(i) < F.col("k"), F.coalesce(F.col(p) / total, 1 / F.col("k"))).alias(p) for i, p in enumerate(_P)]
         documents = materialise(filled.join(shares, ["g", "videoId"], "left").select(*GROUP, "videoId", "k", *own))
         names = groups.select("g", *GROUP)
-        sums = down.filter("block >= 0").select("g", "block", "bucket", "sums")
-        by_topic = buckets.select("g", "bucket", "k", "n", "terms", "place").groupBy("g", "bucket").cogroup(sums.groupBy("g", "bucket"))
+        sums = down.filter("shard >= 0").select("g", "shard", "bucket", "sums")
+        by_topic = buckets.select("g", "bucket", "k", "n", "terms", "place", "many").groupBy("g", "bucket").cogroup(sums.groupBy("g", "bucket"))
         weights = sized_join(by_topic.applyInArrow(_term_weights, _WEIGHTS), names, ["g"], "inner", few_groups)
         # stored by term, a row for each topic on reading
         stored = materialise(weights.select(*GROUP, "term", F.arrays_zip("weights", "places").alias("topics")))

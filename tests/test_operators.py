@@ -513,6 +513,40 @@ def test_topic_passes_move_numbers_and_rank_few_terms(spark, monkeypatch):
     assert sum(place > 7 for *_, place in seen) > len(seen) / 4
 
 
+def test_terms_of_one_document_move_as_one_number(spark, monkeypatch):
+    kinds = "period string, channelId string, videoId string, viewCount long, likeCount long, commentCount long, videoTranscript string"
+    # Forty words that no other document has, thirty of them once and ten twice.
+    only = [[f"zq{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + w // 26)}{chr(97 + w % 26)}" for w in range(40)] for i in range(100)]
+    rows = [(*r[:6], " ".join([r[6], *only[i], *only[i][30:]])) for i, r in enumerate(planted(4, 100))]
+    monkeypatch.setattr(topics, "BLOCK_DOCS", 10)
+    moved, keep = [], topics.Tables.keep
+
+    def counted(self, table):
+        kept = keep(self, table)
+        if "sums" in kept.columns:
+            moved.append(kept.agg(F.sum(F.octet_length("sums"))).first()[0] / 8 / 5)
+        return kept
+
+    def fitted(blocks):
+        monkeypatch.setattr(topics, "SHARD_BLOCKS", blocks)
+        model = topics.fit_topics(spark.createDataFrame(rows, kinds), stopword_set(("pt",)), max_iter=2)
+        return {(r.entity, r.term, r.topic): r.weight for r in model.terms.collect()}, {(r.entity, r["pass"]): r.bound for r in model.bounds.collect()}
+
+    one = fitted(1)
+    monkeypatch.setattr(topics.Tables, "keep", counted)
+    found = fitted(4)
+    # 120 planted words, in three shards of ALL and two of each channel, and two kinds of own words a document
+    assert moved and max(moved) <= 120 * 7 + 200 * 2
+    for a, b in zip(found, one, strict=True):
+        assert a.keys() == b.keys() and all(v == pytest.approx(b[k], rel=1e-9) for k, v in a.items())
+    weights = found[0]
+    for i in (0, 61):
+        for t in range(5):
+            assert len({weights["ALL", w, t] for w in only[i][:30]}) == len({weights["ALL", w, t] for w in only[i][30:]}) == 1
+        assert sum(weights["ALL", only[i][39], t] for t in range(5)) == pytest.approx(2 + 1)
+    assert sum(e == "ALL" for e, *_ in weights) == 5 * len({w for r in rows for w in r[6].split()})
+
+
 def test_documents_of_a_block_are_fitted_as_one_by_one(monkeypatch):
     rng = np.random.default_rng(5)
     # Lengths with gaps and repeats, shortest first.
