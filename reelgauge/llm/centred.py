@@ -210,47 +210,49 @@ def links_of(groups: DataFrame, sets: DataFrame, percent: int, tables: Tables, c
     elements in ascending order.  ``compare`` may replace the comparison of whole sets in
     a small group.
     """
-    counts = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
-    named = tables.keep(groups.join(counts, "grp"))
-    columns = ["grp", "cls", "n", "v", "members"]
-
-    def whole(part: DataFrame) -> DataFrame:
-        return sets.join(_small(part, TRAVEL, F.lit(24)), "cls").select(*columns)
-
-    small = whole(named.filter(F.col("members") <= WHOLE)).withColumn("core", F.lit(0).cast("long"))
-    found = [tables.keep(_links_within(small, percent, compare))]
-    large = named.filter(F.col("members") > WHOLE)
-    rows = None if large.isEmpty() else whole(large)
-    for number in range(ROUNDS):
-        if rows is None:
-            break
-        centres = tables.keep(_centres(rows))
-        own = rows.join(_small(centres, TRAVEL, 16 + 8 * F.size("centre")), "grp", "left")
-        own = tables.keep(_differences(own, percent))
-        nearest = own.groupBy("grp").agg(F.min(F.struct("slack", "cls")).alias("x"), F.max("slack").alias("most"))
-        nearest = tables.keep(nearest.select("grp", F.col("x.slack").alias("least"), F.col("x.cls").alias("nearest"), "most"))
-        own = own.join(_small(nearest, TRAVEL, F.lit(32)), "grp")
-        near = F.col("slack") + F.col("least") <= 0
-        found.append(tables.keep(own.filter(near & (F.col("cls") != F.col("nearest"))).select(F.col("cls").alias("a"), F.col("nearest").alias("b"))))
-        # groups that the centre links as a whole are done
-        own = own.filter("most + least > 0").withColumn("core", near.cast("long"))
-        wide = F.col("members") > BLOCKS * CENTRED // 2 if number < ROUNDS - 1 else F.lit(False)
-        found.append(tables.keep(_links_within(_blocks(own.filter(~wide)), percent, None)))
-        rest = own.filter(wide)
-        if rest.isEmpty():
-            break
-        token = rest.select("grp", "cls", "core", F.explode("tokens").alias("token")).select(F.xxhash64("grp", "token").alias("next"), "grp", "cls", "core")
-        counts = token.groupBy("next").agg(F.count("*").alias("members"), F.min("core").alias("core")).filter("members > 1 and core = 0")
-        token = tables.keep(token.join(counts.select("next", "members"), "next"))
-        rows = token.join(rest.select("grp", "cls", "n", "v"), ["grp", "cls"]).select(F.col("next").alias("grp"), "cls", "n", "v", "core", "members")
-        rows = tables.keep(rows)
-        found.append(tables.keep(_links_within(rows.filter(F.col("members") <= CENTRED), percent, None)))
-        rows = rows.filter(F.col("members") > CENTRED).select(*columns)
-        rows = None if rows.isEmpty() else rows
-    out = found[0]
-    for part in found[1:]:
-        out = out.union(part)
-    return tables.keep(out.distinct())
+    with Tables(sets.sparkSession) as inner:
+        counts = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
+        named = inner.keep(groups.join(counts, "grp"))
+        columns = ["grp", "cls", "n", "v", "members"]
+
+        def whole(part: DataFrame) -> DataFrame:
+            return sets.join(_small(part, TRAVEL, F.lit(24)), "cls").select(*columns)
+
+        small = whole(named.filter(F.col("members") <= WHOLE)).withColumn("core", F.lit(0).cast("long"))
+        found = [inner.keep(_links_within(small, percent, compare))]
+        large = named.filter(F.col("members") > WHOLE)
+        rows, split = None if large.isEmpty() else whole(large), None
+        for number in range(ROUNDS):
+            if rows is None:
+                break
+            centres = inner.keep(_centres(rows))
+            own = rows.join(_small(centres, TRAVEL, 16 + 8 * F.size("centre")), "grp", "left")
+            apart = inner.keep(_differences(own, percent))
+            nearest = apart.groupBy("grp").agg(F.min(F.struct("slack", "cls")).alias("x"), F.max("slack").alias("most"))
+            nearest = inner.keep(nearest.select("grp", F.col("x.slack").alias("least"), F.col("x.cls").alias("nearest"), "most"))
+            own = apart.join(_small(nearest, TRAVEL, F.lit(32)), "grp")
+            near = F.col("slack") + F.col("least") <= 0
+            found.append(inner.keep(own.filter(near & (F.col("cls") != F.col("nearest"))).select(F.col("cls").alias("a"), F.col("nearest").alias("b"))))
+            # groups that the centre links as a whole are done
+            own = own.filter("most + least > 0").withColumn("core", near.cast("long"))
+            wide = F.col("members") > BLOCKS * CENTRED // 2 if number < ROUNDS - 1 else F.lit(False)
+            found.append(inner.keep(_links_within(_blocks(own.filter(~wide)), percent, None)))
+            rest = own.filter(wide)
+            if rest.isEmpty():
+                break
+            token = rest.select("grp", "cls", "core", F.explode("tokens").alias("token")).select(F.xxhash64("grp", "token").alias("next"), "grp", "cls", "core")
+            counts = token.groupBy("next").agg(F.count("*").alias("members"), F.min("core").alias("core")).filter("members > 1 and core = 0")
+            token = inner.keep(token.join(counts.select("next", "members"), "next"))
+            rows = token.join(rest.select("grp", "cls", "n", "v"), ["grp", "cls"]).select(F.col("next").alias("grp"), "cls", "n", "v", "core", "members")
+            before, split = split, inner.keep(rows)
+            inner.drop(*([before] if before else []), apart, token)
+            found.append(inner.keep(_links_within(split.filter(F.col("members") <= CENTRED), percent, None)))
+            rows = split.filter(F.col("members") > CENTRED).select(*columns)
+            rows = None if rows.isEmpty() else rows
+        out = found[0]
+        for part in found[1:]:
+            out = out.union(part)
+        return tables.keep(out.distinct())
 
 
 def _small(frame: DataFrame, most: int, width) -> DataFrame:

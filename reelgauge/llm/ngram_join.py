@@ -25,8 +25,8 @@ from reelgauge.llm.shingles import shingle_sets, signature
 from reelgauge.llm.text_classes import SLICE_BYTES, classes_of, sets_of, shared_tokens, sifted, with_components
 
 SHINGLE, PERCENT = 5, 80
-#: The counting sketch: counters in all, and parts in which it travels.
-SKETCH_BITS, SKETCH_PARTS = 23, 64
+#: The counting sketch: counters in all, and parts in which it travels; counters that a task holds at most, about.
+SKETCH_BITS, SKETCH_PARTS, SKETCH_HELD = 26, 64, 1_500_000
 #: A shingle is frequent from this count on, or this many deviations above a counter's mean.
 LEAST_FREQUENT, DEVIATIONS = 24, 4
 #: Odd factors of the global orders.
@@ -35,7 +35,17 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _U = np.uint64
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+class Bits:
+    """A map of bits that is read like an array of truth values."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    def __getitem__(self, place: np.ndarray) -> np.ndarray:
+        return (self.packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray | Bits, order: int, percent: int = PERCENT) -> np.ndarray:
     """The first shingles under one order: any similar set has one of them in its own prefix."""
     n = len(shingles)
     late = frequent[(shingles >> _U(64 - SKETCH_BITS)).astype(np.int64)]
@@ -47,56 +57,74 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, order: int, percent: int
 # --- first pass: set sizes, signatures, and the counting sketch -----------------
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    used = np.flatnonzero(counts)
-    if len(used) < len(counts) // 8:
-        return b"s" + used.astype("<u4").tobytes() + counts[used].astype("<u4").tobytes()
-    return b"d" + pa.compress(counts.astype("<u4").tobytes(), "zstd", asbytes=True)
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counters in order, each once, with their sums."""
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[start], np.add.reduceat(np.concatenate(counts)[order], start)
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counters of a part, ascending: their number, steps to the next one and counts, byte by byte."""
+    both = np.stack([np.diff(keys, prepend=0), counts]).astype("<u4")
+    return len(keys).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)), "zstd", asbytes=True)
 
 
 def _add(counts: np.ndarray, blob: bytes) -> None:
-    if blob[:1] == b"s":
-        both = np.frombuffer(blob, "<u4", offset=1)
-        counts[both[: len(both) // 2]] += both[len(both) // 2 :]
-    else:
-        counts += np.frombuffer(pa.decompress(blob[1:], counts.nbytes // 2, "zstd", asbytes=True), "<u4")
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.decompress(blob[4:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(2, 4, n)
+    steps, number = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[..., 0]
+    counts[np.cumsum(steps, dtype=np.int64)] += number
 
 
 def _first_pass(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (part null) with sizes and signatures, and, once per task, the parts of its sketch."""
+    """Rows of documents (part null) with sizes and signatures, and the parts of the tasks' sketches."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     longs = ["n", "s1", "s2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        schema = None
+        keys, counts, held, schema = [], [], 0, None
+
+        def sketch() -> pa.RecordBatch:
+            key, count = _merged(keys, counts)
+            width = (1 << SKETCH_BITS) // SKETCH_PARTS
+            edge = np.searchsorted(key, np.arange(SKETCH_PARTS + 1) * width)
+            parts = [p for p in range(SKETCH_PARTS) if edge[p] < edge[p + 1]]
+            blobs = [_pack(key[edge[p] : edge[p + 1]] - p * width, count[edge[p] : edge[p + 1]]) for p in parts]
+            nothing = pa.nulls(len(parts), pa.int64())
+            return pa.RecordBatch.from_arrays([
+                pa.nulls(len(parts), schema.field(0).type), *([nothing] * len(longs)), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary()),
+            ], schema=schema)
+
         for batch in batches:
             if schema is None:
                 schema = pa.schema([("doc_id", batch.column(0).type), *((c, pa.int64()) for c in longs), ("part", pa.int32()), ("blob", pa.binary())])
             for piece in text_slices(batch, 1, SLICE_BYTES):
                 sets = shingle_sets(piece.column(1).to_pylist(), size)
                 where, number = np.unique((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
-                counts[where] += number.astype(np.uint32)
+                keys.append(where)
+                counts.append(number.astype(np.uint32))
+                held += len(where)
                 marks = [signature(s) for s in sets]
                 rows = len(sets)
                 yield pa.RecordBatch.from_arrays([
                     piece.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)),
                     pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
                 ], schema=schema)
-        if schema is not None:
-            blobs = [_pack(c) for c in counts.reshape(SKETCH_PARTS, -1)]
-            nothing = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(SKETCH_PARTS, schema.field(0).type), *([nothing] * len(longs)),
-                pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary()),
-            ], schema=schema)
+                if held > SKETCH_HELD:
+                    yield sketch()
+                    keys, counts, held = [], [], 0
+        if held:
+            yield sketch()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} bigint' for c in longs)}, part int, blob binary")
 
 
-def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
-    """Which counters are frequent: a bitmap of fixed size, whatever the input.
+def _frequent(sketch: DataFrame, total: int) -> Bits:
+    """Which counters are frequent: one bit each, a map of fixed size, whatever the input.
 
     At most ``total / limit`` counters can be; chance alone lifts few so far above the mean,
     and one that it lifts only comes later in every order.
@@ -116,22 +144,20 @@ def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
             bits = [np.packbits(c >= limit).tobytes() for c in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["part", "bits"])
 
-    out = np.zeros((SKETCH_PARTS, width), bool)
+    out = np.zeros((SKETCH_PARTS, width // 8), np.uint8)
     summed = sketch.select("part", "blob").repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, bits binary")
     for row in summed.collect():
-        out[row["part"]] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
-    return out.reshape(-1)
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return Bits(out.reshape(-1))
 
 
 # --- second pass: prefixes --------------------------------------------------------
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, frequent: Bits, size: int, percent: int) -> DataFrame:
     """s1, s2, tokens: each class's prefix under the first order, once from each task that meets it."""
-    bits = np.packbits(frequent).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         seen: set = set()
         for batch in batches:
             for piece in text_slices(batch, 0, SLICE_BYTES):
@@ -140,22 +166,20 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
                     mark = signature(s) if len(s) else None
                     if mark is not None and mark not in seen:
                         seen.add(mark)
-                        own[mark] = prefix(s, late, 0, percent).view(np.int64)
+                        own[mark] = prefix(s, frequent, 0, percent).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array([m[i] for m in own], pa.int64()) for i in (0, 1)), pa.array(list(own.values()), pa.list_(pa.int64()))], ["s1", "s2", "tokens"])
 
     return docs.select("text").mapInArrow(run, "s1 bigint, s2 bigint, tokens array<bigint>")
 
 
-def _tokens_of(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _tokens_of(sets: DataFrame, frequent: Bits, percent: int) -> DataFrame:
     """cls, order, token: the prefixes of known sets under the orders behind the first."""
     small_batches(sets.sparkSession)
-    bits = np.packbits(frequent).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for batch in batches:
             for order in range(1, len(ORDERS)):
-                found = [prefix(v.values.to_numpy().view(np.uint64), late, order, percent).view(np.int64) for v in batch.column(1)]
+                found = [prefix(v.values.to_numpy().view(np.uint64), frequent, order, percent).view(np.int64) for v in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([order] * len(found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["cls", "order", "tokens"])
 
     arrays = sets.select("cls", "v").mapInArrow(run, "cls bigint, order int, tokens array<bigint>")
@@ -183,13 +207,14 @@ def _in_company(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), key, "left_semi")
 
 
-def _met(first: DataFrame, sets: DataFrame, frequent: np.ndarray, percent: int, tables: Tables) -> DataFrame:
+def _met(first: DataFrame, sets: DataFrame, frequent: Bits, percent: int, tables: Tables) -> DataFrame:
     """grp, cls: the groups of the first order, cut down by the groups of the others."""
-    tokens = tables.keep(_tokens_of(sets, frequent, percent))
-    of = [_in_company(tokens.filter(F.col("order") == o).select("token", "cls"), "token") for o in range(1, len(ORDERS))]
-    second = labelled(of[0], tables).withColumnRenamed("grp", "other")
-    both = first.join(second, "cls").join(of[1].select("cls").distinct(), "cls", "left_semi")
-    return tables.keep(_in_company(both.select(F.xxhash64("grp", "other").alias("grp"), "cls").distinct(), "grp"))
+    with Tables(sets.sparkSession) as own:
+        tokens = own.keep(_tokens_of(sets, frequent, percent))
+        of = [_in_company(tokens.filter(F.col("order") == o).select("token", "cls"), "token") for o in range(1, len(ORDERS))]
+        second = labelled(of[0], own).withColumnRenamed("grp", "other")
+        both = first.join(second, "cls").join(of[1].select("cls").distinct(), "cls", "left_semi")
+        return tables.keep(_in_company(both.select(F.xxhash64("grp", "other").alias("grp"), "cls").distinct(), "grp"))
 
 
 def class_name(first: str = "s1", second: str = "s2") -> F.Column:
@@ -226,14 +251,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     docs = docs.select("doc_id", "text")
     with Tables(docs.sparkSession) as tables:
         first = tables.keep(_first_pass(docs, size))
-        rows = first.filter(F.col("part").isNull()).select("doc_id", "n", "s1", "s2")
+        rows = tables.keep(first.filter(F.col("part").isNull()).select("doc_id", "n", "s1", "s2"))
         total = rows.agg(F.sum("n")).first()[0] or 0
         frequent = _frequent(first.filter(F.col("part").isNotNull()), total)
+        tables.drop(first)
         classes = classes_of(rows, tables)
-        prefixes = tables.keep(_prefixes(docs, frequent, size, percent))
-        shared = tables.keep(shared_tokens(prefixes, classes, tables))
-        own = shared.groupBy("cls").agg(F.array_sort(F.collect_list("token")).alias("v")).join(classes.select("cls", "n"), "cls")
-        groups = sifted(labelled(shared, tables), tables.keep(own), CENTRED, enough(percent), tables)
+        with Tables(docs.sparkSession) as inner:
+            prefixes = inner.keep(_prefixes(docs, frequent, size, percent))
+            shared = inner.keep(shared_tokens(prefixes, classes, inner))
+            inner.drop(prefixes)
+            own = shared.groupBy("cls").agg(F.array_sort(F.collect_list("token")).alias("v")).join(classes.select("cls", "n"), "cls")
+            groups = tables.keep(sifted(labelled(shared, inner), inner.keep(own), CENTRED, enough(percent), inner))
         sets = sets_of(docs, classes, groups, tables, size)
         groups = _met(groups, sets, frequent, percent, tables)
         links = links_of(groups, sets, percent, tables)

@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelgauge.llm import alignment, centred, minhash, phrases
+from reelgauge.llm import alignment, centred, minhash, ngram_join, phrases
 from reelgauge.llm.common import Tables
 from reelgauge.llm.components import components
 from reelgauge.llm.shingles import shingle_sets
 from reelgauge.llm.text_classes import SLICE_BYTES
+from reelgauge.operators import scaling
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -301,3 +302,42 @@ def test_quick_ids_are_the_librarys(docs):
     assert tok.quick is not None
     for text in [r.text or "" for r in docs.collect()] + ["don't  'll it's\t\n x", "¡¿ 12ab ÀÉ·x ɏ", "a\r\n\r\nb   ", "<|endoftext|>"]:
         assert tok.ids_a(text, tok.plain(text)).tolist() == tok.a.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_tables_leave_no_shuffle_files_and_drop(spark):
+    import os
+    import time
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(scaling.SHUFFLE_CLEANUP)
+    with Tables(spark) as tables:
+        # Every key moves
+        kept = tables.keep(spark.range(0, 50_000, 1, 4).groupBy((F.col("id") * 7).alias("k")).agg(F.max("id").alias("m")))
+        assert kept.agg(F.sum("m")).first()[0] == 50_000 * 49_999 // 2
+        for _ in range(50):
+            if shuffled() <= before:
+                break
+            time.sleep(0.1)
+        assert shuffled() <= before
+        other = tables.keep(spark.range(3).toDF("x"))
+        tables.drop(kept)
+        assert os.listdir(tables.path.removeprefix("file:")) == ["2"] and other.count() == 3
+    assert spark.conf.get(scaling.SHUFFLE_CLEANUP) == setting
+
+
+def test_sketch_parts_add_up():
+    rng = np.random.default_rng(8)
+    keys = [np.unique(rng.integers(0, 5000, 900)).astype(np.int32) for _ in range(3)]
+    counts = [rng.integers(1, 70_000, len(k)).astype(np.uint32) for k in keys]
+    whole, found = np.zeros(5000, np.int64), np.zeros(5000, np.int64)
+    for k, c in zip(keys, counts, strict=True):
+        whole[k] += c
+    ngram_join._add(found, ngram_join._pack(*ngram_join._merged(keys[:2], counts[:2])))
+    ngram_join._add(found, ngram_join._pack(*ngram_join._merged(keys[2:], counts[2:])))
+    assert (found == whole).all()
+    bits = ngram_join.Bits(np.packbits(whole[:4992] >= 60_000))
+    place = rng.integers(0, 4992, 300)
+    assert (bits[place] == (whole[place] >= 60_000)).all()
