@@ -10,7 +10,8 @@ to the end, and it sends each bucket one array back, the expected counts, which
 sums.  Only these arrays and the shards' numbers move, neither texts nor names, and no
 group is ever in one place.
 The variational bound of each group is summed along the way; a group whose bound no
-longer rises leaves the passes.
+longer rises leaves the passes.  Groups are fitted in a few batches, one after the other,
+so that the arrays of a pass never lie on disk for all groups at once.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ SHARD_BLOCKS = 4
 STEPS, STEP_CHANGE = 40, 1e-3
 #: Documents of a block, neighbours in length, that are fitted as one padded array.
 ALIKE = 16
+#: Batches that the groups are dealt to, about, and documents (once for each of their groups) that a batch has room for at least.
+BATCHES, BATCH_DOCS = 6, 40_000
 _P = [f"p{i}" for i in range(MAX_TOPICS)]
 _T = [f"t{i}" for i in range(MAX_TOPICS)]
 #: share of a document that its starting topic gets
@@ -102,7 +105,8 @@ _UP = "g bigint, shard int, bucket int, sums binary, bound double"
 #: From buckets to shards: the same counts of the whole group, prior included.  Shard -1 gets a bucket's totals.
 _DOWN = f"g bigint, shard int, bucket int, k int, sums binary, bound double, part double, n bigint, {', '.join(f'{p} double' for p in _P)}"
 _SHARES = f"g bigint, videoId string, {', '.join(f'{p} double' for p in _P)}"
-_WEIGHTS = "g bigint, term string, weights array<double>, places array<int>"
+#: Terms that have all their weights alike, in order; ``places`` are those of the first one.
+_WEIGHTS = "g bigint, terms array<string>, weights array<double>, places array<int>"
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -388,15 +392,23 @@ def _term_weights(bucket: pa.Table, down: pa.Table) -> pa.Table:
     # all shards of a term bring the same counts
     at, many = _ints(row, "place", "many")
     sums[at] = np.frombuffer(b"".join(down.sort_by("shard").column("sums").to_pylist())).reshape(-1, k)
-    if row["bucket"] >= _OWN:
-        order = pc.sort_indices(terms)
-        terms, sums = terms.take(order), np.repeat(sums, many, 0)[order.to_numpy()]
-    n = len(terms)
-    place = np.empty((n, k), np.int32)
+    # terms that are one number lie one after the other
+    number = np.repeat(np.arange(row["n"]), many)
+    order, n = pc.sort_indices(terms).to_numpy(), len(terms)
+    by_name, place = sums[number[order]], np.empty((n, k), np.int32)
     for i in range(k):
-        place[np.argsort(-sums[:, i], kind="stable"), i] = np.arange(1, n + 1)
-    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, np.int32)), pa.array(v.ravel())) for v in (sums, place)]
-    return pa.table([pa.array(np.full(n, row["g"])), terms, *lists], names=_arrow(_WEIGHTS).names).cast(_arrow(_WEIGHTS))
+        place[order[np.argsort(-by_name[:, i], kind="stable")], i] = np.arange(1, n + 1)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    listed = np.lexsort((rank, number))
+    begin = np.cumsum(many) - many
+    place, inside = place[listed], np.arange(n) - np.repeat(begin, many)
+    # where terms of another number come between, each has a row of its own
+    apart = np.repeat(np.logical_or.reduceat((place - inside[:, None] != place[begin][number]).any(1), begin), many)
+    first = np.flatnonzero((inside == 0) | apart)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(first) * k + 1, k, np.int32)), pa.array(v.ravel())) for v in (sums[number[first]], place[first])]
+    named = pa.ListArray.from_arrays(pa.array(np.append(first, n).astype(np.int32)), terms.take(pa.array(listed)))
+    return pa.table([pa.array(np.full(len(first), row["g"])), named, *lists], names=_arrow(_WEIGHTS).names).cast(_arrow(_WEIGHTS))
 
 
 def _group_counts(bucket: pa.Table, up: pa.Table) -> pa.Table:
@@ -460,19 +472,70 @@ def fit_topics(
     key = ["period", "channelId", "videoId"]
     spark = in_period.sparkSession
     narrow = in_period.select(*key)
-    if tokenised is None:
-        tokenised = with_tokens(in_period.select(*key, "videoTranscript"), stopwords)
+    source = in_period.select(*key, "videoTranscript") if tokenised is None else tokenised.select(*key, "tokens")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows if tokenised is not None else with_tokens(rows, stopwords)
+
     with Tables(spark) as tables:
         # groups get a number, which is shorter to send and compare than their names
         groups = tables.keep(group_sizes(narrow).select(*GROUP, topic_count(F.col("n")).cast("int").alias("k"), "n", F.monotonically_increasing_id().alias("g")))
-        few_groups = fits(groups)
+        few_groups, batches = fits(groups), _batches(groups)
         blocks_of = F.ceil(F.col("n") / BLOCK_DOCS)
         # both the terms of a bucket and the arrays that a shard sends grow with the root of the blocks
         numbered = groups.select(*GROUP, "g", "k", blocks_of.alias("blocks"), F.ceil(4 * F.sqrt(blocks_of)).cast("int").alias("buckets"))
-        texts = with_entities(tokenised.select(*key, "tokens").filter("videoId is not null")).drop("channelId")
+        parts = []
+        for batch in batches:
+            own = numbered.filter(batch)
+            texts = with_entities((cut(source) if len(batches) == 1 else source).filter("videoId is not null")).drop("channelId")
+            texts = sized_join(texts, own, GROUP, "inner", few_groups)
+            members = sized_join(with_entities(narrow.filter("videoId is not null")).select(*GROUP, "videoId"), own.select(*GROUP, "g", "k"), GROUP, "inner", few_groups)
+            # a text of several batches is cut once for each of them
+            parts.append(_fit_batch(texts if len(batches) == 1 else cut(texts), members, own, few_groups, max_iter, seed, tolerance))
+        documents, stored, bounds = (_together(tables) for tables in zip(*parts, strict=True))
+    rows = stored.select(*GROUP, "topics", F.posexplode("terms").alias("_at", "term"))
+    topics = rows.select(*GROUP, "term", "_at", F.posexplode("topics").alias("topic", "_t"))
+    terms = topics.select(*GROUP, "term", "topic", F.col("_t.weights").alias("weight"), (F.col("_t.places") + F.col("_at")).alias("place"))
+    return TopicModel(documents, terms, bounds)
+
+
+def _together(tables: Sequence[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for part in tables[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _batches(groups: DataFrame) -> list[Column]:
+    """Conditions on the groups that deal them to batches of bounded size; a larger group is one alone.
+
+    Only large groups, of which there are few by construction, come to the driver; the others go by a hash.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    room = max(BATCH_DOCS, -(-total // BATCHES))
+    if total <= room:
+        return [F.lit(True)]
+    large = groups.filter(F.col("n") * 2 > room).select("g", "n").orderBy(F.desc("n"), "g").collect()
+    dealt: list[tuple[int, list[int]]] = []
+    for row in large:
+        at = next((i for i, (n, _) in enumerate(dealt) if n + row["n"] <= room), len(dealt))
+        n, own = dealt[at] if at < len(dealt) else (0, [])
+        dealt[at : at + 1] = [(n + row["n"], [*own, row["g"]])]
+    named = [F.col("g").isin(own) for _, own in dealt]
+    rest = total - sum(n for n, _ in dealt)
+    times = -(-rest // room)
+    others = ~F.col("g").isin([row["g"] for row in large])
+    return named + [others & (F.pmod(F.xxhash64("g"), F.lit(times)) == i) for i in range(times)]
+
+
+def _fit_batch(
+    texts: DataFrame, members: DataFrame, numbered: DataFrame, few_groups: bool, max_iter: int, seed: int, tolerance: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, stored terms and bounds of some groups; ``texts`` are their documents' tokens, ``members`` their documents."""
+    with Tables(texts.sparkSession) as tables:
         block = F.pmod(F.xxhash64("videoId"), F.col("blocks")).cast("int").alias("block")
         start = F.pmod(F.xxhash64("videoId", F.lit(seed)), F.col("k")).cast("int").alias("start")
-        placed = sized_join(texts, numbered, GROUP, "inner", few_groups).select("g", "k", "buckets", block, start, "videoId", "tokens")
+        placed = texts.select("g", "k", "buckets", block, start, "videoId", "tokens")
         shard = F.floor(F.col("block") / SHARD_BLOCKS).cast("int").alias("shard")
         blocks = tables.keep(placed.groupBy("g", "block").applyInArrow(_pack, _BLOCK).select("*", shard))
 
@@ -487,10 +550,14 @@ def fit_topics(
         large = numbered.filter(F.col("blocks") > SHARD_BLOCKS).select("g")
         pieces = by_bucket(sized_join(blocks, large, ["g"], "left_semi", few_groups), "shard", "block")
         several = pieces.groupBy("g", "bucket").applyInArrow(_several, _SEVERAL)
-        shards = tables.keep(blocks.groupBy("g", "shard").cogroup(several.groupBy("g", "shard")).applyInArrow(_merge, _SHARD))
-        shared = by_bucket(shards, "shard", "k").groupBy("g", "bucket").applyInArrow(_gather, _BUCKET)
-        alone = shards.select("g", "shard", "k", "own", "many").groupBy("g", "shard").applyInArrow(_own_bucket, _BUCKET)
+        whole = tables.keep(blocks.groupBy("g", "shard").cogroup(several.groupBy("g", "shard")).applyInArrow(_merge, _SHARD))
+        tables.drop(blocks)
+        shared = by_bucket(whole, "shard", "k").groupBy("g", "bucket").applyInArrow(_gather, _BUCKET)
+        alone = whole.select("g", "shard", "k", "own", "many").groupBy("g", "shard").applyInArrow(_own_bucket, _BUCKET)
         buckets = tables.keep(shared.unionByName(alone))
+        # the terms' names are with the buckets now
+        shards = tables.keep(whole.select(*_NUMBERS, "ids", "start"))
+        tables.drop(whole)
 
         def at_shards(columns: Sequence[str], down: DataFrame, state: DataFrame, act, schema: str) -> DataFrame:
             known = sized_join(shards.select(*columns), state.select("g", *_T), ["g"], "inner", few_groups)
@@ -502,10 +569,12 @@ def fit_topics(
 
         settled, bounds, theirs = [], [], buckets.select(*_PLACES)
         begun = shards.select(*_NUMBERS, "start").groupBy("g", "shard").applyInArrow(_start_counts, _UP)
-        down = tables.keep(at_buckets(theirs, begun))
+        down = last = tables.keep(at_buckets(theirs, begun))
         state = tables.keep(_state(down).withColumn("bound", F.lit(None).cast("double")))
         for number in range(max_iter):
-            down = tables.keep(at_buckets(theirs, at_shards(_NUMBERS, down, state, _expected_counts, _UP)))
+            down, past = tables.keep(at_buckets(theirs, at_shards(_NUMBERS, down, state, _expected_counts, _UP))), last
+            tables.drop(past)
+            last = down
             before = state.select("g", F.col("part").alias("own"), F.col("bound").alias("was"))
             bound, rise = F.col("found") + F.col("own"), F.col("bound") - F.col("was")
             now = sized_join(_state(down), before, ["g"], "inner", few_groups).withColumn("bound", bound)
@@ -517,31 +586,23 @@ def fit_topics(
                 settled.append(down)
                 break
             if opened < every:
-                settled.append(sized_join(down, state.filter("not open").select("g"), ["g"], "left_semi", few_groups))
+                settled.append(tables.keep(sized_join(down, state.filter("not open").select("g"), ["g"], "left_semi", few_groups)))
                 state = state.filter("open")
                 down, theirs = (sized_join(x, state.select("g"), ["g"], "left_semi", few_groups) for x in (down, buckets.select(*_PLACES)))
-        down = settled[0]
-        for part in settled[1:]:
-            down = down.unionByName(part)
+        down = _together(settled)
         shares = at_shards([*_NUMBERS, "ids"], down, tables.keep(_state(down)), _document_shares, _SHARES)
-        members = sized_join(with_entities(narrow.filter("videoId is not null")).select(*GROUP, "videoId"), groups.select(*GROUP, "g", "k"), GROUP, "inner", few_groups)
         filled = sized_join(members, shards.select("g").distinct(), ["g"], "left_semi", few_groups)
         total = sum((F.col(p) for p in _P[1:]), F.col(_P[0]))
         own = [F.when(F.lit(i) < F.col("k"), F.coalesce(F.col(p) / total, 1 / F.col("k"))).alias(p) for i, p in enumerate(_P)]
         documents = materialise(filled.join(shares, ["g", "videoId"], "left").select(*GROUP, "videoId", "k", *own))
-        names = groups.select("g", *GROUP)
+        names = numbered.select("g", *GROUP)
         sums = down.filter("shard >= 0").select("g", "shard", "bucket", "sums")
         by_topic = buckets.select("g", "bucket", "k", "n", "terms", "place", "many").groupBy("g", "bucket").cogroup(sums.groupBy("g", "bucket"))
         weights = sized_join(by_topic.applyInArrow(_term_weights, _WEIGHTS), names, ["g"], "inner", few_groups)
-        # stored by term, a row for each topic on reading
-        stored = materialise(weights.select(*GROUP, "term", F.arrays_zip("weights", "places").alias("topics")))
-        topics = stored.select(*GROUP, "term", F.posexplode("topics").alias("topic", "_t"))
-        terms = topics.select(*GROUP, "term", "topic", F.col("_t.weights").alias("weight"), F.col("_t.places").alias("place"))
-        every = bounds[0]
-        for part in bounds[1:]:
-            every = every.unionByName(part)
-        every = materialise(sized_join(every, names, ["g"], "inner", few_groups).select(*GROUP, "pass", "bound"))
-    return TopicModel(documents, terms, every)
+        # a row for each term and topic on reading
+        stored = materialise(weights.select(*GROUP, "terms", F.arrays_zip("weights", "places").alias("topics")))
+        every = materialise(sized_join(_together(bounds), names, ["g"], "inner", few_groups).select(*GROUP, "pass", "bound"))
+    return documents, stored, every
 
 
 def topic_terms(model: TopicModel, n: int = 10) -> DataFrame:

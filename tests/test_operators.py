@@ -547,6 +547,38 @@ def test_terms_of_one_document_move_as_one_number(spark, monkeypatch):
     assert sum(e == "ALL" for e, *_ in weights) == 5 * len({w for r in rows for w in r[6].split()})
 
 
+def test_batches_of_groups_keep_few_tables_and_change_nothing(spark, monkeypatch):
+    import os
+
+    kinds = "period string, channelId string, videoId string, viewCount long, likeCount long, commentCount long, videoTranscript string"
+    # Words of one document alone, some of them twice.
+    rows = [(*r[:6], f"{r[6]} solo{chr(97 + i % 26)}{chr(97 + i // 26)} duo{chr(97 + i % 26)}{chr(97 + i // 26)} duo{chr(97 + i % 26)}{chr(97 + i // 26)}") for i, r in enumerate(planted(6, 60))]
+    df = spark.createDataFrame([*rows, ("p", "c3", "bare", 1, 1, 1, "")], kinds)
+    left, keep = [], topics.Tables.keep
+
+    def counted(self, table):
+        kept = keep(self, table)
+        paths = [f"{self.path.removeprefix('file:')}/{n}" for n in os.listdir(self.path.removeprefix("file:"))]
+        left.append(sum("sums" in spark.read.parquet(p).columns for p in paths if any(x.endswith(".parquet") for x in os.listdir(p))))
+        return kept
+
+    def fitted():
+        model = topics.fit_topics(df, stopword_set(("pt",)), max_iter=4, tolerance=0.0)
+        shares = {(r.entity, r.videoId): [r[f"p{i}"] for i in range(r.k)] for r in model.documents.collect()}
+        terms = model.terms.collect()
+        return [{(r.entity, r.term, r.topic): r.weight for r in terms}, {(r.entity, r.term, r.topic): r.place for r in terms}, {(r.entity, r["pass"]): r.bound for r in model.bounds.collect()}, shares]
+
+    one = fitted()
+    monkeypatch.setattr(topics.Tables, "keep", counted)
+    monkeypatch.setattr(topics, "BATCH_DOCS", 25)
+    found = fitted()
+    assert 1 <= max(left) <= 2, left
+    assert found[1] == one[1]
+    for a, b in zip(found, one, strict=True):
+        assert a.keys() == b.keys() and all(v == pytest.approx(b[k], rel=1e-9) for k, v in a.items())
+    assert len(topics._batches(spark.createDataFrame([(i, 10) for i in range(40)], "g long, n long"))) > 5
+
+
 def test_documents_of_a_block_are_fitted_as_one_by_one(monkeypatch):
     rng = np.random.default_rng(5)
     # Lengths with gaps and repeats, shortest first.
