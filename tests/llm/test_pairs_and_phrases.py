@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelgauge.llm import alignment, centred, minhash, ngram_join, phrases
+from reelgauge.llm import alignment, bm25, centred, minhash, ngram_join, phrases
 from reelgauge.llm.common import Tables
 from reelgauge.llm.components import components
 from reelgauge.llm.shingles import shingle_sets
@@ -341,3 +341,33 @@ def test_sketch_parts_add_up():
     bits = ngram_join.Bits(np.packbits(whole[:4992] >= 60_000))
     place = rng.integers(0, 4992, 300)
     assert (bits[place] == (whole[place] >= 60_000)).all()
+
+
+def test_shards_are_read_one_at_a_time(spark, monkeypatch):
+    read, seen, keep = "spark.sql.parquet.columnarReaderBatchSize", [], Tables.keep
+    before = spark.conf.get(read)
+
+    def watched(self, df, *compression):
+        seen.append((df.columns, spark.conf.get(read), compression))
+        return keep(self, df, *compression)
+
+    monkeypatch.setattr(bm25.Tables, "keep", watched)
+    # One word in common, one of each document alone.
+    docs = spark.createDataFrame([(i, f"common own{i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    found = bm25.top_k(docs, docs.filter("doc_id < 5"), 1).collect()
+    assert {(r.query_id, r.doc_id) for r in found} == {(i, i) for i in range(5)}
+    assert [c for columns, _, c in seen if "owner" in columns] == [("zstd",)]
+    assert [size for columns, size, _ in seen if columns in (["term", "df"], ["query_id", "doc_id", "score"])] == ["1"] * 3
+    assert spark.conf.get(read) == before
+
+
+def test_few_queries_meet_a_shard_of_many_common_terms():
+    rng = np.random.default_rng(4)
+    docs, words = 64, 4000
+    owner, term = np.repeat(np.arange(docs, dtype=np.int32), words), np.tile(np.arange(1, words + 1).astype(np.uint64), docs)
+    shard = bm25.Shard(np.arange(docs), owner, term, rng.integers(1, 9, docs * words).astype(np.int32), np.full(docs, 9000, np.int32), 9000.0, np.arange(1, words + 1))
+    held, near = [], shard._near
+    shard._near = lambda sizes, *more: held.append(len(sizes)) or near(sizes, *more)
+    asked = 300
+    found = list(shard.search(np.arange(asked + 1) * 5, rng.integers(0, words, 5 * asked), np.ones(5 * asked), 3, np.zeros(asked)))
+    assert len(found) == asked and max(held) * len(shard.common) <= bm25.CELLS
